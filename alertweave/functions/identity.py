@@ -1,11 +1,11 @@
 """One canonical actor identity per alert, whatever the provider.
 
-Each builder returns ``struct<principal, problem>``: exactly one of the two is set.
+Each step adds ``principal`` and ``problem`` to a frame: exactly one of the two is set.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertweave.functions import arn as names
@@ -32,69 +32,76 @@ def _principal(provider: str, nid: Column, raw: Column, display: Column, scope:
     ).cast(PRINCIPAL_TYPE)
 
 
-def _outcome(problem: Column, principal: Column) -> Column:
-    return F.struct(
-        F.when(problem.isNull(), principal).alias("principal"),
-        problem.alias("problem"),
+def _settle(df: DataFrame, keep: list[str], problem: Column, principal: Column) -> DataFrame:
+    """``principal`` and ``problem``: exactly one of the two is set."""
+    settled = P.compute(df, problem=problem)
+    return settled.select(*keep, F.when(F.col("problem").isNull(), principal).alias("principal"), "problem")
+
+
+_AWS_LEAVES = "struct<type:variant,arn:variant,accountId:variant,userName:variant,invokedBy:variant,sessionContext:variant>"
+
+
+def add_principal_aws(df: DataFrame, ui: str) -> DataFrame:
+    """Identity from the ``userIdentity`` object of a cloud audit event, held in column ``ui``."""
+    read = P.compute(df, _leaf=F.try_variant_get(F.col(ui), "$", _AWS_LEAVES))
+    issuer = "$.sessionIssuer"
+    leaves = {
+        "type": F.col("_leaf.type"),
+        "arn": F.col("_leaf.arn"),
+        "account": F.col("_leaf.accountId"),
+        "user": F.col("_leaf.userName"),
+        "invoker": F.col("_leaf.invokedBy"),
+        "issuer": P.field(F.col("_leaf.sessionContext"), f"{issuer}.arn"),
+        "issuer_name": P.field(F.col("_leaf.sessionContext"), f"{issuer}.userName"),
+    }
+    read = P.compute(read, **{f"_{n}": v for n, v in leaves.items()})
+    texts = {f"{n}_text": P.filled_string(F.col(f"_{n}"), "$") for n in leaves}
+    odd = {f"{n}_odd": P.truthy_not_string(F.col(f"_{n}"), "$") for n in leaves}
+    shown = F.when(F.col("_type").isNull(), F.lit("None")).otherwise(P.quoted_or_plain(F.col("_type"), "$"))
+    read = P.compute(read, _f=F.struct(*[c.alias(n) for n, c in {**texts, **odd}.items()], shown.alias("type_shown")))
+
+    def f(name: str) -> Column:
+        return F.col(f"_f.{name}")
+
+    def is_a(kind: str) -> Column:
+        return F.coalesce(f("type_text") == kind, F.lit(False))
+
+    read = P.compute(
+        read,
+        _service=is_a("AWSService"),
+        _role=is_a("AssumedRole"),
+        _root=is_a("Root"),
+        _role_id=F.coalesce(f("issuer_text"), names.collapse_session(f("arn_text"))),
     )
-
-
-def principal_aws(ui: Column) -> Column:
-    """Identity from the ``userIdentity`` object of a cloud audit event."""
-    kind_of_actor = P.string_at(ui, "$.type")
-    arn = P.filled_string(ui, "$.arn")
-    account = P.filled_string(ui, "$.accountId")
-    user_name = P.filled_string(ui, "$.userName")
-    invoked_by = P.filled_string(ui, "$.invokedBy")
-    issuer = "$.sessionContext.sessionIssuer"
-    issuer_arn = P.filled_string(ui, f"{issuer}.arn")
-    issuer_name = P.filled_string(ui, f"{issuer}.userName")
-
-    service = F.coalesce(kind_of_actor == "AWSService", F.lit(False))
-    role = F.coalesce(kind_of_actor == "AssumedRole", F.lit(False))
-    root = F.coalesce(kind_of_actor == "Root", F.lit(False))
-
-    odd_arn = P.truthy_not_string(ui, "$.arn")
-    odd_account = P.truthy_not_string(ui, "$.accountId")
-    odd_name = P.truthy_not_string(ui, "$.userName")
-    odd_invoker = P.truthy_not_string(ui, "$.invokedBy")
-    odd_issuer_arn = P.truthy_not_string(ui, f"{issuer}.arn")
-    odd_issuer_name = P.truthy_not_string(ui, f"{issuer}.userName")
-    none = F.lit(None).cast("string")
-    missing_arn = F.concat(F.lit("userIdentity type="), P.quoted_or_plain(ui, "$.type"), F.lit(" missing arn"))
-
+    service, role, root, role_id = (F.col(c) for c in ("_service", "_role", "_root", "_role_id"))
+    arn = f("arn_text")
     problem = (
-        F.when(service & odd_invoker, F.lit(NOT_TEXT))
-        .when(service & invoked_by.isNull(), F.lit("AWSService userIdentity missing invokedBy"))
-        .when(service, none)
-        .when(odd_arn, F.lit(NOT_TEXT))
+        F.when(service & f("invoker_odd"), F.lit(NOT_TEXT))
+        .when(service & f("invoker_text").isNull(), F.lit("AWSService userIdentity missing invokedBy"))
+        .when(service, F.lit(None).cast("string"))
+        .when(f("arn_odd"), F.lit(NOT_TEXT))
         .when(
-            role & issuer_arn.isNull() & ~odd_issuer_arn & arn.isNull(),
+            role & f("issuer_text").isNull() & ~f("issuer_odd") & arn.isNull(),
             F.lit("AssumedRole missing arn and sessionIssuer.arn"),
         )
-        .when(role & (odd_issuer_arn | odd_issuer_name | odd_account), F.lit(NOT_TEXT))
-        .when(role, none)
-        .when(arn.isNull(), missing_arn)
-        .when(odd_account | (~root & odd_name), F.lit(NOT_TEXT))
-    )
-
-    role_id = F.coalesce(issuer_arn, names.collapse_session(arn))
-    nid = F.when(service, F.concat(F.lit("service:"), F.lower(invoked_by))).when(role, role_id).otherwise(arn)
-    raw = F.when(service, invoked_by).when(role, F.coalesce(arn, role_id)).otherwise(arn)
-    display = (
-        F.when(service, invoked_by)
-        .when(role, F.coalesce(issuer_name, names.resource_name(role_id)))
-        .when(root, F.lit("root"))
-        .otherwise(F.coalesce(user_name, names.resource_name(arn)))
+        .when(role & (f("issuer_odd") | f("issuer_name_odd") | f("account_odd")), F.lit(NOT_TEXT))
+        .when(role, F.lit(None).cast("string"))
+        .when(arn.isNull(), F.concat(F.lit("userIdentity type="), f("type_shown"), F.lit(" missing arn")))
+        .when(f("account_odd") | (~root & f("user_odd")), F.lit(NOT_TEXT))
     )
-    scope = F.when(~service, F.coalesce(account, names.account(F.when(role, role_id).otherwise(arn))))
-    return _outcome(problem, _principal("aws", nid, raw, display, scope))
+    nid = F.when(service, F.concat(F.lit("service:"), F.lower(f("invoker_text")))).when(role, role_id).otherwise(arn)
+    raw = F.when(service, f("invoker_text")).when(role, F.coalesce(arn, role_id)).otherwise(arn)
+    named = F.coalesce(F.when(role, f("issuer_name_text")).otherwise(f("user_text")), names.resource_name(F.col("_name")))
+    read = P.compute(read, _name=F.when(role, role_id).otherwise(arn))
+    display = F.when(service, f("invoker_text")).when(root, F.lit("root")).otherwise(named)
+    scope = F.when(~service, F.coalesce(f("account_text"), names.account(F.col("_name"))))
+    return _settle(read, df.columns, problem, _principal("aws", nid, raw, display, scope))
 
 
-def principal_gcp(auth: Column) -> Column:
+def add_principal_gcp(df: DataFrame, auth: str) -> DataFrame:
     """Identity from an ``authenticationInfo`` object: bare address for services, ``user:`` for people."""
-    email = P.filled_string(auth, "$.principalEmail")
-    lowered = F.lower(email)
+    read = P.compute(df, _email=P.filled_string(F.col(auth), "$.principalEmail"))
+    email, lowered = F.col("_email"), F.lower("_email")
     is_service = lowered.endswith(SERVICE_ACCOUNT_SUFFIX)
     host = F.when(lowered.contains("@"), F.substring_index(lowered, "@", -1))
     project = F.nullif(
@@ -102,23 +109,26 @@ def principal_gcp(auth: Column) -> Column:
     )
     problem = F.when(email.isNull(), F.lit("authenticationInfo missing principalEmail"))
     nid = F.when(is_service, lowered).otherwise(F.concat(F.lit("user:"), lowered))
-    return _outcome(problem, _principal("gcp", nid, email, email, F.when(is_service, project)))
+    return _settle(read, df.columns, problem, _principal("gcp", nid, email, email, F.when(is_service, project)))
 
 
-def principal_ad(event: Column) -> Column:
+def add_principal_ad(df: DataFrame, event: str) -> DataFrame:
     """Identity from a directory event: ``DOMAIN\\account``, long or short field names."""
+    v = F.col(event)
 
     def first_truthy(*paths: str) -> Column:
-        return F.coalesce(*[F.when(P.truthy(event, p), P.as_text(event, p)) for p in paths])
+        return F.coalesce(*[F.when(P.truthy(v, p), P.as_text(v, p)) for p in paths])
 
-    domain = first_truthy("$.domain_name", "$.domain")
-    sam = first_truthy("$.sam_account_name", "$.sam_account")
-    problem = F.when(
-        domain.isNull() | sam.isNull(), F.lit("AD event missing domain and sam_account fields")
+    read = P.compute(
+        df,
+        _domain=first_truthy("$.domain_name", "$.domain"),
+        _sam=first_truthy("$.sam_account_name", "$.sam_account"),
     )
+    domain, sam = F.col("_domain"), F.col("_sam")
+    problem = F.when(domain.isNull() | sam.isNull(), F.lit("AD event missing domain and sam_account fields"))
     nid = F.concat(F.upper(domain), F.lit("\\"), F.lower(sam))
     raw = F.concat(domain, F.lit("\\"), sam)
-    return _outcome(problem, _principal("ad", nid, raw, sam, F.upper(domain)))
+    return _settle(read, df.columns, problem, _principal("ad", nid, raw, sam, F.upper(domain)))
 
 
 def principal_key(principal: Column) -> Column:

@@ -7,10 +7,20 @@ key absent (SQL NULL), JSON null (kind VOID) and a value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def compute(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are evaluated once per row, whatever is built on them later.
+
+    A plain projection is merged into the filters and projections above it, and a parsed payload that is
+    read in twenty places would then be parsed twenty times. A generator is not merged. It stays inside
+    whole-stage code, and filters on the other columns still reach the scan.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def parse(text: Column) -> Column:
     """JSON text -> VARIANT; NULL when the text is not JSON."""
     return F.try_parse_json(text)
@@ -38,7 +48,8 @@ def is_boolean(value: Column) -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return _holds(kind(value).startswith("OBJECT"))
+    """Only an object reads as a struct. Unlike ``kind`` this does not walk through all of the value."""
+    return F.try_variant_get(value, "$", "struct<>").isNotNull()
 
 
 def is_array(value: Column) -> Column:

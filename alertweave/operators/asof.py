@@ -29,8 +29,10 @@ def running_position(rows: DataFrame, group: list[str], bins: list[str], order:
     """
     inside = Window.partitionBy(*group, *bins).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*group).orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1)
-    # One shuffle serves the totals and the places.
-    rows = rows.repartition(*group, *bins)
+    # One shuffle serves the totals and the places: every column is read right behind it, so that no use of
+    # the result prunes columns in front of it and makes it a different shuffle.
+    rest = [c for c in rows.columns if c not in (*group, *bins)]
+    rows = rows.repartition(*group, *bins).select(*group, *bins, F.inline(F.array(F.struct(*rest))))
     totals = rows.groupBy(*group, *bins).agg(F.sum(weight).alias("_total"))
     offsets = totals.select(*group, *bins, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     placed = rows.withColumn("_inside", F.sum(weight).over(inside))

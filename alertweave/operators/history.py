@@ -15,20 +15,21 @@ HISTORY_ITEM = "struct<event_id:string,event_time:timestamp,cloudtrail_event:str
 
 def identify(alerts: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds ``principal`` and ``identity_error``; the second is set where the first is not."""
-    ui = P.field(F.col(payload), "$.userIdentity")
-    read = alerts.select("*", F.when(P.is_object(ui), ui).alias("_ui"))
-    read = read.select("*", I.principal_aws(F.col("_ui")).alias("_who"))
+    read = P.compute(alerts, _given=P.field(F.col(payload), "$.userIdentity"))
+    read = P.compute(read, _ui=F.when(P.is_object(F.col("_given")), F.col("_given")))
+    read = I.add_principal_aws(read, "_ui")
     known = F.col("_ui").isNotNull()
     problem = F.struct(
         F.lit("principal_identity").alias("enricher"),
-        F.when(known, F.col("_who.problem")).otherwise(F.lit("alert payload missing userIdentity")).alias("error"),
+        F.when(known, F.col("problem")).otherwise(F.lit("alert payload missing userIdentity")).alias("error"),
         F.when(known, F.lit("ValueError")).otherwise(F.lit("PreconditionError")).alias("type"),
     ).cast(I.ERROR_TYPE)
-    return read.select(
-        *alerts.columns,
-        F.when(known, F.col("_who.principal")).alias("principal"),
-        F.when(~known | F.col("_who.problem").isNotNull(), problem).alias("identity_error"),
+    read = P.compute(
+        read.drop("_given"),
+        _principal=F.when(known, F.col("principal")),
+        identity_error=F.when(~known | F.col("problem").isNotNull(), problem),
     )
+    return read.select(*alerts.columns, F.col("_principal").alias("principal"), "identity_error")
 
 
 def eligibility(identified: DataFrame) -> DataFrame:
@@ -45,10 +46,10 @@ def eligibility(identified: DataFrame) -> DataFrame:
         F.concat(F.lit("skipped: unsupported provider="), who["provider"]).alias("error"),
         F.lit("PrincipalSkipped").alias("type"),
     )
-    return identified.select(
-        "*",
-        F.coalesce(supported, F.lit(False)).alias("eligible"),
-        F.when(who.isNull(), missing).when(~supported, skipped).cast(I.ERROR_TYPE).alias("history_error"),
+    return P.compute(
+        identified,
+        eligible=F.coalesce(supported, F.lit(False)),
+        history_error=F.when(who.isNull(), missing).when(~supported, skipped).cast(I.ERROR_TYPE),
     )
 
 
@@ -57,7 +58,7 @@ def audit_events_from_items(items: DataFrame, text: str = "item") -> DataFrame:
 
     ``CloudTrailEvent`` may be JSON text or an object already.
     """
-    read = items.select("*", P.parse(F.col(text)).alias("_v"))
+    read = P.compute(items, _v=P.parse(F.col(text)))
     v = F.col("_v")
     event = P.field(v, "$.CloudTrailEvent")
     return read.filter(P.is_object(v)).select(
@@ -171,29 +172,21 @@ def with_cached_history(
     )
 
 
-def _parsed_events(events: Column) -> Column:
-    """The audit text of each history item as an object; NULL where it is not one."""
-
-    def read(item: Column) -> Column:
-        v = P.parse(item["cloudtrail_event"])
-        return F.when(P.is_object(v), v)
-
-    return F.transform(events, read)
-
-
 def successful_writes(alerts: DataFrame) -> DataFrame:
     """Adds ``writes`` (events with ``readOnly`` false and no ``errorCode`` key, in history order),
     ``unreadable`` and ``write_error``."""
     nothing = F.array().cast("array<variant>")
-    parsed = alerts.select("*", F.coalesce(_parsed_events(F.col("events")), nothing).alias("_parsed"))
+    texts = F.transform("events", lambda item: P.parse(item["cloudtrail_event"]))
+    parsed = P.compute(alerts, _parsed=F.coalesce(texts, nothing))
+    parsed = P.compute(parsed, _objects=F.filter("_parsed", P.is_object))
 
     def succeeded(v: Column) -> Column:
-        return v.isNotNull() & P.is_false(v, "$.readOnly") & ~P.has_key(v, "$.errorCode")
+        return P.is_false(v, "$.readOnly") & ~P.has_key(v, "$.errorCode")
 
-    parsed = parsed.select(
-        "*",
-        F.filter("_parsed", succeeded).alias("writes"),
-        F.size(F.filter("_parsed", lambda v: v.isNull())).alias("unreadable"),
+    parsed = P.compute(
+        parsed,
+        writes=F.filter("_objects", succeeded),
+        unreadable=F.size("_parsed") - F.size("_objects"),
     )
     problem = F.struct(
         F.lit("write_filter").alias("enricher"),

@@ -77,14 +77,15 @@ def union(*events: DataFrame) -> DataFrame:
 
 def counters(metric_events: DataFrame) -> DataFrame:
     """``bucket, name, value`` of the five counted events in one pass; a missing name is ``unknown``."""
-    read = metric_events.filter(F.col("event").isin(list(COUNTED))).select("event", P.parse(F.col("data")).alias("_d"))
+    read = metric_events.filter(F.col("event").isin(list(COUNTED))).select("event", "data")
+    read = P.compute(read, _d=P.parse(F.col("data")))
     bucket, name = F.lit(None).cast("string"), F.lit(None).cast("string")
     for event, (into, field) in COUNTED.items():
         hit = F.col("event") == event
         bucket = F.when(hit, F.lit(into)).otherwise(bucket)
         name = F.when(hit & P.has_value(F.col("_d"), f"$.{field}"), P.as_text(F.col("_d"), f"$.{field}")).otherwise(name)
     return (
-        read.select(bucket.alias("bucket"), F.coalesce(name, F.lit("unknown")).alias("name"))
+        P.compute(read, bucket=bucket, name=F.coalesce(name, F.lit("unknown")))
         .groupBy("bucket", "name")
         .agg(F.count(F.lit(1)).alias("value"))
     )
@@ -128,7 +129,7 @@ def from_counter_keys(stored: DataFrame) -> DataFrame:
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     """Current state of each queue."""
     rest = [c for c in snapshots.columns if c not in ("name", "polled_at")]
-    newest = F.max_by(F.struct("polled_at", *rest), F.col("polled_at"))
+    newest = F.max(F.struct("polled_at", *rest))
     return snapshots.groupBy("name").agg(newest.alias("_s")).select("name", "_s.*")
 
 

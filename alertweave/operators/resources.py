@@ -75,7 +75,7 @@ def targets(alerts: DataFrame) -> DataFrame:
     written = alerts.select(
         "alert_id", F.unix_micros("received_at").alias("at"), F.posexplode("writes").alias("position", "event")
     )
-    kinds = written.select("*", resource_type(F.col("event")).alias("kind")).filter(F.col("kind").isNotNull())
+    kinds = P.compute(written, kind=resource_type(F.col("event"))).filter(F.col("kind").isNotNull())
     return kinds.select(
         "alert_id",
         "at",

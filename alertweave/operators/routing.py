@@ -102,10 +102,10 @@ def default_catalog(settings: S.Settings = S.DEFAULTS) -> RouteCatalog:
 
 
 def route_alerts(alerts: DataFrame, catalog: RouteCatalog | None = None) -> DataFrame:
-    """Adds ``payload`` (parsed once), ``route`` and ``queue``; both are NULL for an unroutable alert."""
+    """Adds ``payload`` (parsed once, unless it is there), ``route`` and ``queue``, NULL for an unroutable alert."""
     catalog = catalog or default_catalog()
-    parsed = alerts.select("*", P.parse(F.col("raw_payload")).alias("payload"))
-    routed = parsed.select("*", catalog.route_of(F.col("payload")).alias("route"))
+    parsed = alerts if "payload" in alerts.columns else P.compute(alerts, payload=P.parse(F.col("raw_payload")))
+    routed = P.compute(parsed, route=catalog.route_of(F.col("payload")))
     return routed.select("*", catalog.queue_of(F.col("route")).alias("queue"))
 
 

@@ -63,7 +63,7 @@ class Runbook:
         """Alerts of this runbook's queue -> enriched rows."""
         mine = routed.filter(F.col("queue") == self.queue)
         if "payload" not in mine.columns:
-            mine = mine.select("*", P.parse(F.col("raw_payload")).alias("payload"))
+            mine = P.compute(mine, payload=P.parse(F.col("raw_payload")))
         stamp = F.current_timestamp() if enriched_at is None else enriched_at
         if not self.enrichers:
             rows = mine.select(*STORED_ALERT, self.fields(F.col("payload")).alias("_fields"), stamp.alias("enriched_at"))

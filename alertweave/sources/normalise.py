@@ -55,185 +55,166 @@ def _object_reason(parsed: Column) -> Column:
     return F.when(parsed.isNull(), F.lit("bad_json")).when(~P.is_object(parsed), F.lit("not_object"))
 
 
-def _finish(df: DataFrame) -> DataFrame:
-    """Blank the alert columns of rejected rows and fix the column order."""
+def _finish(
+    read: DataFrame, alert_id: Column, source: Column, payload: Column, metadata: Column, reason: Column, raw: Column,
+    detail: Column | None = None,
+) -> DataFrame:
+    """The normalised columns; a rejected row has no id and no payload but keeps its raw text."""
+    told = P.compute(read, reject_reason=reason, reject_detail=F.lit("") if detail is None else detail)
     ok = F.col("reject_reason").isNull()
-    return df.select(
-        *[F.when(ok, F.col(c)).alias(c) if c in ("alert_id", "raw_payload") else F.col(c) for c in ALERT_COLUMNS],
+    return told.select(
+        F.when(ok, alert_id).alias("alert_id"),
+        source.alias("source"),
+        "received_at",
+        F.when(ok, payload).alias("raw_payload"),
+        metadata.alias("metadata"),
         "reject_reason",
-        F.coalesce(F.col("reject_detail"), F.lit("")).alias("reject_detail"),
-        F.when(~ok, F.col("raw")).alias("raw"),
+        "reject_detail",
+        F.when(~ok, raw).alias("raw"),
     )
 
 
 def kafka(df: DataFrame, received_at: Column | None = None) -> DataFrame:
     """Rows of Spark's Kafka source: ``key, value, topic, partition, offset``."""
-    read = df.select(
-        "*",
-        _utf8(F.col("value")).alias("_text"),
-        F.when(F.length("key") > 0, F.col("key")).alias("_key"),
-    )
-    read = read.select(
-        "*",
-        P.parse(F.col("_text")).alias("_v"),
-        _utf8(F.col("_key")).alias("_key_text"),
-        _arrival(received_at).alias("received_at"),
-    )
+    read = df.select("*", F.when(F.length("key") > 0, F.col("key")).alias("_key"), _arrival(received_at).alias("received_at"))
+    read = P.compute(read, _text=_utf8(F.col("value")), _key_text=_utf8(F.col("_key")))
+    read = P.compute(read, _v=P.parse(F.col("_text")))
     bad_key = F.col("_key").isNotNull() & F.col("_key_text").isNull()
+    position = [F.col(c).cast("string") for c in ("topic", "partition", "offset")]
     return _finish(
-        read.select(
-            identity("kafka", [F.col(c).cast("string") for c in ("topic", "partition", "offset")], F.col("_text")).alias(
-                "alert_id"
-            ),
-            F.lit("kafka").alias("source"),
-            "received_at",
-            F.col("_text").alias("raw_payload"),
-            P.render(F.struct("topic", "partition", "offset", F.col("_key_text").alias("key"))).alias("metadata"),
-            F.when(F.col("value").isNull(), F.lit("null_value"))
-            .when(F.col("_text").isNull() | bad_key, F.lit("bad_utf8"))
-            .otherwise(_object_reason(F.col("_v")))
-            .alias("reject_reason"),
-            F.when(F.col("_text").isNotNull() & bad_key, F.lit("key")).alias("reject_detail"),
-            F.hex("value").alias("raw"),
-        )
+        read,
+        identity("kafka", position, F.col("_text")),
+        F.lit("kafka"),
+        F.col("_text"),
+        P.render(F.struct("topic", "partition", "offset", F.col("_key_text").alias("key"))),
+        F.when(F.col("value").isNull(), F.lit("null_value"))
+        .when(F.col("_text").isNull() | bad_key, F.lit("bad_utf8"))
+        .otherwise(_object_reason(F.col("_v"))),
+        F.hex("value"),
+        F.when(F.col("_text").isNotNull() & bad_key, F.lit("key")).otherwise(F.lit("")),
     )
 
 
 def sqs(df: DataFrame, received_at: Column | None = None) -> DataFrame:
     """Rows ``MessageId, ReceiptHandle, Body``, unwrapping notification envelopes."""
-    read = df.select("*", F.coalesce(F.col("Body"), F.lit("{}")).alias("_body"))
-    read = read.select("*", P.parse(F.col("_body")).alias("_b"), _arrival(received_at).alias("received_at"))
+    read = df.select(
+        "*", F.coalesce(F.col("Body"), F.lit("{}")).alias("_body"), _arrival(received_at).alias("received_at")
+    )
+    read = P.compute(read, _b=P.parse(F.col("_body")))
     b = F.col("_b")
     wrapped = F.coalesce(P.string_at(b, "$.Type") == "Notification", F.lit(False)) & P.has_key(b, "$.Message")
-    read = read.select("*", wrapped.alias("_wrapped"), P.string_at(b, "$.Message").alias("_inner"))
-    read = read.select("*", P.parse(F.col("_inner")).alias("_i"))
+    read = P.compute(read, _wrapped=wrapped)
+    read = P.compute(read, _inner=F.when(F.col("_wrapped"), P.string_at(b, "$.Message")))
+    read = P.compute(read, _i=P.parse(F.col("_inner")))
     inner_ok = F.col("_i").isNotNull()
     text = (
         F.when(~F.col("_wrapped"), F.col("_body"))
         .when(inner_ok, F.col("_inner"))
         .otherwise(P.render(F.struct(P.field(b, "$.Message").alias("message"))))
     )
-    reason = (
+    return _finish(
+        read,
+        identity("sqs", [F.col("MessageId")], F.col("_body")),
+        F.lit("sqs"),
+        text,
+        P.render(
+            F.struct(
+                F.col("MessageId").alias("message_id"),
+                F.col("ReceiptHandle").alias("receipt_handle"),
+                P.field(b, "$.TopicArn").alias("topic_arn"),
+                P.field(b, "$.Subject").alias("subject"),
+            )
+        ),
         F.when(b.isNull(), F.lit("bad_json"))
         .when(~P.is_object(b), F.lit("not_object"))
-        .when(F.col("_wrapped") & inner_ok & ~P.is_object(F.col("_i")), F.lit("not_object"))
-    )
-    return _finish(
-        read.select(
-            identity("sqs", [F.col("MessageId")], F.col("_body")).alias("alert_id"),
-            F.lit("sqs").alias("source"),
-            "received_at",
-            text.alias("raw_payload"),
-            P.render(
-                F.struct(
-                    F.col("MessageId").alias("message_id"),
-                    F.col("ReceiptHandle").alias("receipt_handle"),
-                    P.field(b, "$.TopicArn").alias("topic_arn"),
-                    P.field(b, "$.Subject").alias("subject"),
-                )
-            ).alias("metadata"),
-            reason.alias("reject_reason"),
-            F.lit(None).cast("string").alias("reject_detail"),
-            F.col("_body").alias("raw"),
-        )
+        .when(F.col("_wrapped") & inner_ok & ~P.is_object(F.col("_i")), F.lit("not_object")),
+        F.col("_body"),
     )
 
 
 def pubsub(df: DataFrame, received_at: Column | None = None) -> DataFrame:
     """Rows ``data, message_id, publish_time, attributes, subscription``; plain text becomes ``{"data": text}``."""
-    read = df.select(
-        "*",
-        F.when(F.col("data").isNull(), F.lit("")).otherwise(_utf8(F.col("data"))).alias("_text"),
-        _arrival(received_at).alias("received_at"),
-    )
-    read = read.select("*", P.parse(F.col("_text")).alias("_v"))
+    read = df.select("*", _arrival(received_at).alias("received_at"))
+    read = P.compute(read, _text=F.when(F.col("data").isNull(), F.lit("")).otherwise(_utf8(F.col("data"))))
+    read = P.compute(read, _v=P.parse(F.col("_text")))
     v = F.col("_v")
+    wrapped = P.render(F.struct(F.col("_text").alias("data")))
     return _finish(
-        read.select(
-            identity("pubsub", [F.col("subscription"), F.col("message_id")], F.col("_text")).alias("alert_id"),
-            F.lit("pubsub").alias("source"),
-            "received_at",
-            F.when(v.isNull(), P.render(F.struct(F.col("_text").alias("data"))))
-            .otherwise(F.col("_text"))
-            .alias("raw_payload"),
-            P.render(
-                F.struct(
-                    "message_id",
-                    P.iso_utc(F.col("publish_time")).alias("publish_time"),
-                    F.coalesce(F.col("attributes"), F.expr("cast(map() as map<string,string>)")).alias("attributes"),
-                    "subscription",
-                )
-            ).alias("metadata"),
-            F.when(F.col("_text").isNull(), F.lit("bad_utf8"))
-            .when(v.isNotNull() & ~P.is_object(v), F.lit("not_object"))
-            .alias("reject_reason"),
-            F.lit(None).cast("string").alias("reject_detail"),
-            F.hex("data").alias("raw"),
-        )
+        read,
+        identity("pubsub", [F.col("subscription"), F.col("message_id")], F.col("_text")),
+        F.lit("pubsub"),
+        F.when(v.isNull(), wrapped).otherwise(F.col("_text")),
+        P.render(
+            F.struct(
+                "message_id",
+                P.iso_utc(F.col("publish_time")).alias("publish_time"),
+                F.coalesce(F.col("attributes"), F.expr("cast(map() as map<string,string>)")).alias("attributes"),
+                "subscription",
+            )
+        ),
+        F.when(F.col("_text").isNull(), F.lit("bad_utf8")).when(v.isNotNull() & ~P.is_object(v), F.lit("not_object")),
+        F.hex("data"),
     )
 
 
 def splunk(df: DataFrame, search: str, received_at: Column | None = None) -> DataFrame:
     """Result rows of a notable-event search, one JSON text per row in column ``row``."""
-    read = df.select("*", P.parse(F.col("row")).alias("_v"), _arrival(received_at).alias("received_at"))
+    read = P.compute(df.select("*", _arrival(received_at).alias("received_at")), _v=P.parse(F.col("row")))
     v = F.col("_v")
     return _finish(
-        read.select(
-            identity("splunk_es", [], F.col("row")).alias("alert_id"),
-            F.lit("splunk_es").alias("source"),
-            "received_at",
-            F.col("row").alias("raw_payload"),
-            P.render(
-                F.struct(
-                    F.lit(search).alias("search"),
-                    P.field(v, "$._time").alias("event_time"),
-                    P.field(v, "$.host").alias("host"),
-                    P.field(v, "$.sourcetype").alias("sourcetype"),
-                )
-            ).alias("metadata"),
-            F.when(F.col("row").isNull(), F.lit("null_value")).otherwise(_object_reason(v)).alias("reject_reason"),
-            F.lit(None).cast("string").alias("reject_detail"),
-            F.col("row").alias("raw"),
-        )
+        read,
+        identity("splunk_es", [], F.col("row")),
+        F.lit("splunk_es"),
+        F.col("row"),
+        P.render(
+            F.struct(
+                F.lit(search).alias("search"),
+                P.field(v, "$._time").alias("event_time"),
+                P.field(v, "$.host").alias("host"),
+                P.field(v, "$.sourcetype").alias("sourcetype"),
+            )
+        ),
+        F.when(F.col("row").isNull(), F.lit("null_value")).otherwise(_object_reason(v)),
+        F.col("row"),
     )
 
 
 def universal(df: DataFrame, received_at: Column | None = None) -> DataFrame:
     """Posted bodies ``body, remote_addr`` and, where the landing writes one, ``request_id``."""
     request = F.col("request_id").cast("string") if "request_id" in df.columns else F.lit(None).cast("string")
-    read = df.select(
-        "*",
-        P.parse(F.col("body")).alias("_v"),
-        F.from_json("body", "raw_payload string, metadata map<string,variant>").alias("_body"),
-        request.alias("_request"),
-        _arrival(received_at).alias("received_at"),
+    read = df.select("*", request.alias("_request"), _arrival(received_at).alias("received_at"))
+    read = P.compute(
+        read,
+        _v=P.parse(F.col("body")),
+        _body=F.from_json("body", "raw_payload string, metadata map<string,variant>"),
     )
     v = F.col("_v")
-    no_metadata = P.field(v, "$.metadata").isNull()
-    given = F.when(
-        no_metadata, F.expr("cast(map() as map<string,variant>)")
-    ).otherwise(F.map_filter(F.col("_body.metadata"), lambda k, _: k != "remote_addr"))
+    read = P.compute(
+        read,
+        _payload=P.field(v, "$.raw_payload"),
+        _metadata=P.field(v, "$.metadata"),
+        _source=P.field(v, "$.source"),
+    )
+    none_given = F.col("_metadata").isNull()
+    given = F.when(none_given, F.expr("cast(map() as map<string,variant>)")).otherwise(
+        F.map_filter(F.col("_body.metadata"), lambda k, _: k != "remote_addr")
+    )
     address = F.create_map(
         F.lit("remote_addr"), F.coalesce(F.col("remote_addr").cast("variant"), P.json_constant("null"))
     )
-    source_field = P.field(v, "$.source")
     return _finish(
-        read.select(
-            identity("universal", [F.col("_request")], F.col("body")).alias("alert_id"),
-            F.coalesce(P.string_at(v, "$.source"), F.lit("universal")).alias("source"),
-            "received_at",
-            F.col("_body.raw_payload").alias("raw_payload"),
-            F.to_json(F.map_concat(given, address)).alias("metadata"),
-            F.when(F.col("body").isNull(), F.lit("null_value"))
-            .when(v.isNull(), F.lit("bad_json"))
-            .when(~P.is_object(v), F.lit("not_object"))
-            .when(~P.is_object(P.field(v, "$.raw_payload")), F.lit("missing_payload"))
-            .when(~no_metadata & ~P.is_object(P.field(v, "$.metadata")), F.lit("bad_metadata"))
-            .when(source_field.isNotNull() & ~P.is_string(source_field), F.lit("bad_source"))
-            .alias("reject_reason"),
-            F.lit(None).cast("string").alias("reject_detail"),
-            F.col("body").alias("raw"),
-        )
+        read,
+        identity("universal", [F.col("_request")], F.col("body")),
+        F.coalesce(P.string_at(F.col("_source"), "$"), F.lit("universal")),
+        F.col("_body.raw_payload"),
+        F.to_json(F.map_concat(given, address)),
+        F.when(F.col("body").isNull(), F.lit("null_value"))
+        .when(v.isNull(), F.lit("bad_json"))
+        .when(~P.is_object(v), F.lit("not_object"))
+        .when(~P.is_object(F.col("_payload")), F.lit("missing_payload"))
+        .when(~none_given & ~P.is_object(F.col("_metadata")), F.lit("bad_metadata"))
+        .when(F.col("_source").isNotNull() & ~P.is_string(F.col("_source")), F.lit("bad_source")),
+        F.col("body"),
     )
 
 

@@ -43,29 +43,29 @@ def _alert_valid(v: Column, at: str) -> Column:
 def alerts(df: DataFrame, text: str = "text", now: Column | None = None) -> DataFrame:
     """Stored alerts -> normalised rows; invalid ones carry ``alert_invalid``."""
     stamp = F.current_timestamp() if now is None else now
-    read = df.select("*", P.parse(F.col(text)).alias("_v"))
-    read = read.select(
-        "*", F.from_json(F.col(text), "raw_payload string, metadata string").alias("_body")
+    read = P.compute(
+        df,
+        _v=P.parse(F.col(text)),
+        _body=F.from_json(F.col(text), "raw_payload string, metadata string"),
     )
     v = F.col("_v")
+    read = P.compute(read, received_at=F.coalesce(_moment(v, "$.received_at"), stamp))
     return _finish(
-        read.select(
-            F.coalesce(P.string_at(v, "$.id"), identity("stored", [], F.col(text))).alias("alert_id"),
-            P.string_at(v, "$.source").alias("source"),
-            F.coalesce(_moment(v, "$.received_at"), stamp).alias("received_at"),
-            F.col("_body.raw_payload").alias("raw_payload"),
-            F.coalesce(F.col("_body.metadata"), F.lit("{}")).alias("metadata"),
-            F.when(~(P.is_object(v) & _alert_valid(v, "$")), F.lit("alert_invalid")).alias("reject_reason"),
-            F.when(v.isNull(), F.lit("bad_json")).alias("reject_detail"),
-            F.col(text).alias("raw"),
-        )
+        read,
+        F.coalesce(P.string_at(v, "$.id"), identity("stored", [], F.col(text))),
+        P.string_at(v, "$.source"),
+        F.col("_body.raw_payload"),
+        F.coalesce(F.col("_body.metadata"), F.lit("{}")),
+        F.when(~(P.is_object(v) & _alert_valid(v, "$")), F.lit("alert_invalid")),
+        F.col(text),
+        F.when(v.isNull(), F.lit("bad_json")).otherwise(F.lit("")),
     )
 
 
 def enriched(df: DataFrame, text: str = "text", now: Column | None = None) -> DataFrame:
     """Stored enriched alerts -> columns with a ``valid`` flag; an unknown destination is invalid."""
     stamp = F.current_timestamp() if now is None else now
-    read = df.select("*", P.parse(F.col(text)).alias("_v"))
+    read = P.compute(df, _v=P.parse(F.col(text)))
     v = F.col("_v")
     destination = P.field(v, "$.destination")
     error = P.field(v, "$.runbook_error")
@@ -80,9 +80,9 @@ def enriched(df: DataFrame, text: str = "text", now: Column | None = None) -> Da
         & (error.isNull() | P.is_null(error) | P.is_string(error))
         & (destination.isNull() | F.coalesce(P.string_at(v, "$.destination").isin(DESTINATIONS), F.lit(False)))
     )
-    return read.select(
+    return P.compute(read, valid=ok).select(
         *df.columns,
-        ok.alias("valid"),
+        "valid",
         P.string_at(v, "$.alert.id").alias("alert_id"),
         P.string_at(v, "$.alert.source").alias("source"),
         P.string_at(v, "$.runbook").alias("runbook"),
@@ -95,7 +95,7 @@ def enriched(df: DataFrame, text: str = "text", now: Column | None = None) -> Da
 
 def dead_letters(df: DataFrame, text: str = "text") -> DataFrame:
     """Stored dead letters -> columns; the alert inside is taken as it is, only the JSON must be readable."""
-    read = df.select("*", P.parse(F.col(text)).alias("_v"))
+    read = P.compute(df, _v=P.parse(F.col(text)))
     v = F.col("_v")
     return read.select(
         *df.columns,
@@ -112,12 +112,12 @@ def dead_letters(df: DataFrame, text: str = "text") -> DataFrame:
 
 def metric_events(df: DataFrame, text: str = "text") -> DataFrame:
     """Metric messages -> ``event, ts, data``; a missing event is ``""``, missing or empty data ``{}``."""
-    read = df.select("*", P.parse(F.col(text)).alias("_v"))
+    read = P.compute(df, _v=P.parse(F.col(text)))
     v = F.col("_v")
     has_data = P.truthy(v, "$.data")
-    return read.select(
+    return P.compute(read, valid=P.is_object(v) & (~has_data | P.is_object(P.field(v, "$.data")))).select(
         *df.columns,
-        (P.is_object(v) & (~has_data | P.is_object(P.field(v, "$.data")))).alias("valid"),
+        "valid",
         F.when(P.has_key(v, "$.event"), P.as_text(v, "$.event")).otherwise(F.lit("")).alias("event"),
         _moment(v, "$.ts").alias("ts"),
         F.when(has_data, F.to_json(P.field(v, "$.data"))).otherwise(F.lit("{}")).alias("data"),
