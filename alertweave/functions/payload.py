@@ -163,4 +163,5 @@ def iso_utc(ts: Column) -> Column:
 
 
 def epoch_seconds(ts: Column) -> Column:
-    return F.unix_micros(ts) / F.lit(1e6)
+    """Seconds since 1970 with all six places, as a decimal: a double would be written with an exponent."""
+    return (F.unix_micros(ts).cast("decimal(20,0)") / F.lit(1000000)).cast("decimal(20,6)")

@@ -854,3 +854,703 @@ SUMMARY_SQL = """SELECT CASE WHEN reason IS NOT NULL THEN 'reject' WHEN route IS
 @register("routing_summary", query(SUMMARY_SQL, "kafka_reasons", "routed"))
 def routing_summary(spark, sf):
     return pipeline.routing_summary(kafka(spark, sf))
+
+
+# ---------------------------------------------------------------- sinks
+
+
+@register(
+    "queue_fanout",
+    query("SELECT alert_id, coalesce(queue, 'alerts.dlq') AS queue, raw_payload, epoch_us(received_at) AS received_us FROM routed", "routed"),
+)
+def queue_fanout(spark, sf):
+    """Written by queue in one pass and read back."""
+    path = fresh_path(spark, "queues")
+    queues.write_queues(routed(spark, sf), path)
+    return spark.read.parquet(path).select("alert_id", "queue", "raw_payload", micros("received_at").alias("received_us"))
+
+
+@register(
+    "dlq_envelope",
+    query(
+        """SELECT alert_id, 'no_route_matched' AS dlq_reason, 'alerts' AS original_queue, epoch_us(received_at) AS dlq_us,
+ concat('No matcher returned True for payload keys: [''', array_to_string(json_keys(j), ''', '''), ''']') AS error_detail FROM dlq""",
+        "dlq",
+    ),
+)
+def dlq_envelope(spark, sf):
+    return dead(spark, sf).select(
+        "alert.alert_id", "dlq_reason", "original_queue", micros("dlq_at").alias("dlq_us"), "error_detail"
+    )
+
+
+@register(
+    "enriched_write",
+    query("SELECT alert_id, runbook, epoch_us(enriched_at) AS enriched_us, CASE WHEN runbook = 'cloud.gcp.event_audit' THEN 'universal' WHEN runbook = 'test' THEN 'splunk' ELSE destination END AS destination FROM stored", "stored"),
+)
+def enriched_write(spark, sf):
+    """The destination is forced to the runbook's own, then the rows are stored and read back."""
+    books = [
+        runbooks.Runbook("cloud.gcp.event_audit", S.QUEUE_GCP_AUDIT, extract.gcp_fields, "universal"),
+        runbooks.test_echo(),
+    ]
+    path = fresh_path(spark, "enriched")
+    runbooks.force_destination(stored_rows(spark, sf), books).write.parquet(path)
+    return spark.read.parquet(path).select(
+        "alert.alert_id", "runbook", micros("enriched_at").alias("enriched_us"), "destination"
+    )
+
+
+def _event_columns(rows: DataFrame, line: Column, index: bool) -> DataFrame:
+    """Fields of a rendered event, read back from its text."""
+    read = P.compute(rows.select("alert.alert_id", line.alias("line")), _e=P.parse(F.col("line")))
+    e = F.col("_e")
+    columns = [
+        (F.try_variant_get(e, "$.time", "decimal(20,6)") * 1000000).cast("bigint").alias("time_us"),
+        *[P.string_at(e, f"$.{n}").alias(n) for n in ("host", "source", "sourcetype")],
+        P.has_key(e, "$.index").alias("has_index"),
+        P.string_at(e, "$.event.alert.id").alias("event_alert"),
+        P.is_object(P.field(e, "$.event.alert.raw_payload")).alias("payload_is_object"),
+    ]
+    return read.select("alert_id", *columns)
+
+
+def _hec_sql(source: str, stamp: str, kind: str, table: str, has_index: bool) -> str:
+    settings = S.DEFAULTS
+    name = settings.enriched_sourcetype if kind == "enriched" else settings.dlq_sourcetype
+    return query(
+        f"""SELECT alert_id, epoch_us({stamp}) AS time_us, '{settings.host}' AS host, {source} AS source,
+ '{name}' AS sourcetype, {str(has_index).lower()} AS has_index, alert_id AS event_alert, true AS payload_is_object FROM {table}""",
+        table,
+    )
+
+
+_SOURCE = "CASE WHEN runbook = '' THEN 'kafka' ELSE runbook END"
+
+
+@register("hec_enriched_event", _hec_sql(_SOURCE, "enriched_at", "enriched", "stored", True))
+def hec_enriched_event(spark, sf):
+    return _event_columns(stored_rows(spark, sf), P.render(delivery.hec_enriched_event()), True)
+
+
+@register("universal_event", _hec_sql(_SOURCE, "enriched_at", "enriched", "stored", False))
+def universal_event(spark, sf):
+    return _event_columns(stored_rows(spark, sf), P.render(delivery.universal_event()), False)
+
+
+@register("hec_dlq_event", _hec_sql("'kafka'", "received_at", "dlq", "dlq", True))
+def hec_dlq_event(spark, sf):
+    return _event_columns(dead(spark, sf), P.render(delivery.hec_dlq_event()), True)
+
+
+@register(
+    "destination_split",
+    query(
+        """SELECT alert_id, destination AS target, CASE WHEN destination = 'universal' THEN 'destination=universal but no client is configured' END AS undeliverable
+ FROM stored""",
+        "stored",
+    ),
+)
+def destination_split(spark, sf):
+    return delivery.split_destination(stored_rows(spark, sf), universal_configured=False).select(
+        "alert.alert_id", "target", "undeliverable"
+    )
+
+
+@register("hec_batches")
+def hec_batches(spark, sf):
+    """Payloads of up to 50 lines; which lines share one depends on the partitions, so SQL checks the totals only."""
+    return delivery.batches(delivery.delivery_lines(stored_rows(spark, sf)))
+
+
+@register(
+    "hec_batch_totals",
+    query(
+        """SELECT destination AS target, count(*) AS events, CAST(0 AS BIGINT) AS oversized, count(*) AS lines FROM stored GROUP BY 1""",
+        "stored",
+    ),
+)
+def hec_batch_totals(spark, sf):
+    lines = F.size(F.split("payload", "\n")).cast("bigint")
+    return hec_batches(spark, sf).groupBy("target").agg(
+        F.sum("events").alias("events"),
+        F.count_if(F.col("events") > S.DEFAULTS.delivery_batch_size).alias("oversized"),
+        F.sum(lines).alias("lines"),
+    )
+
+
+@register(
+    "delivery_outcome",
+    query(
+        """SELECT target, batch_id, attempts, last_status, CASE WHEN first_final IS NULL THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'retry' END
+  WHEN first_final = 200 OR (target = 'universal' AND first_final BETWEEN 200 AND 299) THEN 'delivered' ELSE 'permanent_error' END AS outcome,
+ CASE WHEN first_final IS NULL AND attempts < 3 THEN CAST(pow(2, attempts - 1) AS BIGINT) END AS wait_seconds
+ FROM (SELECT target, batch_id, max(attempt) AS attempts, max_by(status, attempt) AS last_status,
+  min_by(status, attempt) FILTER (WHERE NOT (status = 0 OR status = 429 OR status >= 500)) AS first_final FROM attempts GROUP BY 1, 2)""",
+        "attempts",
+    ),
+)
+def delivery_outcome(spark, sf):
+    return delivery.delivery_outcome(I.frame(spark, sf, "attempts"))
+
+
+METRIC_COUNTS = """SELECT 'alert_ingested' AS event, 'kafka' AS name, count(*) AS value FROM objects
+UNION ALL SELECT 'route_matched', route, count(*) FROM routed WHERE route IS NOT NULL GROUP BY route
+UNION ALL SELECT 'dlq_enqueued', 'no_route_matched', count(*) FROM dlq
+UNION ALL SELECT 'runbook_success', runbook, count(*) FROM stored GROUP BY runbook
+UNION ALL SELECT 'enricher_error', concat(enricher, '/', type), count(*) FROM errors WHERE enricher = 'principal_identity' GROUP BY 2
+UNION ALL SELECT 'enricher_duration_ms', enricher, count(*) FROM runs GROUP BY enricher
+UNION ALL SELECT 'enricher_pipeline_duration_ms', runbook, count(*) FROM runs GROUP BY runbook"""
+
+
+@register("metric_events", query(METRIC_COUNTS, "objects", "routed", "dlq", "stored", "errors", "runs"))
+def metric_events(spark, sf):
+    """Every kind of event derived from its table, counted by the name it carries."""
+    r = routed(spark, sf)
+    failed = identified(spark, sf).select(
+        F.col("received_at").alias("enriched_at"), F.lit("cloud.aws.cloudtrail").alias("runbook"),
+        F.filter(F.array("identity_error"), lambda e: e.isNotNull()).alias("enricher_errors"),
+    )
+    runs = I.frame(spark, sf, "runs")
+    events = metrics.union(
+        metrics.ingested_events(alerts(spark, sf)), metrics.routed_events(routing.matched(r)),
+        metrics.dlq_events(dead(spark, sf)), metrics.runbook_events(stored_rows(spark, sf)),
+        metrics.enricher_error_events(failed), metrics.timing_events(runs), metrics.pipeline_events(runs),
+    )
+    event = F.col("event")
+    field = {n: F.get_json_object("data", f"$.{n}") for n in ("source", "route", "reason", "runbook", "enricher", "type")}
+    name = (
+        F.when(event == "alert_ingested", field["source"])
+        .when(event == "route_matched", field["route"])
+        .when(event == "dlq_enqueued", field["reason"])
+        .when(event == "enricher_error", F.concat_ws("/", field["enricher"], field["type"]))
+        .when(event == "enricher_duration_ms", field["enricher"])
+        .otherwise(field["runbook"])
+    )
+    return events.groupBy("event", name.alias("name")).agg(F.count(F.lit(1)).alias("value"))
+
+
+@register(
+    "counter_snapshot",
+    query(
+        """SELECT coalesce(o.bucket, n.bucket) AS bucket, coalesce(o.name, n.name) AS name,
+ coalesce(o.value, 0) + coalesce(n.value, 0) AS value, CASE WHEN n.bucket IS NULL THEN 1 ELSE 2 END AS stamp FROM
+ (SELECT CASE WHEN bucket = 'dlq_counts' THEN 'alert_ingested' ELSE bucket END AS bucket, name, value FROM counters) o
+ FULL OUTER JOIN counters n ON n.bucket = o.bucket AND n.name = o.name""",
+        "counters",
+    ),
+)
+def counter_snapshot(spark, sf):
+    """The counters in stored form, loaded back and added to once more; an unknown bucket is ignored."""
+    now = counted(spark, sf)
+    renamed = now.withColumn(
+        "bucket", F.when(F.col("bucket") == "dlq_counts", "alert_ingested").otherwise(F.col("bucket"))
+    )
+    unknown = now.limit(1).select(F.lit("other").alias("bucket"), "name", "value")
+    saved = metrics.from_counter_keys(metrics.counter_keys(renamed.unionByName(unknown)))
+    snapshot = saved.withColumn("updated_at", F.timestamp_seconds(F.lit(1)))
+    return metrics.add_to_snapshot(snapshot, now, F.timestamp_seconds(F.lit(2))).select(
+        "bucket", "name", "value", F.unix_seconds("updated_at").cast("int").alias("stamp")
+    )
+
+
+# ---------------------------------------------------------------- joins
+
+
+HISTORY_SQL = query("SELECT alert_id, eid AS event_id, place FROM history", "history")
+
+
+@register("principal_history", HISTORY_SQL)
+def principal_history(spark, sf):
+    slim = identified(spark, sf).select("alert_id", "received_at", "principal", "eligible")
+    rows = history.with_history(slim, I.frame(spark, sf, "audit"), LOOKBACK_MINUTES, MAX_RESULTS)
+    return rows.select("alert_id", F.posexplode("events").alias("i", "item")).select(
+        "alert_id", "item.event_id", (F.col("i") + 1).cast("bigint").alias("place")
+    )
+
+
+@register(
+    "history_top_n",
+    query(
+        """SELECT username, epoch_us(received_at) AS at, eid AS event_id, place FROM (SELECT DISTINCT x.username, x.received_at, a.event_id AS eid,
+ row_number() OVER (PARTITION BY x.event_id ORDER BY a.event_time DESC, a.event_id DESC) AS place
+ FROM alerts x JOIN audit a ON a.username = x.username AND a.event_time BETWEEN x.received_at - INTERVAL 1 DAY AND x.received_at) WHERE place <= 3""",
+        "alerts", "audit",
+    ),
+)
+def history_top_n(spark, sf):
+    """The three newest events of the last day for every distinct name and time, over all events."""
+    pairs = history.history_pairs(
+        I.frame(spark, sf, "alerts").select("username", "received_at"), I.frame(spark, sf, "audit"),
+        LOOKBACK_MINUTES, MAX_RESULTS,
+    )
+    return pairs.select("username", "at", "event_id", "place")
+
+
+@register(
+    "inspect_resources",
+    query("SELECT alert_id, place, event_name, resource_key, payload FROM found", "found"),
+)
+def inspect_resources(spark, sf):
+    wanted = resource_keys(spark, sf)
+    moments = cloudtrail(spark, sf).select("alert_id", micros("received_at").alias("at"))
+    rows = wanted.join(moments, "alert_id")
+    return resources.looked_up(rows, known_resources(spark, sf)).select(
+        "alert_id", "place", "event_name", "resource_key", "payload"
+    )
+
+
+@register(
+    "inspected_map",
+    query(
+        """SELECT alert_id, resource_key, max_by(payload, place) AS payload FROM found_writes WHERE missing IS NULL GROUP BY 1, 2""",
+        "found_writes",
+    ),
+)
+def inspected_map(spark, sf):
+    rows = resources.with_inspection(
+        with_writes(spark, sf).select("alert_id", "received_at", "writes"), known_resources(spark, sf)
+    )
+    return rows.select("alert_id", F.explode("inspected_objects").alias("resource_key", "payload"))
+
+
+@register("alert_errors", query("SELECT alert_id, enricher, error, type FROM errors", "errors"))
+def alert_errors(spark, sf):
+    """The error list of each alert, one row per error."""
+    books = [runbooks.cloudtrail(I.frame(spark, sf, "audit"), known_resources(spark, sf), CHECK_SETTINGS, False)]
+    rows = runbooks.enrich_all(routed(spark, sf), books, F.col("received_at"))
+    return rows.select("alert.alert_id", F.explode("enricher_errors").alias("e")).select("alert_id", "e.*")
+
+
+@register(
+    "enricher_errors", query("SELECT enricher, type, count(*) AS value FROM errors GROUP BY 1, 2", "errors")
+)
+def enricher_errors(spark, sf):
+    rows = alert_errors(spark, sf).select(F.array(F.struct("enricher", "error", "type")).alias("enricher_errors"))
+    return metrics.enricher_errors(rows)
+
+
+PRINCIPAL_LOOKUPS = (
+    "pl AS (SELECT concat(provider, '::', nid) AS key, epoch_us(received_at) AS moment, alert_id AS lookup_id, true AS lookup_ok,"
+    " display_name FROM eligible WHERE ok)"
+)
+
+
+@register(
+    "cached_history",
+    query(
+        """SELECT alert_id, hit, served_by, place, event_id FROM (
+ SELECT r.lookup_id AS alert_id, r.hit, r.served_by, h.place, h.eid AS event_id FROM r LEFT JOIN history h ON h.alert_id = r.served_by)""",
+        "eligible", "history",
+        extra=PRINCIPAL_LOOKUPS + ", " + ttl_chain("pl"),
+    ),
+)
+def cached_history(spark, sf):
+    slim = identified(spark, sf).select("alert_id", "received_at", "principal", "eligible")
+    rows = history.with_cached_history(
+        slim, I.frame(spark, sf, "audit"), CHECK_SETTINGS.cache_ttl_seconds, LOOKBACK_MINUTES, MAX_RESULTS
+    ).filter("eligible")
+    return rows.select("alert_id", F.col("cache_hit").alias("hit"), "served_by", F.posexplode_outer("events").alias("i", "item")).select(
+        "alert_id", "hit", "served_by", (F.col("i") + 1).cast("bigint").alias("place"), "item.event_id"
+    )
+
+
+@register(
+    "route_without_runbook",
+    query(
+        f"""SELECT c.name, c.queue, count(r.event_id) AS waiting FROM {CATALOG} LEFT JOIN routed r ON r.route = c.name
+ WHERE c.queue NOT IN (SELECT source_queue FROM {RUNBOOKS}) GROUP BY 1, 2""",
+        "routed",
+    ),
+)
+def route_without_runbook(spark, sf):
+    """Routes nobody serves, with the alerts that wait there."""
+    served = runbooks.runbook_table(spark)
+    gap = route_catalog(spark, sf).join(F.broadcast(served), F.col("queue") == F.col("source_queue"), "left_anti")
+    return gap.select("name", "queue", F.col("alerts").alias("waiting"))
+
+
+PERFORMANCE = """SELECT name AS runbook, CAST(sum(CASE WHEN bucket = 'runbook_success' THEN value ELSE 0 END) AS BIGINT) AS success,
+ CAST(sum(CASE WHEN bucket = 'runbook_error' THEN value ELSE 0 END) AS BIGINT) AS errors FROM counters
+ WHERE bucket IN ('runbook_success', 'runbook_error') GROUP BY 1"""
+
+
+@register("runbook_performance", query(PERFORMANCE, "counters"))
+def runbook_performance(spark, sf):
+    return metrics.runbook_performance(counted(spark, sf)).select("runbook", "success", "errors")
+
+
+@register("runbooks_sorted", query(f"SELECT runbook FROM ({PERFORMANCE}) ORDER BY runbook", "counters"))
+def runbooks_sorted(spark, sf):
+    return metrics.runbook_performance(counted(spark, sf)).select("runbook")
+
+
+@register("runbook_names", query("SELECT DISTINCT name AS runbook FROM counters WHERE bucket LIKE 'runbook%'", "counters"))
+def runbook_names(spark, sf):
+    names = counted(spark, sf)
+    success = names.filter(F.col("bucket") == "runbook_success").select(F.col("name").alias("runbook"))
+    errors = names.filter(F.col("bucket") == "runbook_error").select(F.col("name").alias("runbook"))
+    return success.union(errors).distinct()
+
+
+@register(
+    "runbook_error_rate",
+    query(
+        f"""SELECT runbook, CASE WHEN success + errors > 0 THEN round(errors * 100.0 / (success + errors), 1) ELSE 0.0 END AS error_rate,
+ CASE WHEN errors = 0 THEN 'green' ELSE 'red' END AS badge FROM ({PERFORMANCE})""",
+        "counters",
+    ),
+)
+def runbook_error_rate(spark, sf):
+    return metrics.runbook_performance(counted(spark, sf)).select("runbook", "error_rate", "badge")
+
+
+OVERVIEW_SQL = """SELECT t.*, coalesce(l.live, t0.dlq) AS dlq_count, l.metrics_queue_depth, l.queue_count FROM
+ (SELECT CAST(sum(CASE WHEN bucket = 'alert_ingested' THEN value ELSE 0 END) AS BIGINT) AS total_ingested,
+  CAST(sum(CASE WHEN bucket = 'runbook_success' THEN value ELSE 0 END) AS BIGINT) AS total_processed,
+  CAST(sum(CASE WHEN bucket = 'runbook_error' THEN value ELSE 0 END) AS BIGINT) AS total_errors FROM counters) t,
+ (SELECT CAST(sum(value) AS BIGINT) AS dlq FROM counters WHERE bucket = 'dlq_counts') t0,
+ (SELECT max(CASE WHEN name = '{dlq}' THEN messages END) AS live, coalesce(max(CASE WHEN name = 'alerts.metrics' THEN messages END), 0) AS metrics_queue_depth,
+  count(*) AS queue_count FROM latest) l"""
+
+
+@register("overview", query(OVERVIEW_SQL.format(dlq="alerts.dlq"), "counters", "latest"))
+def overview(spark, sf):
+    return metrics.overview(
+        counted(spark, sf), metrics.latest_snapshot(snapshots(spark, sf)), S.QUEUE_DLQ, S.QUEUE_METRICS
+    )
+
+
+@register(
+    "overview_dlq",
+    "SELECT 'live' AS basis, dlq_count FROM (" + query(OVERVIEW_SQL.format(dlq="alerts.dlq"), "counters", "latest")
+    + ") UNION ALL SELECT 'counter', dlq_count FROM (" + query(OVERVIEW_SQL.format(dlq="none"), "counters", "latest") + ")",
+)
+def overview_dlq(spark, sf):
+    """Once with the dead-letter queue listed, once under a name no snapshot has."""
+    both = [
+        metrics.overview(counted(spark, sf), metrics.latest_snapshot(snapshots(spark, sf)), name, S.QUEUE_METRICS).select(
+            F.lit(basis).alias("basis"), "dlq_count"
+        )
+        for basis, name in (("live", S.QUEUE_DLQ), ("counter", "none"))
+    ]
+    return both[0].unionByName(both[1])
+
+
+# ---------------------------------------------------------------- aggregates
+
+
+def _bucket(name: str, event: str, bucket: str, label: str) -> None:
+    @register(name, query(f"SELECT name AS {label}, value FROM counters WHERE bucket = '{bucket}'", "counters"))
+    def run(spark, sf):
+        return metrics.one_counter(metric_rows(spark, sf), event, label)
+
+
+_bucket("ingested_by_source", "alert_ingested", "alert_ingested", "source")
+_bucket("routed_by_route", "route_matched", "route_counts", "route")
+_bucket("dlq_by_reason", "dlq_enqueued", "dlq_counts", "reason")
+_bucket("runbook_success", "runbook_success", "runbook_success", "runbook")
+_bucket("runbook_error", "runbook_error", "runbook_error", "runbook")
+
+
+@register("counters_all", query("SELECT bucket, name, value FROM counters", "counters"))
+def counters_all(spark, sf):
+    return counted(spark, sf)
+
+
+@register(
+    "source_share",
+    query(
+        "SELECT name AS source, value, round(CAST(value AS DOUBLE) / sum(value) OVER (), 4) AS share FROM counters WHERE bucket = 'alert_ingested'",
+        "counters",
+    ),
+)
+def source_share(spark, sf):
+    return metrics.source_share(counted(spark, sf))
+
+
+@register(
+    "ingest_balance",
+    query(
+        """SELECT *, ingested - processed - dead_letters AS in_flight FROM (
+ SELECT CAST(sum(CASE WHEN bucket = 'alert_ingested' THEN value ELSE 0 END) AS BIGINT) AS ingested,
+ CAST(sum(CASE WHEN bucket = 'runbook_success' THEN value ELSE 0 END) AS BIGINT) AS processed,
+ CAST(sum(CASE WHEN bucket = 'dlq_counts' THEN value ELSE 0 END) AS BIGINT) AS dead_letters FROM counters)""",
+        "counters",
+    ),
+)
+def ingest_balance(spark, sf):
+    return metrics.ingest_balance(counted(spark, sf))
+
+
+@register(
+    "dlq_reasons_ranked",
+    query("SELECT name AS reason, value FROM counters WHERE bucket = 'dlq_counts' ORDER BY value DESC, reason", "counters"),
+)
+def dlq_reasons_ranked(spark, sf):
+    return metrics.dlq_reasons_ranked(counted(spark, sf))
+
+
+@register(
+    "queue_backlog",
+    query(
+        """SELECT name, messages, consumers, CASE WHEN messages >= 20 AND consumers = 0 THEN 'consumer_down' WHEN messages >= 20 THEN 'falling_behind'
+ WHEN consumers = 0 THEN 'no_consumer' ELSE 'ok' END AS diagnosis FROM latest""",
+        "latest",
+    ),
+)
+def queue_backlog(spark, sf):
+    return metrics.queue_backlog(snapshots(spark, sf), 20)
+
+
+@register(
+    "latest_snapshot",
+    query(f"SELECT epoch_us(polled_at) AS polled_us, {', '.join(SNAPSHOT_COLUMNS)} FROM latest", "latest"),
+)
+def latest_snapshot(spark, sf):
+    return metrics.latest_snapshot(snapshots(spark, sf)).select(micros("polled_at").alias("polled_us"), *SNAPSHOT_COLUMNS)
+
+
+@register(
+    "enricher_duration",
+    query(
+        """SELECT enricher, count(*) AS runs, avg(duration_ms) AS avg_ms, quantile_disc(duration_ms, 0.5) AS p50_ms,
+ quantile_disc(duration_ms, 0.95) AS p95_ms, max(duration_ms) AS max_ms FROM runs GROUP BY 1""",
+        "runs",
+    ),
+)
+def enricher_duration(spark, sf):
+    return metrics.enricher_duration(I.frame(spark, sf, "runs"))
+
+
+@register(
+    "pipeline_incomplete",
+    query("SELECT runbook, count(*) AS runs, count(*) FILTER (WHERE stages_completed < 3) AS incomplete FROM runs GROUP BY 1", "runs"),
+)
+def pipeline_incomplete(spark, sf):
+    return metrics.pipeline_incomplete(I.frame(spark, sf, "runs"))
+
+
+@register(
+    "cache_hit_proxy",
+    query(
+        """SELECT count(*) AS runs, count(*) FILTER (WHERE duration_ms < 5) AS likely_hits, count(*) FILTER (WHERE duration_ms > 50) AS likely_misses
+ FROM runs WHERE enricher = 'principal_history'""",
+        "runs",
+    ),
+)
+def cache_hit_proxy(spark, sf):
+    return metrics.cache_hit_proxy(I.frame(spark, sf, "runs"))
+
+
+@register(
+    "enrichment_latency",
+    query(
+        """SELECT runbook, count(*) AS alerts, min(d) AS min_micros, max(d) AS max_micros, CAST(sum(d) AS BIGINT) AS sum_micros
+ FROM (SELECT runbook, epoch_us(enriched_at) - epoch_us(received_at) AS d FROM stored) GROUP BY 1""",
+        "stored",
+    ),
+)
+def enrichment_latency(spark, sf):
+    return metrics.enrichment_latency(stored_rows(spark, sf))
+
+
+# ---------------------------------------------------------------- cache replay and windows
+
+NOW_MICROS = 1706659200000000  # 2024-01-31
+
+
+@register(
+    "ttl_replay",
+    query("SELECT lookup_id, key, hit, served_by FROM r", "lookups", extra=ttl_chain("lookups")),
+)
+def ttl_replay(spark, sf):
+    return ttl.replay(lookups(spark, sf), DAY).select("lookup_id", "key", "hit", "served_by")
+
+
+@register(
+    "cache_stats",
+    query(
+        f"""SELECT count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses,
+ count(*) FILTER (WHERE NOT hit AND lookup_ok AND moment + {DAY} > {NOW_MICROS}) AS size FROM r""",
+        "lookups",
+        extra=ttl_chain("lookups"),
+    ),
+)
+def cache_stats(spark, sf):
+    return metrics.cache_stats(ttl.replay(lookups(spark, sf), DAY), DAY, F.lit(NOW_MICROS))
+
+
+SALT_SQL = "CAST(concat('0x', substr(md5(CAST({id} AS STRING)), 1, 6)) AS BIGINT) % 16"
+
+
+@register(
+    "stats_every_n",
+    query(
+        f"""SELECT runbook, lookup_id, position, hits, position - hits AS misses FROM (
+ SELECT runbook, lookup_id, row_number() OVER w AS position, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER w AS BIGINT) AS hits
+ FROM (SELECT l.runbook, l.lookup_id, l.ts, r.hit, CAST(floor(l.moment / 60000000.0) AS BIGINT) AS minute, {SALT_SQL.format(id='l.lookup_id')} AS lane
+  FROM lookups l JOIN r ON r.lookup_id = l.lookup_id)
+ WINDOW w AS (PARTITION BY runbook ORDER BY minute, lane, ts, lookup_id ROWS UNBOUNDED PRECEDING)) WHERE position % 50 = 0""",
+        "lookups",
+        extra=ttl_chain("lookups"),
+    ),
+)
+def stats_every_n(spark, sf):
+    processed = ttl.replay(lookups(spark, sf), DAY).withColumnRenamed("lookup_id", "alert_id")
+    return metrics.stats_every_n(processed, 50).select(
+        "runbook", F.col("alert_id").alias("lookup_id"), "position", "hits", "misses"
+    )
+
+
+@register(
+    "batch_number",
+    query(
+        f"""SELECT alert_id, destination AS target, hour, lane, CAST(floor((row_number() OVER (PARTITION BY destination, hour, lane ORDER BY enriched_at, alert_id) - 1) / 50.0) AS BIGINT) AS batch
+ FROM (SELECT alert_id, destination, enriched_at, epoch_us(date_trunc('hour', enriched_at)) AS hour, {SALT_SQL.format(id='alert_id')} AS lane FROM stored)""",
+        "stored",
+    ),
+)
+def batch_number(spark, sf):
+    rows = stored_rows(spark, sf).select(
+        "alert.alert_id", F.col("destination").alias("target"), "enriched_at",
+        F.unix_micros(F.date_trunc("hour", "enriched_at")).alias("hour"),
+    )
+    numbered = delivery.numbered_batches(rows, ["target", "hour"], ["enriched_at", "alert_id"], "alert_id", 50)
+    return numbered.select("alert_id", "target", "hour", "lane", "batch")
+
+
+# ---------------------------------------------------------------- streams
+
+
+def event_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """Frame ``name`` over the events table read as a stream of files."""
+    schema = I.events(spark, sf).schema
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events.parque[t]")
+    return I.from_events(rows, name)
+
+
+def _paths(spark: SparkSession, label: str, *names: str) -> list[str]:
+    base = fresh_path(spark, label)
+    return [f"{base}/{n}" for n in names]
+
+
+def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = P.compute(event_stream(spark, sf, "alerts"), payload=P.parse(F.col("raw_payload")))
+    return rows.filter(P.is_object(F.col("payload")))
+
+
+@register("stream_ingest", KAFKA_SQL)
+def stream_ingest(spark, sf):
+    out, ckpt = _paths(spark, "ingest", "out", "ckpt")
+    messages = event_stream(spark, sf, "alerts").selectExpr(*I.KAFKA)
+    jobs.ingest(messages, lambda m: normalise.kafka(m, F.col("timestamp")), out, ckpt).awaitTermination()
+    return kafka_columns(normalise.alerts(spark.read.parquet(out)))
+
+
+@register(
+    "stream_route", query("SELECT alert_id, coalesce(queue, 'alerts.dlq') AS queue, route FROM routed", "routed")
+)
+def stream_route(spark, sf):
+    out, ckpt = _paths(spark, "route", "out", "ckpt")
+    jobs.route(stream_alerts(spark, sf), out, ckpt).awaitTermination()
+    return spark.read.parquet(out).select("alert_id", "queue", "route")
+
+
+@register(
+    "stream_enrich",
+    query(
+        """SELECT w.alert_id, nid AS principal, coalesce(h.n, 0) AS recent FROM eligible w
+ LEFT JOIN (SELECT alert_id, count(*) AS n FROM history GROUP BY 1) h ON h.alert_id = w.alert_id WHERE w.nid IS NOT NULL
+UNION ALL SELECT alert_id, NULL, NULL FROM eligible WHERE nid IS NULL
+UNION ALL SELECT alert_id, NULL, NULL FROM routed WHERE route IN ('cloud.gcp.event_audit', 'test')""",
+        "eligible", "history", "routed",
+    ),
+)
+def stream_enrich(spark, sf):
+    out, ckpt = _paths(spark, "enrich", "out", "ckpt")
+    books = runbooks.default_runbooks(I.frame(spark, sf, "audit"), known_resources(spark, sf), CHECK_SETTINGS, False)
+    stream = routing.matched(routing.route_alerts(stream_alerts(spark, sf)))
+    jobs.enrich(stream, books, out, ckpt, F.col("received_at")).awaitTermination()
+    rows = P.compute(spark.read.parquet(out), _x=P.parse(F.col("extracted")))
+    x = F.col("_x")
+    recent = F.size(F.try_variant_get(x, "$.cloudtrail.principal_recent_events", "array<variant>")).cast("bigint")
+    return rows.select(
+        "alert.alert_id", P.string_at(x, "$.principal.normalized_id").alias("principal"),
+        F.when(P.field(x, "$.cloudtrail.principal_recent_events").isNotNull(), recent).alias("recent"),
+    )
+
+
+@register("stream_counters", query("SELECT bucket, name, value FROM counters", "counters"))
+def stream_counters(spark, sf):
+    out, ckpt = _paths(spark, "counters", "out", "ckpt")
+    rows = stored.metric_events(event_stream(spark, sf, "metrics")).filter("valid")
+    jobs.count(rows, out, ckpt).awaitTermination()
+    return jobs.current_counters(spark.read.parquet(out))
+
+
+@register(
+    "stream_ttl",
+    query("SELECT CAST(lookup_id AS STRING) AS lookup_id, key, hit, CAST(served_by AS STRING) AS served_by FROM r", "lookups", extra=ttl_chain("lookups")),
+)
+def stream_ttl(spark, sf):
+    out, state, ckpt = _paths(spark, "ttl", "out", "state", "ckpt")
+    rows = event_stream(spark, sf, "lookups").select(
+        "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "lookup_id", "lookup_ok"
+    )
+    jobs.replay_ttl(rows, DAY, out, state, ckpt).awaitTermination()
+    return spark.read.parquet(out).select("lookup_id", "key", "hit", "served_by")
+
+
+@register("stream_dedup", query(f"SELECT DISTINCT alert_id FROM ({SPLUNK_SQL})", "splunk_reasons"))
+def stream_dedup(spark, sf):
+    """The search rows read twice, as after a restart, kept once."""
+    out, ckpt = _paths(spark, "dedup", "out", "ckpt")
+    once, again = (
+        normalise.alerts(normalise.splunk(event_stream(spark, sf, "splunk"), I.SEARCH, F.col("ts"))) for _ in range(2)
+    )
+    jobs.to_table(jobs.drop_repeats(once.unionByName(again), "60 days"), out, ckpt).awaitTermination()
+    return spark.read.parquet(out).select("alert_id")
+
+
+@register(
+    "stream_delivery",
+    query(
+        """SELECT 'payload' AS outcome, destination AS target, count(*) AS events FROM stored WHERE destination = 'splunk' GROUP BY 2
+UNION ALL SELECT 'undelivered', destination, count(*) FROM stored WHERE destination = 'universal' GROUP BY 2""",
+        "stored",
+    ),
+)
+def stream_delivery(spark, sf):
+    """Without a universal client: those rows end up in the undelivered table."""
+    out, undelivered, ckpt = _paths(spark, "delivery", "out", "undelivered", "ckpt")
+    rows = routing.matched(routing.route_alerts(stream_alerts(spark, sf)))
+    enriched = rows.select(
+        F.struct(*queues.STORED_ALERT).alias("alert"), F.col("route").alias("runbook"),
+        F.col("received_at").alias("enriched_at"), F.lit("{}").alias("extracted"),
+        F.lit(None).cast("string").alias("runbook_error"),
+        F.when(F.col("event_id") % 4 == 0, "universal").otherwise("splunk").alias("destination"),
+    )
+    jobs.deliver(enriched, out, undelivered, ckpt, universal_configured=False).awaitTermination()
+    sent = spark.read.parquet(out).groupBy("target").agg(F.sum("events").alias("events"))
+    failed = spark.read.parquet(undelivered).groupBy("target").agg(F.count(F.lit(1)).alias("events"))
+    return sent.select(F.lit("payload").alias("outcome"), "target", "events").unionByName(
+        failed.select(F.lit("undelivered").alias("outcome"), "target", "events")
+    )
+
+
+@register(
+    "stream_windowed_rates",
+    query(
+        """SELECT epoch_us(date_trunc('minute', received_at)) AS window_us, queue, count(*) AS alerts, count(*) / 60.0 AS rate
+ FROM routed WHERE queue IS NOT NULL GROUP BY 1, 2""",
+        "routed",
+    ),
+)
+def stream_windowed_rates(spark, sf):
+    out, ckpt = _paths(spark, "rates", "out", "ckpt")
+    jobs.rates(routing.route_alerts(stream_alerts(spark, sf)), out, ckpt, "60 days").awaitTermination()
+    newest = spark.read.parquet(out).groupBy("window_start", "queue").agg(
+        F.max_by(F.struct("alerts", "rate"), F.col("batch_id")).alias("w")
+    )
+    return newest.select(micros("window_start").alias("window_us"), "queue", "w.alerts", "w.rate")

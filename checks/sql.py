@@ -55,16 +55,16 @@ RUNBOOKS = """(VALUES ('cloud.aws.cloudtrail', 'runbook.cloudtrail'), ('cloud.gc
 
 
 def ttl_chain(source: str, ttl: int = DAY) -> str:
-    """Row-by-row cache replay of ``source(key, at, lookup_id, lookup_ok)`` as two sub-queries ``o`` and ``r``."""
-    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at, lookup_id) AS rn FROM {source}),
+    """Row-by-row cache replay of ``source(key, moment, lookup_id, lookup_ok)`` as two sub-queries ``o`` and ``r``."""
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY moment, lookup_id) AS rn FROM {source}),
 r AS (
- SELECT key, rn, at, lookup_id, lookup_ok, false AS hit, CASE WHEN lookup_ok THEN at + {ttl} END AS expires,
+ SELECT key, rn, moment, lookup_id, lookup_ok, false AS hit, CASE WHEN lookup_ok THEN moment + {ttl} END AS expires,
   CASE WHEN lookup_ok THEN lookup_id END AS opener, lookup_id AS served_by FROM o WHERE rn = 1
  UNION ALL
- SELECT o.key, o.rn, o.at, o.lookup_id, o.lookup_ok, coalesce(o.at < r.expires, false),
-  CASE WHEN coalesce(o.at < r.expires, false) THEN r.expires WHEN o.lookup_ok THEN o.at + {ttl} ELSE r.expires END,
-  CASE WHEN coalesce(o.at < r.expires, false) THEN r.opener WHEN o.lookup_ok THEN o.lookup_id ELSE r.opener END,
-  CASE WHEN coalesce(o.at < r.expires, false) THEN r.opener ELSE o.lookup_id END
+ SELECT o.key, o.rn, o.moment, o.lookup_id, o.lookup_ok, coalesce(o.moment < r.expires, false),
+  CASE WHEN coalesce(o.moment < r.expires, false) THEN r.expires WHEN o.lookup_ok THEN o.moment + {ttl} ELSE r.expires END,
+  CASE WHEN coalesce(o.moment < r.expires, false) THEN r.opener WHEN o.lookup_ok THEN o.lookup_id ELSE r.opener END,
+  CASE WHEN coalesce(o.moment < r.expires, false) THEN r.opener ELSE o.lookup_id END
  FROM r JOIN o ON o.key = r.key AND o.rn = r.rn + 1)"""
 
 
@@ -84,7 +84,7 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
     "runs": (I.duck("runs"), ()),
     "attempts": (I.duck("attempts"), ()),
     "lookups": (
-        "SELECT key, epoch_us(ts) AS at, lookup_id, lookup_ok, runbook, ts FROM (" + I.duck("lookups") + ")",
+        "SELECT key, epoch_us(ts) AS moment, lookup_id, lookup_ok, runbook, ts FROM (" + I.duck("lookups") + ")",
         (),
     ),
     "parsed": (f"SELECT *, {doc('raw_payload')} AS j FROM alerts", ("alerts",)),
