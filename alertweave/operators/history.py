@@ -9,6 +9,7 @@ from alertweave.functions import identity as I
 from alertweave.functions import payload as P
 from alertweave.operators import ttl
 from alertweave.operators.asof import newest_before
+from alertweave.session import materialise
 
 HISTORY_ITEM = "struct<event_id:string,event_time:timestamp,cloudtrail_event:string>"
 
@@ -154,7 +155,7 @@ def with_cached_history(
         I.lookup_username(F.col("principal")).alias("username"),
         "received_at",
     )
-    replayed = ttl.replay(lookups, ttl_seconds * 1000000)
+    replayed = materialise(ttl.replay(lookups, ttl_seconds * 1000000), "replayed")
     anchors = replayed.filter(~F.col("hit"))
     found = histories(history_pairs(anchors, audit_events, lookback_minutes, max_results, bin_seconds), audit_events)
     results = anchors.join(found, ["username", "at"], "left").select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from alertweave.functions import identity as I
 from alertweave.functions import payload as P
 from alertweave.operators.asof import newest_before
+from alertweave.session import materialise
 
 # Which events change which kind of resource.
 INSPECTED_EVENTS = [
@@ -151,7 +152,8 @@ def inspected(found: DataFrame) -> DataFrame:
 
 def with_inspection(alerts: DataFrame, resources: DataFrame, bin_seconds: int = 3600) -> DataFrame:
     """Adds ``inspected_objects`` and ``inspection_errors``, both empty where there was nothing to inspect."""
-    found = inspected(looked_up(targets(alerts), resources, bin_seconds))
+    wanted = materialise(targets(alerts), "targets")
+    found = inspected(looked_up(wanted, resources, bin_seconds))
     return alerts.join(found, "alert_id", "left").select(
         *alerts.columns,
         F.coalesce(F.col("inspected_objects"), F.expr("cast(map() as map<string,string>)")).alias("inspected_objects"),

@@ -13,6 +13,7 @@ from alertweave.functions import identity as I
 from alertweave.functions import payload as P
 from alertweave.operators import extract, history, resources
 from alertweave.operators.queues import STORED_ALERT
+from alertweave.session import materialise
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -128,7 +129,7 @@ def cloudtrail(
     """Identity, then recent activity, then the writes among it, then the state of what was written."""
 
     def recent(df: DataFrame) -> DataFrame:
-        eligible = history.eligibility(df)
+        eligible = materialise(history.eligibility(df), "identified")
         if cached:
             return history.with_cached_history(
                 eligible, audit_events, settings.cache_ttl_seconds, settings.lookback_minutes,
@@ -142,7 +143,12 @@ def cloudtrail(
     steps = (
         Enricher("principal_identity", identity, (), "identity_error"),
         Enricher("principal_history", recent, ("principal_identity",), "history_error"),
-        Enricher("write_filter", history.successful_writes, ("principal_history",), "write_error"),
+        Enricher(
+            "write_filter",
+            lambda df: materialise(history.successful_writes(df), "writes"),
+            ("principal_history",),
+            "write_error",
+        ),
         Enricher(
             "object_inspection",
             lambda df: resources.with_inspection(df, known_resources),

@@ -12,7 +12,7 @@ from alertweave.functions import arn, identity
 from alertweave.functions import payload as P
 from alertweave.operators import delivery, extract, history, metrics, queues, resources, routing, ttl
 from alertweave.plans import pipeline, runbooks
-from alertweave.session import configure, fresh_path
+from alertweave.session import fresh_path, materialise
 from alertweave.sources import normalise, polling, stored
 from alertweave.streaming import jobs
 from checks import inputs as I
@@ -74,8 +74,9 @@ def with_writes(spark: SparkSession, sf: str) -> DataFrame:
     slim = identified(spark, sf).select(
         "alert_id", "received_at", "principal", "eligible", "identity_error", "history_error"
     )
+    slim = materialise(slim, "identified")
     recent = history.with_history(slim, I.frame(spark, sf, "audit"), LOOKBACK_MINUTES, MAX_RESULTS)
-    return history.successful_writes(recent)
+    return materialise(history.successful_writes(recent), "writes")
 
 
 def known_resources(spark: SparkSession, sf: str) -> DataFrame:
@@ -1062,7 +1063,7 @@ HISTORY_SQL = query("SELECT alert_id, eid AS event_id, place FROM history", "his
 
 @register("principal_history", HISTORY_SQL)
 def principal_history(spark, sf):
-    slim = identified(spark, sf).select("alert_id", "received_at", "principal", "eligible")
+    slim = materialise(identified(spark, sf).select("alert_id", "received_at", "principal", "eligible"), "identified")
     rows = history.with_history(slim, I.frame(spark, sf, "audit"), LOOKBACK_MINUTES, MAX_RESULTS)
     return rows.select("alert_id", F.posexplode("events").alias("i", "item")).select(
         "alert_id", "item.event_id", (F.col("i") + 1).cast("bigint").alias("place")
@@ -1094,7 +1095,7 @@ def history_top_n(spark, sf):
 def inspect_resources(spark, sf):
     wanted = resource_keys(spark, sf)
     moments = cloudtrail(spark, sf).select("alert_id", micros("received_at").alias("at"))
-    rows = wanted.join(moments, "alert_id")
+    rows = materialise(wanted.join(moments, "alert_id"), "targets")
     return resources.looked_up(rows, known_resources(spark, sf)).select(
         "alert_id", "place", "event_name", "resource_key", "payload"
     )
@@ -1146,7 +1147,7 @@ PRINCIPAL_LOOKUPS = (
     ),
 )
 def cached_history(spark, sf):
-    slim = identified(spark, sf).select("alert_id", "received_at", "principal", "eligible")
+    slim = materialise(identified(spark, sf).select("alert_id", "received_at", "principal", "eligible"), "identified")
     rows = history.with_cached_history(
         slim, I.frame(spark, sf, "audit"), CHECK_SETTINGS.cache_ttl_seconds, LOOKBACK_MINUTES, MAX_RESULTS
     ).filter("eligible")
