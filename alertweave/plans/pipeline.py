@@ -33,7 +33,7 @@ def flow(
     settings: S.Settings = S.DEFAULTS,
     now: Column | None = None,
 ) -> Flow:
-    alerts = normalise.alerts(normalised)
+    alerts = normalise.alerts(normalised, with_payload=True)
     routed = routing.route_alerts(alerts, catalog or routing.default_catalog(settings))
     dead = queues.dead_letters(routing.unmatched(routed), now)
     enriched = enrich_all(routing.matched(routed), runbooks, now)

@@ -14,7 +14,8 @@ from alertweave.functions import payload as P
 
 ALERT_COLUMNS = ["alert_id", "source", "received_at", "raw_payload", "metadata"]
 
-NORMALISED_COLUMNS = [*ALERT_COLUMNS, "reject_reason", "reject_detail", "raw"]
+# ``payload`` is the parsed payload, for plans that go on reading it; it is not stored.
+NORMALISED_COLUMNS = [*ALERT_COLUMNS, "reject_reason", "reject_detail", "raw", "payload"]
 
 # Why a message did not become an alert.
 REJECT_REASONS = [
@@ -56,8 +57,8 @@ def _object_reason(parsed: Column) -> Column:
 
 
 def _finish(
-    read: DataFrame, alert_id: Column, source: Column, payload: Column, metadata: Column, reason: Column, raw: Column,
-    detail: Column | None = None,
+    read: DataFrame, alert_id: Column, source: Column, text: Column, metadata: Column, reason: Column, raw: Column,
+    payload: Column, detail: Column | None = None,
 ) -> DataFrame:
     """The normalised columns; a rejected row has no id and no payload but keeps its raw text."""
     told = P.compute(read, reject_reason=reason, reject_detail=F.lit("") if detail is None else detail)
@@ -66,11 +67,12 @@ def _finish(
         F.when(ok, alert_id).alias("alert_id"),
         source.alias("source"),
         "received_at",
-        F.when(ok, payload).alias("raw_payload"),
+        F.when(ok, text).alias("raw_payload"),
         metadata.alias("metadata"),
         "reject_reason",
         "reject_detail",
         F.when(~ok, raw).alias("raw"),
+        payload.alias("payload"),
     )
 
 
@@ -91,6 +93,7 @@ def kafka(df: DataFrame, received_at: Column | None = None) -> DataFrame:
         .when(F.col("_text").isNull() | bad_key, F.lit("bad_utf8"))
         .otherwise(_object_reason(F.col("_v"))),
         F.hex("value"),
+        F.col("_v"),
         F.when(F.col("_text").isNotNull() & bad_key, F.lit("key")).otherwise(F.lit("")),
     )
 
@@ -107,11 +110,9 @@ def sqs(df: DataFrame, received_at: Column | None = None) -> DataFrame:
     read = P.compute(read, _inner=F.when(F.col("_wrapped"), P.string_at(b, "$.Message")))
     read = P.compute(read, _i=P.parse(F.col("_inner")))
     inner_ok = F.col("_i").isNotNull()
-    text = (
-        F.when(~F.col("_wrapped"), F.col("_body"))
-        .when(inner_ok, F.col("_inner"))
-        .otherwise(P.render(F.struct(P.field(b, "$.Message").alias("message"))))
-    )
+    as_message = P.render(F.struct(P.field(b, "$.Message").alias("message")))
+    text = F.when(~F.col("_wrapped"), F.col("_body")).when(inner_ok, F.col("_inner")).otherwise(as_message)
+    payload = F.when(~F.col("_wrapped"), b).when(inner_ok, F.col("_i")).otherwise(P.parse(as_message))
     return _finish(
         read,
         identity("sqs", [F.col("MessageId")], F.col("_body")),
@@ -129,6 +130,7 @@ def sqs(df: DataFrame, received_at: Column | None = None) -> DataFrame:
         .when(~P.is_object(b), F.lit("not_object"))
         .when(F.col("_wrapped") & inner_ok & ~P.is_object(F.col("_i")), F.lit("not_object")),
         F.col("_body"),
+        payload,
     )
 
 
@@ -154,6 +156,7 @@ def pubsub(df: DataFrame, received_at: Column | None = None) -> DataFrame:
         ),
         F.when(F.col("_text").isNull(), F.lit("bad_utf8")).when(v.isNotNull() & ~P.is_object(v), F.lit("not_object")),
         F.hex("data"),
+        F.when(v.isNull(), P.parse(wrapped)).otherwise(v),
     )
 
 
@@ -176,6 +179,7 @@ def splunk(df: DataFrame, search: str, received_at: Column | None = None) -> Dat
         ),
         F.when(F.col("row").isNull(), F.lit("null_value")).otherwise(_object_reason(v)),
         F.col("row"),
+        v,
     )
 
 
@@ -215,11 +219,14 @@ def universal(df: DataFrame, received_at: Column | None = None) -> DataFrame:
         .when(~none_given & ~P.is_object(F.col("_metadata")), F.lit("bad_metadata"))
         .when(F.col("_source").isNotNull() & ~P.is_string(F.col("_source")), F.lit("bad_source")),
         F.col("body"),
+        F.col("_payload"),
     )
 
 
-def alerts(normalised: DataFrame) -> DataFrame:
-    return normalised.filter(F.col("reject_reason").isNull()).select(*ALERT_COLUMNS)
+def alerts(normalised: DataFrame, with_payload: bool = False) -> DataFrame:
+    """The accepted messages; ``with_payload`` keeps the parsed payload for the next step of the same plan."""
+    columns = [*ALERT_COLUMNS, "payload"] if with_payload else ALERT_COLUMNS
+    return normalised.filter(F.col("reject_reason").isNull()).select(*columns)
 
 
 def rejects(normalised: DataFrame) -> DataFrame:

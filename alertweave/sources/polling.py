@@ -18,7 +18,7 @@ def poll(rows: DataFrame, time_column: str, checkpoint: Column, now: Column) ->
 
 def next_checkpoint(polled: DataFrame, time_column: str, checkpoint: Column) -> DataFrame:
     """One row: the latest time seen, or the old checkpoint when the poll was empty."""
-    return polled.agg(F.coalesce(F.max(time_column), F.first(checkpoint)).alias("checkpoint"))
+    return polled.agg(F.max(time_column).alias("_latest")).select(F.coalesce("_latest", checkpoint).alias("checkpoint"))
 
 
 def drop_boundary_repeats(polled: DataFrame, earlier: DataFrame, time_column: str, checkpoint: Column) -> DataFrame:

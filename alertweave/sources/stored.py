@@ -58,6 +58,7 @@ def alerts(df: DataFrame, text: str = "text", now: Column | None = None) -> Data
         F.coalesce(F.col("_body.metadata"), F.lit("{}")),
         F.when(~(P.is_object(v) & _alert_valid(v, "$")), F.lit("alert_invalid")),
         F.col(text),
+        P.field(v, "$.raw_payload"),
         F.when(v.isNull(), F.lit("bad_json")).otherwise(F.lit("")),
     )
 

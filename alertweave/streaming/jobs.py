@@ -28,7 +28,7 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, partition_by: tuple[
 
 def ingest(messages: DataFrame, normaliser: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
     """Messages of one source -> normalised rows; the rejects are those with a reason."""
-    return to_table(normaliser(messages), path, checkpoint)
+    return to_table(normaliser(messages).drop("payload"), path, checkpoint)
 
 
 def route(alerts: DataFrame, path: str, checkpoint: str, catalog: routing.RouteCatalog | None = None) -> StreamingQuery:
