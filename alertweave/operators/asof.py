@@ -21,6 +21,16 @@ DEFAULT_BIN_SECONDS = 60
 _LOWER, _FACT, _UPPER = 0, 1, 2
 
 
+def shuffle_once(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` partitioned by ``keys`` in a form that several uses can share.
+
+    Every column is read right behind the shuffle. Otherwise each use would prune the columns it does not need in
+    front of it, and Spark would see, and run, as many different shuffles.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.repartition(*keys).select(*keys, F.inline(F.array(F.struct(*rest))))
+
+
 def running_position(rows: DataFrame, group: list[str], bins: list[str], order: list, weight: str) -> DataFrame:
     """Adds ``position``: the running sum of ``weight`` in the order ``bins, order`` inside a group.
 
@@ -29,10 +39,8 @@ def running_position(rows: DataFrame, group: list[str], bins: list[str], order:
     """
     inside = Window.partitionBy(*group, *bins).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*group).orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1)
-    # One shuffle serves the totals and the places: every column is read right behind it, so that no use of
-    # the result prunes columns in front of it and makes it a different shuffle.
-    rest = [c for c in rows.columns if c not in (*group, *bins)]
-    rows = rows.repartition(*group, *bins).select(*group, *bins, F.inline(F.array(F.struct(*rest))))
+    # One shuffle serves the totals and the places.
+    rows = shuffle_once(rows, [*group, *bins])
     totals = rows.groupBy(*group, *bins).agg(F.sum(weight).alias("_total"))
     offsets = totals.select(*group, *bins, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     placed = rows.withColumn("_inside", F.sum(weight).over(inside))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertweave.functions import payload as P
+from alertweave.operators.asof import shuffle_once
 from alertweave.operators.delivery import salt
 
 # Metric event -> (counter bucket, field that names the counter).
@@ -299,7 +300,7 @@ def stats_every_n(processed: DataFrame, every: int, bin_seconds: int = 60, salts
     order = ["ts", "alert_id"]
     inside = Window.partitionBy("runbook", "minute", "lane").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("runbook").orderBy("minute", "lane").rowsBetween(Window.unboundedPreceding, -1)
-    packed = rows.repartition("runbook", "minute", "lane")
+    packed = shuffle_once(rows, ["runbook", "minute", "lane"])
     totals = packed.groupBy("runbook", "minute", "lane").agg(F.sum("one").alias("n"), F.sum("is_hit").alias("h"))
     offsets = totals.select(
         "runbook", "minute", "lane",

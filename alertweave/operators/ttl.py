@@ -172,6 +172,8 @@ def anchors(lookups: DataFrame, ttl_micros: int, lives_per_stretch: int = LIVES_
         .agg(F.min("lookup_id").alias("anchor_id"))
         .withColumn("stretch", F.floor(F.col("at") / F.lit(length)).cast("bigint"))
     )
+    # Both uses below read all columns, so they share the aggregation.
+    instants = instants.select("key", F.inline(F.array(F.struct("stretch", "at", "anchor_id"))))
     tables = (
         instants.select("key", "stretch", "at")
         .repartition("key", "stretch")

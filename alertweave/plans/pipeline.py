@@ -16,7 +16,7 @@ from alertweave.sources import normalise
 
 @dataclass(frozen=True)
 class Flow:
-    """The tables of one run. All are lazy."""
+    """The tables of one run."""
 
     rejects: DataFrame
     routed: DataFrame
@@ -33,6 +33,7 @@ def flow(
     settings: S.Settings = S.DEFAULTS,
     now: Column | None = None,
 ) -> Flow:
+    """All steps as one lazy plan per table, for looks at some of them; ``run`` shares the work between all."""
     alerts = normalise.alerts(normalised, with_payload=True)
     routed = routing.route_alerts(alerts, catalog or routing.default_catalog(settings))
     dead = queues.dead_letters(routing.unmatched(routed), now)
@@ -48,6 +49,49 @@ def flow(
     return Flow(normalise.rejects(normalised), routed.drop("payload"), dead, enriched, lines, events)
 
 
+REJECTS = "rejects"
+
+
+def run(
+    normalised: DataFrame,
+    runbooks: Iterable[Runbook],
+    folder: str,
+    catalog: routing.RouteCatalog | None = None,
+    settings: S.Settings = S.DEFAULTS,
+    now: Column | None = None,
+) -> Flow:
+    """As ``flow``, with every stage written once under ``folder`` and read back.
+
+    The messages are scanned and parsed in one pass, which writes routed alerts, dead letters and rejects to one
+    table partitioned by queue. Every later step reads its own partitions only.
+    """
+    spark = normalised.sparkSession
+    runbooks = list(runbooks)
+    routed = routing.route_alerts(normalised, catalog or routing.default_catalog(settings))
+    ok = F.col("reject_reason").isNull()
+    place = F.when(~ok, F.lit(REJECTS)).otherwise(F.coalesce(F.col("queue"), F.lit(S.QUEUE_DLQ)))
+    routed.withColumn("queue", place).drop("payload").write.partitionBy("queue").parquet(f"{folder}/messages")
+    stored = spark.read.parquet(f"{folder}/messages")
+
+    accepted = stored.filter(F.col("queue") != REJECTS)
+    alerts = accepted.select(*queues.STORED_ALERT, "route", "queue")
+    matched = alerts.filter(F.col("queue") != S.QUEUE_DLQ)
+    dead = queues.dead_letters(alerts.filter(F.col("queue") == S.QUEUE_DLQ), now)
+    dead.write.parquet(f"{folder}/dead_letters")
+    dead = spark.read.parquet(f"{folder}/dead_letters")
+    enrich_all(matched, runbooks, now).write.partitionBy("runbook").parquet(f"{folder}/enriched")
+    enriched = spark.read.parquet(f"{folder}/enriched")
+    lines = delivery.delivery_lines(enriched, settings).unionByName(delivery.dlq_lines(dead, settings))
+    events = metrics.union(
+        metrics.ingested_events(alerts),
+        metrics.routed_events(matched),
+        metrics.dlq_events(dead),
+        metrics.runbook_events(enriched),
+        metrics.enricher_error_events(enriched),
+    )
+    return Flow(normalise.rejects(stored.filter(F.col("queue") == REJECTS)), alerts, dead, enriched, lines, events)
+
+
 def routing_summary(normalised: DataFrame, catalog: routing.RouteCatalog | None = None) -> DataFrame:
     """How many messages went to each route, became dead letters or were rejected, and why: one scan, one shuffle."""
     routed = routing.route_alerts(normalised, catalog)

@@ -127,7 +127,8 @@ ARN = "arn:aws:iam::1:user/ann"
 CLOUD = {"eventVersion": "1", "eventSource": "s3.amazonaws.com", "eventName": "PutObject"}
 
 
-def test_whole_flow(spark):
+@pytest.mark.parametrize("stored", [False, True])
+def test_whole_flow(spark, tmp_path, stored):
     payloads = [
         {**CLOUD, "userIdentity": {"type": "IAMUser", "arn": ARN, "userName": "ann"}}, {**CLOUD, "userIdentity": None},
         {"protoPayload": {"@type": routing.GCP_AUDIT_TYPE, "methodName": "m"}}, {S.DEFAULTS.test_flag: True, "n": 1},
@@ -143,9 +144,9 @@ def test_whole_flow(spark):
     known = spark.createDataFrame([("s3:object:b/k", '{"size":3}')], "resource_key string, payload string").select(
         "resource_key", F.timestamp_seconds(F.lit(0)).alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), "payload"
     )
-    out = pipeline.flow(
-        normalise.kafka(messages, F.timestamp_seconds(F.lit(100))), runbooks.default_runbooks(audit, known), now=F.timestamp_seconds(F.lit(101))
-    )
+    rows, books = normalise.kafka(messages, F.timestamp_seconds(F.lit(100))), runbooks.default_runbooks(audit, known)
+    now = F.timestamp_seconds(F.lit(101))
+    out = pipeline.run(rows, books, str(tmp_path / "run"), now=now) if stored else pipeline.flow(rows, books, now=now)
     assert out.rejects.count() == 1 and out.dead_letters.count() == 1 and out.routed.count() == 6
     rows = out.enriched.collect()
     assert sorted(r["runbook"] for r in rows) == ["cloud.aws.cloudtrail"] * 2 + ["cloud.gcp.event_audit", "test"]
