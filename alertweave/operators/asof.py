@@ -13,7 +13,7 @@ learns the number of the last fact it may see, and the two meet on ``(key, numbe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BIN_SECONDS = 60
@@ -31,6 +31,15 @@ def shuffle_once(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).select(*keys, F.inline(F.array(F.struct(*rest))))
 
 
+def time_bin(at: Column, seconds: int) -> Column:
+    """Number of the time bin of a moment in microseconds.
+
+    Never NULL, so that a join on it adds no filter: such a filter reaches one side of the self-join below and
+    not the other, which keeps Spark from sharing the shuffle.
+    """
+    return F.coalesce(F.floor(at / (seconds * 1000000)), F.lit(0).cast("bigint"))
+
+
 def running_position(rows: DataFrame, group: list[str], bins: list[str], order: list, weight: str) -> DataFrame:
     """Adds ``position``: the running sum of ``weight`` in the order ``bins, order`` inside a group.
 
@@ -97,7 +106,7 @@ def newest_before(
     )
     points = (
         points.unionByName(probe_points)
-        .withColumn("bin", F.floor(F.col("at") / (bin_seconds * 1000000)))
+        .withColumn("bin", time_bin(F.col("at"), bin_seconds))
         .withColumn("weight", (F.col("role") == _FACT).cast("bigint"))
     )
     placed = running_position(points, ["key"], ["bin"], ["at", "role", "fact_id"], "weight")

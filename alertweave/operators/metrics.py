@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertweave.functions import payload as P
-from alertweave.operators.asof import shuffle_once
+from alertweave.operators.asof import shuffle_once, time_bin
 from alertweave.operators.delivery import salt
 
 # Metric event -> (counter bucket, field that names the counter).
@@ -294,8 +294,8 @@ def stats_every_n(processed: DataFrame, every: int, bin_seconds: int = 60, salts
         "alert_id",
         F.col("hit").cast("bigint").alias("is_hit"),
         F.lit(1).cast("bigint").alias("one"),
-        F.floor(micros / (bin_seconds * 1000000)).alias("minute"),
-        salt(F.col("alert_id"), salts).alias("lane"),
+        time_bin(micros, bin_seconds).alias("minute"),
+        F.coalesce(salt(F.col("alert_id"), salts), F.lit(0).cast("bigint")).alias("lane"),
     )
     order = ["ts", "alert_id"]
     inside = Window.partitionBy("runbook", "minute", "lane").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -71,16 +71,17 @@ class Runbook:
             rows = rows.withColumn("enricher_errors", F.array().cast(NO_ERRORS))
             return self._assemble(rows, [])
         # The enrichment joins move ids and derived columns only; whole alerts are joined once, at the end.
-        slim = mine.select("alert_id", "received_at", "payload").dropDuplicates(["alert_id"])
-        for step in in_order(self.enrichers):
+        steps = in_order(self.enrichers)
+        slim = mine.select("alert_id", "received_at", "payload")
+        for step in steps:
             slim = step.transform(slim)
-        errors = [F.col(e.error) for e in in_order(self.enrichers) if e.error]
-        joined = [
-            F.coalesce(c, F.array().cast(NO_ERRORS)) if slim.schema[name].dataType.typeName() == "array" else F.array(c)
-            for c, name in zip(errors, [e.error for e in in_order(self.enrichers) if e.error])
-        ]
+        none = F.array().cast(NO_ERRORS)
+        found_errors = []
+        for column in (s.error for s in steps if s.error):
+            many = slim.schema[column].dataType.typeName() == "array"
+            found_errors.append(F.coalesce(F.col(column), none) if many else F.array(column))
         extra = [c for c in slim.columns if c not in ("received_at", "payload")]
-        found = slim.select(*extra, F.filter(F.concat(*joined), lambda e: e.isNotNull()).alias("enricher_errors"))
+        found = slim.select(*extra, F.filter(F.concat(none, *found_errors), lambda e: e.isNotNull()).alias("enricher_errors"))
         rows = mine.select(
             *STORED_ALERT, self.fields(F.col("payload")).alias("_fields"), stamp.alias("enriched_at")
         ).join(found, "alert_id")
@@ -138,7 +139,8 @@ def cloudtrail(
         return history.with_history(eligible, audit_events, settings.lookback_minutes, settings.history_max_results)
 
     def identity(df: DataFrame) -> DataFrame:
-        return history.identify(df).drop("payload")
+        # Copies of an alert are enriched once; the payload is gone before they are brought together.
+        return history.identify(df).drop("payload").dropDuplicates(["alert_id"])
 
     steps = (
         Enricher("principal_identity", identity, (), "identity_error"),

@@ -241,7 +241,10 @@ DUCK_TS = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00'"
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # A table of one small file would be read, and worked on, by a single task. Real tables have many splits.
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() == 1 and cores > 1 else rows
 
 
 def spark_exprs(name: str) -> list[str]:
