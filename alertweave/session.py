@@ -24,6 +24,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
@@ -31,8 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="alertweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _local_folder:
+            _local_folder.append(tempfile.mkdtemp(prefix="alertweave-"))
+        folder = _local_folder[0]
     return folder.rstrip("/")
 
 
