@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,10 +31,13 @@ _local_folder: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    A machine-local folder is used only where the session names none (tests on one machine).
+    Where the session names none, a temporary folder does if all of Spark runs in one process; on a cluster it is an
+    error, since each executor would write to its own disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _local_folder:
             _local_folder.append(tempfile.mkdtemp(prefix="alertweave-"))
         folder = _local_folder[0]
