@@ -5,14 +5,14 @@ documents are linked if their sets have a Jaccard similarity of ``percent`` / 10
 
 1. One pass over the texts makes a 128-bit key of each set and ``bands * rows`` universal hash minima. Documents with
    the same key are one class; only the class representative (least id) goes on.
-2. Representatives that agree on all minima of a band share a bucket. A bucket is never paired off: each band picks a
-   leader of its own for every bucket (least hash of id and band), so the members of a group of near copies meet many
-   leaders, and pairs grow with the members.
+2. Representatives that agree on all minima of a band share a bucket. A bucket is never paired off: each member meets
+   two leaders of the bucket, so pairs grow with the members.
 3. A pair goes on if its signatures agree on at least ``floor`` of their places (five standard deviations under the
    threshold), and is then confirmed on the two full sets.
 4. Confirmed links are joined to components by alternating large-star and small-star steps.
-5. Members of one bucket that are still in different components are compared with each other, all of them, so that no
-   link between bucket mates depends on the choice of a leader. Components are then completed with these links.
+5. No link between bucket mates may depend on the choice of leaders: members of one bucket that are still in different
+   components are compared too, all but those whose sets are provably too much their own for any link (see _able).
+   Components are then completed with these links.
 
 A pair at the threshold shares no bucket with a chance of (1 - 0.75**4)**32, about 5 in a million.
 
@@ -155,6 +155,48 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     )
 
 
+PLACE = ["band", "bucket"]
+
+
+def _with_leaders(shared: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's two leaders: the member that meets most mates over all bands, which in
+    a group of near copies is close to their common origin, and one by a hash, another in every band."""
+    met = shared.groupBy("doc_id").agg(F.sum("mates").alias("met"))
+    known = shared.join(met, "doc_id")
+    leaders = known.groupBy(*PLACE).agg(
+        F.max(F.struct("met", (-F.col("doc_id")).alias("order"), "doc_id")).alias("central"),
+        F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), "doc_id")).alias("drawn"),
+    )
+    leaders = leaders.select(*PLACE, F.col("central.doc_id").alias("one"), F.col("drawn.doc_id").alias("two"))
+    led = shared.join(leaders, PLACE)
+    pairs = led.select("doc_id", F.col("one").alias("leader")).unionByName(led.select("doc_id", F.col("two").alias("leader")))
+    return pairs.where("doc_id <> leader").select(*_pair("doc_id", "leader")).distinct()
+
+
+def _open(member: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component."""
+    spread = member.groupBy(*PLACE).agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    return member.join(spread.select(*PLACE), PLACE, "left_semi")
+
+
+def _able(member: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Members that can have a link at all, with the size of their set (n) and how much of it any other member has (common).
+
+    Two sets share at most what each has in common with anyone, so a set that is mostly its own reaches the similarity
+    with no set of the bucket's least size or more. This rules out without loss what strays from a large group.
+    """
+    texts = docs.select("doc_id", "text").join(member.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = materialise(full_sets(texts, k).dropDuplicates(["doc_id"]), "open-sets")
+    each = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    twice = each.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1").select("shingle")
+    common = each.join(twice, "shingle").groupBy("doc_id").agg(F.count("*").alias("common"))
+    known = member.join(sets.select("doc_id", F.size("shingles").cast("long").alias("n")).join(common, "doc_id"), "doc_id")
+    known = materialise(known, "open-members")
+    least = known.groupBy(*PLACE).agg(F.min("n").alias("least"))
+    able = 100 * F.col("common") >= percent * (F.col("n") + F.col("least") - F.col("common"))
+    return known.join(least, PLACE).where(able).drop("least")
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, floor: float = 0.56
 ) -> DataFrame:
@@ -170,28 +212,26 @@ def near_duplicates(
         "heads",
     )
 
-    place = ["band", "bucket"]
     in_bucket = band_keys(heads, bands, rows)
-    leaders = (
-        in_bucket.groupBy(*place)
-        .agg(F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), "doc_id")).alias("least"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select(*place, F.col("least.doc_id").alias("leader"))
-    )
-    shared = materialise(in_bucket.join(leaders, place), "buckets")
-    first = materialise(
-        shared.where("doc_id <> leader").select(*_pair("doc_id", "leader")).distinct(), "leader-pairs"
-    )
+    crowded = in_bucket.groupBy(*PLACE).agg(F.count("*").alias("mates")).where("mates > 1")
+    shared = materialise(in_bucket.join(crowded, PLACE), "buckets")
+    first = materialise(_with_leaders(shared), "leader-pairs")
     links = materialise(confirmed(materialise(_alike(first, heads, bands * rows, floor), "alike"), docs, k, percent), "links")
-    parts = components(links)
 
     # Bucket mates of different components, all of them; a member without a link is a component of its own.
-    member = shared.select(*place, "doc_id").join(parts.toDF("doc_id", "part"), "doc_id", "left")
-    member = member.select(*place, "doc_id", F.coalesce("part", "doc_id").alias("part"))
-    spread = member.groupBy(*place).agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    open_members = materialise(member.join(spread.select(*place), place, "left_semi"), "open-buckets")
-    left, right = (open_members.toDF(*place, x, f"part_{x}") for x in "ab")
-    rest = left.join(right, place).where("a < b and part_a <> part_b").select("a", "b").distinct()
+    member = shared.select(*PLACE, "doc_id").join(components(links).toDF("doc_id", "part"), "doc_id", "left")
+    member = _open(member.select(*PLACE, "doc_id", F.coalesce("part", "doc_id").alias("part")))
+    able = _open(materialise(_able(materialise(member, "open-buckets"), docs, k, percent), "able"))
+    able = materialise(able, "still-open")
+    left, right = (able.select(*PLACE, *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "part", "n", "common")]) for x in "ab")
+    most = F.least("common_a", "common_b")
+    rest = (
+        left.join(right, PLACE)
+        .where("doc_id_a < doc_id_b and part_a <> part_b")
+        .where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
+        .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+        .distinct()
+    )
     rest = materialise(_alike(rest.join(first, ["a", "b"], "left_anti"), heads, bands * rows, floor), "rest")
     more = materialise(confirmed(rest, docs, k, percent), "more-links")
     parts = components(links.unionByName(more)).toDF("head", "part")
