@@ -117,7 +117,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
         passive[j] = True
         while True:
             on = np.flatnonzero(passive)
-            z = np.linalg.lstsq(gram[np.ix_(on, on)], right[on], rcond=None)[0]
+            z = np.linalg.solve(gram[np.ix_(on, on)] + 1e-9 * np.eye(len(on)), right[on])
             if (z > 0).all():
                 x[:] = 0
                 x[on] = z

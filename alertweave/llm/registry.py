@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertweave.llm import minhash_dedup, quality_rules, substring_dedup
+from alertweave.llm import minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
