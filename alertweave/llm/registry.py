@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertweave.llm import minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup
+from alertweave.llm import minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_tree_lm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_tree_lm": suffix_tree_lm.op3_suffix_tree_lm,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
