@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertweave.llm import minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_tree_lm
+from alertweave.llm import bpe, minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_tree_lm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_tree_lm": suffix_tree_lm.op3_suffix_tree_lm,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
