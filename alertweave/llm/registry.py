@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertweave.llm import bpe, minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_tree_lm
+from alertweave.llm import bpe, merkle, minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_tree_lm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_tree_lm": suffix_tree_lm.op3_suffix_tree_lm,
+    "op4_merkle_fingerprints": merkle.op4_merkle_fingerprints,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
