@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertweave.llm import bpe, merkle, minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_tree_lm, wrappers
+from alertweave.llm import bpe, licenses, merkle, minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_tree_lm, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_wrapper_extraction": wrappers.op2_wrapper_extraction,
     "op3_suffix_tree_lm": suffix_tree_lm.op3_suffix_tree_lm,
     "op4_merkle_fingerprints": merkle.op4_merkle_fingerprints,
