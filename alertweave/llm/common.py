@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -93,6 +94,22 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), before[cuts].astype(np.int64), coded.dictionary)
 
 
+def packed_bits(cells: DataFrame, size: int) -> np.ndarray:
+    """The cells listed in column ``cell``, of ``size`` in all, as one bit each; the result has size / 8 bytes."""
+    words = (
+        cells.groupBy(F.shiftright("cell", 6).alias("at"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits"))
+        .toArrow()
+    )
+    out = np.zeros((size + 63) >> 6, dtype=np.uint64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def has_bit(packed: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return ((packed[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread a 64-bit value over all its bits."""
     x = x ^ (x >> np.uint64(30))

@@ -11,7 +11,7 @@ documents are linked if their sets have a Jaccard similarity of ``percent`` / 10
    threshold), and is then confirmed on the two full sets.
 4. Confirmed links are joined to components by alternating large-star and small-star steps.
 5. No link between bucket mates may depend on the choice of leaders: members of one bucket that are still in different
-   components are compared too, all but those whose sets are provably too much their own for any link (see _able).
+   components are compared too, all but pairs whose sets provably share too little (see _able and _rest).
    Components are then completed with these links.
 
 A pair at the threshold shares no bucket with a chance of (1 - 0.75**4)**32, about 5 in a million.
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertweave.llm.common import Runs, mixed, over_texts, read, words_of
+from alertweave.llm.common import Runs, has_bit, mixed, over_texts, packed_bits, read, words_of
 from alertweave.llm.components import components
 from alertweave.session import materialise
 
@@ -96,15 +96,28 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     )
 
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and its whole set as an array."""
+def full_sets(docs: DataFrame, ids: DataFrame, k: int, bits: int = 27) -> DataFrame:
+    """doc_id and its whole set as an array, for the documents listed by ``ids``.
 
-    def step(part: pa.RecordBatch) -> pa.RecordBatch:
+    Texts stay where they are: tasks drop documents whose id, modulo 2**bits, is that of none listed (16 MB at most go
+    to each), and what that lets through goes by a join of the sets.
+    """
+    size = 1 << bits
+    listed = docs.sparkSession.sparkContext.broadcast(
+        packed_bits(ids.select(F.pmod("doc_id", F.lit(size)).alias("cell")).distinct(), size)
+    )
+
+    def step(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        known = part.column("doc_id").fill_null(0).to_numpy().astype(np.int64)
+        part = part.filter(pa.array(has_bit(listed.value, np.mod(known, size)) & ~np.asarray(part.column("doc_id").is_null())))
+        if not part.num_rows:
+            return None
         hashes, bounds = _sets(part.column("text"), k)
         lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
         return pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "shingles"])
 
-    return over_texts(docs.select("doc_id", "text"), step, "doc_id long, shingles array<long>")
+    sets = over_texts(docs.select("doc_id", "text"), step, "doc_id long, shingles array<long>")
+    return sets.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def band_keys(heads: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -144,8 +157,7 @@ def _alike(pairs: DataFrame, heads: DataFrame, n: int, floor: float) -> DataFram
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose full sets reach the similarity."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    sets = materialise(full_sets(texts, k).dropDuplicates(["doc_id"]), "sets")
+    sets = materialise(full_sets(docs, wanted, k), "sets")
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     return (
@@ -180,21 +192,57 @@ def _open(member: DataFrame) -> DataFrame:
 
 
 def _able(member: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Members that can have a link at all, with the size of their set (n) and how much of it any other member has (common).
+    """Members that can have a link at all: place, doc_id, part, the size of their set (n), how much of it any other
+    member has (common), and how much their bucket's most met member has (with_middle).
 
     Two sets share at most what each has in common with anyone, so a set that is mostly its own reaches the similarity
     with no set of the bucket's least size or more. This rules out without loss what strays from a large group.
     """
-    texts = docs.select("doc_id", "text").join(member.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = materialise(full_sets(texts, k).dropDuplicates(["doc_id"]), "open-sets")
+    sets = materialise(full_sets(docs, member, k), "open-sets")
     each = sets.select("doc_id", F.explode("shingles").alias("shingle"))
     twice = each.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1").select("shingle")
     common = each.join(twice, "shingle").groupBy("doc_id").agg(F.count("*").alias("common"))
     known = member.join(sets.select("doc_id", F.size("shingles").cast("long").alias("n")).join(common, "doc_id"), "doc_id")
     known = materialise(known, "open-members")
     least = known.groupBy(*PLACE).agg(F.min("n").alias("least"))
-    able = 100 * F.col("common") >= percent * (F.col("n") + F.col("least") - F.col("common"))
-    return known.join(least, PLACE).where(able).drop("least")
+    reach = 100 * F.col("common") >= percent * (F.col("n") + F.col("least") - F.col("common"))
+    able = materialise(_open(known.join(least, PLACE).where(reach).drop("least")), "able")
+
+    met = able.groupBy("doc_id").agg(F.sum("mates").alias("met"))
+    middle = able.join(met, "doc_id").groupBy(*PLACE).agg(
+        F.max(F.struct("met", (-F.col("doc_id")).alias("order"), "doc_id")).alias("m")
+    )
+    placed = able.join(middle.select(*PLACE, F.col("m.doc_id").alias("middle")), PLACE)
+    shared = (
+        placed.select("doc_id", "middle")
+        .distinct()
+        .join(sets.withColumnRenamed("shingles", "own"), "doc_id")
+        .join(sets.toDF("middle", "its"), "middle")
+        .select("doc_id", "middle", F.size(F.array_intersect("own", "its")).cast("long").alias("with_middle"))
+    )
+    return materialise(placed.join(shared, ["doc_id", "middle"]).drop("middle", "mates"), "still-open")
+
+
+def _rest(able: DataFrame, percent: int) -> DataFrame:
+    """Pairs of bucket mates in different components that may be linked, each pair in the first bucket that it shares.
+
+    What two sets share lies within what both share with the bucket's middle, or else outside of it, where it is at
+    most what each shares with anyone. Pairs of which this bound falls short are no links.
+    """
+    places = able.groupBy("doc_id").agg(F.collect_set(F.struct(*PLACE)).alias("places"))
+    known = able.join(places, "doc_id")
+    own = ("doc_id", "part", "n", "common", "with_middle", "places")
+    left, right = (known.select(*PLACE, *[F.col(c).alias(f"{c}_{x}") for c in own]) for x in "ab")
+    # The middle itself has nothing outside of it.
+    outside = F.greatest(F.least(*[F.col(f"common_{x}") - F.col(f"with_middle_{x}") for x in "ab"]), F.lit(0))
+    most = F.least("common_a", "common_b", F.least("with_middle_a", "with_middle_b") + outside)
+    return (
+        left.join(right, PLACE)
+        .where("doc_id_a < doc_id_b and part_a <> part_b")
+        .where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
+        .where(F.array_min(F.array_intersect("places_a", "places_b")) == F.struct(*PLACE))
+        .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+    )
 
 
 def near_duplicates(
@@ -219,19 +267,9 @@ def near_duplicates(
     links = materialise(confirmed(materialise(_alike(first, heads, bands * rows, floor), "alike"), docs, k, percent), "links")
 
     # Bucket mates of different components, all of them; a member without a link is a component of its own.
-    member = shared.select(*PLACE, "doc_id").join(components(links).toDF("doc_id", "part"), "doc_id", "left")
-    member = _open(member.select(*PLACE, "doc_id", F.coalesce("part", "doc_id").alias("part")))
-    able = _open(materialise(_able(materialise(member, "open-buckets"), docs, k, percent), "able"))
-    able = materialise(able, "still-open")
-    left, right = (able.select(*PLACE, *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "part", "n", "common")]) for x in "ab")
-    most = F.least("common_a", "common_b")
-    rest = (
-        left.join(right, PLACE)
-        .where("doc_id_a < doc_id_b and part_a <> part_b")
-        .where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
-        .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-        .distinct()
-    )
+    member = shared.join(components(links).toDF("doc_id", "part"), "doc_id", "left")
+    member = _open(member.select(*PLACE, "mates", "doc_id", F.coalesce("part", "doc_id").alias("part")))
+    rest = _rest(_able(materialise(member, "open-buckets"), docs, k, percent), percent)
     rest = materialise(_alike(rest.join(first, ["a", "b"], "left_anti"), heads, bands * rows, floor), "rest")
     more = materialise(confirmed(rest, docs, k, percent), "more-links")
     parts = components(links.unionByName(more)).toDF("head", "part")

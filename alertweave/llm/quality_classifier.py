@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from alertweave.llm.common import over_texts, read, words_of
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # fits in two bytes
 N_STATS = 6
 SIZE = BUCKETS + N_STATS + 1
 
@@ -66,12 +66,13 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pairs % BUCKETS, bounds, stats
 
 
-def fit(texts: pa.Array, good: np.ndarray, passes: int = 12, rate: float = 0.3, decay: float = 1e-5) -> np.ndarray:
+def fit(
+    at: np.ndarray, bounds: np.ndarray, stats: np.ndarray, good: np.ndarray, passes: int = 8, rate: float = 0.3, decay: float = 1e-5
+) -> np.ndarray:
     """Weights of the buckets, the statistics and a constant, by AdaGrad over small groups of documents."""
     w, seen = np.zeros(SIZE), np.full(SIZE, 1e-3)
     if not len(good) or good.all() or not good.any():
         return w
-    at, bounds, stats = _features(texts)
     rng = np.random.default_rng(11)
     for _ in range(passes):
         order = rng.permutation(len(good))
@@ -110,10 +111,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> np.ndarra
     n = known.count()
     if n > sample:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "good", F.xxhash64("doc_id").alias("h"))
-    table = rows.orderBy("h", "text").limit(sample).toArrow().combine_chunks()
-    texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
-    return fit(texts, table.column("good").to_numpy().astype(float) == 1)
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "good", F.xxhash64("doc_id", "text").alias("h"))
+
+    def step(part: pa.RecordBatch) -> pa.RecordBatch:
+        at, bounds, stats = _features(part.column("text"))
+        lists = [at[a:b].astype("<u2").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        arrays = [part.column("h"), part.column("good"), pa.array(lists, pa.binary()), pa.array([x.tobytes() for x in stats], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["h", "good", "at", "stats"])
+
+    # Features instead of texts go to the driver, some hundred bytes a document.
+    table = over_texts(rows, step, "h long, good int, at binary, stats binary").orderBy("h").limit(sample).toArrow()
+    at, stats = (table.column(c).to_pylist() for c in ("at", "stats"))
+    bounds = np.concatenate(([0], np.cumsum([len(x) // 2 for x in at]))).astype(np.int64)
+    flat = np.frombuffer(b"".join(at), dtype="<u2").astype(np.int32)
+    stats = np.frombuffer(b"".join(stats)).reshape(-1, N_STATS)
+    return fit(flat, bounds, stats, table.column("good").to_numpy().astype(float) == 1)
 
 
 def with_evidence(docs: DataFrame, w: np.ndarray) -> DataFrame:
