@@ -87,7 +87,10 @@ def history_pairs(
     if lookback_minutes <= 0 or max_results <= 0:
         raise ValueError("the look-back and the number of results must be positive")
     probes = alerts.select(F.col("username").alias("key"), F.unix_micros("received_at").alias("at"))
-    facts = audit_events.select(
+    probes = materialise(probes.filter(F.col("key").isNotNull() & F.col("at").isNotNull()).distinct(), "probes")
+    facts = _in_reach(audit_events, probes, lookback_minutes).join(
+        probes.select(F.col("key").alias("username")).distinct(), "username", "left_semi"
+    ).select(
         F.col("username").alias("key"), F.unix_micros("event_time").alias("at"), F.col("event_id").alias("fact_id")
     )
     found = newest_before(probes, facts, max_results, lookback_minutes * 60 * 1000000, bin_seconds)
@@ -97,18 +100,34 @@ def history_pairs(
     )
 
 
+def _in_reach(audit_events: DataFrame, probes: DataFrame, lookback_minutes: int) -> DataFrame:
+    """Audit events that some look-up (``at``, microseconds) can see, as constants that reach the scan."""
+    first, last = probes.agg(F.min("at"), F.max("at")).first()
+    if first is None:
+        return audit_events.filter(F.lit(False))
+    reach = [F.timestamp_micros(F.lit(t)) for t in (first - lookback_minutes * 60 * 1000000, last)]
+    return audit_events.filter(F.col("event_time").between(*reach))
+
+
 def histories(pairs: DataFrame, audit_events: DataFrame) -> DataFrame:
-    """One row per look-up: ``username, at, events``, newest first. Event text joins last, and once."""
+    """One row per look-up: ``username, at, events``, newest first.
+
+    Event texts are joined to the found pairs only, and once. Copies of one event (same name, time and id) have one text.
+    """
     text = audit_events.select("username", "event_time", "event_id", "cloudtrail_event")
-    # Copies of one event (same name, time and id) have one text.
-    text = text.groupBy("username", "event_time", "event_id").agg(F.max("cloudtrail_event").alias("cloudtrail_event"))
     item = F.struct("place", F.struct("event_id", "event_time", "cloudtrail_event").alias("item"))
     collected = (
         pairs.join(text, ["username", "event_time", "event_id"])
         .groupBy("username", "at")
-        .agg(F.array_sort(F.collect_list(item)).alias("_events"))
+        .agg(F.array_sort(F.collect_set(item)).alias("_events"))
+    )
+    # Of copies the last in order, which has the greatest text.
+    last = F.filter(
+        "_events", lambda e, i: ~F.coalesce(F.get("_events", i + 1)["place"] == e["place"], F.lit(False))
+    )
+    return collected.select("username", "at", last.alias("_events")).select(
+        "username", "at", F.col("_events.item").cast(f"array<{HISTORY_ITEM}>").alias("events")
     )
-    return collected.select("username", "at", F.col("_events.item").cast(f"array<{HISTORY_ITEM}>").alias("events"))
 
 
 def with_history(
@@ -124,7 +143,8 @@ def with_history(
         "_at", F.unix_micros("received_at")
     )
     probes = asked.filter("eligible").select(F.col("_username").alias("username"), "received_at")
-    found = histories(history_pairs(probes, audit_events, lookback_minutes, max_results, bin_seconds), audit_events)
+    pairs = materialise(history_pairs(probes, audit_events, lookback_minutes, max_results, bin_seconds), "pairs")
+    found = histories(pairs, _in_reach(audit_events, pairs, lookback_minutes))
     joined = asked.join(
         found.withColumnsRenamed({"username": "_username", "at": "_at"}), ["_username", "_at"], "left"
     )
@@ -157,7 +177,8 @@ def with_cached_history(
     )
     replayed = materialise(ttl.replay(lookups, ttl_seconds * 1000000), "replayed")
     anchors = replayed.filter(~F.col("hit"))
-    found = histories(history_pairs(anchors, audit_events, lookback_minutes, max_results, bin_seconds), audit_events)
+    pairs = materialise(history_pairs(anchors, audit_events, lookback_minutes, max_results, bin_seconds), "pairs")
+    found = histories(pairs, _in_reach(audit_events, pairs, lookback_minutes))
     results = anchors.join(found, ["username", "at"], "left").select(
         F.col("lookup_id").alias("served_by"), "events"
     )

@@ -86,27 +86,51 @@ def targets(alerts: DataFrame) -> DataFrame:
     )
 
 
+_FOREVER = (1 << 63) - 1
+
+
 def state_at(moments: DataFrame, resources: DataFrame, bin_seconds: int = 3600) -> DataFrame:
-    """The version of each ``resource_key`` valid at ``at`` (microseconds), ``valid_from <= at < valid_to``."""
-    facts = resources.select(
-        F.col("resource_key").alias("key"),
-        F.unix_micros("valid_from").alias("at"),
-        F.unix_micros("valid_from").alias("fact_id"),
-    )
-    found = newest_before(
-        moments.select(F.col("resource_key").alias("key"), "at"), facts, 1, None, bin_seconds
-    ).select(F.col("key").alias("resource_key"), "at", F.col("fact_at").alias("valid_from"))
-    versions = resources.select(
+    """The version of each ``resource_key`` valid at ``at`` (microseconds), ``valid_from <= at < valid_to``.
+
+    Of several valid versions the one that began last counts; of those that began together the one that ends last,
+    then the one with the greatest payload. So an old version shows again where a later one has ended within it.
+    """
+    wanted = moments.select("resource_key", "at").distinct()
+    versions = resources.join(wanted.select("resource_key").distinct(), "resource_key", "left_semi").select(
         "resource_key",
         F.unix_micros("valid_from").alias("valid_from"),
-        F.unix_micros("valid_to").alias("valid_to"),
+        F.coalesce(F.unix_micros("valid_to"), F.lit(_FOREVER)).alias("valid_to"),
         "payload",
     )
-    return (
-        found.join(versions, ["resource_key", "valid_from"])
-        .filter(F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
-        .select("resource_key", "at", "payload")
+    # A version that begins with another and ends first is never seen.
+    versions = materialise(
+        versions.groupBy("resource_key", "valid_from")
+        .agg(F.max(F.struct("valid_to", "payload")).alias("v"))
+        .select("resource_key", "valid_from", "v.valid_to", "v.payload"),
+        "versions",
+    )
+    facts = versions.select(F.col("resource_key").alias("key"), F.col("valid_from").alias("at"), F.col("valid_from").alias("fact_id"))
+    newest = newest_before(wanted.select(F.col("resource_key").alias("key"), "at"), facts, 1, None, bin_seconds)
+    newest = newest.select(F.col("key").alias("resource_key"), "at", F.col("fact_at").alias("valid_from"))
+    found = materialise(newest.join(versions, ["resource_key", "valid_from"]), "newest-versions")
+    valid = F.col("at") < F.col("valid_to")
+
+    # Versions that outlive a later one, for moments whose newest version has ended.
+    later = Window.partitionBy("resource_key").orderBy(F.col("valid_from").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    outlasting = (
+        versions.withColumn("ends_first", F.min("valid_to").over(later))
+        .filter(F.col("ends_first") < F.col("valid_to"))
+        .drop("ends_first")
+    )
+    older = (
+        found.filter(~valid)
+        .select("resource_key", "at")
+        .join(outlasting, "resource_key")
+        .filter(F.col("at").between(F.col("valid_from"), F.col("valid_to") - 1))
+        .groupBy("resource_key", "at")
+        .agg(F.max_by("payload", "valid_from").alias("payload"))
     )
+    return found.filter(valid).select("resource_key", "at", "payload").unionByName(older)
 
 
 def looked_up(wanted: DataFrame, resources: DataFrame, bin_seconds: int = 3600) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertweave import settings as S
+from alertweave.functions import payload as P
 from alertweave.operators import delivery, metrics, queues, routing
 from alertweave.plans.runbooks import Runbook, enrich_all
+from alertweave.session import materialise
 from alertweave.sources import normalise
 
 
@@ -33,7 +35,12 @@ def flow(
     settings: S.Settings = S.DEFAULTS,
     now: Column | None = None,
 ) -> Flow:
-    """All steps as one lazy plan per table, for looks at some of them; ``run`` shares the work between all."""
+    """All steps as one plan per table, for looks at some of them; ``run`` shares the work between all.
+
+    The messages are stored once first, so that a message has one arrival time in all of them.
+    """
+    normalised = materialise(normalised.drop("payload"), "normalised")
+    normalised = P.compute(normalised, payload=P.parse(F.col("raw_payload")))
     alerts = normalise.alerts(normalised, with_payload=True)
     routed = routing.route_alerts(alerts, catalog or routing.default_catalog(settings))
     dead = queues.dead_letters(routing.unmatched(routed), now)

@@ -139,8 +139,10 @@ def cloudtrail(
         return history.with_history(eligible, audit_events, settings.lookback_minutes, settings.history_max_results)
 
     def identity(df: DataFrame) -> DataFrame:
-        # Copies of an alert are enriched once; the payload is gone before they are brought together.
-        return history.identify(df).drop("payload").dropDuplicates(["alert_id"])
+        # Copies of an alert are enriched once, as of the earliest; the payload is gone before they are brought together.
+        found = history.identify(df).drop("payload")
+        rest = F.struct(*[c for c in found.columns if c != "alert_id"])
+        return found.groupBy("alert_id").agg(F.min_by(rest, "received_at").alias("_first")).select("alert_id", "_first.*")
 
     steps = (
         Enricher("principal_identity", identity, (), "identity_error"),

@@ -33,11 +33,16 @@ REJECT_REASONS = [
 def identity(source: str, position: list[Column], content: Column) -> Column:
     """Alert id in UUID form, the same for every replay of the same message.
 
-    It is derived from where the message stood in its transport, or from its content without a position.
+    It is derived from where the message stood in its transport, or from its content where any part of that position
+    is missing: a position with a gap is shared by messages that differ.
     """
-    by_position = F.concat_ws("|", F.lit(source), *position)
+    # A bar within a part is escaped, so that no two positions read the same.
+    parts = [F.regexp_replace(part, r"([\\|])", r"\\$1") for part in position]
+    by_position = F.concat_ws("|", F.lit(source), *parts)
     by_content = F.concat_ws("|", F.lit(source), content)
-    known = F.coalesce(*position).isNotNull() if position else F.lit(False)
+    known = F.lit(bool(position))
+    for part in position:
+        known = known & part.isNotNull()
     digest = F.md5(F.when(known, by_position).otherwise(by_content))
     parts = [F.substring(digest, start, size) for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat_ws("-", *parts)

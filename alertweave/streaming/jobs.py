@@ -2,6 +2,9 @@
 
 No watermark sits on the path of the alerts themselves: an alert must not be lost for being late. Watermarks
 bound state only where a late row costs nothing but a metric or a duplicate.
+
+Every job takes the arguments of ``DataStreamWriter.trigger`` as ``trigger``: by default it works off what there is and
+ends, ``{"processingTime": "10 seconds"}`` keeps it running. How much a batch takes is an option of the source.
 """
 
 from __future__ import annotations
@@ -18,39 +21,59 @@ from alertweave.operators import delivery, metrics, queues, routing, ttl
 from alertweave.plans.runbooks import Runbook, enrich_all
 
 
-def to_table(stream: DataFrame, path: str, checkpoint: str, partition_by: tuple[str, ...] = ()) -> StreamingQuery:
+AVAILABLE_NOW = {"availableNow": True}
+
+
+def to_table(
+    stream: DataFrame, path: str, checkpoint: str, partition_by: tuple[str, ...] = (), trigger: dict | None = None
+) -> StreamingQuery:
     """Append a stateless stream to a parquet table, each input row exactly once."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    return writer.trigger(availableNow=True).start(path)
+    return writer.trigger(**(trigger or AVAILABLE_NOW)).start(path)
 
 
-def ingest(messages: DataFrame, normaliser: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+def ingest(
+    messages: DataFrame, normaliser: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
     """Messages of one source -> normalised rows; the rejects are those with a reason."""
-    return to_table(normaliser(messages).drop("payload"), path, checkpoint)
+    return to_table(normaliser(messages).drop("payload"), path, checkpoint, (), trigger)
 
 
-def route(alerts: DataFrame, path: str, checkpoint: str, catalog: routing.RouteCatalog | None = None) -> StreamingQuery:
+def route(
+    alerts: DataFrame, path: str, checkpoint: str, catalog: routing.RouteCatalog | None = None, trigger: dict | None = None
+) -> StreamingQuery:
     """Alerts -> one table with a folder per queue, the dead letters' among them."""
     routed = routing.route_alerts(alerts, catalog).select(
         *queues.STORED_ALERT, "route", F.coalesce(F.col("queue"), F.lit(S.QUEUE_DLQ)).alias("queue")
     )
-    return to_table(routed, path, checkpoint, ("queue",))
+    return to_table(routed, path, checkpoint, ("queue",), trigger)
 
 
-def _each_batch(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append"):
+def _each_batch(
+    stream: DataFrame,
+    checkpoint: str,
+    write: Callable[[DataFrame, int], None],
+    mode: str = "append",
+    trigger: dict | None = None,
+) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(write)
         .outputMode(mode)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
 
 
 def enrich(
-    routed: DataFrame, runbooks: list[Runbook], path: str, checkpoint: str, enriched_at: Column | None = None
+    routed: DataFrame,
+    runbooks: list[Runbook],
+    path: str,
+    checkpoint: str,
+    enriched_at: Column | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Routed alerts -> enriched rows, one folder per micro-batch, overwritten when a batch is repeated.
 
@@ -59,10 +82,13 @@ def enrich(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        # Every runbook reads the batch, some more than once.
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         rows = enrich_all(batch, runbooks, enriched_at)
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.unpersist()
 
-    return _each_batch(routed, checkpoint, write)
+    return _each_batch(routed, checkpoint, write, trigger=trigger)
 
 
 def history_pairs(alerts: DataFrame, audit_events: DataFrame, lookback_minutes: int, delay: str) -> DataFrame:
@@ -82,13 +108,13 @@ def history_pairs(alerts: DataFrame, audit_events: DataFrame, lookback_minutes:
     return a.join(e, inside).drop("actor")
 
 
-def count(metric_events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def count(metric_events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Running counters. Each batch writes the counters it changed; ``current_counters`` reads the newest."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return _each_batch(metrics.counters(metric_events), checkpoint, write, "update")
+    return _each_batch(metrics.counters(metric_events), checkpoint, write, "update", trigger)
 
 
 def current_counters(stored: DataFrame) -> DataFrame:
@@ -96,20 +122,41 @@ def current_counters(stored: DataFrame) -> DataFrame:
 
 
 def drop_repeats(alerts: DataFrame, delay: str) -> DataFrame:
-    """For sources that re-read a back-fill window after a restart; ``delay`` must exceed that window."""
+    """For sources that re-read a back-fill window after a restart; ``delay`` must exceed that window.
+
+    Rows later than ``delay`` are dropped with the repeats. ``append_new`` loses none.
+    """
     return alerts.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["alert_id"])
 
 
+def append_new(alerts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Alerts whose id is not stored under ``path`` yet, however late they come; of repeats in a batch the earliest."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rest = F.struct(*[c for c in batch.columns if c != "alert_id"])
+        rows = batch.groupBy("alert_id").agg(F.min_by(rest, "received_at").alias("r")).select("alert_id", "r.*")
+        if batch_id > 0:
+            # A repeated batch must not meet its own first try.
+            stored = batch.sparkSession.read.schema("alert_id string, batch_id bigint").parquet(path)
+            rows = rows.join(stored.filter(F.col("batch_id") < batch_id).select("alert_id"), "alert_id", "left_anti")
+        rows.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _each_batch(alerts, checkpoint, write, trigger=trigger)
+
+
 OPEN_ENTRY = "key string, at bigint, lookup_id string"
 
 
-def replay_ttl(lookups: DataFrame, ttl_micros: int, path: str, state: str, checkpoint: str) -> StreamingQuery:
+def replay_ttl(
+    lookups: DataFrame, ttl_micros: int, path: str, state: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
     """Streaming form of the cache replay: ``key, at, lookup_id, lookup_ok`` -> the same with ``hit, served_by``.
 
     Each micro-batch runs the batch replay, so a hot key is spread over tasks here as well. The newest entry of each
     key is carried from batch to batch as one more look-up at its own time, in two folders under ``state`` that
-    take turns: a repeated batch finds the state it started from. Look-ups older than the carried entry arrive
-    while it is alive and are hits, as in a cache.
+    take turns: a repeated batch finds the state it started from. Look-ups up to one life older than the carried entry
+    arrive while it is alive and are hits, as in a cache; still older ones are look-ups of their own. Entries that ended
+    more than a life before the newest look-up are not carried on, so the state holds recent keys only.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -122,7 +169,8 @@ def replay_ttl(lookups: DataFrame, ttl_micros: int, path: str, state: str, check
         )
         entry = carried.select("key", F.struct("at", "lookup_id").alias("entry"))
         known = rows.join(entry, "key", "left").withColumn(
-            "early", F.coalesce(F.col("at") < F.col("entry.at"), F.lit(False))
+            "early",
+            F.coalesce(F.col("at").between(F.col("entry.at") - ttl_micros, F.col("entry.at") - 1), F.lit(False)),
         )
         early = known.filter("early").select(
             "key", "at", "lookup_id", "lookup_ok", F.lit(True).alias("hit"), F.col("entry.lookup_id").alias("served_by")
@@ -142,12 +190,15 @@ def replay_ttl(lookups: DataFrame, ttl_micros: int, path: str, state: str, check
         opened = replayed.filter("not hit and lookup_ok").groupBy("key").agg(
             F.max(F.struct("at", "lookup_id")).alias("entry")
         )
+        newest = opened.agg(F.max("entry.at")).first()[0]
+        if newest is not None:
+            opened = opened.filter(F.col("entry.at") >= newest - 2 * ttl_micros)
         opened.select("key", "entry.at", "entry.lookup_id").write.mode("overwrite").parquet(
             f"{state}/turn={batch_id % 2}"
         )
         replayed.unpersist()
 
-    return _each_batch(lookups, checkpoint, write)
+    return _each_batch(lookups, checkpoint, write, trigger=trigger)
 
 
 def deliver(
@@ -157,6 +208,7 @@ def deliver(
     checkpoint: str,
     settings: S.Settings = S.DEFAULTS,
     universal_configured: bool = True,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Enriched rows -> payload files per micro-batch, and undeliverable rows with their reason.
 
@@ -173,7 +225,7 @@ def deliver(
         failed.write.mode("overwrite").parquet(f"{undelivered}/batch_id={batch_id}")
         batch.unpersist()
 
-    return _each_batch(enriched, checkpoint, write)
+    return _each_batch(enriched, checkpoint, write, trigger=trigger)
 
 
 def windowed_rates(routed: DataFrame, width: str = "1 minute", seconds: int = 60, delay: str | None = None) -> DataFrame:
@@ -187,10 +239,12 @@ def windowed_rates(routed: DataFrame, width: str = "1 minute", seconds: int = 60
     )
 
 
-def rates(routed: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
+def rates(
+    routed: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", trigger: dict | None = None
+) -> StreamingQuery:
     """Windows changed by each batch; the newest batch of a window counts."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return _each_batch(windowed_rates(routed, delay=delay), checkpoint, write, "update")
+    return _each_batch(windowed_rates(routed, delay=delay), checkpoint, write, "update", trigger)

@@ -1047,7 +1047,7 @@ def counter_snapshot(spark, sf):
     renamed = now.withColumn(
         "bucket", F.when(F.col("bucket") == "dlq_counts", "alert_ingested").otherwise(F.col("bucket"))
     )
-    unknown = now.limit(1).select(F.lit("other").alias("bucket"), "name", "value")
+    unknown = now.agg(F.max("name").alias("name"), F.max("value").alias("value")).select(F.lit("other").alias("bucket"), "name", "value")
     saved = metrics.from_counter_keys(metrics.counter_keys(renamed.unionByName(unknown)))
     snapshot = saved.withColumn("updated_at", F.timestamp_seconds(F.lit(1)))
     return metrics.add_to_snapshot(snapshot, now, F.timestamp_seconds(F.lit(2))).select(

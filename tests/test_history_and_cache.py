@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +186,46 @@ def test_cached_history_reuses_the_first_result(spark):
     ids = {a: [e["event_id"] for e in r["events"]] for a, r in rows.items()}
     assert ids == {"a0": ["e-10"], "a1": ["e-10"], "a2": ["e-10"], "a3": ["e850", "e50", "e-10"], "a4": ["e1990", "e850", "e50", "e-10"]}
     assert [rows[f"a{i}"]["cache_hit"] for i in range(5)] == [False, True, True, False, False]
+
+
+def test_overlapping_and_tied_versions(spark):
+    r = random.Random(8)
+    versions = [("a", 1, 100, "old"), ("a", 5, 7, "short"), ("b", 1, None, "x"), ("b", 1, 50, "y"), ("c", 3, 3, "empty")]
+    for k in range(6):
+        for _ in range(8):
+            start = r.randint(0, 40)
+            versions.append((f"r{k}", start, r.choice([None, start + r.randint(0, 15), start + r.randint(0, 60)]), str(r.random())))
+    table = spark.createDataFrame(versions, "resource_key string, f long, t long, payload string").selectExpr(
+        "resource_key", "timestamp_micros(f) AS valid_from", "timestamp_micros(t) AS valid_to", "payload"
+    )
+    moments = [(k, at) for k in ["a", "b", "c", "none", *(f"r{k}" for k in range(6))] for at in range(0, 110, 3)] * 2
+    got = resources.state_at(spark.createDataFrame(moments, "resource_key string, at long"), table).collect()
+    want = {}
+    for key, at in moments:
+        valid = [(f, t is None, t or 0, p) for k, f, t, p in versions if k == key and f <= at and (t is None or at < t)]
+        if valid:
+            want[key, at] = max(valid)[3]
+    assert {(x["resource_key"], x["at"]): x["payload"] for x in got} == want and len(got) == len(want)
+    assert want["a", 9] == "old" and want["a", 6] == "short" and want["b", 60] == "x"
+
+
+def test_history_reads_the_events_in_reach_and_groups_no_text(spark, tmp_path):
+    rows = [("u", 1_000_000 * k, f"e{k}", f'{{"k":{k}}}') for k in range(0, 20_000, 500)] + [("u", 9_500_000_000, "e9500", '{"k":0}')]
+    path = str(tmp_path / "audit")
+    spark.createDataFrame(rows, "username string, at long, event_id string, cloudtrail_event string").selectExpr(
+        "username", "timestamp_micros(at) AS event_time", "event_id", "cloudtrail_event"
+    ).write.parquet(path)
+    audit = spark.read.parquet(path)
+    probes = spark.createDataFrame([("u", 10_000), ("v", 10_000), (None, 5)], "username string, s long").selectExpr(
+        "username", "timestamp_seconds(s) AS received_at"
+    )
+    pairs = history.history_pairs(probes, audit, lookback_minutes=30)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"event_time#\d+ >= 1970-01-01 02:16:40", plan) and re.search(r"event_time#\d+ <= 1970-01-01 02:46:40", plan)
+    found = history.histories(pairs, audit)
+    # Both copies of an event show, with the greater text.
+    (row,) = found.collect()
+    assert [e["event_id"] for e in row["events"]] == ["e10000", "e9500", "e9500", "e9000", "e8500"]
+    assert {e["cloudtrail_event"] for e in row["events"][1:3]} == {'{"k":9500}'}
+    text_plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "max(cloudtrail_event" not in text_plan and "SortAggregate" not in text_plan

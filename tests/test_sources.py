@@ -145,3 +145,15 @@ def test_queue_snapshots(spark):
     assert (rows[0]["publish_rate"], rows[0]["deliver_rate"], rows[0]["messages"]) == (1.24, 2.0, 5)
     assert (rows[1]["messages"], rows[1]["state"], rows[1]["publish_rate"]) == (0, "unknown", 0.0)
     assert rows[2]["messages"] is None and rows[2]["name"] == ""
+
+
+def test_a_position_with_a_gap_gives_no_shared_id(spark):
+    messages = spark.createDataFrame(
+        [(b'{"a":1}', None, "t", 0, None), (b'{"a":2}', None, "t", 0, None), (b'{"a":2}', None, "t", 0, None)],
+        "value binary, key binary, topic string, partition int, offset long",
+    )
+    ids = [r["alert_id"] for r in normalise.kafka(messages).collect()]
+    assert len(set(ids)) == 2
+    rows = [(b'{"a":1}', None, None, {}, "s"), (b'{"a":2}', None, None, {}, "s"), (b'{"a":3}', "b|c", None, {}, "a"), (b'{"a":3}', "c", None, {}, "a|b")]
+    df = spark.createDataFrame(rows, "data binary, message_id string, publish_time timestamp, attributes map<string,string>, subscription string")
+    assert len({r["alert_id"] for r in normalise.pubsub(df).collect()}) == 4
