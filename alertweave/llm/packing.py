@@ -106,10 +106,10 @@ def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
     """Non-negative least squares by active sets (Lawson and Hanson)."""
-    gram, right = a.T @ a, a.T @ b
+    right = a.T @ b
     x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], dtype=bool)
     for _ in range(rounds):
-        gain = right - gram @ x
+        gain = a.T @ (b - a @ x)
         gain[passive] = -np.inf
         j = int(np.argmax(gain))
         if gain[j] <= 1e-7 * max(1.0, np.abs(right).max()):
@@ -117,7 +117,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
         passive[j] = True
         while True:
             on = np.flatnonzero(passive)
-            z = np.linalg.solve(gram[np.ix_(on, on)] + 1e-9 * np.eye(len(on)), right[on])
+            part = a[:, on]
+            z = np.linalg.solve(part.T @ part + 1e-9 * np.eye(len(on)), right[on])
             if (z > 0).all():
                 x[:] = 0
                 x[on] = z
