@@ -11,6 +11,14 @@ def start_checkpoint(now: Column, backfill_minutes: int) -> Column:
     return now - F.make_dt_interval(mins=F.lit(backfill_minutes))
 
 
+def event_time(row: str = "row") -> Column:
+    """The time a search result gives itself (``_time`` of its JSON text); NULL where it has none that can be read.
+
+    Polls that advance on event time add it to the rows before they are normalised, or read it stored as a column.
+    """
+    return F.get_json_object(row, "$._time").try_cast("timestamp")
+
+
 def poll(rows: DataFrame, time_column: str, checkpoint: Column, now: Column) -> DataFrame:
     """Rows from the checkpoint to ``now``, both ends included."""
     return rows.filter(F.col(time_column).between(checkpoint, now))

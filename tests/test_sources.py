@@ -157,3 +157,12 @@ def test_a_position_with_a_gap_gives_no_shared_id(spark):
     rows = [(b'{"a":1}', None, None, {}, "s"), (b'{"a":2}', None, None, {}, "s"), (b'{"a":3}', "b|c", None, {}, "a"), (b'{"a":3}', "c", None, {}, "a|b")]
     df = spark.createDataFrame(rows, "data binary, message_id string, publish_time timestamp, attributes map<string,string>, subscription string")
     assert len({r["alert_id"] for r in normalise.pubsub(df).collect()}) == 4
+
+
+def test_polling_by_the_time_of_the_event(spark):
+    texts = ['{"_time":"2024-01-01T10:00:00Z"}', '{"_time":"2024-01-01T09:00:00Z"}', '{"_time":"2024-01-01T08:00:00+00:00"}', '{"_time":"soon"}', "{}"]
+    rows = spark.createDataFrame([(t,) for t in texts], "row string").withColumn("_time", polling.event_time())
+    now, start = (F.lit(f"2024-01-01 {h}:00:00").cast("timestamp") for h in ("09", "08"))
+    polled = polling.poll(rows, "_time", start, now)
+    assert sorted(r["row"] for r in polled.collect()) == sorted(texts[1:3])
+    assert polling.next_checkpoint(polled, "_time", start).first()[0].hour == 9
