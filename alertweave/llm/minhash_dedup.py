@@ -168,6 +168,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 
 PLACE = ["band", "bucket"]
+#: More bands than any setting has, and the class of the longest text.
+BANDS_MOST, CLASSES_MOST = 64, 24
 
 
 def _with_leaders(shared: DataFrame) -> DataFrame:
@@ -227,21 +229,45 @@ def _rest(able: DataFrame, percent: int) -> DataFrame:
     """Pairs of bucket mates in different components that may be linked, each pair in the first bucket that it shares.
 
     What two sets share lies within what both share with the bucket's middle, or else outside of it, where it is at
-    most what each shares with anyone. Pairs of which this bound falls short are no links.
+    most what each shares with anyone (``outside``). Members are classed by that number, and a member meets only
+    classes with which the bound can reach the similarity. Members of a bucket's largest component meet no one by
+    themselves, as they are compared with all others from the other side.
     """
-    places = able.groupBy("doc_id").agg(F.collect_set(F.struct(*PLACE)).alias("places"))
-    known = able.join(places, "doc_id")
-    own = ("doc_id", "part", "n", "common", "with_middle", "places")
-    left, right = (known.select(*PLACE, *[F.col(c).alias(f"{c}_{x}") for c in own]) for x in "ab")
     # The middle itself has nothing outside of it.
-    outside = F.greatest(F.least(*[F.col(f"common_{x}") - F.col(f"with_middle_{x}") for x in "ab"]), F.lit(0))
-    most = F.least("common_a", "common_b", F.least("with_middle_a", "with_middle_b") + outside)
+    outside = F.greatest(F.col("common") - F.col("with_middle"), F.lit(0))
+    known = able.withColumn("outside", outside).withColumn("class", F.floor(F.log2(F.col("outside") + 1)).cast("int"))
+    open_places = able.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("band", "bucket"))).alias("m"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS_MOST - 1)), lambda i: F.try_element_at("m", i))
+    known = known.join(open_places.select("doc_id", bands.alias("places")), "doc_id")
+    largest = able.groupBy(*PLACE, "part").agg(F.count("*").alias("size")).groupBy(*PLACE).agg(
+        F.max(F.struct("size", "part")).alias("l")
+    )
+    least = able.groupBy(*PLACE).agg(F.min("n").alias("least"))
+    known = known.join(largest.select(*PLACE, F.col("l.part").alias("largest")).join(least, PLACE), PLACE)
+
+    own = ("doc_id", "part", "n", "common", "with_middle", "outside", "places")
+    side = lambda df, x: df.select(*PLACE, "class", *[F.col(c).alias(f"{c}_{x}") for c in own], F.col("single").alias(f"single_{x}"))
+    known = known.withColumn("single", F.col("part") != F.col("largest"))
+    most = F.least("common", F.col("with_middle") + F.least(F.col("outside"), F.pow(F.lit(2), F.col("c") + 1).cast("long") - 2))
+    reached = (
+        known.where("single")
+        .withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(CLASSES_MOST))))
+        .where(100 * most >= percent * (F.col("n") + F.col("least") - most))
+        .withColumn("class", F.col("c"))
+    )
+    left, right = side(reached, "a"), side(known, "b")
+    both = F.least(
+        "common_a", "common_b", F.least("with_middle_a", "with_middle_b") + F.least("outside_a", "outside_b")
+    )
+    earlier = F.zip_with(
+        F.slice("places_a", F.lit(1), F.col("band")), F.slice("places_b", F.lit(1), F.col("band")), lambda x, y: F.coalesce(x == y, F.lit(False))
+    )
     return (
-        left.join(right, PLACE)
-        .where("doc_id_a < doc_id_b and part_a <> part_b")
-        .where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
-        .where(F.array_min(F.array_intersect("places_a", "places_b")) == F.struct(*PLACE))
-        .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+        left.join(right, [*PLACE, "class"])
+        .where("part_a <> part_b and (doc_id_a < doc_id_b or not single_b)")
+        .where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
+        .where(~F.exists(earlier, lambda x: x))
+        .select(*_pair("doc_id_a", "doc_id_b"))
     )
 
 
