@@ -231,7 +231,9 @@ def classified(
     scored = with_evidence(base, w)
     out = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left").drop("h", "p")
     odds = F.col("evidence") + trust * (_logit(F.col("path_posterior")) - _logit(F.col("global_share")))
-    return out.withColumn("probability", _sure(odds)).withColumn("kept", F.col("probability") >= least).drop("global_share")
+    # Without a model nothing speaks against a document.
+    kept = F.col("probability") >= least if w.any() else F.lit(True)
+    return out.withColumn("probability", _sure(odds)).withColumn("kept", kept).drop("global_share")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
