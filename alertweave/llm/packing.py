@@ -16,6 +16,7 @@ A null text is empty and still has its end id. Empty tables give no rows. Rows t
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import zlib
 from collections import defaultdict
@@ -23,6 +24,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,49 +35,95 @@ from alertweave.session import materialise
 SALTS = 64
 
 
+class _Memory:
+    """Ids of the words that a worker has met, in one array, up to a bound."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, dtype="<u4")
+        self.stops = np.zeros(1 << 14, dtype=np.int64)
+
+    def look_up(self, words: list[str], most: int = 500_000) -> np.ndarray:
+        """The number of each word; words not met before are tokenised."""
+        new = [w for w in words if w not in self.index]
+        if len(self.index) + len(new) > most:
+            self.clear()
+            new = words
+        n = len(self.index)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        self.index.update(zip(new, range(n, n + len(new)), strict=True))
+        stops = np.cumsum([len(x) for x in found], dtype=np.int64) + (self.stops[n - 1] if n else 0)
+        for name, size in (("stops", n + len(new)), ("ids", int(stops[-1]) if len(new) else 0)):
+            held = getattr(self, name)
+            if size > len(held):
+                setattr(self, name, np.concatenate((held, np.zeros(2 * size - len(held), held.dtype))))
+        if len(new):
+            self.stops[n : n + len(new)] = stops
+            self.ids[(self.stops[n - 1] if n else 0) : stops[-1]] = np.fromiter(itertools.chain.from_iterable(found), "<u4")
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+
 @functools.cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def _memory(path: str) -> _Memory:
+    return _Memory(path)
+
 
-    return Tokenizer.from_file(path), {}
+#: Signs that a sentence or a word may end with; after a letter or digit they are tokens of their own.
+SIGNS = ".,;:!?&$#%*"
 
 
-def _word_ids(words: list[str], path: str, most: int = 200_000) -> list[np.ndarray]:
-    """Ids of each word; what was met before in this worker is remembered, up to a bound."""
-    tokenizer, known = _tokenizer(path)
-    new = [w for w in words if w not in known]
-    if len(known) + len(new) > most:
-        known.clear()
-        new = words
-    for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, dtype="<u4")
-    return [known[w] for w in words]
+def _parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each word without the signs at its end, in lower case, and these signs; both parts tokenise by themselves.
+
+    The tokenizer splits letters and digits from signs and lower-cases all but its special tokens.
+    """
+    words = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
+    short = pc.utf8_rtrim(words, characters=SIGNS)
+    whole = pc.invert(pc.or_(pc.match_substring_regex(short, r"[\p{L}\p{N}]$"), pc.equal(short, "")))
+    short = pc.if_else(whole, words, short)
+    # What stands after the short form: as it is ASCII, as many bytes as code points.
+    sign_bytes = pc.subtract(pc.binary_length(words), pc.binary_length(short)).to_numpy(zero_copy_only=False)
+    signs = [w[-n:] if n else "" for w, n in zip(words.to_pylist(), sign_bytes, strict=True)] if sign_bytes.any() else [""] * len(words)
+    return short, pa.array(signs, pa.string())
 
 
 def token_ids(texts: pa.Array, path: str, end: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, each with the end id, and where each text begins.
 
-    The tokenizer drops white space and merges nothing across it, so stretches between blanks and line ends are
-    tokenised once for each distinct one.
+    The tokenizer drops white space and merges nothing across it, so words are tokenised once for each distinct one.
     """
-    import pyarrow.compute as pc
-
-    lists = pc.split_pattern_regex(pc.fill_null(texts, ""), "[ \n]+")
+    memory = _memory(path)
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     flat = lists.flatten().dictionary_encode()
     codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    ids = _word_ids(flat.dictionary.to_pylist(), path)
-    ids.append(np.array([end], dtype="<u4"))
+    coded = [p.dictionary_encode() for p in _parts(flat.dictionary)]
+    names = pc.unique(pa.concat_arrays([c.dictionary for c in coded]))
+    known = memory.look_up(names.to_pylist())
+    # Two units a word, of which the second may be empty.
+    units = np.empty((len(codes), 2), dtype=np.int64)
+    for i, c in enumerate(coded):
+        numbers = known[pc.index_in(c.dictionary, names).to_numpy(zero_copy_only=False)]
+        units[:, i] = numbers[c.indices.to_numpy(zero_copy_only=False)][codes] if len(codes) else 0
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     stops = np.cumsum(sizes)
-    codes = np.insert(codes, stops, len(ids) - 1)  # the end id after each text
-    n = np.array([len(x) for x in ids])
-    begin = np.cumsum(n) - n
-    per = n[codes]
-    at = np.cumsum(per) - per
-    out = np.concatenate(ids)[np.repeat(begin[codes] - at, per) + np.arange(per.sum())]
-    first = np.concatenate(([0], stops + np.arange(1, len(sizes) + 1)))
-    return out, np.concatenate((at, [per.sum()]))[first]
+    units = units.reshape(-1)
+    first = np.where(units > 0, memory.stops[units - 1], 0)
+    n = memory.stops[units] - first
+    # The end id after each text is one more unit, put in as a place behind all ids.
+    last = len(memory.ids)
+    first, n = np.insert(first, 2 * stops, last), np.insert(n, 2 * stops, 1)
+    at = np.cumsum(n) - n
+    source = np.append(memory.ids, np.uint32(end))
+    out = source[np.repeat(first - at, n) + np.arange(n.sum())]
+    begin = np.concatenate(([0], 2 * stops + np.arange(1, len(sizes) + 1)))
+    return out, np.concatenate((at, [n.sum()]))[begin]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
