@@ -73,6 +73,8 @@ def fit(
     w, seen = np.zeros(SIZE), np.full(SIZE, 1e-3)
     if not len(good) or good.all() or not good.any():
         return w
+    # A small sample is gone through more often.
+    passes = max(passes, min(40, 10_000 // len(good)))
     rng = np.random.default_rng(11)
     for _ in range(passes):
         order = rng.permutation(len(good))

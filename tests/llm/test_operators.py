@@ -257,7 +257,8 @@ def test_merkle_fingerprints(docs, nothing):
         assert got[i]["n_chars"] == len(t)
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert 0 <= got[i]["near_next"] <= 1
-        if len(words(t)) > 40 and t != after:
+        # Texts 0 to 29 have nothing in common; later ones are copies of each other.
+        if len(words(t)) > 40 and k < 29:
             assert 0.2 < got[i]["near_edited"] < 1 and got[i]["near_edited"] > got[i]["near_next"]
     prints = collections.defaultdict(set)
     for i, t in TEXTS:
