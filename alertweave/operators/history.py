@@ -47,10 +47,16 @@ def eligibility(identified: DataFrame) -> DataFrame:
         F.concat(F.lit("skipped: unsupported provider="), who["provider"]).alias("error"),
         F.lit("PrincipalSkipped").alias("type"),
     )
+    timeless = F.struct(
+        F.lit("principal_history").alias("enricher"),
+        F.lit("alert has no time to look back from").alias("error"),
+        F.lit("PreconditionError").alias("type"),
+    )
+    no_time = F.col("received_at").isNull() if "received_at" in identified.columns else F.lit(False)
     return P.compute(
         identified,
-        eligible=F.coalesce(supported, F.lit(False)),
-        history_error=F.when(who.isNull(), missing).when(~supported, skipped).cast(I.ERROR_TYPE),
+        eligible=F.coalesce(supported, F.lit(False)) & ~no_time,
+        history_error=F.when(who.isNull(), missing).when(~supported, skipped).when(no_time, timeless).cast(I.ERROR_TYPE),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,18 @@ PUBLISH_FAILED = "publish_failed"
 STORED_ALERT = ["alert_id", "source", "received_at", "raw_payload", "metadata"]
 
 
+def earliest(rows: DataFrame) -> DataFrame:
+    """One row for each ``alert_id``: the earliest copy, one without a time only where no copy has one.
+
+    The order itself is never null, as ``min_by`` passes over rows without one. Copies of one instant are told apart by
+    a hash of what they hold.
+    """
+    rest = [c for c in rows.columns if c != "alert_id"]
+    hashed = [f.name for f in rows.schema if f.name in rest and not re.search(r"\b(?:map|variant)\b", f.dataType.simpleString())]
+    order = F.struct(F.col("received_at").isNull(), F.col("received_at"), F.xxhash64(*hashed))
+    return rows.groupBy("alert_id").agg(F.min_by(F.struct(*rest), order).alias("_first")).select("alert_id", "_first.*")
+
+
 def write_queues(routed: DataFrame, path: str, mode: str = "append") -> None:
     """One pass over the input, one folder per queue; dead letters go to their own queue's folder."""
     rows = routed.select(

@@ -12,7 +12,7 @@ from alertweave import settings as S
 from alertweave.functions import identity as I
 from alertweave.functions import payload as P
 from alertweave.operators import extract, history, resources
-from alertweave.operators.queues import STORED_ALERT
+from alertweave.operators.queues import STORED_ALERT, earliest
 from alertweave.session import materialise
 
 Step = Callable[[DataFrame], DataFrame]
@@ -140,9 +140,7 @@ def cloudtrail(
 
     def identity(df: DataFrame) -> DataFrame:
         # Copies of an alert are enriched once, as of the earliest; the payload is gone before they are brought together.
-        found = history.identify(df).drop("payload")
-        rest = F.struct(*[c for c in found.columns if c != "alert_id"])
-        return found.groupBy("alert_id").agg(F.min_by(rest, "received_at").alias("_first")).select("alert_id", "_first.*")
+        return earliest(history.identify(df).drop("payload"))
 
     steps = (
         Enricher("principal_identity", identity, (), "identity_error"),

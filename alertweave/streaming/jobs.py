@@ -133,8 +133,7 @@ def append_new(alerts: DataFrame, path: str, checkpoint: str, trigger: dict | No
     """Alerts whose id is not stored under ``path`` yet, however late they come; of repeats in a batch the earliest."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rest = F.struct(*[c for c in batch.columns if c != "alert_id"])
-        rows = batch.groupBy("alert_id").agg(F.min_by(rest, "received_at").alias("r")).select("alert_id", "r.*")
+        rows = queues.earliest(batch)
         if batch_id > 0:
             # A repeated batch must not meet its own first try.
             stored = batch.sparkSession.read.schema("alert_id string, batch_id bigint").parquet(path)

@@ -165,3 +165,15 @@ def test_whole_flow(spark, tmp_path, stored):
     counts = {(r["bucket"], r["name"]): r["value"] for r in metrics.counters(out.metric_events).collect()}
     assert counts[("alert_ingested", "kafka")] == 6 and counts[("dlq_counts", "no_route_matched")] == 1
     assert counts[("runbook_success", "cloud.aws.cloudtrail")] == 2
+
+
+def test_alerts_without_a_time_keep_their_columns(spark):
+    text = json.dumps({**CLOUD, "userIdentity": {"type": "IAMUser", "arn": ARN, "userName": "ann"}})
+    rows = spark.createDataFrame([("a", "s", text, "{}")] * 2, "alert_id string, source string, raw_payload string, metadata string")
+    routed = rows.withColumn("received_at", F.lit(None).cast("timestamp")).withColumn("queue", F.lit(S.QUEUE_CLOUDTRAIL))
+    audit = spark.createDataFrame([], "username string, event_time timestamp, event_id string, cloudtrail_event string")
+    known = spark.createDataFrame([], "resource_key string, valid_from timestamp, valid_to timestamp, payload string")
+    got = runbooks.cloudtrail(audit, known).enrich(routed, F.timestamp_seconds(F.lit(1))).collect()
+    assert [(r["alert"]["source"], r["alert"]["raw_payload"]) for r in got] == [("s", text)] * 2
+    assert all(json.loads(r["extracted"])["principal"]["normalized_id"] == ARN for r in got)
+    assert [e["error"] for e in json.loads(got[0]["extracted"])["enricher_errors"]] == ["alert has no time to look back from"]

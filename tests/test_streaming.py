@@ -118,3 +118,12 @@ def test_rates(spark, tmp_path):
     newest = stored.groupBy("window_start", "queue").agg(F.max_by("alerts", "batch_id").alias("alerts"))
     want = jobs.windowed_rates(rows).select("window_start", "queue", "alerts")
     assert sorted(map(tuple, newest.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_append_new_keeps_alerts_without_a_time(spark, tmp_path):
+    rows = spark.createDataFrame([("a", None, "p"), ("a", None, "p"), ("b", None, "q"), ("b", 7, "r"), ("b", 9, "s"), ("c", 1, "t")],
+        "alert_id string, t int, raw_payload string").select("alert_id", F.timestamp_seconds("t").alias("received_at"), "raw_payload")
+    out = str(tmp_path / "out")
+    jobs.append_new(as_stream(spark, [rows], str(tmp_path / "in")), out, str(tmp_path / "ckpt")).awaitTermination()
+    got = spark.read.parquet(out).selectExpr("alert_id", "unix_seconds(received_at)", "raw_payload")
+    assert sorted(map(tuple, got.collect())) == [("a", None, "p"), ("b", 7, "r"), ("c", 1, "t")]
