@@ -5,11 +5,10 @@
    group comes again, a repeated one; a text that differs becomes a slot. Each task keeps one wrapper for each host
    it meets; these are aligned with each other host by host, so a host with most of the pages costs one small wrapper
    a task.
-2. Groups of a wrapper are told apart once: the content is what lies in the article (or main part, or, where a host has
-   neither, the group that holds most of the text in slots), without menus, headers, sidebars, notices, adverts, forms
-   and reader comments.
-3. Every page is read again, with its host's wrapper joined by host. Texts in content groups are kept, whole. A group
-   that the wrapper does not know is judged by its own tags.
+2. Every page is read again, with its host's wrapper joined by host. Its layout is its own: the article or main part, else
+   groups with a content-like class, else the group that holds most of the host's text in slots, else all that its tags
+   do not rule out. Menus, headers, sidebars, notices, adverts, forms and reader comments are left out. Class and id words never rule out html, body or a
+   main group, nor an article where the page has no other.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by an
 empty line. A null or broken page gives what can be read of it; a page without a host is a host of its own kind.
@@ -114,6 +113,10 @@ def stream(page: str) -> Iterator[tuple[str, tuple[str, ...]]]:
 # A wrapper is a list of groups [key, optional, repeated, inner groups]; a text is a group with the key TEXT.
 
 
+def _block(pieces: list[str]) -> str:
+    return " ".join(entities.unescape("".join(pieces)).split())
+
+
 def _page_tree(page: str) -> tuple[list, dict[str, str], Counter]:
     """The stream of a page as groups, its texts by path, and the length of the texts by path."""
     root: list = []
@@ -207,26 +210,36 @@ class Wrapper:
         return cls(*json.loads(text))
 
 
+@functools.lru_cache(maxsize=65536)
 def _noise(key: str) -> bool:
     """Whether a group is none of the article, by its tag, class, id or role."""
     tag, *marks = re.split(r"[.!~]", key)
-    return tag in DROPPED or key.partition("~")[2] in ROLES or any(NOISE.search(m) for m in marks)
+    return _ruled_out(key) or tag not in ("html", "body") and any(NOISE.search(m) for m in marks)
+
 
+@functools.lru_cache(maxsize=65536)
+def _ruled_out(key: str) -> bool:
+    """Whether its tag or role alone says so."""
+    return re.split(r"[.!~]", key)[0] in DROPPED or key.partition("~")[2] in ROLES
 
+
+@functools.lru_cache(maxsize=65536)
 def _main(key: str) -> bool:
     tag = re.split(r"[.!~]", key)[0]
     return tag in ("article", "main") or key.endswith("~main")
 
 
+@functools.lru_cache(maxsize=65536)
 def _like_main(key: str) -> bool:
-    return any(MAIN.search(m) for m in re.split(r"[.!~]", key)[1:])
+    tag, *marks = re.split(r"[.!~]", key)
+    return tag not in ("html", "body") and any(MAIN.search(m) for m in marks)
 
 
 @functools.lru_cache(maxsize=512)
-def rules_of(wrapper: str | None) -> tuple[str, frozenset[str]]:
-    """How a host's pages hold their article: 'main' for a tag of its own, else the paths of the content groups."""
+def rules_of(wrapper: str | None) -> str | None:
+    """The path of the group that holds a host's text in slots, if there is one."""
     if not wrapper:
-        return "main", frozenset()
+        return None
     w = Wrapper.load(wrapper)
     paths: list[tuple[str, ...]] = []
 
@@ -238,11 +251,6 @@ def rules_of(wrapper: str | None) -> tuple[str, frozenset[str]]:
 
     walk(w.groups or [], ())
     clean = [p for p in paths if not any(_noise(k) for k in p)]
-    if any(_main(k) for p in clean for k in p):
-        return "main", frozenset()
-    marked = [p for p in clean if _like_main(p[-1])]
-    if marked:
-        return "paths", frozenset("/".join(p) for p in marked)
     # The smallest group that holds nine tenths of the text that changes from page to page.
     slots = {p: n for p, n in w.lengths.items() if w.texts.get(p) is None and not any(_noise(k) for k in p.split("/"))}
     total, choice = sum(slots.values()), ""
@@ -250,45 +258,73 @@ def rules_of(wrapper: str | None) -> tuple[str, frozenset[str]]:
         inside = sum(n for q, n in slots.items() if q == p or q.startswith(p + "/"))
         if p.startswith(choice) and total and inside >= 0.9 * total:
             choice = p
-    return "paths", frozenset([choice])
+    return choice or None
 
 
-def main_text(page: str | None, wrapper: str | None) -> str:
-    """Blocks of the article of a page, joined by empty lines."""
-    kind, paths = rules_of(wrapper)
-    known: dict[tuple[str, ...], bool] = {}
-
-    def content(stack: tuple[str, ...]) -> bool:
-        if kind == "main":
-            first = next((i for i, k in enumerate(stack) if _main(k)), None)
-            if first is None:
-                return False
-            # A header in the article holds its title; the page's own stands outside.
-            inner = [k for k in stack[first:] if not k.startswith("header")]
-            return not any(_noise(k) for k in (*stack[:first], *inner)) and not any(k.startswith("header") for k in stack[:first])
+def _in_main(stack: tuple[str, ...], above_counts: bool = True, main_counts: bool = True) -> bool:
+    """Whether a text lies in a main group; class and id words of what is above it, or of main groups, may be told not to count."""
+    first = next((i for i, k in enumerate(stack) if _main(k)), None)
+    if first is None or any(k.startswith("header") for k in stack[:first]):
+        return False
+    if any(_noise(k) if above_counts else _ruled_out(k) and not k.startswith("form") for k in stack[:first]):
+        return False
+    # A header in the article holds its title; the page's own stands outside.
+    return not any(_noise(k) if main_counts or not _main(k) else _ruled_out(k) for k in stack[first:] if not k.startswith("header"))
+
+
+Blocks = list[tuple[tuple[str, ...], str]]
+
+
+def _content(blocks: Blocks, choice: str | None) -> Blocks:
+    """Blocks of the content groups of a page, by the first layout of which it has a group."""
+
+    def those(test) -> Blocks:
+        found = {stack: test(stack) for stack in {s for s, _ in blocks}}
+        return [b for b in blocks if found[b[0]]]
+
+    def length(some: Blocks) -> int:
+        return sum(len(text) for _, text in some)
+
+    def clean(stack: tuple[str, ...]) -> bool:
+        return not any(_noise(k) or k.startswith("header") for k in stack)
+
+    def under(stack: tuple[str, ...]) -> bool:
         path = "/".join(stack)
-        inside = any(not p or path == p or path.startswith(p + "/") for p in paths)
-        return inside and not any(_noise(k) or k.startswith("header") for k in stack)
+        return path == choice or path.startswith(f"{choice}/")
 
-    blocks: list[str] = []
-    held: list[str] = []
+    def article(stack: tuple[str, ...]) -> bool:
+        return any(re.match(r"article\b", k) for k in stack)
+
+    main, loose = those(_in_main), those(lambda s: _in_main(s, main_counts=False))
+    if main and (any(article(s) for s, _ in main) or length(loose) <= 2 * length(main)):
+        return main
+    return (
+        (loose if main else [])
+        or those(lambda s: clean(s) and any(_like_main(k) for k in s))
+        or loose
+        or (those(lambda s: clean(s) and under(s)) if choice else [])
+        or those(lambda s: _in_main(s, False, False))
+        or those(clean)
+    )
 
-    def end() -> None:
-        text = " ".join(entities.unescape("".join(held)).split())
-        if text:
-            blocks.append(text)
-        held.clear()
 
+def main_text(page: str | None, wrapper: str | None) -> str:
+    """Blocks of the article of a page, joined by empty lines."""
+    choice = rules_of(wrapper)
+    blocks: Blocks = []
+    held: list[str] = []
+    around: tuple[str, ...] = ()
     for text, stack in stream(page or ""):
-        if not text:
-            end()
-            continue
-        if stack not in known:
-            known[stack] = content(stack)
-        if known[stack]:
+        if text:
             held.append(text)
-    end()
-    return "\n\n".join(blocks)
+            around = stack
+        elif held:
+            blocks.append((around, _block(held)))
+            held.clear()
+    if held:
+        blocks.append((around, _block(held)))
+    found = _content([b for b in blocks if b[1]], choice)
+    return "\n\n".join(text for _, text in found)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:

@@ -387,6 +387,23 @@ def test_wrappers(spark):
     assert wrappers.extracted(df.limit(0)).count() == 0
 
 
+def wrapped(*pages):
+    w = wrappers.Wrapper()
+    for page in pages:
+        w.add(*wrappers._page_tree(page))
+    return [wrappers.main_text(page, w.dump()) for page in pages]
+
+
+def test_each_page_has_its_own_layout():
+    pages = ["<body><article><p>one</p></article>", "<body><div class=content><p>two</p></div><div class=sidebar>s</div>", "<body><div class=c><p>three</p></div>"]
+    assert wrapped(*pages) == ["one", "two", "three"]
+    for body, article in (("has-sidebar", "post"), ("search-results", "post"), ("", "post category-legal"), ("", "legal")):
+        page = f'<body class="{body}"><main class="has-sidebar"><article class="{article}"><p>long enough text</p></article></main><div class="related">r</div>'
+        assert wrapped(page) == ["long enough text"]
+    card = '<article class="related"><p>a much longer card than the text</p></article>'
+    assert wrapped(f"<body><article class=post><p>text</p></article>{card}", f"<body><div class=entry>text</div>{card}") == ["text"] * 2
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     w = wrappers.Wrapper()
     w.add(*wrappers._page_tree("<body><div class=a>x</div><p>1</p><p>2</p></body>"))
