@@ -5,9 +5,12 @@
    group comes again, a repeated one; a text that differs becomes a slot. Each task keeps one wrapper for each host
    it meets; these are aligned with each other host by host, so a host with most of the pages costs one small wrapper
    a task.
-2. Every page is read again, with its host's wrapper joined by host. Its layout is its own: the article or main part, else
+2. A wrapper also keeps, for each path, the blocks of text that every page with that path has. Where ``SUPPORT`` pages
+   with different texts agree on a block, it is a constant of the host, wherever it stands; all others are slots.
+3. Every page is read again, with its host's wrapper joined by host. Its layout is its own: the article or main part, else
    groups with a content-like class, else the group that holds most of the host's text in slots, else all that its tags
-   do not rule out. Menus, headers, sidebars, notices, adverts, forms and reader comments are left out. Class and id words never rule out html, body or a
+   do not rule out. Menus, headers, sidebars, notices, adverts, forms and reader comments are left out, and then the
+   host's constants, unless nothing but constants is there (copies of one page). Class and id words never rule out html, body or a
    main group, nor an article where the page has no other.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by an
@@ -18,6 +21,7 @@ Repeated rows are read each. Other columns stay out of the way.
 from __future__ import annotations
 
 import functools
+import hashlib
 import html as entities
 import json
 import re
@@ -56,6 +60,8 @@ MAIN = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content)(?:[\s_
 LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 td th dt dd pre blockquote".split())
 #: What stands for a text in the stream.
 TEXT = "#"
+#: Pages with different texts that must agree on a block before it is a constant.
+SUPPORT = 3
 
 
 def _key(tag: str, attributes: str) -> str:
@@ -113,17 +119,40 @@ def stream(page: str) -> Iterator[tuple[str, tuple[str, ...]]]:
 # A wrapper is a list of groups [key, optional, repeated, inner groups]; a text is a group with the key TEXT.
 
 
+def _mark(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
+
+
 def _block(pieces: list[str]) -> str:
     return " ".join(entities.unescape("".join(pieces)).split())
 
 
-def _page_tree(page: str) -> tuple[list, dict[str, str], Counter]:
-    """The stream of a page as groups, its texts by path, and the length of the texts by path."""
+def _page_tree(page: str) -> tuple[list, dict[str, str], Counter, dict[str, tuple[set[int], list[int]]]]:
+    """The stream of a page as groups; by path its texts, their length, and marks of its blocks with the mark of the page."""
     root: list = []
     open_groups: list[tuple[str, list]] = []
     texts: dict[str, str] = {}
     lengths: Counter = Counter()
+    marks: dict[tuple[str, ...], set[int]] = {}
+    ruled_out: dict[tuple[str, ...], bool] = {}
+    held: list[str] = []
+    around: tuple[str, ...] = ()
+
+    def end() -> None:
+        block = _block(held)
+        held.clear()
+        if block:
+            marks.setdefault(around, set()).add(_mark(block))
+
     for text, stack in stream(page):
+        if not text:
+            end()
+        else:
+            if stack not in ruled_out:
+                ruled_out[stack] = any(_noise(k) for k in stack)
+            if not ruled_out[stack] or any(_main(k) for k in stack):
+                held.append(text)
+                around = stack
         same = 0
         while same < min(len(stack), len(open_groups)) and stack[same] == open_groups[same][0]:
             same += 1
@@ -144,7 +173,9 @@ def _page_tree(page: str) -> tuple[list, dict[str, str], Counter]:
             lengths[path] += len(text)
             if texts.setdefault(path, text) != text:
                 texts[path] = None
-    return fold(root), texts, lengths
+    end()
+    whole = _mark(" ".join(str(m) for m in sorted(set().union(*(m for k, m in marks.items() if not ruled_out[k])))))
+    return fold(root), texts, lengths, {"/".join(k): (m, [whole]) for k, m in marks.items()}
 
 
 def fold(groups: list) -> list:
@@ -186,13 +217,17 @@ def align(one: list, two: list) -> list:
 
 
 class Wrapper:
-    """Groups of a host's pages, the text that all pages have at a path (None for a slot), and text lengths by path."""
+    """Groups of a host's pages, the text that all pages have at a path (None for a slot), and text lengths by path.
 
-    def __init__(self, groups: list | None = None, texts: dict | None = None, lengths: dict | None = None):
+    ``marks`` holds for each path the blocks that all pages with it have, and the least ``SUPPORT`` marks of such pages.
+    """
+
+    def __init__(self, groups: list | None = None, texts: dict | None = None, lengths: dict | None = None, marks: dict | None = None):
         self.groups, self.texts, self.lengths = groups, texts or {}, Counter(lengths or {})
+        self.marks = {path: (set(blocks), pages) for path, (blocks, pages) in (marks or {}).items()}
         self.seen: set[str] = set()
 
-    def add(self, groups: list, texts: dict, lengths: dict) -> None:
+    def add(self, groups: list, texts: dict, lengths: dict, marks: dict) -> None:
         mark = json.dumps(groups)
         if mark not in self.seen:
             self.seen.add(mark)
@@ -201,9 +236,17 @@ class Wrapper:
             if self.texts.setdefault(path, text) != text:
                 self.texts[path] = None
         self.lengths.update(lengths)
-
-    def dump(self) -> str:
-        return json.dumps([self.groups, self.texts, self.lengths])
+        for path, (blocks, pages) in marks.items():
+            if path in self.marks:
+                all_have, known = self.marks[path]
+                self.marks[path] = (all_have & blocks, sorted({*known, *pages})[:SUPPORT])
+            else:
+                self.marks[path] = (set(blocks), pages)
+
+    def dump(self, whole: bool = False) -> str:
+        """As text; of a whole host, without marks that are no constants."""
+        marks = {p: (sorted(b), n) for p, (b, n) in self.marks.items() if not whole or b and len(n) == SUPPORT}
+        return json.dumps([self.groups, self.texts, self.lengths, marks])
 
     @classmethod
     def load(cls, text: str) -> Wrapper:
@@ -236,10 +279,10 @@ def _like_main(key: str) -> bool:
 
 
 @functools.lru_cache(maxsize=512)
-def rules_of(wrapper: str | None) -> str | None:
-    """The path of the group that holds a host's text in slots, if there is one."""
+def rules_of(wrapper: str | None) -> tuple[str | None, dict[str, set[int]]]:
+    """The path of the group that holds a host's text in slots, if there is one, and its constants by path."""
     if not wrapper:
-        return None
+        return None, {}
     w = Wrapper.load(wrapper)
     paths: list[tuple[str, ...]] = []
 
@@ -258,7 +301,7 @@ def rules_of(wrapper: str | None) -> str | None:
         inside = sum(n for q, n in slots.items() if q == p or q.startswith(p + "/"))
         if p.startswith(choice) and total and inside >= 0.9 * total:
             choice = p
-    return choice or None
+    return choice or None, {p: b for p, (b, pages) in w.marks.items() if len(pages) >= SUPPORT}
 
 
 def _in_main(stack: tuple[str, ...], above_counts: bool = True, main_counts: bool = True) -> bool:
@@ -310,7 +353,7 @@ def _content(blocks: Blocks, choice: str | None) -> Blocks:
 
 def main_text(page: str | None, wrapper: str | None) -> str:
     """Blocks of the article of a page, joined by empty lines."""
-    choice = rules_of(wrapper)
+    choice, constants = rules_of(wrapper)
     blocks: Blocks = []
     held: list[str] = []
     around: tuple[str, ...] = ()
@@ -324,7 +367,9 @@ def main_text(page: str | None, wrapper: str | None) -> str:
     if held:
         blocks.append((around, _block(held)))
     found = _content([b for b in blocks if b[1]], choice)
-    return "\n\n".join(text for _, text in found)
+    nothing: set[int] = set()
+    slots = [text for stack, text in found if constants and _mark(text) not in constants.get("/".join(stack), nothing)]
+    return "\n\n".join(slots or [text for _, text in found])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -355,8 +400,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
         whole = Wrapper()
         for text in sorted(rows["wrapper"]):
             w = Wrapper.load(text)
-            whole.add(w.groups, w.texts, w.lengths)
-        return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [whole.dump()]})
+            whole.add(w.groups, w.texts, w.lengths, w.marks)
+        return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [whole.dump(whole=True)]})
 
     found = pages.select("host", "html").mapInArrow(run, "host string, wrapper string")
     return found.groupBy("host").applyInPandas(merge, "host string, wrapper string")

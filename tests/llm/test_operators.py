@@ -391,7 +391,7 @@ def wrapped(*pages):
     w = wrappers.Wrapper()
     for page in pages:
         w.add(*wrappers._page_tree(page))
-    return [wrappers.main_text(page, w.dump()) for page in pages]
+    return [wrappers.main_text(page, w.dump(whole=True)) for page in pages]
 
 
 def test_each_page_has_its_own_layout():
@@ -404,6 +404,17 @@ def test_each_page_has_its_own_layout():
     assert wrapped(f"<body><article class=post><p>text</p></article>{card}", f"<body><div class=entry>text</div>{card}") == ["text"] * 2
 
 
+def test_constants_of_a_host_are_dropped_and_slots_kept():
+    page = "<body><main><article><h1>T{0}</h1><p>About {0}.</p>{1}<p>Tell &amp; <b>your</b> friends</p></article></main>"
+    got = wrapped(*(page.format(i, f"<p>more {i}</p>" * (i % 3)) for i in range(6)))
+    assert got == ["\n\n".join([f"T{i}", f"About {i}.", *[f"more {i}"] * (i % 3)]) for i in range(6)]
+    # Copies of one page, and too few pages to tell.
+    copy = "T1\n\nAbout 1.\n\nTell & your friends"
+    assert wrapped(*[page.format(1, "")] * 5) == [copy] * 5
+    assert wrapped(*(page.format(1, "") + f"<div>date {i}</div>" for i in range(5))) == [copy] * 5
+    assert wrapped(page.format(1, ""), page.format(2, ""))[0] == copy
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     w = wrappers.Wrapper()
     w.add(*wrappers._page_tree("<body><div class=a>x</div><p>1</p><p>2</p></body>"))
