@@ -341,6 +341,26 @@ def test_classifier_learns_and_shrinks(spark, nothing):
     assert out[None]["host_posterior"] > 0
 
 
+def test_toxic_passages_of_long_documents_are_found(spark):
+    r = random.Random(8)
+    usual = [f"w{i}" for i in range(400)]
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 4 == 0
+        w = [r.choice(usual) for _ in range(1500 if i % 8 == 0 else 80)]
+        if toxic:
+            w[40:52] = [r.choice(["vile", "idiot", "scum"]) for _ in range(12)]
+        rows.append((i, " ".join(w), "en", "s"))
+        if i % 3:
+            labels.append((i, 1, int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = by_id(quality_classifier.classified(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    held = [i for i in range(1200) if i % 3 == 0]
+    long = [i for i in held if i % 8 == 0]
+    assert sum(not got[i]["kept"] for i in long) / len(long) > 0.95
+    assert sum(got[i]["kept"] for i in held if i % 4) / sum(i % 4 > 0 for i in held) > 0.95
+
+
 def test_licences(spark, docs, nothing):
     rows = [
         ("r/LICENSE", "Released under the MIT License.\nfoo bar"),
