@@ -199,10 +199,13 @@ def replay(lookups: DataFrame, ttl_micros: int, lives_per_stretch: int = LIVES_P
 
     Look-ups of one instant are taken in the order of their ids.
     """
+    return served(lookups, anchors(lookups, ttl_micros, lives_per_stretch), ttl_micros)
+
+
+def served(lookups: DataFrame, opened: DataFrame, ttl_micros: int) -> DataFrame:
+    """Look-ups with ``hit`` and ``served_by``, given the anchors of their keys."""
     slot = F.floor(F.col("at") / F.lit(ttl_micros)).cast("bigint")
-    opened = anchors(lookups, ttl_micros, lives_per_stretch).select(
-        "key", slot.alias("slot"), F.struct("at", "anchor_id").alias("anchor")
-    )
+    opened = opened.select("key", slot.alias("slot"), F.struct("at", "anchor_id").alias("anchor"))
     # An entry may serve rows of its own slot and of the next one.
     reach = (
         opened.select("key", "anchor", F.explode(F.array(F.lit(0), F.lit(1))).alias("later"), "slot")

@@ -12,13 +12,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from alertweave import settings as S
 from alertweave.operators import delivery, metrics, queues, routing, ttl
 from alertweave.plans.runbooks import Runbook, enrich_all
+from alertweave.streaming import cache_state
 
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -143,61 +144,45 @@ def append_new(alerts: DataFrame, path: str, checkpoint: str, trigger: dict | No
     return _each_batch(alerts, checkpoint, write, trigger=trigger)
 
 
-OPEN_ENTRY = "key string, at bigint, lookup_id string"
-
-
 def replay_ttl(
-    lookups: DataFrame, ttl_micros: int, path: str, state: str, checkpoint: str, trigger: dict | None = None
-) -> StreamingQuery:
-    """Streaming form of the cache replay: ``key, at, lookup_id, lookup_ok`` -> the same with ``hit, served_by``.
+    lookups: DataFrame,
+    ttl_micros: int,
+    path: str,
+    checkpoint: str,
+    delay_seconds: int = 3600,
+    trigger: dict | None = None,
+) -> list[StreamingQuery]:
+    """Streaming form of the cache replay: ``key, at, lookup_id, lookup_ok`` as two tables under ``path``.
 
-    Each micro-batch runs the batch replay, so a hot key is spread over tasks here as well. The newest entry of each
-    key is carried from batch to batch as one more look-up at its own time, in two folders under ``state`` that
-    take turns: a repeated batch finds the state it started from. Look-ups up to one life older than the carried entry
-    arrive while it is alive and are hits, as in a cache; still older ones are look-ups of their own. Entries that ended
-    more than a life before the newest look-up are not carried on, so the state holds recent keys only.
+    ``lookups`` takes the rows as they come; ``openings`` takes what ``cache_state`` says of each key: the look-ups that open an
+    entry, and those that a row out of order has overtaken. ``replayed_ttl`` puts both together. Rows up to ``delay_seconds``
+    behind the newest may come in any order and the result is that of the batch replay; a later row is served by the
+    entries that are known, opens none, and is listed under ``openings`` as late. None is dropped.
+
+    Only instants travel to the keyed state, one for all look-ups of a key and instant in an Arrow batch, so a hot key costs
+    what its clock ticks cost. A key's state goes when its entry has expired and nothing is waiting.
     """
+    rows = lookups.select("key", "at", F.col("lookup_id").cast("string").alias("lookup_id"), "lookup_ok")
+    stored = to_table(rows, f"{path}/lookups", f"{checkpoint}/lookups", (), trigger)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select("key", "at", F.col("lookup_id").cast("string").alias("lookup_id"), "lookup_ok")
-        carried = (
-            spark.read.schema(OPEN_ENTRY).parquet(f"{state}/turn={(batch_id - 1) % 2}")
-            if batch_id > 0
-            else spark.createDataFrame([], OPEN_ENTRY)
-        )
-        entry = carried.select("key", F.struct("at", "lookup_id").alias("entry"))
-        known = rows.join(entry, "key", "left").withColumn(
-            "early",
-            F.coalesce(F.col("at").between(F.col("entry.at") - ttl_micros, F.col("entry.at") - 1), F.lit(False)),
-        )
-        early = known.filter("early").select(
-            "key", "at", "lookup_id", "lookup_ok", F.lit(True).alias("hit"), F.col("entry.lookup_id").alias("served_by")
-        )
-        in_time = known.filter("not early").select("key", "at", "lookup_id", "lookup_ok", F.lit(False).alias("old"))
-        old = carried.select("key", "at", "lookup_id", F.lit(True).alias("lookup_ok"), F.lit(True).alias("old"))
-        # At its own instant the carried entry comes before every new look-up.
-        first = F.struct((~F.col("old")).alias("new"), "lookup_id")
-        replayed = ttl.replay(in_time.unionByName(old).withColumn("lookup_id", first), ttl_micros).withColumn(
-            "served_by", F.col("served_by.lookup_id")
-        ).withColumn("lookup_id", F.col("lookup_id.lookup_id"))
-        replayed = replayed.persist(StorageLevel.MEMORY_AND_DISK)
-        done = replayed.filter("not old").drop("old").select(
-            "key", "at", "lookup_id", "lookup_ok", "hit", "served_by"
-        )
-        done.unionByName(early).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        opened = replayed.filter("not hit and lookup_ok").groupBy("key").agg(
-            F.max(F.struct("at", "lookup_id")).alias("entry")
-        )
-        newest = opened.agg(F.max("entry.at")).first()[0]
-        if newest is not None:
-            opened = opened.filter(F.col("entry.at") >= newest - 2 * ttl_micros)
-        opened.select("key", "entry.at", "entry.lookup_id").write.mode("overwrite").parquet(
-            f"{state}/turn={batch_id % 2}"
-        )
-        replayed.unpersist()
-
-    return _each_batch(lookups, checkpoint, write, trigger=trigger)
+        batch.write.mode("overwrite").parquet(f"{path}/openings/batch_id={batch_id}")
+
+    opened = cache_state.openings(rows, ttl_micros, delay_seconds)
+    return [stored, _each_batch(opened, f"{checkpoint}/openings", write, "update", trigger)]
+
+
+def replayed_ttl(spark: SparkSession, path: str, ttl_micros: int) -> DataFrame:
+    """The stored look-ups with ``hit, served_by``, given all openings so far."""
+    rows = spark.read.schema("key string, at bigint, lookup_id string, lookup_ok boolean").parquet(f"{path}/lookups")
+    versions = spark.read.schema(f"{cache_state.OPENING}, batch_id bigint").parquet(f"{path}/openings")
+    newest = (
+        versions.filter("state <> 'late'")
+        .groupBy("key", "at")
+        .agg(F.max_by(F.struct("anchor_id", "state"), "batch_id").alias("v"))
+    )
+    anchors = newest.filter("v.state = 'open'").select("key", "at", "v.anchor_id")
+    return ttl.served(rows, anchors, ttl_micros)
 
 
 def deliver(

@@ -1495,12 +1495,14 @@ def stream_counters(spark, sf):
     query("SELECT CAST(lookup_id AS STRING) AS lookup_id, key, hit, CAST(served_by AS STRING) AS served_by FROM r", "lookups", extra=ttl_chain("lookups")),
 )
 def stream_ttl(spark, sf):
-    out, state, ckpt = _paths(spark, "ttl", "out", "state", "ckpt")
+    """The files come in any order, so rows up to the whole span of the table behind the newest may be overtaken."""
+    out, ckpt = _paths(spark, "ttl", "out", "ckpt")
     rows = event_stream(spark, sf, "lookups").select(
         "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "lookup_id", "lookup_ok"
     )
-    jobs.replay_ttl(rows, DAY, out, state, ckpt).awaitTermination()
-    return spark.read.parquet(out).select("lookup_id", "key", "hit", "served_by")
+    for query_ in jobs.replay_ttl(rows, DAY, out, ckpt, delay_seconds=40 * 86400):
+        query_.awaitTermination()
+    return jobs.replayed_ttl(spark, out, DAY).select("lookup_id", "key", "hit", "served_by")
 
 
 @register("stream_dedup", query(f"SELECT DISTINCT alert_id FROM ({SPLUNK_SQL})", "splunk_reasons"))

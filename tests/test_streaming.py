@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from alertweave.operators import metrics, queues, routing
-from alertweave.streaming import jobs
+from alertweave.streaming import cache_state, jobs
 from tests.test_history_and_cache import brute_replay, lookup_frame
 from tests.test_payload_and_routing import ROUTES, alert_rows
 
@@ -48,25 +48,77 @@ def test_counters_over_batches_and_restart(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, metrics.counters(events).collect()))
 
 
-def test_cache_replay_in_time_ordered_batches(spark, tmp_path):
+def replayed_in_batches(spark, tmp_path, batches, life, delay):
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    stream = as_stream(spark, [lookup_frame(spark, rows) for rows in batches], str(tmp_path / "in"))
+    for query in jobs.replay_ttl(stream, life, out, ckpt, delay):
+        query.awaitTermination()
+    return jobs.replayed_ttl(spark, out, life), spark.read.parquet(f"{out}/openings")
+
+
+def test_cache_replay_in_out_of_order_batches(spark, tmp_path):
     rng = random.Random(3)
-    rows = [(f"k{rng.randrange(6)}" if i % 2 else "hot", i // 3, i, rng.random() < 0.8) for i in range(900)]
-    parts = [lookup_frame(spark, rows[a : a + 180]) for a in range(0, 900, 180)]
-    out, state, ckpt = (str(tmp_path / n) for n in ("out", "state", "ckpt"))
-    jobs.replay_ttl(as_stream(spark, parts, str(tmp_path / "in")), 25, out, state, ckpt).awaitTermination()
-    got = {int(r["lookup_id"]): (r["hit"], int(r["served_by"])) for r in spark.read.parquet(out).collect()}
-    # Batches may cut an instant in two; ids are then compared as text inside a batch only, so compare by state.
-    want = brute_replay([(k, t, i, ok) for k, t, i, ok in rows], 25)
-    assert len(got) == 900
-    assert {i: h for i, (h, _) in got.items()} == {i: h for i, (h, _) in want.items()}
-
-
-def test_late_look_up_hits_the_carried_entry(spark, tmp_path):
-    parts = [lookup_frame(spark, [("a", 100, 1, True)]), lookup_frame(spark, [("a", 95, 2, True), ("a", 109, 3, True), ("a", 110, 4, True)])]
-    out, state, ckpt = (str(tmp_path / n) for n in ("out", "state", "ckpt"))
-    jobs.replay_ttl(as_stream(spark, parts, str(tmp_path / "in")), 10, out, state, ckpt).awaitTermination()
-    got = {r["lookup_id"]: (r["hit"], r["served_by"]) for r in spark.read.parquet(out).collect()}
-    assert got == {"1": (False, "1"), "2": (True, "1"), "3": (True, "1"), "4": (False, "4")}
+    second = 1000000
+    rows = [(f"k{rng.randrange(6)}" if i % 2 else "hot", (i // 3) * second, 1000 + i, rng.random() < 0.8) for i in range(900)]
+    # Every row may come up to 100 s after its time; ids have four digits, so text order is number order.
+    mixed = sorted(rows, key=lambda r: r[1] + rng.randrange(100) * second)
+    got, openings = replayed_in_batches(spark, tmp_path, [mixed[a : a + 150] for a in range(0, 900, 150)], 25 * second, 101)
+    got = {int(r["lookup_id"]): (r["hit"], int(r["served_by"])) for r in got.collect()}
+    assert got == brute_replay(rows, 25 * second)
+    kinds = {r["state"]: r["count"] for r in openings.groupBy("state").count().collect()}
+    assert kinds["overtaken"] > 0 and "late" not in kinds
+
+
+def test_late_look_ups_are_listed_and_open_nothing(spark, tmp_path):
+    second = 1000000
+    batches = [
+        [("a", 100 * second, 1, True), ("b", 100 * second, 2, True)],
+        [("a", 300 * second, 3, True)],
+        # Behind the mark of 240 s: one inside the life of the first entry, one outside.
+        [("a", 104 * second, 4, True), ("a", 150 * second, 5, True), ("c", 400 * second, 6, True), (None, 400 * second, 7, True)],
+        [("a", 152 * second, 8, False)],
+    ]
+    got, openings = replayed_in_batches(spark, tmp_path, batches, 10 * second, 60)
+    got = {int(r["lookup_id"]): (r["hit"], int(r["served_by"])) for r in got.collect()}
+    assert got == {1: (False, 1), 2: (False, 2), 3: (False, 3), 4: (True, 1), 5: (False, 5), 6: (False, 6), 7: (False, 7), 8: (False, 8)}
+    assert sorted(r["anchor_id"] for r in openings.filter("state = 'late'").collect()) == ["4", "5"]
+
+
+def test_cache_state_holds_live_keys_only(spark, tmp_path):
+    second = 1000000
+    batches = [[(f"k{b}-{i}", b * 1000 * second + i, b * 100 + i, True) for i in range(50)] for b in range(5)]
+    stream = as_stream(spark, [lookup_frame(spark, rows) for rows in batches], str(tmp_path / "in"))
+    queries = jobs.replay_ttl(stream, 10 * second, str(tmp_path / "out"), str(tmp_path / "ckpt"), 60)
+    for query in queries:
+        query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in queries[1].recentProgress if p["stateOperators"]]
+    assert max(held) <= 100 and held[-1] <= 50
+
+
+def test_settle_against_whole_replay():
+    rng = random.Random(8)
+    for _ in range(200):
+        life, delay = rng.randrange(1, 30), rng.randrange(0, 60)
+        rows = [(t, str(1000 + i)) for i, t in enumerate(rng.randrange(300) for _ in range(60))]
+        mixed = sorted(rows, key=lambda r: r[0] + rng.randrange(delay + 1))
+        held, mark, state, newest = (-(2**62), {}, {}), -(2**62), {}, -1
+        while mixed:
+            n = rng.randrange(1, 9)
+            arrived = {}
+            for at, i in mixed[:n]:
+                arrived[at] = min(i, arrived.get(at, i))
+            mixed = mixed[n:]
+            held, out = cache_state.settle(held, arrived, mark, life)
+            newest = max([newest, *arrived])
+            mark = newest - delay
+            for at, i, kind in out:
+                assert kind != "late"
+                state[at] = (i, kind)
+        want, ends = {}, -1
+        for at, i in sorted(rows):
+            if at >= ends:
+                want[at], ends = i, at + life
+        assert {at: i for at, (i, kind) in state.items() if kind == "open"} == want
 
 
 def test_repeats_of_a_restart_are_dropped(spark, tmp_path):
