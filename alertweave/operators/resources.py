@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,9 @@ from alertweave.functions import payload as P
 from alertweave.operators.asof import newest_before
 from alertweave.session import materialise
 
+# The Arrow function below travels to the executors with its helpers.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Which events change which kind of resource.
 INSPECTED_EVENTS = [
     ("s3.amazonaws.com", "PutObject", "s3:object"),
@@ -88,12 +95,75 @@ def targets(alerts: DataFrame) -> DataFrame:
 
 _FOREVER = (1 << 63) - 1
 
+VISIBLE = "resource_key string, seen_from bigint, seen_to bigint, valid_from bigint"
+
+
+def _sweep(batches: Iterator) -> Iterator:
+    """Stretches of time in which each version is the one that counts, from versions sorted by key and start.
+
+    One pass with a stack of the versions that began and have not ended, the newest on top. A version that begins takes
+    those off which end no later, as they are hidden for good, so ends grow from top to bottom; where the top ends, the one
+    below shows again. Every version is put on and taken off once.
+    """
+    import pyarrow as pa
+
+    current, since = None, 0
+    stack: list[tuple[int, int]] = []  # (valid_to, valid_from)
+    out: list[tuple] = []
+
+    def show(until: int) -> None:
+        """Report what is seen from ``since`` to ``until``."""
+        nonlocal since
+        while stack and since < until:
+            ends, began = stack[-1]
+            if ends > since:
+                out.append((current, since, min(ends, until), began))
+                since = min(ends, until)
+            if ends <= until:
+                stack.pop()
+        since = until
+
+    def emitted() -> pa.RecordBatch:
+        columns = list(zip(*out)) or [(), (), (), ()]
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        names = ["resource_key", "seen_from", "seen_to", "valid_from"]
+        made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+        out.clear()
+        return made
+
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("resource_key", "valid_from", "valid_to"))
+        for key, began, ends in zip(*columns):
+            if key != current:
+                show(_FOREVER)
+                stack.clear()
+                current, since = key, began
+            show(began)
+            while stack and stack[-1][0] <= ends:
+                stack.pop()
+            stack.append((ends, began))
+        if out:
+            yield emitted()
+    show(_FOREVER)
+    yield emitted()
+
+
+def visible(versions: DataFrame) -> DataFrame:
+    """``resource_key, valid_from, valid_to`` (one row a key and start) -> disjoint stretches with the version that counts."""
+    ordered = versions.select("resource_key", "valid_from", "valid_to").filter("valid_from < valid_to")
+    return (
+        ordered.repartition("resource_key")
+        .sortWithinPartitions("resource_key", "valid_from")
+        .mapInArrow(_sweep, VISIBLE)
+    )
+
 
 def state_at(moments: DataFrame, resources: DataFrame, bin_seconds: int = 3600) -> DataFrame:
     """The version of each ``resource_key`` valid at ``at`` (microseconds), ``valid_from <= at < valid_to``.
 
     Of several valid versions the one that began last counts; of those that began together the one that ends last,
-    then the one with the greatest payload. So an old version shows again where a later one has ended within it.
+    then the one with the greatest payload. So an old version shows again where a later one has ended within it: the versions
+    are swept into disjoint stretches first, and one as-of look-up finds the stretch of a moment.
     """
     wanted = moments.select("resource_key", "at").distinct()
     versions = resources.join(wanted.select("resource_key").distinct(), "resource_key", "left_semi").select(
@@ -109,28 +179,14 @@ def state_at(moments: DataFrame, resources: DataFrame, bin_seconds: int = 3600)
         .select("resource_key", "valid_from", "v.valid_to", "v.payload"),
         "versions",
     )
-    facts = versions.select(F.col("resource_key").alias("key"), F.col("valid_from").alias("at"), F.col("valid_from").alias("fact_id"))
-    newest = newest_before(wanted.select(F.col("resource_key").alias("key"), "at"), facts, 1, None, bin_seconds)
-    newest = newest.select(F.col("key").alias("resource_key"), "at", F.col("fact_at").alias("valid_from"))
-    found = materialise(newest.join(versions, ["resource_key", "valid_from"]), "newest-versions")
-    valid = F.col("at") < F.col("valid_to")
-
-    # Versions that outlive a later one, for moments whose newest version has ended.
-    later = Window.partitionBy("resource_key").orderBy(F.col("valid_from").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    outlasting = (
-        versions.withColumn("ends_first", F.min("valid_to").over(later))
-        .filter(F.col("ends_first") < F.col("valid_to"))
-        .drop("ends_first")
+    facts = visible(versions).select(
+        F.col("resource_key").alias("key"), F.col("seen_from").alias("at"), F.struct("seen_to", "valid_from").alias("fact_id")
     )
-    older = (
-        found.filter(~valid)
-        .select("resource_key", "at")
-        .join(outlasting, "resource_key")
-        .filter(F.col("at").between(F.col("valid_from"), F.col("valid_to") - 1))
-        .groupBy("resource_key", "at")
-        .agg(F.max_by("payload", "valid_from").alias("payload"))
+    newest = newest_before(wanted.select(F.col("resource_key").alias("key"), "at"), facts, 1, None, bin_seconds)
+    seen = newest.filter(F.col("at") < F.col("fact_id.seen_to")).select(
+        F.col("key").alias("resource_key"), "at", F.col("fact_id.valid_from").alias("valid_from")
     )
-    return found.filter(valid).select("resource_key", "at", "payload").unionByName(older)
+    return seen.join(versions, ["resource_key", "valid_from"]).select("resource_key", "at", "payload")
 
 
 def looked_up(wanted: DataFrame, resources: DataFrame, bin_seconds: int = 3600) -> DataFrame:

@@ -298,17 +298,25 @@ def pubsub(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Versions of every known resource: one after another, nested, tied in their start or in both ends, and overlapping.
+VERSIONS = [
+    ("2024-01-01", "2024-01-16", 1),
+    ("2024-01-16", "2024-01-29", 2),
+    ("2024-01-04", "2024-01-12", 3),
+    ("2024-01-04", "2024-01-07", 4),
+    ("2024-01-06", "2024-01-08", 5),
+    ("2024-01-06", "2024-01-08", 6),
+    ("2024-01-10", "2024-01-20", 7),
+    ("2024-01-22", "2024-01-22", 8),
+]
+
+
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two versions per key, from the first day and from the middle of the month."""
+    """The versions above for each key."""
     raw = frame(spark, sf_dir, "resources_raw").filter("not unknown")
     per_key = raw.groupBy("resource_key").agg(F.max("event_id").alias("size"))
-    versions = F.explode(
-        F.array(
-            F.struct(F.lit("2024-01-01").alias("a"), F.lit("2024-01-16").alias("b"), F.lit(1).alias("v")),
-            F.struct(F.lit("2024-01-16").alias("a"), F.lit("2024-01-29").alias("b"), F.lit(2).alias("v")),
-        )
-    )
-    return per_key.select("resource_key", "size", versions.alias("x")).selectExpr(
+    each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(v).alias("v")) for a, b, v in VERSIONS]
+    return per_key.select("resource_key", "size", F.explode(F.array(*each)).alias("x")).selectExpr(
         "resource_key",
         "CAST(x.a AS TIMESTAMP) AS valid_from",
         "CAST(x.b AS TIMESTAMP) AS valid_to",
@@ -316,7 +324,7 @@ def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-DUCK_RESOURCES = """SELECT resource_key, CAST(a AS TIMESTAMP) AS valid_from, CAST(b AS TIMESTAMP) AS valid_to,
- concat('{"size":', CAST(size AS STRING), ',"version":', CAST(v AS STRING), '}') AS payload
+DUCK_RESOURCES = f"""SELECT resource_key, CAST(a AS TIMESTAMP) AS valid_from, CAST(b AS TIMESTAMP) AS valid_to,
+ concat('{{"size":', CAST(size AS STRING), ',"version":', CAST(v AS STRING), '}}') AS payload
 FROM (SELECT resource_key, max(event_id) AS size FROM resources_raw WHERE NOT unknown GROUP BY resource_key) k
-CROSS JOIN (VALUES ('2024-01-01', '2024-01-16', 1), ('2024-01-16', '2024-01-29', 2)) x(a, b, v)"""
+CROSS JOIN (VALUES {', '.join(map(str, VERSIONS))}) x(a, b, v)"""

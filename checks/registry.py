@@ -1424,10 +1424,15 @@ def batch_number(spark, sf):
 # ---------------------------------------------------------------- streams
 
 
+STREAM_FILES = 4
+
+
 def event_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """Frame ``name`` over the events table read as a stream of files."""
-    schema = I.events(spark, sf).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events.parque[t]")
+    """Frame ``name`` over the events as a stream of several files, one a batch, each with rows from the whole span of time."""
+    path = fresh_path(spark, f"stream-{name}")
+    events = I.events(spark, sf)
+    events.repartition(STREAM_FILES, F.pmod(F.col("event_id"), F.lit(STREAM_FILES))).write.parquet(path)
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return I.from_events(rows, name)
 
 

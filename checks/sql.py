@@ -200,11 +200,17 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
  FROM write_kinds WHERE kind IS NOT NULL) t, unnest(t.keys) AS k(resource_key)""",
         ("write_kinds",),
     ),
-    "found": (
-        "SELECT t.*, v.payload FROM targets t LEFT JOIN resources v ON v.resource_key = t.resource_key"
-        " AND v.valid_from <= t.received_at AND t.received_at < v.valid_to",
+    "states": (
+        "SELECT * FROM (SELECT m.resource_key, m.received_at, v.payload, row_number() OVER (PARTITION BY m.resource_key, m.received_at"
+        " ORDER BY v.valid_from DESC, v.valid_to DESC, v.payload DESC) AS rn"
+        " FROM (SELECT DISTINCT resource_key, received_at FROM targets) m JOIN resources v ON v.resource_key = m.resource_key"
+        " AND v.valid_from <= m.received_at AND m.received_at < v.valid_to) WHERE rn = 1",
         ("targets", "resources"),
     ),
+    "found": (
+        "SELECT t.*, s.payload FROM targets t LEFT JOIN states s ON s.resource_key = t.resource_key AND s.received_at = t.received_at",
+        ("targets", "states"),
+    ),
     "found_writes": (
         "SELECT *, min(CASE WHEN payload IS NULL THEN resource_key END) OVER (PARTITION BY alert_id, place) AS missing FROM found",
         ("found",),
