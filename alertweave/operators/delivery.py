@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertweave import settings as S
 from alertweave.functions import payload as P
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from alertweave.operators.numbering import positions
 
 
 def alert_document(alert: Column) -> Column:
@@ -108,62 +103,24 @@ def dlq_lines(dead_letters: DataFrame, settings: S.Settings = S.DEFAULTS) -> Dat
     )
 
 
-def _payloads(size: int):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        waiting: dict[str, list[str]] = {}
-
-        def emit(done: list):
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([t for t, _ in done], pa.string()),
-                    pa.array([len(lines) for _, lines in done], pa.int64()),
-                    pa.array(["\n".join(lines) for _, lines in done], pa.string()),
-                ],
-                ["target", "events", "payload"],
-            )
-
-        for batch in batches:
-            done = []
-            for target, line in zip(batch.column("target").to_pylist(), batch.column("line").to_pylist()):
-                lines = waiting.setdefault(target, [])
-                lines.append(line)
-                if len(lines) == size:
-                    done.append((target, waiting.pop(target)))
-            if done:
-                yield emit(done)
-        if waiting:
-            yield emit(list(waiting.items()))
-
-    return run
+def batches(lines: DataFrame, size: int = S.DEFAULTS.delivery_batch_size, order: tuple[str, ...] = ("alert_id",)) -> DataFrame:
+    """``target, batch, events, payload``: runs of ``size`` lines of one target in ``order``, joined by newlines.
 
+    The same lines make the same payloads in every run, and only the last batch of a target is short.
+    """
+    numbered = numbered_batches(lines.select("target", *order, "line"), ["target"], [*order, "line"], size)
+    gathered = numbered.groupBy("target", "batch").agg(F.array_sort(F.collect_list(F.struct("position", "line"))).alias("_lines"))
+    return gathered.select(
+        "target", "batch", F.size("_lines").cast("bigint").alias("events"), F.array_join(F.col("_lines.line"), "\n").alias("payload")
+    )
 
-def batches(lines: DataFrame, size: int = S.DEFAULTS.delivery_batch_size) -> DataFrame:
-    """``target, events, payload``: up to ``size`` lines of one target joined by newlines.
 
-    Works inside each partition, without a shuffle, and holds fewer than ``size`` lines per target.
-    """
+def numbered_batches(rows: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
+    """Adds ``position`` (from 1) and ``batch`` (from 0): runs of ``size`` rows of each group in ``order``."""
     if size <= 0:
         raise ValueError("the batch size must be positive")
-    return lines.select("target", "line").mapInArrow(_payloads(size), "target string, events bigint, payload string")
-
-
-def salt(id_column: Column, salts: int) -> Column:
-    """A small number that spreads ids evenly and is the same in every run."""
-    return F.conv(F.substring(F.md5(id_column.cast("string")), 1, 6), 16, 10).cast("bigint") % salts
-
-
-def numbered_batches(
-    rows: DataFrame, group: list[str], order: list[str], id_column: str, size: int, salts: int = 16
-) -> DataFrame:
-    """Adds ``lane`` and ``batch``: runs of ``size`` rows inside a lane of each group, the same in every run.
-
-    A group, which may hold a large part of all rows, is spread over ``salts`` lanes by the row id.
-    """
-    laned = rows.withColumn("lane", salt(F.col(id_column), salts))
-    place = Window.partitionBy(*group, "lane").orderBy(*order)
-    return laned.withColumn("batch", F.floor((F.row_number().over(place) - 1) / size))
+    placed = positions(rows, group, order)
+    return placed.withColumn("batch", F.floor((F.col("position") - 1) / size).cast("bigint"))
 
 
 def delivery_outcome(attempts: DataFrame, max_attempts: int = S.DEFAULTS.delivery_attempts) -> DataFrame:

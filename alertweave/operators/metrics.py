@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertweave.functions import payload as P
-from alertweave.operators.asof import shuffle_once, time_bin
-from alertweave.operators.delivery import salt
+from alertweave.operators.numbering import positions
 
 # Metric event -> (counter bucket, field that names the counter).
 COUNTED = {
@@ -280,39 +279,18 @@ def enrichment_latency(enriched: DataFrame) -> DataFrame:
     )
 
 
-def stats_every_n(processed: DataFrame, every: int, bin_seconds: int = 60, salts: int = 16) -> DataFrame:
-    """Every ``every``-th processed alert of a runbook with the running hits and misses.
+def stats_every_n(processed: DataFrame, every: int) -> DataFrame:
+    """Every ``every``-th processed alert of a runbook with the hits and misses so far, in the order of time and id.
 
-    ``processed`` has ``runbook, ts, alert_id, hit``. A few runbooks share all rows, so the position is found from
-    counts per ``(runbook, minute, lane)`` and the place inside; rows of a minute are taken lane by lane.
+    ``processed`` has ``runbook, ts, alert_id, hit``; ``hit`` is NULL for an alert without a look-up, which counts as processed only.
     """
     every = max(1, every)
-    micros = F.unix_micros("ts")
     rows = processed.select(
-        "runbook",
-        "ts",
-        "alert_id",
-        F.col("hit").cast("bigint").alias("is_hit"),
-        F.lit(1).cast("bigint").alias("one"),
-        time_bin(micros, bin_seconds).alias("minute"),
-        F.coalesce(salt(F.col("alert_id"), salts), F.lit(0).cast("bigint")).alias("lane"),
+        "runbook", "ts", "alert_id",
+        F.coalesce(F.col("hit"), F.lit(False)).cast("bigint").alias("hits"),
+        F.coalesce(~F.col("hit"), F.lit(False)).cast("bigint").alias("misses"),
     )
-    order = ["ts", "alert_id"]
-    inside = Window.partitionBy("runbook", "minute", "lane").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("runbook").orderBy("minute", "lane").rowsBetween(Window.unboundedPreceding, -1)
-    packed = shuffle_once(rows, ["runbook", "minute", "lane"])
-    totals = packed.groupBy("runbook", "minute", "lane").agg(F.sum("one").alias("n"), F.sum("is_hit").alias("h"))
-    offsets = totals.select(
-        "runbook", "minute", "lane",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
-        F.coalesce(F.sum("h").over(before), F.lit(0)).alias("h_before"),
-    )
-    placed = packed.select(
-        "runbook", "ts", "alert_id", "minute", "lane",
-        F.sum("one").over(inside).alias("n"), F.sum("is_hit").over(inside).alias("h"),
-    ).join(offsets, ["runbook", "minute", "lane"])
-    position = F.col("n") + F.col("n_before")
-    hits = F.col("h") + F.col("h_before")
-    return placed.filter(position % every == 0).select(
-        "runbook", "ts", "alert_id", position.alias("position"), hits.alias("hits"), (position - hits).alias("misses")
+    placed = positions(rows, ["runbook"], ["ts", "alert_id"], ("hits", "misses"))
+    return placed.filter(F.col("position") % every == 0).select(
+        "runbook", "ts", "alert_id", "position", F.col("running_hits").alias("hits"), F.col("running_misses").alias("misses")
     )

@@ -958,10 +958,22 @@ def destination_split(spark, sf):
     )
 
 
-@register("hec_batches")
+@register(
+    "hec_batches",
+    query(
+        """SELECT target, batch, count(*) AS events, string_agg(alert_id, ',' ORDER BY position) AS ids, string_agg(runbook, ',' ORDER BY position) AS sources
+ FROM (SELECT *, CAST(floor((position - 1) / 50.0) AS BIGINT) AS batch FROM (SELECT destination AS target, alert_id,
+  CASE WHEN runbook = '' THEN 'kafka' ELSE runbook END AS runbook, row_number() OVER (PARTITION BY destination ORDER BY alert_id) AS position FROM stored))
+ GROUP BY 1, 2""",
+        "stored",
+    ),
+)
 def hec_batches(spark, sf):
-    """Payloads of up to 50 lines; which lines share one depends on the partitions, so SQL checks the totals only."""
-    return delivery.batches(delivery.delivery_lines(stored_rows(spark, sf)))
+    """Payloads of up to 50 lines; what stands in each line is read back from its text, in order."""
+    sent = delivery.batches(delivery.delivery_lines(stored_rows(spark, sf)))
+    lines = F.split("payload", "\n")
+    read = lambda path: F.array_join(F.transform(lines, lambda x: F.get_json_object(x, path)), ",")
+    return sent.select("target", "batch", "events", read("$.event.alert.id").alias("ids"), read("$.source").alias("sources"))
 
 
 @register(
@@ -973,7 +985,7 @@ def hec_batches(spark, sf):
 )
 def hec_batch_totals(spark, sf):
     lines = F.size(F.split("payload", "\n")).cast("bigint")
-    return hec_batches(spark, sf).groupBy("target").agg(
+    return delivery.batches(delivery.delivery_lines(stored_rows(spark, sf))).groupBy("target").agg(
         F.sum("events").alias("events"),
         F.count_if(F.col("events") > S.DEFAULTS.delivery_batch_size).alias("oversized"),
         F.sum(lines).alias("lines"),
@@ -1382,43 +1394,42 @@ def cache_stats(spark, sf):
     return metrics.cache_stats(ttl.replay(lookups(spark, sf), DAY), DAY, F.lit(NOW_MICROS))
 
 
-SALT_SQL = "CAST(concat('0x', substr(md5(CAST({id} AS STRING)), 1, 6)) AS BIGINT) % 16"
-
-
 @register(
     "stats_every_n",
     query(
-        f"""SELECT runbook, lookup_id, position, hits, position - hits AS misses FROM (
+        """SELECT runbook, lookup_id, position, hits, position - hits AS misses FROM (
  SELECT runbook, lookup_id, row_number() OVER w AS position, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER w AS BIGINT) AS hits
- FROM (SELECT l.runbook, l.lookup_id, l.ts, r.hit, CAST(floor(l.moment / 60000000.0) AS BIGINT) AS minute, {SALT_SQL.format(id='l.lookup_id')} AS lane
-  FROM lookups l JOIN r ON r.lookup_id = l.lookup_id)
- WINDOW w AS (PARTITION BY runbook ORDER BY minute, lane, ts, lookup_id ROWS UNBOUNDED PRECEDING)) WHERE position % 50 = 0""",
+ FROM (SELECT l.runbook, l.lookup_id, l.ts, r.hit FROM lookups l JOIN r ON r.lookup_id = l.lookup_id)
+ WINDOW w AS (PARTITION BY runbook ORDER BY ts, lookup_id ROWS UNBOUNDED PRECEDING)) WHERE position % 50 = 0""",
         "lookups",
         extra=ttl_chain("lookups"),
     ),
 )
 def stats_every_n(spark, sf):
+    return replay_stats(spark, sf).select("runbook", F.col("alert_id").alias("lookup_id"), "position", "hits", "misses")
+
+
+def replay_stats(spark: SparkSession, sf: str) -> DataFrame:
     processed = ttl.replay(lookups(spark, sf), DAY).withColumnRenamed("lookup_id", "alert_id")
-    return metrics.stats_every_n(processed, 50).select(
-        "runbook", F.col("alert_id").alias("lookup_id"), "position", "hits", "misses"
-    )
+    return metrics.stats_every_n(processed, 50)
 
 
 @register(
     "batch_number",
     query(
-        f"""SELECT alert_id, destination AS target, hour, lane, CAST(floor((row_number() OVER (PARTITION BY destination, hour, lane ORDER BY enriched_at, alert_id) - 1) / 50.0) AS BIGINT) AS batch
- FROM (SELECT alert_id, destination, enriched_at, epoch_us(date_trunc('hour', enriched_at)) AS hour, {SALT_SQL.format(id='alert_id')} AS lane FROM stored)""",
+        """SELECT alert_id, target, day, position, CAST(floor((position - 1) / 50.0) AS BIGINT) AS batch FROM (SELECT alert_id, destination AS target, day,
+  row_number() OVER (PARTITION BY destination, day ORDER BY enriched_at, alert_id) AS position
+ FROM (SELECT alert_id, destination, enriched_at, epoch_us(date_trunc('day', enriched_at)) AS day FROM stored))""",
         "stored",
     ),
 )
 def batch_number(spark, sf):
     rows = stored_rows(spark, sf).select(
         "alert.alert_id", F.col("destination").alias("target"), "enriched_at",
-        F.unix_micros(F.date_trunc("hour", "enriched_at")).alias("hour"),
+        F.unix_micros(F.date_trunc("day", "enriched_at")).alias("day"),
     )
-    numbered = delivery.numbered_batches(rows, ["target", "hour"], ["enriched_at", "alert_id"], "alert_id", 50)
-    return numbered.select("alert_id", "target", "hour", "lane", "batch")
+    numbered = delivery.numbered_batches(rows, ["target", "day"], ["enriched_at", "alert_id"], 50)
+    return numbered.select("alert_id", "target", "day", "position", "batch")
 
 
 # ---------------------------------------------------------------- streams

@@ -1,10 +1,12 @@
+import collections
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from alertweave import settings as S
-from alertweave.operators import delivery, metrics, queues, routing
+from alertweave.operators import delivery, metrics, numbering, queues, routing
 from alertweave.plans import pipeline, runbooks
 from alertweave.sources import normalise
 from tests.test_payload_and_routing import alert_rows
@@ -55,11 +57,11 @@ def test_unconfigured_destination_becomes_a_row(spark):
 
 @pytest.mark.parametrize("n, expected", [(0, []), (1, [1]), (50, [50]), (101, [1, 50, 50])])
 def test_batches(spark, n, expected):
-    lines = spark.range(0, n, 1, 1).select(F.lit("splunk").alias("target"), F.col("id").cast("string").alias("line"))
-    rows = delivery.batches(lines, 50).collect()
+    lines = spark.range(0, n, 1, 3).select(F.lit("splunk").alias("target"), F.col("id").alias("alert_id"), F.col("id").cast("string").alias("line"))
+    rows = sorted(delivery.batches(lines, 50).collect(), key=lambda r: r["batch"])
     assert sorted(r["events"] for r in rows) == expected
     sent = [line for r in rows for line in r["payload"].split("\n")]
-    assert sorted(map(int, sent)) == list(range(n))
+    assert list(map(int, sent)) == list(range(n)) and all(r["events"] == 50 for r in rows[:-1])
 
 
 OUTCOMES = [
@@ -76,12 +78,37 @@ def test_delivery_outcome(spark):
     assert [found[i] for i in range(len(OUTCOMES))] == [(o, w) for _, _, o, w in OUTCOMES]
 
 
-def test_numbered_batches_hold_at_most_size_rows(spark):
-    rows = spark.range(1000).select(F.lit("splunk").alias("target"), F.col("id"))
-    numbered = delivery.numbered_batches(rows, ["target"], ["id"], "id", 7, 4)
-    sizes = numbered.groupBy("lane", "batch").count().collect()
-    assert numbered.count() == 1000 and max(r["count"] for r in sizes) == 7
-    assert sum(r["count"] < 7 for r in sizes) <= 4
+def test_numbered_batches_fill_up_in_order(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") % 10 == 0, "rare").otherwise("splunk").alias("target"), (-F.col("id")).alias("at"))
+    numbered = delivery.numbered_batches(rows, ["target"], ["at"], 7)
+    got = sorted((r["target"], r["position"], r["batch"], -r["at"]) for r in numbered.collect())
+    want = []
+    for target, ids in (("rare", range(990, -1, -10)), ("splunk", [i for i in range(999, -1, -1) if i % 10])):
+        want += [(target, k + 1, k // 7, i) for k, i in enumerate(ids)]
+    assert got == want
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_positions_and_sums_of_one_large_and_many_small_groups(spark, parts):
+    rng = random.Random(parts)
+    rows = [("hot" if rng.random() < 0.9 else rng.choice([None, "", "a", "z"]), rng.randrange(50), i, rng.choice([None, 1, 5])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, at int, id int, w bigint").repartition(parts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = numbering.positions(df, ["g"], ["at", "id"], ("w",))
+        got = {(r["g"], r["id"]): (r["position"], r["running_w"]) for r in placed.collect()}
+        tasks = placed.select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    counts, sums, want = collections.Counter(), collections.Counter(), {}
+    for g, at, i, w in sorted(rows, key=lambda r: (r[1], r[2])):
+        counts[g] += 1
+        sums[g] += w or 0
+        want[g, i] = counts[g], sums[g]
+    assert got == want and tasks > 1
+    assert numbering.positions(df.limit(0), ["g"], ["at"]).count() == 0
 
 
 def test_counters(spark):
@@ -103,15 +130,19 @@ def test_counters(spark):
     assert perf == [("x", 1, 0, 0.0, "green"), ("y", 0, 1, 100.0, "red")]
 
 
-def test_stats_every_n_counts_each_runbook_by_itself(spark):
+def test_stats_every_n_counts_in_the_order_of_time(spark):
     rows = spark.range(1000).selectExpr(
-        "if(id % 3 = 0, 'small', 'big') AS runbook", "timestamp_seconds(id * 7) AS ts", "cast(id AS string) AS alert_id", "id % 2 = 0 AS hit"
+        "if(id % 3 = 0, 'small', 'big') AS runbook", "timestamp_seconds(id * 7) AS ts", "cast(id AS string) AS alert_id",
+        "if(id % 5 = 0, NULL, id % 2 = 0) AS hit",
     )
-    out = metrics.stats_every_n(rows, 50).collect()
-    assert sorted((r["runbook"], r["position"]) for r in out) == sorted(
-        [("small", p) for p in range(50, 335, 50)] + [("big", p) for p in range(50, 667, 50)]
-    )
-    assert all(r["hits"] + r["misses"] == r["position"] for r in out)
+    out = sorted((r["runbook"], r["position"], r["alert_id"], r["hits"], r["misses"]) for r in metrics.stats_every_n(rows, 50).collect())
+    want = []
+    for name in ("big", "small"):
+        ids = [i for i in range(1000) if (i % 3 == 0) == (name == "small")]
+        for k in range(50, len(ids) + 1, 50):
+            looked = [i for i in ids[:k] if i % 5]
+            want.append((name, k, str(ids[k - 1]), sum(i % 2 == 0 for i in looked), sum(i % 2 for i in looked)))
+    assert out == want
 
 
 def test_enrichers_run_in_the_order_of_their_needs():

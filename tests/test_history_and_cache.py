@@ -1,6 +1,7 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,6 +210,18 @@ def test_overlapping_and_tied_versions(spark):
     assert want["a", 9] == "old" and want["a", 6] == "short" and want["b", 60] == "x"
 
 
+def test_deeply_nested_versions_take_one_pass(spark):
+    n = 100_000
+    # Each version lies inside the one before, and all begin before the first one ends.
+    nested = spark.range(n).selectExpr("'deep' AS resource_key", "id AS valid_from", f"{4 * n} - id AS valid_to")
+    start = time.perf_counter()
+    seen = resources.visible(nested.unionByName(nested.selectExpr("'other' AS resource_key", "valid_from", "valid_from + 1 AS valid_to")))
+    counts = {r["resource_key"]: (r["count"], r["first"], r["last"]) for r in seen.groupBy("resource_key").agg(
+        F.count("*").alias("count"), F.min("seen_from").alias("first"), F.max("seen_to").alias("last")).collect()}
+    assert counts == {"deep": (2 * n - 1, 0, 4 * n), "other": (n, 0, n)}
+    assert time.perf_counter() - start < 60
+
+
 def test_history_reads_the_events_in_reach_and_groups_no_text(spark, tmp_path):
     rows = [("u", 1_000_000 * k, f"e{k}", f'{{"k":{k}}}') for k in range(0, 20_000, 500)] + [("u", 9_500_000_000, "e9500", '{"k":0}')]
     path = str(tmp_path / "audit")
