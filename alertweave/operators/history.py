@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertweave.functions import identity as I
@@ -136,6 +136,46 @@ def histories(pairs: DataFrame, audit_events: DataFrame) -> DataFrame:
     )
 
 
+NO_EVENTS = f"array<{HISTORY_ITEM}>"
+
+
+def lookups(
+    alerts: DataFrame,
+    audit_events: DataFrame,
+    ttl_seconds: int | None,
+    lookback_minutes: int = 60,
+    max_results: int = 50,
+    bin_seconds: int = 60,
+) -> tuple[DataFrame, DataFrame]:
+    """``alert_id, anchor_id, cache_hit`` of every eligible alert, and ``anchor_id, events`` of every look-up made for them.
+
+    An alert refers to the look-up that serves it, and the texts of that look-up stand once, however many alerts it
+    serves. With ``ttl_seconds`` the cache is replayed first, and alerts of one principal within the life of a look-up share
+    it. Without, alerts of one name and instant do, and ``cache_hit`` is NULL.
+    """
+    asked = alerts.filter("eligible").select(
+        I.principal_key(F.col("principal")).alias("key"),
+        F.unix_micros("received_at").alias("at"),
+        F.col("alert_id").alias("lookup_id"),
+        F.lit(True).alias("lookup_ok"),
+        I.lookup_username(F.col("principal")).alias("username"),
+        "received_at",
+    )
+    if ttl_seconds is None:
+        first = F.min("lookup_id").over(Window.partitionBy("username", "at"))
+        asked = materialise(asked.withColumn("served_by", first).withColumn("hit", F.lit(None).cast("boolean")), "asked")
+        anchors = asked.filter(F.col("lookup_id") == F.col("served_by"))
+    else:
+        asked = materialise(ttl.replay(asked, ttl_seconds * 1000000), "replayed")
+        anchors = asked.filter(~F.col("hit"))
+    pairs = materialise(history_pairs(anchors, audit_events, lookback_minutes, max_results, bin_seconds), "pairs")
+    found = anchors.join(histories(pairs, _in_reach(audit_events, pairs, lookback_minutes)), ["username", "at"], "left").select(
+        F.col("lookup_id").alias("anchor_id"), F.coalesce(F.col("events"), F.array().cast(NO_EVENTS)).alias("events")
+    )
+    served = asked.select(F.col("lookup_id").alias("alert_id"), F.col("served_by").alias("anchor_id"), F.col("hit").alias("cache_hit"))
+    return served, found
+
+
 def with_history(
     alerts: DataFrame,
     audit_events: DataFrame,
@@ -144,21 +184,9 @@ def with_history(
     bin_seconds: int = 60,
 ) -> DataFrame:
     """Adds ``events`` to eligible alerts (``eligible, principal, received_at``); an empty list where none is found,
-    NULL where there is no principal."""
-    asked = alerts.withColumn("_username", F.when(F.col("eligible"), I.lookup_username(F.col("principal")))).withColumn(
-        "_at", F.unix_micros("received_at")
-    )
-    probes = asked.filter("eligible").select(F.col("_username").alias("username"), "received_at")
-    pairs = materialise(history_pairs(probes, audit_events, lookback_minutes, max_results, bin_seconds), "pairs")
-    found = histories(pairs, _in_reach(audit_events, pairs, lookback_minutes))
-    joined = asked.join(
-        found.withColumnsRenamed({"username": "_username", "at": "_at"}), ["_username", "_at"], "left"
-    )
-    nothing = F.array().cast(f"array<{HISTORY_ITEM}>")
-    return joined.select(
-        *alerts.columns,
-        F.when(F.col("principal").isNotNull(), F.coalesce(F.col("events"), nothing)).alias("events"),
-    )
+    NULL where there is no principal. Every row gets a copy of its texts; ``lookups`` keeps references."""
+    served, found = lookups(alerts, audit_events, None, lookback_minutes, max_results, bin_seconds)
+    return _with_texts(alerts, served, found).drop("cache_hit", "served_by")
 
 
 def with_cached_history(
@@ -173,33 +201,24 @@ def with_cached_history(
 
     The cache is replayed first, so history is looked up for the anchors only. Adds ``cache_hit`` and ``served_by``.
     """
-    lookups = alerts.filter("eligible").select(
-        I.principal_key(F.col("principal")).alias("key"),
-        F.unix_micros("received_at").alias("at"),
-        F.col("alert_id").alias("lookup_id"),
-        F.lit(True).alias("lookup_ok"),
-        I.lookup_username(F.col("principal")).alias("username"),
-        "received_at",
-    )
-    replayed = materialise(ttl.replay(lookups, ttl_seconds * 1000000), "replayed")
-    anchors = replayed.filter(~F.col("hit"))
-    pairs = materialise(history_pairs(anchors, audit_events, lookback_minutes, max_results, bin_seconds), "pairs")
-    found = histories(pairs, _in_reach(audit_events, pairs, lookback_minutes))
-    results = anchors.join(found, ["username", "at"], "left").select(
-        F.col("lookup_id").alias("served_by"), "events"
-    )
-    served = replayed.select(F.col("lookup_id").alias("alert_id"), F.col("hit").alias("cache_hit"), "served_by").join(
-        results, "served_by", "left"
-    )
-    nothing = F.array().cast(f"array<{HISTORY_ITEM}>")
-    return alerts.join(served, "alert_id", "left").select(
+    return _with_texts(alerts, *lookups(alerts, audit_events, ttl_seconds, lookback_minutes, max_results, bin_seconds))
+
+
+def _with_texts(alerts: DataFrame, served: DataFrame, found: DataFrame) -> DataFrame:
+    rows = alerts.join(served, "alert_id", "left").join(found, "anchor_id", "left")
+    return rows.select(
         *alerts.columns,
-        F.when(F.col("principal").isNotNull(), F.coalesce(F.col("events"), nothing)).alias("events"),
+        shown_events(F.col("principal")).alias("events"),
         "cache_hit",
-        "served_by",
+        F.col("anchor_id").alias("served_by"),
     )
 
 
+def shown_events(principal: Column) -> Column:
+    """Column ``events`` as it is shown: NULL without a principal, empty where no look-up was made."""
+    return F.when(principal.isNotNull(), F.coalesce(F.col("events"), F.array().cast(NO_EVENTS)))
+
+
 def successful_writes(alerts: DataFrame) -> DataFrame:
     """Adds ``writes`` (events with ``readOnly`` false and no ``errorCode`` key, in history order),
     ``unreadable`` and ``write_error``."""
@@ -216,13 +235,11 @@ def successful_writes(alerts: DataFrame) -> DataFrame:
         writes=F.filter("_objects", succeeded),
         unreadable=F.size("_parsed") - F.size("_objects"),
     )
-    problem = F.struct(
-        F.lit("write_filter").alias("enricher"),
-        F.concat(
-            F.lit("failed to parse "), F.col("unreadable").cast("string"), F.lit(" CloudTrailEvent entries")
-        ).alias("error"),
-        F.lit("PartialParseFailure").alias("type"),
-    ).cast(I.ERROR_TYPE)
-    return parsed.select(
-        *alerts.columns, "writes", "unreadable", F.when(F.col("unreadable") > 0, problem).alias("write_error")
-    )
+    return parsed.select(*alerts.columns, "writes", "unreadable", write_error().alias("write_error"))
+
+
+def write_error() -> Column:
+    """The error record of column ``unreadable``, NULL where every entry was read."""
+    text = F.concat(F.lit("failed to parse "), F.col("unreadable").cast("string"), F.lit(" CloudTrailEvent entries"))
+    problem = F.struct(F.lit("write_filter").alias("enricher"), text.alias("error"), F.lit("PartialParseFailure").alias("type"))
+    return F.when(F.col("unreadable") > 0, problem.cast(I.ERROR_TYPE))

@@ -37,9 +37,15 @@ def dlq_events(dead_letters: DataFrame) -> DataFrame:
     return _event(dead_letters, "dlq_enqueued", "dlq_at", F.col("dlq_reason").alias("reason"))
 
 
-def runbook_events(enriched: DataFrame) -> DataFrame:
-    """Every finished runbook run is a success, also one that recorded its own error."""
-    return _event(enriched, "runbook_success", "enriched_at", F.col("runbook"))
+def runbook_events(enriched: DataFrame, failed: Column | None = None) -> DataFrame:
+    """One event per run: an error where ``failed`` holds, a success otherwise, also for one that recorded its own error."""
+    if failed is None:
+        return _event(enriched, "runbook_success", "enriched_at", F.col("runbook"))
+    marked = enriched.select("enriched_at", "runbook", "runbook_error", F.coalesce(failed, F.lit(False)).alias("_failed"))
+    return union(
+        _event(marked.filter(~F.col("_failed")), "runbook_success", "enriched_at", F.col("runbook")),
+        _event(marked.filter("_failed"), "runbook_error", "enriched_at", F.col("runbook"), F.col("runbook_error").alias("error")),
+    )
 
 
 def enricher_error_events(enriched: DataFrame) -> DataFrame:
@@ -64,7 +70,7 @@ def pipeline_events(runs: DataFrame) -> DataFrame:
 
 
 def cache_stats_events(stats: DataFrame) -> DataFrame:
-    """From ``stats_every_n`` rows."""
+    """From ``stats_every_n`` rows: the hits and misses of a runbook's cache so far."""
     return _event(stats, "principal_cache_stats", "ts", F.col("hits"), F.col("misses"), F.col("runbook"))
 
 

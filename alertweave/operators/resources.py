@@ -78,21 +78,23 @@ def load_resources(raw: DataFrame) -> DataFrame:
     )
 
 
-def targets(alerts: DataFrame) -> DataFrame:
-    """One row per write and resource key: ``alert_id, at, position, event_name, resource_key``."""
-    written = alerts.select(
-        "alert_id", F.unix_micros("received_at").alias("at"), F.posexplode("writes").alias("position", "event")
-    )
+def named_targets(rows: DataFrame, *keep: str) -> DataFrame:
+    """One row per write and resource key of column ``writes``: ``keep, position, event_name, resource_key``."""
+    written = rows.select(*keep, F.posexplode("writes").alias("position", "event"))
     kinds = P.compute(written, kind=resource_type(F.col("event"))).filter(F.col("kind").isNotNull())
     return kinds.select(
-        "alert_id",
-        "at",
+        *keep,
         "position",
         F.coalesce(P.string_at(F.col("event"), "$.eventName"), F.lit("?")).alias("event_name"),
         F.explode(resource_keys(F.col("event"), F.col("kind"))).alias("resource_key"),
     )
 
 
+def targets(alerts: DataFrame) -> DataFrame:
+    """One row per write and resource key: ``alert_id, at, position, event_name, resource_key``."""
+    return named_targets(alerts.withColumn("at", F.unix_micros("received_at")), "alert_id", "at")
+
+
 _FOREVER = (1 << 63) - 1
 
 VISIBLE = "resource_key string, seen_from bigint, seen_to bigint, valid_from bigint"
@@ -232,8 +234,12 @@ def inspected(found: DataFrame) -> DataFrame:
 
 def with_inspection(alerts: DataFrame, resources: DataFrame, bin_seconds: int = 3600) -> DataFrame:
     """Adds ``inspected_objects`` and ``inspection_errors``, both empty where there was nothing to inspect."""
-    wanted = materialise(targets(alerts), "targets")
-    found = inspected(looked_up(wanted, resources, bin_seconds))
+    return inspect(alerts, targets(alerts), resources, bin_seconds)
+
+
+def inspect(alerts: DataFrame, wanted: DataFrame, resources: DataFrame, bin_seconds: int = 3600) -> DataFrame:
+    """As ``with_inspection``, given the targets of the alerts; columns of the alerts are only carried along."""
+    found = inspected(looked_up(materialise(wanted, "targets"), resources, bin_seconds))
     return alerts.join(found, "alert_id", "left").select(
         *alerts.columns,
         F.coalesce(F.col("inspected_objects"), F.expr("cast(map() as map<string,string>)")).alias("inspected_objects"),

@@ -11,23 +11,37 @@ from pyspark.sql import functions as F
 from alertweave import settings as S
 from alertweave.functions import payload as P
 from alertweave.operators import delivery, metrics, queues, routing
-from alertweave.plans.runbooks import Runbook, enrich_all
+from alertweave.plans.runbooks import Runbook, enrich_all, failed
 from alertweave.session import materialise
 from alertweave.sources import normalise
 
 
 @dataclass(frozen=True)
 class Flow:
-    """The tables of one run."""
+    """The tables of one run. ``failed`` are the rows of ``enriched`` that count as errors and have no line."""
 
     rejects: DataFrame
     routed: DataFrame
     dead_letters: DataFrame
     enriched: DataFrame
+    failed: DataFrame
     lines: DataFrame
     metric_events: DataFrame
 
 
+def finished(enriched: DataFrame, runbooks: Iterable[Runbook], settings: S.Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows to deliver, rows that failed, and the metric events of both, the cache's statistics among them."""
+    wrong = failed(runbooks)
+    looked = enriched.select("runbook", F.col("enriched_at").alias("ts"), F.col("alert.alert_id").alias("alert_id"), F.col("cache_hit").alias("hit"))
+    cached = looked.join(F.broadcast(looked.filter("hit IS NOT NULL").select("runbook").distinct()), "runbook", "left_semi")
+    events = metrics.union(
+        metrics.runbook_events(enriched, wrong),
+        metrics.enricher_error_events(enriched),
+        metrics.cache_stats_events(metrics.stats_every_n(cached, settings.cache_stats_every)),
+    )
+    return enriched.filter(~wrong), enriched.filter(wrong), events
+
+
 def flow(
     normalised: DataFrame,
     runbooks: Iterable[Runbook],
@@ -44,16 +58,17 @@ def flow(
     alerts = normalise.alerts(normalised, with_payload=True)
     routed = routing.route_alerts(alerts, catalog or routing.default_catalog(settings))
     dead = queues.dead_letters(routing.unmatched(routed), now)
+    runbooks = list(runbooks)
     enriched = enrich_all(routing.matched(routed), runbooks, now)
-    lines = delivery.delivery_lines(enriched, settings).unionByName(delivery.dlq_lines(dead, settings))
+    done, wrong, outcomes = finished(enriched, runbooks, settings)
+    lines = delivery.delivery_lines(done, settings).unionByName(delivery.dlq_lines(dead, settings))
     events = metrics.union(
         metrics.ingested_events(alerts),
         metrics.routed_events(routing.matched(routed)),
         metrics.dlq_events(dead),
-        metrics.runbook_events(enriched),
-        metrics.enricher_error_events(enriched),
+        outcomes,
     )
-    return Flow(normalise.rejects(normalised), routed.drop("payload"), dead, enriched, lines, events)
+    return Flow(normalise.rejects(normalised), routed.drop("payload"), dead, enriched, wrong, lines, events)
 
 
 REJECTS = "rejects"
@@ -88,15 +103,15 @@ def run(
     dead = spark.read.parquet(f"{folder}/dead_letters")
     enrich_all(matched, runbooks, now).write.partitionBy("runbook").parquet(f"{folder}/enriched")
     enriched = spark.read.parquet(f"{folder}/enriched")
-    lines = delivery.delivery_lines(enriched, settings).unionByName(delivery.dlq_lines(dead, settings))
+    done, wrong, outcomes = finished(enriched, runbooks, settings)
+    lines = delivery.delivery_lines(done, settings).unionByName(delivery.dlq_lines(dead, settings))
     events = metrics.union(
         metrics.ingested_events(alerts),
         metrics.routed_events(matched),
         metrics.dlq_events(dead),
-        metrics.runbook_events(enriched),
-        metrics.enricher_error_events(enriched),
+        outcomes,
     )
-    return Flow(normalise.rejects(stored.filter(F.col("queue") == REJECTS)), alerts, dead, enriched, lines, events)
+    return Flow(normalise.rejects(stored.filter(F.col("queue") == REJECTS)), alerts, dead, enriched, wrong, lines, events)
 
 
 def routing_summary(normalised: DataFrame, catalog: routing.RouteCatalog | None = None) -> DataFrame:

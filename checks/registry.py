@@ -12,11 +12,12 @@ from alertweave.functions import arn, identity
 from alertweave.functions import payload as P
 from alertweave.operators import delivery, extract, history, metrics, queues, resources, routing, ttl
 from alertweave.plans import pipeline, runbooks
+from alertweave.plans.guard import RowFunction
 from alertweave.session import fresh_path, materialise
 from alertweave.sources import normalise, polling, stored
 from alertweave.streaming import jobs
 from checks import inputs as I
-from checks.sql import CATALOG, DAY, MATCH, RUNBOOKS, query, ttl_chain, uuid
+from checks.sql import CACHED_HISTORY, CATALOG, DAY, MATCH, RUNBOOKS, query, ttl_chain, uuid
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -813,6 +814,12 @@ def strip_response_metadata(spark, sf):
     return known_resources(spark, sf).select("resource_key", micros("valid_from").alias("from_us"), "payload")
 
 
+PRINCIPAL_LOOKUPS = (
+    "pl AS (SELECT concat(provider, '::', nid) AS key, epoch_us(received_at) AS moment, alert_id AS lookup_id, true AS lookup_ok,"
+    " display_name FROM eligible WHERE ok)"
+)
+
+
 EXTRACTED_SQL = """SELECT w.alert_id, 'cloud.aws.cloudtrail' AS runbook, nid AS principal, CASE WHEN nid IS NULL THEN NULL ELSE coalesce(h.n, 0) END AS recent,
  coalesce(s.n, 0) AS writes, coalesce(i.n, 0) AS inspected, coalesce(x.n, 0) AS errors, j->>'$.eventName' AS event_name
  FROM who w LEFT JOIN (SELECT alert_id, count(*) AS n FROM history GROUP BY 1) h ON h.alert_id = w.alert_id
@@ -822,10 +829,26 @@ EXTRACTED_SQL = """SELECT w.alert_id, 'cloud.aws.cloudtrail' AS runbook, nid AS
 UNION ALL SELECT alert_id, route, NULL, NULL, NULL, NULL, NULL, NULL FROM routed WHERE route IN ('cloud.gcp.event_audit', 'test')"""
 
 
-@register("enriched_assemble", query(EXTRACTED_SQL, "who", "history", "writes", "found_writes", "errors", "routed"))
+@register(
+    "enriched_assemble",
+    query(
+        EXTRACTED_SQL, "eligible", "own_history", "who", "history", "writes", "found_writes", "errors", "routed",
+        extra=PRINCIPAL_LOOKUPS + ", " + ttl_chain("pl"), before="history", swap={"history": CACHED_HISTORY},
+    ),
+)
 def enriched_assemble(spark, sf):
-    """All runbooks over the routed alerts; what they wrote is read back from the extracted JSON."""
-    books = runbooks.default_runbooks(I.frame(spark, sf, "audit"), known_resources(spark, sf), CHECK_SETTINGS, False)
+    """All runbooks over the routed alerts, look-ups shared through the cache; what they wrote is read back from the extracted JSON."""
+    return _assembled(spark, sf, True)
+
+
+@register("enriched_uncached", query(EXTRACTED_SQL, "who", "history", "writes", "found_writes", "errors", "routed"))
+def enriched_uncached(spark, sf):
+    """The same with a look-up for every alert."""
+    return _assembled(spark, sf, False)
+
+
+def _assembled(spark: SparkSession, sf: str, cached: bool) -> DataFrame:
+    books = runbooks.default_runbooks(I.frame(spark, sf, "audit"), known_resources(spark, sf), CHECK_SETTINGS, cached)
     rows = runbooks.enrich_all(routed(spark, sf), books, F.col("received_at"))
     x = F.col("_x")
     read = P.compute(rows, _x=P.parse(F.col("extracted")))
@@ -1007,20 +1030,67 @@ def delivery_outcome(spark, sf):
     return delivery.delivery_outcome(I.frame(spark, sf, "attempts"))
 
 
+def strict_gcp(guarded: bool) -> runbooks.Runbook:
+    """A runbook that reads its fields with a plain Python function, which raises on what it does not expect."""
+
+    def read(payload: dict) -> dict:
+        if not isinstance(payload.get("resource"), dict):
+            raise ValueError("resource is not an object")
+        call = payload["protoPayload"]
+        if "authenticationInfo" not in call:
+            raise LookupError("nobody is named")
+        return {"project_id": payload["resource"]["labels"]["project_id"], "method": call["methodName"]}
+
+    fields = RowFunction(read, "project_id string, method string")
+    return runbooks.Runbook("cloud.gcp.event_audit", S.QUEUE_GCP_AUDIT, fields, guarded=guarded)
+
+
+def strict_rows(spark: SparkSession, sf: str, guarded: bool) -> DataFrame:
+    return strict_gcp(guarded).enrich(routing.matched(routed(spark, sf)), F.col("received_at"))
+
+
+@register(
+    "runbook_failures",
+    query(
+        """SELECT alert_id, CASE WHEN event_id % 9 = 0 THEN 'ValueError: resource is not an object'
+  WHEN event_id % 3 = 0 THEN 'LookupError: nobody is named' END AS runbook_error,
+ CASE WHEN event_id % 3 <> 0 THEN j->>'$.resource.labels.project_id' END AS project_id, raw_payload, event_id % 3 = 0 AS failed
+ FROM routed WHERE route = 'cloud.gcp.event_audit'""",
+        "routed",
+    ),
+)
+def runbook_failures(spark, sf):
+    """Every alert of the queue comes out; those whose fields could not be read carry the reason."""
+    return strict_rows(spark, sf, False).select(
+        "alert.alert_id", "runbook_error", F.get_json_object("extracted", "$.project_id").alias("project_id"),
+        "alert.raw_payload", runbooks.failed([strict_gcp(False)]).alias("failed"),
+    )
+
+
 METRIC_COUNTS = """SELECT 'alert_ingested' AS event, 'kafka' AS name, count(*) AS value FROM objects
 UNION ALL SELECT 'route_matched', route, count(*) FROM routed WHERE route IS NOT NULL GROUP BY route
 UNION ALL SELECT 'dlq_enqueued', 'no_route_matched', count(*) FROM dlq
-UNION ALL SELECT 'runbook_success', runbook, count(*) FROM stored GROUP BY runbook
+UNION ALL SELECT 'runbook_success', name, sum(n) FROM (SELECT runbook AS name, count(*) AS n FROM stored GROUP BY runbook
+  UNION ALL SELECT route, count(*) FROM routed WHERE route = 'cloud.gcp.event_audit' AND event_id % 3 <> 0 GROUP BY route) GROUP BY name
+UNION ALL SELECT 'runbook_error', concat(route, '/', CASE WHEN event_id % 9 = 0 THEN 'ValueError: resource is not an object' ELSE 'LookupError: nobody is named' END),
+ count(*) FROM routed WHERE route = 'cloud.gcp.event_audit' AND event_id % 3 = 0 GROUP BY 2
 UNION ALL SELECT 'enricher_error', concat(enricher, '/', type), count(*) FROM errors WHERE enricher = 'principal_identity' GROUP BY 2
 UNION ALL SELECT 'enricher_duration_ms', enricher, count(*) FROM runs GROUP BY enricher
-UNION ALL SELECT 'enricher_pipeline_duration_ms', runbook, count(*) FROM runs GROUP BY runbook"""
+UNION ALL SELECT 'enricher_pipeline_duration_ms', runbook, count(*) FROM runs GROUP BY runbook
+UNION ALL SELECT 'principal_cache_stats', concat(runbook, '/', CAST(hits AS STRING), '/', CAST(position - hits AS STRING)), count(*) FROM (
+ SELECT runbook, row_number() OVER w AS position, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER w AS BIGINT) AS hits
+ FROM (SELECT l.runbook, l.lookup_id, l.ts, r.hit FROM lookups l JOIN r ON r.lookup_id = l.lookup_id)
+ WINDOW w AS (PARTITION BY runbook ORDER BY ts, lookup_id ROWS UNBOUNDED PRECEDING)) WHERE position % 50 = 0 GROUP BY 2"""
 
 
-@register("metric_events", query(METRIC_COUNTS, "objects", "routed", "dlq", "stored", "errors", "runs"))
+@register(
+    "metric_events",
+    query(METRIC_COUNTS, "objects", "routed", "dlq", "stored", "errors", "runs", "lookups", extra=ttl_chain("lookups")),
+)
 def metric_events(spark, sf):
     """Every kind of event derived from its table, counted by the name it carries."""
     r = routed(spark, sf)
-    failed = identified(spark, sf).select(
+    wrong = identified(spark, sf).select(
         F.col("received_at").alias("enriched_at"), F.lit("cloud.aws.cloudtrail").alias("runbook"),
         F.filter(F.array("identity_error"), lambda e: e.isNotNull()).alias("enricher_errors"),
     )
@@ -1028,16 +1098,21 @@ def metric_events(spark, sf):
     events = metrics.union(
         metrics.ingested_events(alerts(spark, sf)), metrics.routed_events(routing.matched(r)),
         metrics.dlq_events(dead(spark, sf)), metrics.runbook_events(stored_rows(spark, sf)),
-        metrics.enricher_error_events(failed), metrics.timing_events(runs), metrics.pipeline_events(runs),
+        metrics.runbook_events(strict_rows(spark, sf, False), runbooks.failed([strict_gcp(False)])),
+        metrics.enricher_error_events(wrong), metrics.timing_events(runs), metrics.pipeline_events(runs),
+        metrics.cache_stats_events(replay_stats(spark, sf)),
     )
     event = F.col("event")
-    field = {n: F.get_json_object("data", f"$.{n}") for n in ("source", "route", "reason", "runbook", "enricher", "type")}
+    names = ("source", "route", "reason", "runbook", "enricher", "type", "error", "hits", "misses")
+    field = {n: F.get_json_object("data", f"$.{n}") for n in names}
     name = (
         F.when(event == "alert_ingested", field["source"])
         .when(event == "route_matched", field["route"])
         .when(event == "dlq_enqueued", field["reason"])
+        .when(event == "runbook_error", F.concat_ws("/", field["runbook"], field["error"]))
         .when(event == "enricher_error", F.concat_ws("/", field["enricher"], field["type"]))
         .when(event == "enricher_duration_ms", field["enricher"])
+        .when(event == "principal_cache_stats", F.concat_ws("/", field["runbook"], field["hits"], field["misses"]))
         .otherwise(field["runbook"])
     )
     return events.groupBy("event", name.alias("name")).agg(F.count(F.lit(1)).alias("value"))
@@ -1143,12 +1218,6 @@ def enricher_errors(spark, sf):
     return metrics.enricher_errors(rows)
 
 
-PRINCIPAL_LOOKUPS = (
-    "pl AS (SELECT concat(provider, '::', nid) AS key, epoch_us(received_at) AS moment, alert_id AS lookup_id, true AS lookup_ok,"
-    " display_name FROM eligible WHERE ok)"
-)
-
-
 @register(
     "cached_history",
     query(
@@ -1160,11 +1229,14 @@ PRINCIPAL_LOOKUPS = (
 )
 def cached_history(spark, sf):
     slim = materialise(identified(spark, sf).select("alert_id", "received_at", "principal", "eligible"), "identified")
-    rows = history.with_cached_history(
+    served, found = history.lookups(
         slim, I.frame(spark, sf, "audit"), CHECK_SETTINGS.cache_ttl_seconds, LOOKBACK_MINUTES, MAX_RESULTS
-    ).filter("eligible")
-    return rows.select("alert_id", F.col("cache_hit").alias("hit"), "served_by", F.posexplode_outer("events").alias("i", "item")).select(
-        "alert_id", "hit", "served_by", (F.col("i") + 1).cast("bigint").alias("place"), "item.event_id"
+    )
+    # The ids of a look-up go to the alerts that it serves; its texts stay where they are.
+    ids = found.select("anchor_id", F.posexplode_outer("events").alias("i", "item")).select("anchor_id", "i", "item.event_id")
+    return served.join(ids, "anchor_id", "left").select(
+        "alert_id", F.col("cache_hit").alias("hit"), F.col("anchor_id").alias("served_by"),
+        (F.col("i") + 1).cast("bigint").alias("place"), "event_id",
     )
 
 

@@ -264,21 +264,38 @@ FROM (SELECT polled_at, CAST(reply AS JSON)->'$[0]' AS q FROM queues WHERE json_
 }
 
 
-def query(select: str, *tables: str, extra: str = "") -> str:
-    """``select`` behind the sub-queries it names; ``extra`` is added after them."""
+# What each alert sees when look-ups are shared through the cache: the history of the look-up that serves it.
+TABLES["own_history"] = TABLES["history"]
+CACHED_HISTORY = (
+    "SELECT w.event_id, r.lookup_id AS alert_id, w.received_at, h.place, h.eid, h.cloudtrail_event, h.e"
+    " FROM r JOIN own_history h ON h.alert_id = r.served_by JOIN who w ON w.alert_id = r.lookup_id",
+    ("own_history", "who"),
+)
+
+
+def query(select: str, *tables: str, extra: str = "", before: str = "", swap: dict | None = None) -> str:
+    """``select`` behind the sub-queries it names; ``extra`` is added after them, or in front of the sub-query ``before``.
+
+    ``swap`` gives other definitions for some of them.
+    """
+    known = TABLES | (swap or {})
     order: list[str] = []
 
     def add(name: str) -> None:
         if name in order:
             return
-        for needed in TABLES[name][1]:
+        for needed in known[name][1]:
             add(needed)
         order.append(name)
 
     for table in tables:
         add(table)
-    parts = [f"{name} AS ({TABLES[name][0]})" for name in order]
-    if extra:
+    parts: list[str] = []
+    for name in order:
+        if extra and name == before:
+            parts.append(extra)
+        parts.append(f"{name} AS ({known[name][0]})")
+    if extra and not before:
         parts.append(extra)
     text = f"WITH RECURSIVE {', '.join(parts)}\n{select}" if parts else select
     # The arrow binds weaker than a comparison, so every use gets brackets.

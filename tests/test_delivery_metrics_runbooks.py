@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from alertweave import settings as S
 from alertweave.operators import delivery, metrics, numbering, queues, routing
-from alertweave.plans import pipeline, runbooks
+from alertweave.functions import payload
+from alertweave.plans import guard, pipeline, runbooks
 from alertweave.sources import normalise
 from tests.test_payload_and_routing import alert_rows
 
@@ -208,3 +209,74 @@ def test_alerts_without_a_time_keep_their_columns(spark):
     assert [(r["alert"]["source"], r["alert"]["raw_payload"]) for r in got] == [("s", text)] * 2
     assert all(json.loads(r["extracted"])["principal"]["normalized_id"] == ARN for r in got)
     assert [e["error"] for e in json.loads(got[0]["extracted"])["enricher_errors"]] == ["alert has no time to look back from"]
+
+
+def strict(payload):
+    if payload["n"] == 3:
+        raise ValueError("three is too many")
+    return {"double": payload["n"] * 2, "tags": payload.get("tags")}
+
+
+@pytest.mark.parametrize("guarded", [True, False])
+def test_a_failing_row_keeps_its_alert_and_stops_no_other(spark, tmp_path, guarded):
+    flag = S.DEFAULTS.test_flag
+    payloads = [{flag: True, "n": 1, "tags": ["a"]}, {flag: True, "n": 3}, {flag: True}, {flag: True, "n": 4}]
+    messages = spark.createDataFrame(
+        [(json.dumps(p).encode(), None, "t", 0, i) for i, p in enumerate(payloads)], "value binary, key binary, topic string, partition int, offset long"
+    )
+    book = runbooks.Runbook("test", S.QUEUE_TEST, guard.RowFunction(strict, "double int, tags array<string>"), guarded=guarded)
+    now = F.timestamp_seconds(F.lit(101))
+    out = pipeline.run(normalise.kafka(messages, F.timestamp_seconds(F.lit(100))), [book], str(tmp_path / "run"), now=now)
+    rows = {r["alert"]["raw_payload"]: (r["runbook_error"], json.loads(r["extracted"])) for r in out.enriched.collect()}
+    want = [(None, {"double": 2, "tags": ["a"]}), ("ValueError: three is too many", {}), ("KeyError: 'n'", {}), (None, {"double": 8})]
+    assert rows == {json.dumps(p): w for p, w in zip(payloads, want)}
+    counts = {(r["bucket"], r["name"]): r["value"] for r in metrics.counters(out.metric_events).collect()}
+    errors = [json.loads(r["data"]) for r in out.metric_events.filter("event = 'runbook_error'").collect()]
+    if guarded:
+        assert counts["runbook_success", "test"] == 4 and not errors and out.lines.count() == 4 and out.failed.count() == 0
+    else:
+        assert counts["runbook_success", "test"] == 2 and counts["runbook_error", "test"] == 2 and out.lines.count() == 2
+        assert sorted(e["error"] for e in errors) == ["KeyError: 'n'", "ValueError: three is too many"] and out.failed.count() == 2
+
+
+def test_enrichers_from_functions_and_a_failure_check(spark):
+    def first(payload, alert_id):
+        if alert_id == "2":
+            raise LookupError("no such alert")
+        return {"size": len(payload)}
+
+    def second(size):
+        return None if size is None else {"large": size > 1}
+
+    rows = alert_rows(spark, [{"a": 1}, {"a": 1, "b": 2}, {"c": 3}, {"bad": True}])
+    routed = rows.withColumn("queue", F.lit("q")).drop("payload")
+    book = runbooks.Runbook(
+        "own", "q", lambda v: F.struct(payload.value_or_absent(v, "$.a").alias("a")),
+        enrichers=(runbooks.row_enricher("second", second, ["size"], "large boolean", ("first",)), runbooks.row_enricher("first", first, ["payload", "alert_id"], "size int")),
+        more=lambda: [F.col("size"), F.col("large")],
+        failure=lambda v: F.when(payload.has_key(v, "$.bad"), F.lit("TypeError: bad")),
+    )
+    got = {r["alert"]["alert_id"]: (r["runbook_error"], json.loads(r["extracted"])) for r in book.enrich(routed, F.timestamp_seconds(F.lit(1))).collect()}
+    assert got == {
+        "0": (None, {"a": 1, "size": 1, "large": False}), "1": (None, {"a": 1, "size": 2, "large": True}),
+        "2": (None, {"enricher_errors": [{"enricher": "first", "error": "no such alert", "type": "LookupError"}]}),
+        "3": ("TypeError: bad", {}),
+    }
+
+
+def test_cache_statistics_are_among_the_events_of_a_run(spark, tmp_path):
+    user = {"type": "IAMUser", "arn": ARN, "userName": "ann"}
+    payloads = [{**CLOUD, "userIdentity": user, "n": i} for i in range(5)] + [{**CLOUD, "userIdentity": None}]
+    messages = spark.createDataFrame(
+        [(json.dumps(p).encode(), None, "t", 0, i) for i, p in enumerate(payloads)], "value binary, key binary, topic string, partition int, offset long"
+    )
+    audit = spark.createDataFrame([], "username string, event_time timestamp, event_id string, cloudtrail_event string")
+    known = spark.createDataFrame([], "resource_key string, valid_from timestamp, valid_to timestamp, payload string")
+    settings = S.Settings(cache_stats_every=3)
+    out = pipeline.run(
+        normalise.kafka(messages, F.timestamp_seconds(F.lit(100))), runbooks.default_runbooks(audit, known), str(tmp_path / "run"),
+        settings=settings, now=F.timestamp_seconds(F.lit(101)),
+    )
+    stats = [json.loads(r["data"]) for r in out.metric_events.filter("event = 'principal_cache_stats'").collect()]
+    assert len(stats) == 2 and max((s["hits"], s["misses"]) for s in stats) == (4, 1)
+    assert {r["event"] for r in out.metric_events.select("event").distinct().collect()} >= {"runbook_success", "enricher_error", "principal_cache_stats"}
