@@ -65,8 +65,8 @@ def lookup_frame(spark, rows):
     return spark.createDataFrame(rows, "key string, at bigint, lookup_id bigint, lookup_ok boolean")
 
 
-@pytest.mark.parametrize("life, span, lives", [(10, 400, 3), (1, 50, 64), (37, 5000, 2), (900, 1000, 64), (10, 9, 1)])
-def test_replay_matches_brute_force(spark, life, span, lives):
+@pytest.mark.parametrize("life, span, rows_per_chunk", [(10, 400, 30), (1, 50, 7), (37, 5000, 100), (900, 1000, 64), (10, 9, 1), (37, 5000, 5000)])
+def test_replay_matches_brute_force(spark, life, span, rows_per_chunk):
     rng = random.Random(span)
     rows = [
         ("hot" if rng.random() < 0.6 else f"k{rng.randrange(30)}", rng.randrange(-20, span), i, rng.random() < 0.8)
@@ -74,12 +74,25 @@ def test_replay_matches_brute_force(spark, life, span, lives):
     ]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
     try:
-        got = {r["lookup_id"]: (r["hit"], r["served_by"]) for r in ttl.replay(lookup_frame(spark, rows), life, lives).collect()}
+        got = {r["lookup_id"]: (r["hit"], r["served_by"]) for r in ttl.replay(lookup_frame(spark, rows), life, rows_per_chunk).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == brute_replay(rows, life)
 
 
+def test_a_key_with_most_of_the_rows_is_cut_into_chunks(spark):
+    # 9,000 instants of one key, most of them in a few slots, beside many small keys.
+    times = [*range(0, 3000), *range(3000, 300_000, 297), *range(400_000, 405_000)]
+    instants = spark.createDataFrame([("hot", t // 50, t, t) for t in times] + [(f"k{t}", t // 50, t, t) for t in range(800)],
+        "key string, slot bigint, at bigint, anchor_id bigint")
+    chunks = ttl._chunks(instants, 50, 400)
+    sizes = instants.join(chunks, ["key", "slot"]).groupBy("key", "chunk").agg(F.count("*").alias("n"), F.min("at"), F.max("at"), F.max("begins")).collect()
+    assert {r["key"] for r in sizes} == {"hot"} and sum(r["n"] for r in sizes) == len(times)
+    assert len(sizes) >= len(times) // 450 and max(r["n"] for r in sizes) <= 400 + 50
+    ordered = sorted((r[3], r[4], r[5]) for r in sizes)
+    assert all(a[1] < b[2] <= b[0] for a, b in zip(ordered, ordered[1:]))
+
+
 def test_entry_is_dead_at_its_expiry_and_hits_do_not_extend_it(spark):
     rows = [("a", 0, 1, True), ("a", 9, 2, True), ("a", 10, 3, True), ("a", 19, 4, True), ("a", 20, 5, False), ("a", 21, 6, True), ("b", 9, 7, True)]
     got = {r["lookup_id"]: r["hit"] for r in ttl.replay(lookup_frame(spark, rows), 10).collect()}

@@ -18,9 +18,9 @@ ROUTES = [
     ({"eventVersion": 1.08, "eventSource": "s3.amazonaws.com"}, None),
     ({"eventVersion": "1.08", "eventSource": "example.com"}, None),
     ({"eventVersion": "1.08", "eventSource": 7}, None),
-    ({"schemaVersion": "2.0", "type": "UnauthorizedAccess:EC2/TorIPCaller"}, "cloud.aws.guardduty"),
+    ({"schemaVersion": "2.0", "type": "Sweep:Lab/ManyPorts"}, "cloud.aws.guardduty"),
     ({"schemaVersion": "2.0", "type": "NoSlash"}, None),
-    ({"schemaVersion": "2.0", "type": 42}, None),
+    ({"schemaVersion": "2.0", "type": 7.5}, None),
     ({"schemaVersion": 2, "type": "a/b"}, None),
     ({"type": "a/b"}, None),
     ({"apiVersion": "audit.k8s.io/v1", "kind": "Event"}, "cloud.aws.eks"),
