@@ -20,6 +20,7 @@ from alertweave import settings as S
 from alertweave.operators import delivery, metrics, queues, routing, ttl
 from alertweave.plans.runbooks import Runbook, enrich_all
 from alertweave.streaming import cache_state
+from alertweave.streaming.folded import FoldedLog
 
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -109,17 +110,23 @@ def history_pairs(alerts: DataFrame, audit_events: DataFrame, lookback_minutes:
     return a.join(e, inside).drop("actor")
 
 
-def count(metric_events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Running counters. Each batch writes the counters it changed; ``current_counters`` reads the newest."""
+def counter_log(spark: SparkSession, path: str, fold_every: int = 20) -> FoldedLog:
+    """The running counters that ``count`` keeps under ``path``; ``read()`` gives ``bucket, name, value, updated_at``."""
+    schema = "bucket string, name string, value bigint, updated_at timestamp"
+    return FoldedLog(spark, path, schema, ("bucket", "name"), every=fold_every)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return _each_batch(metrics.counters(metric_events), checkpoint, write, "update", trigger)
+def count(
+    metric_events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, fold_every: int = 20
+) -> StreamingQuery:
+    """Running counters. Each batch writes the counters it changed; every ``fold_every`` batches they become one snapshot."""
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        log = counter_log(batch.sparkSession, path, fold_every)
+        log.append(batch.withColumn("updated_at", F.current_timestamp()), batch_id)
+        log.fold_if_due()
 
-def current_counters(stored: DataFrame) -> DataFrame:
-    return stored.groupBy("bucket", "name").agg(F.max_by("value", "batch_id").alias("value"))
+    return _each_batch(metrics.counters(metric_events), checkpoint, write, "update", trigger)
 
 
 def drop_repeats(alerts: DataFrame, delay: str) -> DataFrame:
@@ -223,12 +230,42 @@ def windowed_rates(routed: DataFrame, width: str = "1 minute", seconds: int = 60
     )
 
 
+def rate_log(spark: SparkSession, path: str, fold_every: int = 20) -> FoldedLog:
+    """Counts by window and queue that ``rates`` keeps under ``path``, and how many of them were late."""
+    schema = "window_start timestamp, queue string, alerts bigint, late bigint, newest timestamp"
+    return FoldedLog(spark, f"{path}/windows", schema, ("window_start", "queue"), ("alerts", "late"), ("newest",), fold_every)
+
+
 def rates(
-    routed: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", trigger: dict | None = None
-) -> StreamingQuery:
-    """Windows changed by each batch; the newest batch of a window counts."""
+    routed: DataFrame, path: str, checkpoint: str, delay_seconds: int = 600, width: str = "1 minute", trigger: dict | None = None,
+    fold_every: int = 20,
+) -> StreamingQuery:
+    """Alerts by window and queue. Every batch adds its own counts to the windows, so a late alert is counted in its window too.
+
+    An alert is late if it is older than the newest of earlier batches by more than ``delay_seconds``. Late alerts are also
+    listed under ``late``, one folder a batch. No state is held between batches: counts of batches are folded as they add up.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        log = rate_log(batch.sparkSession, path, fold_every)
+        before = log.read().agg(F.max("newest")).first()[0]
+        mark = F.lit(before).cast("timestamp") - F.expr(f"interval {int(delay_seconds)} seconds")
+        late = F.coalesce(F.col("received_at") < mark, F.lit(False)) if before is not None else F.lit(False)
+        rows = batch.filter(F.col("queue").isNotNull() & F.col("received_at").isNotNull()).withColumn("_late", late)
+        rows = rows.select("alert_id", "queue", "received_at", "_late").persist(StorageLevel.MEMORY_AND_DISK)
+        counted = rows.groupBy(F.window("received_at", width)["start"].alias("window_start"), "queue").agg(
+            F.count(F.lit(1)).alias("alerts"), F.count_if("_late").alias("late"), F.max("received_at").alias("newest")
+        )
+        rows.filter("_late").drop("_late").write.mode("overwrite").parquet(f"{path}/late/batch_id={batch_id}")
+        log.append(counted, batch_id)
+        log.fold_if_due()
+        rows.unpersist()
 
-    return _each_batch(windowed_rates(routed, delay=delay), checkpoint, write, "update", trigger)
+    return _each_batch(routed, checkpoint, write, trigger=trigger)
+
+
+def current_rates(spark: SparkSession, path: str, seconds: int = 60) -> DataFrame:
+    """``window_start, queue, alerts, late, rate`` of all windows so far."""
+    return rate_log(spark, path).read().select(
+        "window_start", "queue", "alerts", "late", (F.col("alerts") / seconds).alias("rate")
+    )

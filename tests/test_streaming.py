@@ -1,18 +1,20 @@
 """Streams of several micro-batches give what the batch steps give on the whole table."""
 
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from alertweave.operators import metrics, queues, routing
 from alertweave.streaming import cache_state, jobs
+from alertweave.streaming.folded import FoldedLog
 from tests.test_history_and_cache import brute_replay, lookup_frame
 from tests.test_payload_and_routing import ROUTES, alert_rows
 
 
 def as_stream(spark, frames, folder):
     """Each frame becomes one file, read one per micro-batch in the order given."""
-    import os
     import time
 
     for i, frame in enumerate(frames):
@@ -35,17 +37,69 @@ def test_route(spark, tmp_path):
     assert got == want and len(got) == len(ROUTES)
 
 
-def test_counters_over_batches_and_restart(spark, tmp_path):
+@pytest.mark.parametrize("fold_every", [1, 2, 20])
+def test_counters_over_batches_and_restart(spark, tmp_path, fold_every):
     events = spark.range(60).selectExpr(
         "if(id % 2 = 0, 'alert_ingested', 'runbook_error') AS event",
         "if(id % 2 = 0, concat('{\"source\":\"s', id % 3, '\"}'), '{\"runbook\":\"r\"}') AS data", "id",
     )
-    parts = [events.filter(F.col("id") % 4 == i) for i in range(4)]
+    parts = [events.filter(F.col("id") % 5 == i) for i in range(5)]
     stream = as_stream(spark, parts, str(tmp_path / "in"))
+    out = str(tmp_path / "out")
     for _ in range(2):  # the second start finds nothing new
-        jobs.count(stream, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
-    got = jobs.current_counters(spark.read.parquet(str(tmp_path / "out")))
+        jobs.count(stream, out, str(tmp_path / "ckpt"), fold_every=fold_every).awaitTermination()
+    log = jobs.counter_log(spark, out)
+    got = log.read().select("bucket", "name", "value")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, metrics.counters(events).collect()))
+    assert len(log.tail()) == {1: 0, 2: 1, 20: 5}[fold_every]
+    assert len([d for d in os.listdir(out) if d.startswith("batch_id=")]) == len(log.tail())
+
+
+def log_of(spark, path, **more):
+    return FoldedLog(spark, path, "k string, n bigint, total bigint", ("k",), ("total",), **more)
+
+
+def test_a_crash_between_the_steps_of_a_fold_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log = log_of(spark, path)
+    assert log.read().count() == 0
+
+    def batch(i):
+        return spark.createDataFrame([("a", 10 * i, 1), (f"b{i}", i, 2)], "k string, n bigint, total bigint")
+
+    def state():
+        return {r["k"]: (r["n"], r["total"]) for r in log.read().collect()}
+
+    def want(last):
+        return {"a": (10 * last, last + 1)} | {f"b{i}": (i, 2) for i in range(last + 1)}
+
+    for i in range(4):
+        log.append(batch(i), i)
+    assert state() == want(3)
+    # The snapshot is written but its mark is not there yet.
+    log._remove = lambda *_: None
+    log.fold()
+    mark = f"{path}/snapshot=3/_SUCCESS"
+    held = open(mark, "rb").read()
+    os.remove(mark)
+    assert log.covered() == -1 and state() == want(3)
+    # The mark is there, but nothing has been removed.
+    open(mark, "wb").write(held)
+    assert log.covered() == 3 and log.tail() == [] and state() == want(3)
+    # A covered batch is repeated, and goes on.
+    log = log_of(spark, path)
+    log.append(batch(3), 3)
+    log.append(batch(4), 4)
+    assert state() == want(4)
+    # A batch that is being written does not count yet.
+    os.makedirs(f"{path}/batch_id=5")
+    assert log.tail() == [4]
+    log.fold()
+    assert state() == want(4) and not [d for d in os.listdir(path) if d in ("batch_id=3", "batch_id=4")]
+    for i in range(5, 8):
+        log.append(batch(i), i)
+        log.fold()
+    assert state() == want(7) and sorted(d for d in os.listdir(path) if "=" in d) == ["snapshot=6", "snapshot=7"]
 
 
 def replayed_in_batches(spark, tmp_path, batches, life, delay):
@@ -162,14 +216,18 @@ def test_delivery_keeps_undeliverable_rows(spark, tmp_path):
     assert spark.read.parquet(lost).count() == 12
 
 
-def test_rates(spark, tmp_path):
-    rows = spark.range(300).selectExpr("if(id % 3 = 0, 'q1', 'q2') AS queue", "timestamp_seconds(id) AS received_at")
-    stream = as_stream(spark, [rows.filter("received_at < timestamp_seconds(90)"), rows.filter("received_at >= timestamp_seconds(90)")], str(tmp_path / "in"))
-    jobs.rates(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), "1 hour").awaitTermination()
-    stored = spark.read.parquet(str(tmp_path / "out"))
-    newest = stored.groupBy("window_start", "queue").agg(F.max_by("alerts", "batch_id").alias("alerts"))
-    want = jobs.windowed_rates(rows).select("window_start", "queue", "alerts")
-    assert sorted(map(tuple, newest.collect())) == sorted(map(tuple, want.collect()))
+def test_rates_count_late_rows_in_their_windows(spark, tmp_path):
+    rows = spark.range(300).selectExpr("concat('a', id) AS alert_id", "if(id % 3 = 0, 'q1', 'q2') AS queue", "timestamp_seconds(id) AS received_at")
+    late = rows.filter("received_at < timestamp_seconds(40)")
+    parts = [rows.filter("received_at BETWEEN timestamp_seconds(40) AND timestamp_seconds(179)"), rows.filter("received_at >= timestamp_seconds(180)").unionByName(late)]
+    out = str(tmp_path / "out")
+    jobs.rates(as_stream(spark, parts, str(tmp_path / "in")), out, str(tmp_path / "ckpt"), 100, fold_every=2).awaitTermination()
+    got = jobs.current_rates(spark, out)
+    want = jobs.windowed_rates(rows).select("window_start", "queue", "alerts", "rate")
+    assert sorted(map(tuple, got.drop("late").collect())) == sorted(map(tuple, want.collect()))
+    # Behind 179 - 100 seconds are those before second 79, of which the second batch has the first forty.
+    assert got.agg(F.sum("late")).first()[0] == 40
+    assert {r["alert_id"] for r in spark.read.parquet(f"{out}/late").collect()} == {f"a{i}" for i in range(40)}
 
 
 def test_append_new_keeps_alerts_without_a_time(spark, tmp_path):
