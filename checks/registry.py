@@ -15,7 +15,7 @@ from alertweave.plans import pipeline, runbooks
 from alertweave.plans.guard import RowFunction
 from alertweave.session import fresh_path, materialise
 from alertweave.sources import normalise, polling, stored
-from alertweave.streaming import jobs
+from alertweave.streaming import jobs, sending
 from checks import inputs as I
 from checks.sql import CACHED_HISTORY, CATALOG, DAY, MATCH, RUNBOOKS, query, ttl_chain, uuid
 
@@ -1636,6 +1636,32 @@ def stream_delivery(spark, sf):
     )
 
 
+@register(
+    "stream_destinations",
+    query(
+        """SELECT part, batch, count(*) AS events, CASE WHEN count(*) = 50 THEN 'delivered' ELSE 'permanent_error' END AS outcome,
+ CASE WHEN count(*) = 50 THEN 202 ELSE 400 END AS last_status FROM (SELECT event_id % 4 AS part,
+  CAST(floor((row_number() OVER (PARTITION BY event_id % 4 ORDER BY alert_id) - 1) / 50.0) AS BIGINT) AS batch
+ FROM routed WHERE route IS NOT NULL AND user_mark) GROUP BY 1, 2""".replace("user_mark", "event_id % 3 = 0"),
+        "routed",
+    ),
+)
+def stream_destinations(spark, sf):
+    """A destination of the caller's own that takes full payloads only; what became of each payload of each micro-batch."""
+    out, ckpt = _paths(spark, "destinations", "out", "ckpt")
+    rows = routing.matched(routing.route_alerts(stream_alerts(spark, sf)))
+    enriched = rows.select(
+        F.struct(*queues.STORED_ALERT).alias("alert"), F.col("route").alias("runbook"),
+        F.col("received_at").alias("enriched_at"), F.lit("{}").alias("extracted"),
+        F.lit(None).cast("string").alias("runbook_error"),
+        F.when(F.col("event_id") % 3 == 0, "archive").otherwise("splunk").alias("destination"),
+    )
+    archive = sending.Destination("archive", lambda text, _: 202 if text.count("\n") == 49 else 400)
+    sending.deliver_to(enriched, [archive], out, ckpt).awaitTermination()
+    sent = spark.read.parquet(f"{out}/outcomes")
+    return sent.select(F.col("batch_id").cast("bigint").alias("part"), "batch", "events", "outcome", "last_status")
+
+
 @register(
     "stream_windowed_rates",
     query(

@@ -1,5 +1,6 @@
 """Streams of several micro-batches give what the batch steps give on the whole table."""
 
+import collections
 import os
 import random
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertweave.operators import metrics, queues, routing
-from alertweave.streaming import cache_state, jobs
+from alertweave.streaming import cache_state, jobs, sending
 from alertweave.streaming.folded import FoldedLog
 from tests.test_history_and_cache import brute_replay, lookup_frame
 from tests.test_payload_and_routing import ROUTES, alert_rows
@@ -216,6 +217,83 @@ def test_delivery_keeps_undeliverable_rows(spark, tmp_path):
     assert spark.read.parquet(lost).count() == 12
 
 
+def logged_send(folder, replies, breaks=None):
+    """A sender that notes every call in a file of its own, and answers with the next status for a payload's first alert."""
+    import json
+    import uuid
+
+    def send(text, payload_id):
+        first = json.loads(text.split("\n")[0])["event"]["alert"]["id"]
+        before = sum(f.startswith(f"{first}-") for f in os.listdir(folder))
+        with open(f"{folder}/{first}-{uuid.uuid4().hex}", "w") as f:
+            f.write(payload_id)
+        if breaks and first == breaks[0] and not os.path.exists(breaks[1]):
+            open(breaks[1], "w").close()
+            raise SystemExit("the task is lost")
+        answer = replies.get(first, [200])
+        answer = answer[min(before, len(answer) - 1)]
+        if answer is None:
+            raise OSError("no route")
+        return answer
+
+    return send
+
+
+def enriched_rows(spark, n):
+    # Ids of three digits, so that their order as text is that of their numbers.
+    return alert_rows(spark, [{"n": i} for i in range(n)]).withColumn("alert_id", F.lpad("alert_id", 3, "0")).select(
+        F.struct(*queues.STORED_ALERT).alias("alert"), F.lit("test").alias("runbook"), F.col("received_at").alias("enriched_at"),
+        F.lit("{}").alias("extracted"), F.lit(None).cast("string").alias("runbook_error"),
+        F.when(F.col("alert_id") < "100", "hook").when(F.col("alert_id") < "110", "other").otherwise(F.lit(None)).alias("destination"),
+    )
+
+
+def calls(folder):
+    return collections.Counter(f.split("-")[0] for f in os.listdir(folder))
+
+
+def test_a_destination_of_the_callers_own(spark, tmp_path):
+    folder, path = str(tmp_path / "calls"), str(tmp_path / "out")
+    os.makedirs(folder)
+    replies = {"010": [503, 200], "020": [404], "030": [None, None, None], "040": [429, None, 201]}
+
+    def envelope(settings):
+        return F.struct(F.lit(settings.host).alias("from"), F.struct(F.struct(F.col("alert.alert_id").alias("id")).alias("alert")).alias("event"))
+
+    hook = sending.Destination("hook", logged_send(folder, replies), envelope, batch_size=10, pause=0.0, senders=3)
+    stream = as_stream(spark, [enriched_rows(spark, 112)], str(tmp_path / "in"))
+    sending.deliver_to(stream, [hook], path, str(tmp_path / "ckpt")).awaitTermination()
+    got = {r["batch"]: (r["outcome"], r["attempts"], r["last_status"], r["events"], r["last_error"]) for r in spark.read.parquet(f"{path}/outcomes").collect()}
+    want = {b: ("delivered", 1, 200, 10, None) for b in range(10)}
+    want |= {1: ("delivered", 2, 200, 10, None), 2: ("permanent_error", 1, 404, 10, None), 4: ("delivered", 3, 201, 10, None)}
+    want[3] = ("failed", 3, 0, 10, "OSError: no route")
+    assert got == want
+    assert calls(folder) == {f"{10 * b:03d}": want[b][1] for b in range(10)}
+    rest = spark.read.parquet(f"{path}/undelivered").select("undeliverable").collect()
+    assert collections.Counter(r[0] for r in rest) == {"no client for destination other": 10, "no client for destination null": 2}
+
+
+def test_a_failed_job_sends_nothing_again_that_its_tasks_have_noted(spark, tmp_path):
+    folder, path = str(tmp_path / "calls"), str(tmp_path / "out")
+    os.makedirs(folder)
+    send = logged_send(folder, {}, ("050", str(tmp_path / "broken")))
+    hook = sending.Destination("hook", send, batch_size=10, pause=0.0, senders=10)
+    stream = as_stream(spark, [enriched_rows(spark, 100)], str(tmp_path / "in"))
+    with pytest.raises(Exception):
+        sending.deliver_to(stream, [hook], path, str(tmp_path / "ckpt")).awaitTermination()
+    noted = {f"{10 * r['batch']:03d}" for r in spark.read.schema(sending.ATTEMPT).parquet(f"{path}/ledger/destination=hook/batch_id=0").collect()}
+    before = calls(folder)
+    assert "050" not in noted and set(before) >= noted
+    sending.deliver_to(stream, [hook], path, str(tmp_path / "ckpt")).awaitTermination()
+    outcomes = spark.read.parquet(f"{path}/outcomes").collect()
+    assert len(outcomes) == 10 and {r["outcome"] for r in outcomes} == {"delivered"}
+    after = calls(folder)
+    assert all(after[k] == before[k] for k in noted) and after["050"] == 2
+    # A further start has nothing to do.
+    sending.deliver_to(stream, [hook], path, str(tmp_path / "ckpt")).awaitTermination()
+    assert calls(folder) == after
+
+
 def test_rates_count_late_rows_in_their_windows(spark, tmp_path):
     rows = spark.range(300).selectExpr("concat('a', id) AS alert_id", "if(id % 3 = 0, 'q1', 'q2') AS queue", "timestamp_seconds(id) AS received_at")
     late = rows.filter("received_at < timestamp_seconds(40)")
