@@ -5,67 +5,26 @@ which is quadratic for a key that owns much of the data. Here facts get a runnin
 learns the number of the last fact it may see, and the two meet on ``(key, number)``:
 
 * facts of one instant are first cut to the newest ``n``, in map-side partials, since no probe needs more;
-* the running number comes from counts per ``(key, time bin)``, their running total per key and the place
-  inside the bin. No task holds a whole key. A bin holds at most ``n`` facts per distinct instant, and the
-  running total of a key has one row per bin, so it grows with the time span and not with the rows;
+* the running number comes from ranges of ``(key, time)`` and not from windows over a key (see ``numbering``), so neither a key
+  nor a minute of a key is ever in one task as a whole;
 * a probe is expanded to exactly the numbers it returns, so the join never builds a pair it throws away.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BIN_SECONDS = 60
+from alertweave.operators.numbering import positions
 
 _LOWER, _FACT, _UPPER = 0, 1, 2
 
 
-def shuffle_once(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` partitioned by ``keys`` in a form that several uses can share.
-
-    Every column is read right behind the shuffle. Otherwise each use would prune the columns it does not need in
-    front of it, and Spark would see, and run, as many different shuffles.
-    """
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.repartition(*keys).select(*keys, F.inline(F.array(F.struct(*rest))))
-
-
-def time_bin(at: Column, seconds: int) -> Column:
-    """Number of the time bin of a moment in microseconds.
-
-    Never NULL, so that a join on it adds no filter: such a filter reaches one side of the self-join below and
-    not the other, which keeps Spark from sharing the shuffle.
-    """
-    return F.coalesce(F.floor(at / (seconds * 1000000)), F.lit(0).cast("bigint"))
-
-
-def running_position(rows: DataFrame, group: list[str], bins: list[str], order: list, weight: str) -> DataFrame:
-    """Adds ``position``: the running sum of ``weight`` in the order ``bins, order`` inside a group.
-
-    The bins must sort the same way as the rows, so that totals of earlier bins can be added to the place
-    inside the bin.
-    """
-    inside = Window.partitionBy(*group, *bins).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*group).orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1)
-    # One shuffle serves the totals and the places.
-    rows = shuffle_once(rows, [*group, *bins])
-    totals = rows.groupBy(*group, *bins).agg(F.sum(weight).alias("_total"))
-    offsets = totals.select(*group, *bins, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-    placed = rows.withColumn("_inside", F.sum(weight).over(inside))
-    return (
-        placed.join(offsets, [*group, *bins])
-        .withColumn("position", F.col("_inside") + F.col("_offset"))
-        .drop("_inside", "_offset")
-    )
-
-
 def newest_before(
     probes: DataFrame,
     facts: DataFrame,
     n: int,
     lookback_micros: int | None = None,
-    bin_seconds: int = DEFAULT_BIN_SECONDS,
 ) -> DataFrame:
     """The newest ``n`` facts per probe, not after it and not older than the look-back, both ends included.
 
@@ -104,12 +63,9 @@ def newest_before(
         no_fact,
         F.col("at").alias("probe_at"),
     )
-    points = (
-        points.unionByName(probe_points)
-        .withColumn("bin", time_bin(F.col("at"), bin_seconds))
-        .withColumn("weight", (F.col("role") == _FACT).cast("bigint"))
-    )
-    placed = running_position(points, ["key"], ["bin"], ["at", "role", "fact_id"], "weight")
+    points = points.unionByName(probe_points).withColumn("weight", (F.col("role") == _FACT).cast("bigint"))
+    placed = positions(points, ["key"], ["at", "role", "fact_id"], ("weight",)).drop("position")
+    placed = placed.withColumnRenamed("running_weight", "position")
 
     numbered = placed.filter(F.col("role") == _FACT).select(
         "key", F.col("position").alias("number"), "fact_id", F.col("at").alias("fact_at")

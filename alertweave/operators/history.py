@@ -83,7 +83,6 @@ def history_pairs(
     audit_events: DataFrame,
     lookback_minutes: int = 60,
     max_results: int = 50,
-    bin_seconds: int = 60,
 ) -> DataFrame:
     """``username, at`` of every distinct look-up with its events, newest first as ``place`` 1, 2, ...
 
@@ -99,7 +98,7 @@ def history_pairs(
     ).select(
         F.col("username").alias("key"), F.unix_micros("event_time").alias("at"), F.col("event_id").alias("fact_id")
     )
-    found = newest_before(probes, facts, max_results, lookback_minutes * 60 * 1000000, bin_seconds)
+    found = newest_before(probes, facts, max_results, lookback_minutes * 60 * 1000000)
     return found.select(
         F.col("key").alias("username"), "at", F.col("fact_id").alias("event_id"),
         F.timestamp_micros("fact_at").alias("event_time"), "place",
@@ -145,7 +144,6 @@ def lookups(
     ttl_seconds: int | None,
     lookback_minutes: int = 60,
     max_results: int = 50,
-    bin_seconds: int = 60,
 ) -> tuple[DataFrame, DataFrame]:
     """``alert_id, anchor_id, cache_hit`` of every eligible alert, and ``anchor_id, events`` of every look-up made for them.
 
@@ -168,7 +166,7 @@ def lookups(
     else:
         asked = materialise(ttl.replay(asked, ttl_seconds * 1000000), "replayed")
         anchors = asked.filter(~F.col("hit"))
-    pairs = materialise(history_pairs(anchors, audit_events, lookback_minutes, max_results, bin_seconds), "pairs")
+    pairs = materialise(history_pairs(anchors, audit_events, lookback_minutes, max_results), "pairs")
     found = anchors.join(histories(pairs, _in_reach(audit_events, pairs, lookback_minutes)), ["username", "at"], "left").select(
         F.col("lookup_id").alias("anchor_id"), F.coalesce(F.col("events"), F.array().cast(NO_EVENTS)).alias("events")
     )
@@ -181,11 +179,10 @@ def with_history(
     audit_events: DataFrame,
     lookback_minutes: int = 60,
     max_results: int = 50,
-    bin_seconds: int = 60,
 ) -> DataFrame:
     """Adds ``events`` to eligible alerts (``eligible, principal, received_at``); an empty list where none is found,
     NULL where there is no principal. Every row gets a copy of its texts; ``lookups`` keeps references."""
-    served, found = lookups(alerts, audit_events, None, lookback_minutes, max_results, bin_seconds)
+    served, found = lookups(alerts, audit_events, None, lookback_minutes, max_results)
     return _with_texts(alerts, served, found).drop("cache_hit", "served_by")
 
 
@@ -195,13 +192,12 @@ def with_cached_history(
     ttl_seconds: int = 900,
     lookback_minutes: int = 60,
     max_results: int = 50,
-    bin_seconds: int = 60,
 ) -> DataFrame:
     """As ``with_history``, but alerts of one principal within the life of a look-up reuse its result.
 
     The cache is replayed first, so history is looked up for the anchors only. Adds ``cache_hit`` and ``served_by``.
     """
-    return _with_texts(alerts, *lookups(alerts, audit_events, ttl_seconds, lookback_minutes, max_results, bin_seconds))
+    return _with_texts(alerts, *lookups(alerts, audit_events, ttl_seconds, lookback_minutes, max_results))
 
 
 def _with_texts(alerts: DataFrame, served: DataFrame, found: DataFrame) -> DataFrame:

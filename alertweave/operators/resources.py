@@ -160,7 +160,7 @@ def visible(versions: DataFrame) -> DataFrame:
     )
 
 
-def state_at(moments: DataFrame, resources: DataFrame, bin_seconds: int = 3600) -> DataFrame:
+def state_at(moments: DataFrame, resources: DataFrame) -> DataFrame:
     """The version of each ``resource_key`` valid at ``at`` (microseconds), ``valid_from <= at < valid_to``.
 
     Of several valid versions the one that began last counts; of those that began together the one that ends last,
@@ -184,16 +184,16 @@ def state_at(moments: DataFrame, resources: DataFrame, bin_seconds: int = 3600)
     facts = visible(versions).select(
         F.col("resource_key").alias("key"), F.col("seen_from").alias("at"), F.struct("seen_to", "valid_from").alias("fact_id")
     )
-    newest = newest_before(wanted.select(F.col("resource_key").alias("key"), "at"), facts, 1, None, bin_seconds)
+    newest = newest_before(wanted.select(F.col("resource_key").alias("key"), "at"), facts, 1, None)
     seen = newest.filter(F.col("at") < F.col("fact_id.seen_to")).select(
         F.col("key").alias("resource_key"), "at", F.col("fact_id.valid_from").alias("valid_from")
     )
     return seen.join(versions, ["resource_key", "valid_from"]).select("resource_key", "at", "payload")
 
 
-def looked_up(wanted: DataFrame, resources: DataFrame, bin_seconds: int = 3600) -> DataFrame:
+def looked_up(wanted: DataFrame, resources: DataFrame) -> DataFrame:
     """``targets`` with the ``payload`` of each resource, NULL where none was valid."""
-    return wanted.join(state_at(wanted.select("resource_key", "at"), resources, bin_seconds), ["resource_key", "at"], "left")
+    return wanted.join(state_at(wanted.select("resource_key", "at"), resources), ["resource_key", "at"], "left")
 
 
 def inspected(found: DataFrame) -> DataFrame:
@@ -232,14 +232,14 @@ def inspected(found: DataFrame) -> DataFrame:
     )
 
 
-def with_inspection(alerts: DataFrame, resources: DataFrame, bin_seconds: int = 3600) -> DataFrame:
+def with_inspection(alerts: DataFrame, resources: DataFrame) -> DataFrame:
     """Adds ``inspected_objects`` and ``inspection_errors``, both empty where there was nothing to inspect."""
-    return inspect(alerts, targets(alerts), resources, bin_seconds)
+    return inspect(alerts, targets(alerts), resources)
 
 
-def inspect(alerts: DataFrame, wanted: DataFrame, resources: DataFrame, bin_seconds: int = 3600) -> DataFrame:
+def inspect(alerts: DataFrame, wanted: DataFrame, resources: DataFrame) -> DataFrame:
     """As ``with_inspection``, given the targets of the alerts; columns of the alerts are only carried along."""
-    found = inspected(looked_up(materialise(wanted, "targets"), resources, bin_seconds))
+    found = inspected(looked_up(materialise(wanted, "targets"), resources))
     return alerts.join(found, "alert_id", "left").select(
         *alerts.columns,
         F.coalesce(F.col("inspected_objects"), F.expr("cast(map() as map<string,string>)")).alias("inspected_objects"),

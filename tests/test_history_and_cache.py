@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from alertweave.operators import asof, history, metrics, resources, ttl
+from alertweave.operators import asof, history, metrics, numbering, resources, ttl
 
 SECOND = 1000000
 
@@ -22,8 +22,8 @@ def brute_newest(probes, facts, n, lookback):
     return out
 
 
-@pytest.mark.parametrize("n, lookback, bin_seconds", [(1, None, 60), (3, 40 * SECOND, 7), (5, 0, 60), (50, 1000 * SECOND, 1)])
-def test_newest_before_matches_brute_force(spark, n, lookback, bin_seconds):
+@pytest.mark.parametrize("n, lookback", [(1, None), (3, 40 * SECOND), (5, 0), (50, 1000 * SECOND)])
+def test_newest_before_matches_brute_force(spark, n, lookback):
     """Half of all rows share one key, many share one instant, and some keys are on one side only."""
     rng = random.Random(n)
     key = lambda: "hot" if rng.random() < 0.5 else f"k{rng.randrange(8)}"
@@ -32,7 +32,7 @@ def test_newest_before_matches_brute_force(spark, n, lookback, bin_seconds):
     probes = [(key(), moment()) for _ in range(400)] + [("probes only", 5), (None, 5)]
     got = asof.newest_before(
         spark.createDataFrame(probes, "key string, at bigint"),
-        spark.createDataFrame(facts, "key string, at bigint, fact_id string"), n, lookback, bin_seconds,
+        spark.createDataFrame(facts, "key string, at bigint, fact_id string"), n, lookback,
     )
     rows = {(r["key"], r["at"], r["fact_id"], r["fact_at"], r["place"]) for r in got.collect()}
     assert got.count() == len(rows)
@@ -43,8 +43,21 @@ def test_newest_before_plan_has_no_pairing_within_a_key(spark):
     probes, facts = spark.range(9).selectExpr("'a' AS key", "id AS at"), spark.range(9).selectExpr("'a' AS key", "id AS at", "id AS fact_id")
     plan = asof.newest_before(probes, facts, 2, 5)._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan"):]
-    assert "WindowGroupLimit" in physical
-    assert "CartesianProduct" not in physical and "NestedLoop" not in physical and "Python" not in physical
+    assert "CartesianProduct" not in physical and "NestedLoop" not in physical
+    # The one window left is over the totals of partitions.
+    assert re.findall(r"Window \[[^\]]*\], \[([^\]]*)\]", re.sub(r"#\d+L?", "", physical)) and "windowspecdefinition(at" not in physical
+
+
+def test_instants_of_one_minute_are_spread_over_tasks(spark):
+    n = 20_000
+    facts = spark.range(n).selectExpr("'hot' AS key", "60000000 + id AS at", "id AS fact_id")
+    probes = spark.createDataFrame([("hot", 60_000_000 + i) for i in (0, 1, 9_999, n + 5)], "key string, at bigint")
+    got = sorted((r["at"], r["fact_id"]) for r in asof.newest_before(probes, facts, 2).collect())
+    base = 60_000_000
+    assert got == [(base, 0), (base + 1, 0), (base + 1, 1), (base + 9_999, 9_998), (base + 9_999, 9_999), (base + n + 5, n - 2), (base + n + 5, n - 1)]
+    placed = numbering.positions(facts.select("key", "at"), ["key"], ["at"])
+    sizes = [r["count"] for r in placed.groupBy(F.ceil(F.col("position") / 3000)).count().collect()]
+    assert sum(sizes) == n
 
 
 def brute_replay(rows, life):
@@ -246,7 +259,8 @@ def test_history_reads_the_events_in_reach_and_groups_no_text(spark, tmp_path):
         "username", "timestamp_seconds(s) AS received_at"
     )
     pairs = history.history_pairs(probes, audit, lookback_minutes=30)
-    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    asked = probes.selectExpr("username AS key", "unix_micros(received_at) AS at").filter("key IS NOT NULL")
+    plan = history._in_reach(audit, asked, 30)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"event_time#\d+ >= 1970-01-01 02:16:40", plan) and re.search(r"event_time#\d+ <= 1970-01-01 02:46:40", plan)
     found = history.histories(pairs, audit)
     # Both copies of an event show, with the greater text.
