@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from alertweave import settings as S
 from alertweave.operators import delivery, metrics, queues, routing, ttl
 from alertweave.plans.runbooks import Runbook, enrich_all
-from alertweave.streaming import cache_state
+from alertweave.streaming import cache_state, history_state
 from alertweave.streaming.folded import FoldedLog
 
 
@@ -93,21 +93,39 @@ def enrich(
     return _each_batch(routed, checkpoint, write, trigger=trigger)
 
 
-def history_pairs(alerts: DataFrame, audit_events: DataFrame, lookback_minutes: int, delay: str) -> DataFrame:
-    """Alerts and audit events, both streams -> pairs of one name inside the look-back.
+def recent_events(
+    alerts: DataFrame,
+    audit_events: DataFrame,
+    path: str,
+    checkpoint: str,
+    lookback_minutes: int = 60,
+    max_results: int = 50,
+    delay_seconds: int = 3600,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Alerts (``alert_id, username, received_at``) and audit events, both streams -> the newest events before each alert.
 
-    For uses where both sides arrive as streams; rows later than ``delay`` find no partner, so alerts
-    themselves should be kept from their own stream.
+    Rows up to ``delay_seconds`` behind the newest may come in any order on either side, and ``answered`` then gives what the
+    batch join gives. Later alerts are answered with what is known, later events are listed under ``path`` as late.
     """
-    a = alerts.select("alert_id", "username", "received_at").withWatermark("received_at", delay)
-    e = audit_events.select(F.col("username").alias("actor"), "event_time", "event_id").withWatermark("event_time", delay)
-    back = F.expr(f"interval {int(lookback_minutes)} minutes")
-    inside = (
-        (F.col("username") == F.col("actor"))
-        & (F.col("event_time") >= F.col("received_at") - back)
-        & (F.col("event_time") <= F.col("received_at"))
+    a = alerts.select("username", F.unix_micros("received_at").alias("at"), F.col("alert_id").alias("id"))
+    e = audit_events.select("username", F.unix_micros("event_time").alias("at"), F.col("event_id").alias("id"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    found = history_state.answers(a, e, lookback_minutes * 60 * 1000000, max_results, delay_seconds)
+    return _each_batch(found, checkpoint, write, "update", trigger)
+
+
+def answered(spark: SparkSession, path: str) -> DataFrame:
+    """``alert_id, username, at, late, event_ids, event_ats`` of every alert so far, newest events first."""
+    versions = spark.read.schema(f"{history_state.ANSWER}, batch_id bigint").parquet(path).filter("kind <> 'late_event'")
+    newest = versions.groupBy("id", "username", "at").agg(
+        F.max_by(F.struct("kind", "event_ids", "event_ats"), "batch_id").alias("v")
     )
-    return a.join(e, inside).drop("actor")
+    late = (F.col("v.kind") == "late_answer").alias("late")
+    return newest.select(F.col("id").alias("alert_id"), "username", "at", late, "v.event_ids", "v.event_ats")
 
 
 def counter_log(spark: SparkSession, path: str, fold_every: int = 20) -> FoldedLog:

@@ -1575,6 +1575,20 @@ def stream_enrich(spark, sf):
     )
 
 
+@register("stream_history", HISTORY_SQL)
+def stream_history(spark, sf):
+    """Recent events of the alerts' actors, alerts and events both as streams whose files span the whole time."""
+    out, ckpt = _paths(spark, "history", "out", "ckpt")
+    stream = routing.route_alerts(stream_alerts(spark, sf)).filter(F.col("route") == "cloud.aws.cloudtrail")
+    who = history.eligibility(history.identify(stream)).filter("eligible")
+    asked = who.select("alert_id", identity.lookup_username(F.col("principal")).alias("username"), "received_at")
+    jobs.recent_events(
+        asked, event_stream(spark, sf, "audit"), out, ckpt, LOOKBACK_MINUTES, MAX_RESULTS, delay_seconds=40 * 86400
+    ).awaitTermination()
+    found = jobs.answered(spark, out).select("alert_id", F.posexplode("event_ids").alias("i", "event_id"))
+    return found.select("alert_id", "event_id", (F.col("i") + 1).cast("bigint").alias("place"))
+
+
 @register("stream_counters", query("SELECT bucket, name, value FROM counters", "counters"))
 def stream_counters(spark, sf):
     out, ckpt = _paths(spark, "counters", "out", "ckpt")

@@ -12,7 +12,9 @@ import __spark_entry__ as entry_point
 FOLDER = "/root/testdata/sf0.001"
 QUICK = [
     "routing_summary", "sqs_normalize", "universal_normalize", "route_alerts", "principal_aws", "history_top_n", "ttl_replay",
-    "counters_all", "overview", "latest_snapshot", "delivery_outcome", "batch_number", "stream_route",
+    "counters_all", "overview", "latest_snapshot", "delivery_outcome", "batch_number", "stream_route", "hec_batches", "stats_every_n",
+    "metric_events", "runbook_failures", "inspect_resources", "enriched_assemble", "cached_history", "stream_ttl", "stream_counters",
+    "stream_windowed_rates", "stream_late_alerts", "stream_destinations",
 ]
 NAMES = sorted(entry_point.oracle_sql()) if os.environ.get("ALL_QUERIES") else QUICK
 

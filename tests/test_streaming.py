@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertweave.operators import metrics, queues, routing
-from alertweave.streaming import cache_state, jobs, sending
+from alertweave.streaming import cache_state, history_state, jobs, sending
 from alertweave.streaming.folded import FoldedLog
 from tests.test_history_and_cache import brute_replay, lookup_frame
 from tests.test_payload_and_routing import ROUTES, alert_rows
@@ -183,24 +183,70 @@ def test_repeats_of_a_restart_are_dropped(spark, tmp_path):
     assert sorted(r["alert_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(map(str, range(10)))
 
 
-def test_history_pairs_of_two_streams(spark, tmp_path):
-    base = 1700000000
-    alerts = spark.range(20).selectExpr(
-        "concat('a', id) AS alert_id", "concat('u', id % 3) AS username", f"timestamp_seconds({base} + id * 600) AS received_at"
-    )
-    audit = spark.range(40).selectExpr(
-        "concat('u', id % 3) AS username", f"timestamp_seconds({base} + id * 300) AS event_time", "concat('e', id) AS event_id"
-    )
-    middle = F.timestamp_seconds(F.lit(base + 6000))
+def brute_answers(alerts, events, lookback, n):
+    out = {}
+    for at, i in alerts:
+        seen = sorted(((t, e) for t, e in events if at - lookback <= t <= at), reverse=True)
+        out[i] = [e for _, e in seen[:n]]
+    return out
+
+
+def test_answers_settle_as_the_batch_join():
+    rng = random.Random(4)
+    for _ in range(100):
+        lookback, n, delay = rng.randrange(1, 60), rng.randrange(1, 5), rng.randrange(60)
+        events = [(rng.randrange(200), f"e{i:03d}") for i in range(60)]
+        alerts = [(rng.randrange(200), f"a{i}") for i in range(30)]
+        rows = sorted([(t, 1, i) for t, i in events] + [(t, 0, i) for t, i in alerts], key=lambda r: r[0] + rng.randrange(delay + 1))
+        held, waiting, mark, newest, got, most = [], {}, -(2**62), -1, {}, 0
+        while rows:
+            k = rng.randrange(1, 12)
+            part, rows = rows[:k], rows[k:]
+            held, waiting, out = history_state.settle(
+                held, waiting, [(t, i) for t, e, i in part if e], [(t, i) for t, e, i in part if not e], mark, lookback, n
+            )
+            most = max(most, sum(t < mark for t, _ in held))
+            newest = max([newest, *(t for t, _, _ in part)])
+            mark = newest - delay
+            for kind, i, _, found in out:
+                assert kind == "answer"
+                got[i] = [e for _, e in found]
+        assert got == brute_answers(alerts, events, lookback, n) and most <= n
+
+
+def test_recent_events_of_two_streams(spark, tmp_path):
+    base, rng = 1_700_000_000, random.Random(5)
+    alerts = [(f"a{i}", f"u{i % 3}" if i else None, base + 600 * i) for i in range(20)]
+    events = [(f"u{j % 3}", base + 300 * j, f"e{j:02d}") for j in range(40)]
+
+    def mixed(rows, at, schema, column, folder):
+        # Up to 3000 s out of order, in three files; the last one has one row that is much too late.
+        rows = sorted(rows, key=lambda r: r[at] + rng.randrange(3000))
+        cut = len(rows) // 3
+        frames = [spark.createDataFrame(part, schema).withColumn(column, F.timestamp_seconds(column)) for part in (rows[:cut], rows[cut : 2 * cut], rows[2 * cut :])]
+        return as_stream(spark, frames, str(tmp_path / folder))
+
+    a = mixed(alerts, 2, "alert_id string, username string, received_at long", "received_at", "a")
+    e = mixed(events, 1, "username string, event_time long, event_id string", "event_time", "e")
+    jobs.recent_events(a, e, str(tmp_path / "out"), str(tmp_path / "ckpt"), 60, 2, 6000).awaitTermination()
+    got = {r["alert_id"]: r["event_ids"] for r in jobs.answered(spark, str(tmp_path / "out")).collect()}
+    want = {}
+    for name in ("u0", "u1", "u2"):
+        want |= brute_answers([(t, i) for i, u, t in alerts if u == name], [(t, i) for u, t, i in events if u == name], 3600, 2)
+    assert got == want
 
-    def halves(df, column, folder):
-        return as_stream(spark, [df.filter(F.col(column) < middle), df.filter(F.col(column) >= middle)], str(tmp_path / folder))
 
-    pairs = jobs.history_pairs(halves(alerts, "received_at", "a"), halves(audit, "event_time", "e"), 60, "1 day")
-    jobs.to_table(pairs, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
-    got = {(r["alert_id"], r["event_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = {(f"a{i}", f"e{j}") for i in range(20) for j in range(40) if i % 3 == j % 3 and i * 600 - 3600 <= j * 300 <= i * 600}
-    assert got == want
+def test_late_alerts_are_answered_and_late_events_listed(spark, tmp_path):
+    first = spark.createDataFrame([("a1", "u", 1000), ("a2", "u", 90_000)], "alert_id string, username string, s long")
+    second = spark.createDataFrame([("a3", "u", 2000)], "alert_id string, username string, s long")
+    a = as_stream(spark, [df.withColumn("received_at", F.timestamp_seconds("s")).drop("s") for df in (first, first.limit(0), second)], str(tmp_path / "a"))
+    rows = [[("u", 900, "e1"), ("u", 90_000, "e2")], [("u", 90_001, "e4")], [("u", 1500, "e3")]]
+    e = as_stream(spark, [spark.createDataFrame(r, "username string, s long, event_id string").withColumn("event_time", F.timestamp_seconds("s")).drop("s") for r in rows], str(tmp_path / "e"))
+    out = str(tmp_path / "out")
+    jobs.recent_events(a, e, out, str(tmp_path / "ckpt"), 60, 5, 60).awaitTermination()
+    got = {r["alert_id"]: (r["late"], r["event_ids"]) for r in jobs.answered(spark, out).collect()}
+    assert got["a1"] == (False, ["e1"]) and got["a2"] == (False, ["e2"]) and got["a3"][0] and set(got) == {"a1", "a2", "a3"}
+    assert [r["id"] for r in spark.read.parquet(out).filter("kind = 'late_event'").collect()] == ["e3"]
 
 
 def test_delivery_keeps_undeliverable_rows(spark, tmp_path):
