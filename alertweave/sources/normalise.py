@@ -7,6 +7,8 @@ is lost without a row saying why. None of these steps shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -251,3 +253,38 @@ def all_sources(*normalised: DataFrame) -> DataFrame:
     for other in rest:
         first = first.unionByName(other)
     return first
+
+
+class SourceCatalog:
+    """Normalisers by the name of their source. A normaliser makes the normalised form of the frame that its source lands."""
+
+    def __init__(self, sources: dict[str, Callable[[DataFrame], DataFrame]] | None = None):
+        self._sources = dict(sources or {})
+
+    def register(self, name: str, normaliser: Callable[[DataFrame], DataFrame]) -> None:
+        if name in self._sources:
+            raise ValueError(f"a source named {name!r} is registered already")
+        self._sources[name] = normaliser
+
+    @property
+    def names(self) -> list[str]:
+        return list(self._sources)
+
+    def normalise(self, landed: dict[str, DataFrame]) -> DataFrame:
+        """The messages of all given sources in their normalised form, side by side; batch and streaming frames alike."""
+        unknown = set(landed) - set(self._sources)
+        if unknown or not landed:
+            raise ValueError(f"no normaliser for {sorted(unknown)}" if unknown else "no source is given")
+        made = []
+        for name, frame in landed.items():
+            rows = self._sources[name](frame)
+            missing = set(NORMALISED_COLUMNS) - set(rows.columns)
+            if missing:
+                raise ValueError(f"the normaliser of {name!r} leaves out {sorted(missing)}")
+            made.append(rows.select(*NORMALISED_COLUMNS))
+        return all_sources(*made)
+
+
+def default_sources() -> SourceCatalog:
+    """The sources of this module by their names; Splunk frames need their search, so callers register that themselves."""
+    return SourceCatalog({"kafka": kafka, "sqs": sqs, "pubsub": pubsub, "universal": universal})

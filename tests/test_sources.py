@@ -1,6 +1,7 @@
 import json
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from alertweave.sources import normalise, polling, stored
@@ -166,3 +167,28 @@ def test_polling_by_the_time_of_the_event(spark):
     polled = polling.poll(rows, "_time", start, now)
     assert sorted(r["row"] for r in polled.collect()) == sorted(texts[1:3])
     assert polling.next_checkpoint(polled, "_time", start).first()[0].hour == 9
+
+
+def test_sources_register_their_normalisers(spark):
+    catalog = normalise.default_sources()
+
+    def csv(df):
+        return normalise.kafka(df.select(F.encode("line", "UTF-8").alias("value"), F.lit(None).cast("binary").alias("key"),
+            F.lit("csv").alias("topic"), F.lit(0).alias("partition"), "offset"))
+
+    catalog.register("csv", csv)
+    assert catalog.names == ["kafka", "sqs", "pubsub", "universal", "csv"]
+    lines = spark.createDataFrame([('{"a":1}', 0), ("broken", 1)], "line string, offset long")
+    posted = spark.createDataFrame([('{"raw_payload":{"b":2}}', None)], "body string, remote_addr string")
+    rows = catalog.normalise({"csv": lines, "universal": posted})
+    assert rows.columns == normalise.NORMALISED_COLUMNS
+    assert sorted(r["raw_payload"] for r in normalise.alerts(rows).collect()) == ['{"a":1}', '{"b":2}']
+    assert normalise.rejects(rows).count() == 1
+    with pytest.raises(ValueError):
+        catalog.register("csv", csv)
+    for wrong in ({"other": lines}, {}):
+        with pytest.raises(ValueError):
+            catalog.normalise(wrong)
+    catalog.register("short", lambda df: df)
+    with pytest.raises(ValueError):
+        catalog.normalise({"short": lines})
