@@ -9,10 +9,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+#: For steps that hold many numbers for each word.
+PART_BYTES = 1 << 20
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -38,22 +40,61 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         start = stop
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    """Name what a worker keeps from task to task for ``owner``; ``clear`` frees it."""
+    _held[owner] = clear
+
+
+def turn_to(owner: str | None) -> None:
+    """Free what this worker keeps for other work than ``owner``'s. Workers outlive tasks, and stages of a job share them."""
+    for name in [n for n in _held if n != owner]:
+        _held.pop(name)()
+
+
+def let_go() -> None:
+    """Give back to the system what Arrow has freed but keeps at hand."""
+    pa.default_memory_pool().release_unused()
+
+
 def over_texts(
-    df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text"
+    df: DataFrame,
+    step: Callable[[pa.RecordBatch], pa.RecordBatch | None],
+    schema: str,
+    column: str = "text",
+    limit: int = SLICE_BYTES,
+    owner: str | None = None,
 ) -> DataFrame:
-    """Run ``step`` over bounded parts of the Arrow batches of ``df``."""
+    """Run ``step`` over parts of the Arrow batches of ``df``, of about ``limit`` bytes of texts each."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, column):
-                out = step(part)
-                if out is not None and out.num_rows:
-                    yield out
+        turn_to(owner)
+        try:
+            for batch in batches:
+                for part in slices(batch, column, limit):
+                    out = step(part)
+                    if out is not None and out.num_rows:
+                        yield out
+        finally:
+            let_go()
 
     return df.mapInArrow(run, schema)
 
 
+def packed_away(docs: DataFrame, *needs: str) -> DataFrame:
+    """The columns ``needs`` and all others as one struct ``_others``, so that no name of theirs meets one of an operator."""
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in needs]
+    return docs.select(*needs, F.struct(*(others or [F.lit(None).cast("string").alias("none")])).alias("_others"))
+
+
+def unpacked(docs: DataFrame, needs: tuple[str, ...]) -> list[Column]:
+    """The columns of ``docs`` in their order, from rows of ``packed_away(docs, *needs)``."""
+    return [F.col(f"`{c}`") if c in needs else F.col(f"_others.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+
+
 @dataclass
 class Words:
     """Words of several texts: ``codes`` into ``distinct``; text i has the codes from ``bounds[i]`` to ``bounds[i + 1]``."""
@@ -122,26 +163,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Runs:
     """Hashes of runs of consecutive words: the same run has the same hash wherever it stands."""
 
-    _powers: list[tuple[np.ndarray, np.ndarray]] = []
-
     def __init__(self, hashes: np.ndarray, base: int = 0):
         n = len(hashes)
-        self.up, self.down = self._grown(n + 1, base)
+        self.up, self.down = self._powers(n + 1, base)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(hashes * self.up[:n], dtype=np.uint64, out=self.sums[1:])
 
-    @classmethod
-    def _grown(cls, n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(cls._powers) <= base:
-            cls._powers.append((np.ones(1, np.uint64), np.ones(1, np.uint64)))
-        if len(cls._powers[base][0]) < n:
-            size = 1 << (n - 1).bit_length()
-            b = int(_BASES[base])
-            cls._powers[base] = tuple(
-                np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, v, np.uint64))), dtype=np.uint64)
-                for v in (b, pow(b, -1, 1 << 64))
-            )
-        return cls._powers[base]
+    @staticmethod
+    def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``n`` powers of a base and of its inverse. They are as long as the part, and go with it."""
+        b = int(_BASES[base])
+        each = (np.full(n, v, np.uint64) for v in (b, pow(b, -1, 1 << 64)))
+        out = []
+        for powers in each:
+            powers[0] = 1
+            out.append(np.cumprod(powers, dtype=np.uint64, out=powers))
+        return out[0], out[1]
 
     def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mixed((self.sums[stop] - self.sums[start]) * self.down[start])

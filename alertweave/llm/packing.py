@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from alertweave.llm.common import over_texts, read
+from alertweave.llm.common import hold, over_texts, read
 from alertweave.session import materialise
 
 SALTS = 64
@@ -70,28 +71,47 @@ class _Memory:
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
 
-@functools.cache
+_memories: dict[str, _Memory] = {}
+
+
 def _memory(path: str) -> _Memory:
-    return _Memory(path)
+    """The memory of a worker; it goes when the worker turns to another kind of work."""
+    if path not in _memories:
+        _memories[path] = _Memory(path)
+        hold("packing", _memories.clear)
+    return _memories[path]
 
 
 #: Signs that a sentence or a word may end with; after a letter or digit they are tokens of their own.
 SIGNS = ".,;:!?&$#%*"
 
 
-def _parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+@functools.cache
+def _letter(c: str) -> bool:
+    """Whether a character is still a letter or digit at its end when the tokenizer has composed and lower-cased it."""
+    made = unicodedata.normalize("NFC", unicodedata.normalize("NFC", c).lower())
+    return all(unicodedata.category(x[-1])[0] in "LN" for x in (c, made))
+
+
+def _parts(words: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
     """Each word without the signs at its end, in lower case, and these signs; both parts tokenise by themselves.
 
     The tokenizer splits letters and digits from signs and lower-cases all but its special tokens.
     """
     words = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
     short = pc.utf8_rtrim(words, characters=SIGNS)
-    whole = pc.invert(pc.or_(pc.match_substring_regex(short, r"[\p{L}\p{N}]$"), pc.equal(short, "")))
+    ends = pc.utf8_slice_codeunits(short, -1).dictionary_encode()
+    letters = pa.array([c == "" or _letter(c) for c in ends.dictionary.to_pylist()], pa.bool_())
+    whole = pc.invert(letters.take(ends.indices))
     short = pc.if_else(whole, words, short)
     # What stands after the short form: as it is ASCII, as many bytes as code points.
     sign_bytes = pc.subtract(pc.binary_length(words), pc.binary_length(short)).to_numpy(zero_copy_only=False)
-    signs = [w[-n:] if n else "" for w, n in zip(words.to_pylist(), sign_bytes, strict=True)] if sign_bytes.any() else [""] * len(words)
-    return short, pa.array(signs, pa.string())
+    signed = np.flatnonzero(sign_bytes)
+    known: dict[str, int] = {"": 0}
+    signs = np.zeros(len(words), dtype=np.int32)
+    found = zip(words.take(pa.array(signed)).to_pylist(), sign_bytes[signed].tolist(), strict=True)
+    signs[signed] = [known.setdefault(w[-n:], len(known)) for w, n in found]
+    return short.dictionary_encode(), pa.DictionaryArray.from_arrays(pa.array(signs), pa.array(list(known), pa.string()))
 
 
 def token_ids(texts: pa.Array, path: str, end: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +123,7 @@ def token_ids(texts: pa.Array, path: str, end: int = 1) -> tuple[np.ndarray, np.
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     flat = lists.flatten().dictionary_encode()
     codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = [p.dictionary_encode() for p in _parts(flat.dictionary)]
+    coded = _parts(flat.dictionary)
     names = pc.unique(pa.concat_arrays([c.dictionary for c in coded]))
     known = memory.look_up(names.to_pylist())
     # Two units a word, of which the second may be empty.
@@ -149,7 +169,8 @@ def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
             names=["doc_id", "piece", "start", "length", "ids_crc32"],
         )
 
-    return over_texts(docs.select("doc_id", "text"), step, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    return over_texts(docs.select("doc_id", "text"), step, schema, owner="packing")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
