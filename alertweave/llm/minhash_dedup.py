@@ -17,7 +17,8 @@ documents are linked if their sets have a Jaccard similarity of ``percent`` / 10
 A pair at the threshold shares no bucket with a chance of (1 - 0.75**4)**32, about 5 in a million.
 
 Null or empty texts have an empty set and are linked with nothing. A null id is linked with nothing and has no
-component; its row is kept. Rows that repeat an id are one document to the links and stay as many rows.
+component; its row is kept. Rows that repeat an id stay as many rows; where their texts differ, each text has its own set and
+links, and what either reaches belongs to the one component of the id.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertweave.llm.common import Runs, has_bit, mixed, over_texts, packed_bits, read, words_of
+from alertweave.llm.common import PART_BYTES, Runs, has_bit, mixed, over_texts, packed_bits, read, words_of
 from alertweave.llm.components import components
 from alertweave.session import materialise
 
@@ -69,8 +70,13 @@ def _minima(hashes: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def text_key() -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64("text")
+
+
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, key_one, key_two (null for an empty set) and the signature as bytes."""
+    """doc_id, text_key, n_shingles, key_one, key_two (null for an empty set) and the signature as bytes."""
     n = bands * rows
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -83,28 +89,29 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [
                 part.column("doc_id"),
+                part.column("text_key"),
                 pa.array(size.astype(np.int64)),
                 pa.array(one, pa.int64()),
                 pa.array(two, pa.int64()),
                 pa.array([next(minima).tobytes() if x else None for x in keys], pa.binary()),
             ],
-            names=["doc_id", "n_shingles", "key_one", "key_two", "signature"],
+            names=["doc_id", "text_key", "n_shingles", "key_one", "key_two", "signature"],
         )
 
-    return over_texts(
-        docs.select("doc_id", "text"), step, "doc_id long, n_shingles long, key_one long, key_two long, signature binary"
-    )
+    schema = "doc_id long, text_key long, n_shingles long, key_one long, key_two long, signature binary"
+    return over_texts(docs.select("doc_id", "text", text_key().alias("text_key")), step, schema, limit=PART_BYTES)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int, bits: int = 27) -> DataFrame:
-    """doc_id and its whole set as an array, for the documents listed by ``ids``.
+def full_sets(docs: DataFrame, ids: DataFrame, heads: DataFrame, k: int, label: str, bits: int = 27) -> DataFrame:
+    """doc_id of ``heads`` and its whole set as an array, for those listed by ``ids``; written to the shared folder.
 
     Texts stay where they are: tasks drop documents whose id, modulo 2**bits, is that of none listed (16 MB at most go
     to each), and what that lets through goes by a join of the sets.
     """
     size = 1 << bits
+    wanted = heads.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "own_id", "text_key")
     listed = docs.sparkSession.sparkContext.broadcast(
-        packed_bits(ids.select(F.pmod("doc_id", F.lit(size)).alias("cell")).distinct(), size)
+        packed_bits(wanted.select(F.pmod("own_id", F.lit(size)).alias("cell")).distinct(), size)
     )
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -114,10 +121,15 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, bits: int = 27) -> DataFr
             return None
         hashes, bounds = _sets(part.column("text"), k)
         lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "shingles"])
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), lists], names=["own_id", "text_key", "shingles"])
 
-    sets = over_texts(docs.select("doc_id", "text"), step, "doc_id long, shingles array<long>")
-    return sets.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text", text_key().alias("text_key"))
+    sets = over_texts(texts, step, "own_id long, text_key long, shingles array<long>", limit=PART_BYTES)
+    found = sets.join(wanted, ["own_id", "text_key"]).select("doc_id", "shingles").dropDuplicates(["doc_id"])
+    found = materialise(found, label)
+    # The sets are written; workers would keep the bits for as long as they live.
+    listed.destroy()
+    return found
 
 
 def band_keys(heads: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -154,10 +166,10 @@ def _alike(pairs: DataFrame, heads: DataFrame, n: int, floor: float) -> DataFram
     return over_texts(both, step, "a long, b long", column="sig_a")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose full sets reach the similarity."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialise(full_sets(docs, wanted, k), "sets")
+    sets = full_sets(docs, wanted, heads, k, "sets")
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     return (
@@ -193,14 +205,14 @@ def _open(member: DataFrame) -> DataFrame:
     return member.join(spread.select(*PLACE), PLACE, "left_semi")
 
 
-def _able(member: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _able(member: DataFrame, docs: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:
     """Members that can have a link at all: place, doc_id, part, the size of their set (n), how much of it any other
     member has (common), and how much their bucket's most met member has (with_middle).
 
     Two sets share at most what each has in common with anyone, so a set that is mostly its own reaches the similarity
     with no set of the bucket's least size or more. This rules out without loss what strays from a large group.
     """
-    sets = materialise(full_sets(docs, member, k), "open-sets")
+    sets = full_sets(docs, member, heads, k, "open-sets")
     each = sets.select("doc_id", F.explode("shingles").alias("shingle"))
     twice = each.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1").select("shingle")
     common = each.join(twice, "shingle").groupBy("doc_id").agg(F.count("*").alias("common"))
@@ -274,14 +286,24 @@ def _rest(able: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, floor: float = 0.56
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, a row for each row of ``docs``."""
+    """doc_id, n_shingles, component_id and kept, a row for each row of ``docs``.
+
+    ``text_key`` and ``text_kept`` say the same of the row's text alone: it stays if no text of a lesser id is linked with it,
+    whatever other texts its id has.
+    """
     signed = materialise(signatures(docs, k, bands, rows), "signatures")
     keys = ["key_one", "key_two"]
     known = signed.where("doc_id is not null and key_one is not null")
-    classes = known.groupBy(*keys).agg(F.min("doc_id").alias("head"))
+    least = known.groupBy(*keys).agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
+    classes = least.select(*keys, F.col("least.doc_id").alias("own_id"), F.col("least.text_key").alias("text_key"))
+    # A class goes by its least id. Where unlike texts share that id, by a number of its own, below all others.
+    several = classes.groupBy("own_id").agg(F.count("*").alias("texts")).where("texts > 1")
+    number = F.shiftrightunsigned(F.xxhash64(*keys), 2) + F.lit(-(1 << 63))
+    head = F.when(F.col("texts").isNull(), F.col("own_id")).otherwise(number)
+    classes = materialise(classes.join(several, "own_id", "left").withColumn("head", head).drop("texts"), "classes")
     heads = materialise(
-        known.join(classes.withColumnRenamed("head", "doc_id"), [*keys, "doc_id"], "left_semi")
-        .select("doc_id", "signature")
+        known.join(classes.select(*keys, F.col("own_id").alias("doc_id"), "text_key", "head"), [*keys, "doc_id", "text_key"])
+        .select(F.col("head").alias("doc_id"), F.col("doc_id").alias("own_id"), "text_key", "signature")
         .dropDuplicates(["doc_id"]),
         "heads",
     )
@@ -290,23 +312,35 @@ def near_duplicates(
     crowded = in_bucket.groupBy(*PLACE).agg(F.count("*").alias("mates")).where("mates > 1")
     shared = materialise(in_bucket.join(crowded, PLACE), "buckets")
     first = materialise(_with_leaders(shared), "leader-pairs")
-    links = materialise(confirmed(materialise(_alike(first, heads, bands * rows, floor), "alike"), docs, k, percent), "links")
+    links = materialise(confirmed(materialise(_alike(first, heads, bands * rows, floor), "alike"), docs, heads, k, percent), "links")
 
     # Bucket mates of different components, all of them; a member without a link is a component of its own.
     member = shared.join(components(links).toDF("doc_id", "part"), "doc_id", "left")
     member = _open(member.select(*PLACE, "mates", "doc_id", F.coalesce("part", "doc_id").alias("part")))
-    rest = _rest(_able(materialise(member, "open-buckets"), docs, k, percent), percent)
+    rest = _rest(_able(materialise(member, "open-buckets"), docs, heads, k, percent), percent)
     rest = materialise(_alike(rest.join(first, ["a", "b"], "left_anti"), heads, bands * rows, floor), "rest")
-    more = materialise(confirmed(rest, docs, k, percent), "more-links")
+    more = materialise(confirmed(rest, docs, heads, k, percent), "more-links")
     parts = components(links.unionByName(more)).toDF("head", "part")
-
-    named = classes.join(parts, "head", "left").select(*keys, F.coalesce("part", "head").alias("part"))
-    out = signed.select("doc_id", "n_shingles", *keys).join(named, keys, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id"))
+    named = classes.join(parts, "head", "left").select(*keys, "own_id", F.coalesce("part", "head").alias("part"))
+    # A component goes by its least id, which is not the number of a class.
+    by_text = named.groupBy("part").agg(F.min("own_id").alias("smallest"))
+    named = materialise(named.join(by_text, "part").select(*keys, "smallest"), "named")
+    # An id with unlike texts ties their components together.
+    texts = known.join(named, keys).select("doc_id", "smallest")
+    ties = texts.groupBy("doc_id").agg(F.min("smallest").alias("a"), F.max("smallest").alias("z")).where("a < z").select("doc_id", "a")
+    tied = components(texts.join(ties, "doc_id").where("a < smallest").select("a", F.col("smallest").alias("b"))).toDF("smallest", "whole")
+    named = named.join(tied, "smallest", "left").select(*keys, "smallest", F.coalesce("whole", "smallest").alias("whole"))
+    out = signed.select("doc_id", "text_key", "n_shingles", *keys).join(named, keys, "left")
+
+    def of(column: str) -> Column:
+        return F.when(F.col("doc_id").isNotNull(), F.coalesce(column, "doc_id"))
+
+    first_of = lambda column: F.coalesce(of(column) == F.col("doc_id"), F.lit(True))
     return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
-    )
+        "doc_id", "n_shingles", of("whole").alias("component_id"), first_of("whole").alias("kept"),
+        "text_key", first_of("smallest").alias("text_kept"),
+    )
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_key", "text_kept")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertweave.llm.common import over_texts, read, words_of
+from alertweave.llm.common import over_texts, packed_away, read, unpacked, words_of
 
 BUCKETS = 1 << 16  # fits in two bytes
 N_STATS = 6
@@ -309,7 +309,9 @@ def classified(
     """
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", F.col("source"), F.col("lang")) if path is None else path
-    base = docs.drop(*ADDED).withColumns({"host": host, "path": path})
+    whole = docs.withColumns({"host": host, "path": path}).drop(*ADDED)
+    needs = ("doc_id", "text", "host", "path")
+    base = packed_away(whole, *needs)
     model = train(base, labels, sample, loss)
     known = _verdicts(labels).drop("toxic")
     slim = with_evidence(base.select("doc_id", "host", "path", "text"), model).drop("text")
@@ -322,11 +324,13 @@ def classified(
     )
     sites = posteriors(observed).toDF("h", "p", "global_share", "host_posterior", "path_posterior")
     scored = with_evidence(base, model, toxic=True)
-    out = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left").drop("h", "p")
+    out = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
     odds = F.col("evidence") + trust * (_logit(F.col("path_posterior")) - _logit(F.col("global_share")))
+    out = out.withColumn("probability", _sure(odds))
     # Without a model nothing speaks against a document.
     kept = F.col("probability") >= least if model.good.any() else F.lit(True)
-    return out.withColumn("probability", _sure(odds)).withColumn("kept", kept & ~F.col("toxic")).drop("global_share")
+    found = ["evidence", "toxic", "host_posterior", "path_posterior", "probability"]
+    return out.select(*unpacked(whole, needs), *found, (kept & ~F.col("toxic")).alias("kept"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,10 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertweave.llm.common import Runs, over_texts, read, signed, slices, small_batches, starts_of, words_of
+from alertweave.llm.common import PART_BYTES, Runs, let_go, over_texts, packed_away, read, signed, slices, small_batches, starts_of, turn_to
+from alertweave.llm.common import unpacked, words_of
 from alertweave.session import materialise
 
 # Spans belong to an id and a text, so rows that share an id by mistake do not mix.
@@ -85,8 +87,9 @@ def sketch(docs: DataFrame, window: int, gram: int, rows: int, bits: int) -> Dat
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
 
+        turn_to(None)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 a = _Anchors(part.column("text"), window, gram)
                 first, _ = a.groups()
                 if not len(first):
@@ -101,6 +104,7 @@ def sketch(docs: DataFrame, window: int, gram: int, rows: int, bits: int) -> Dat
                     held = 0
         if seen:
             yield flush()
+        let_go()
 
     found = docs.where("doc_id is not null").select("text").mapInArrow(run, "cell long, n long")
     return found.groupBy("cell").agg(F.sum("n").alias("n"))
@@ -119,9 +123,8 @@ def hot_bits(summed: DataFrame, rows: int, bits: int) -> np.ndarray:
     return out
 
 
-def repeated_spans(docs: DataFrame, hot: np.ndarray, window: int, gram: int, rows: int, bits: int) -> DataFrame:
-    """Spans under anchors that the sketch estimates to repeat."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def repeated_spans(docs: DataFrame, shared: Broadcast[np.ndarray], window: int, gram: int, rows: int, bits: int) -> DataFrame:
+    """Spans under anchors that the sketch estimates to repeat, given its hot cells."""
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch | None:
         a = _Anchors(part.column("text"), window, gram)
@@ -151,7 +154,7 @@ def repeated_spans(docs: DataFrame, hot: np.ndarray, window: int, gram: int, row
         )
 
     known = docs.where("doc_id is not null").select("doc_id", "text", _text_key())
-    return over_texts(known, step, "anchor long, one long, two long, doc_id long, text_key long, start int, n int")
+    return over_texts(known, step, "anchor long, one long, two long, doc_id long, text_key long, start int, n int", limit=PART_BYTES)
 
 
 def _windows(wanted: DataFrame, window: int) -> DataFrame:
@@ -181,15 +184,17 @@ def _windows(wanted: DataFrame, window: int) -> DataFrame:
             names=["one", "two", "doc_id", "text_key", "start"],
         )
 
-    return over_texts(wanted, step, "one long, two long, doc_id long, text_key long, start int")
+    return over_texts(wanted, step, "one long, two long, doc_id long, text_key long, start int", limit=PART_BYTES)
 
 
 def repeated_windows(
     docs: DataFrame, window: int = 50, gram: int = 8, rows: int = 2, bits: int = 27
 ) -> DataFrame:
     """(doc_id, text_key, start, n): runs of n windows from word ``start`` on that also start in an earlier document."""
-    hot = hot_bits(sketch(docs, window, gram, rows, bits), rows, bits)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_bits(sketch(docs, window, gram, rows, bits), rows, bits))
     spans = materialise(repeated_spans(docs, hot, window, gram, rows, bits), "spans")
+    # The spans are written, so nobody needs the sketch again; workers would keep it for as long as they live.
+    hot.destroy()
     firsts = materialise(
         spans.groupBy("anchor", "one", "two").agg(F.min("doc_id").alias("first_doc")), "first-spans"
     )
@@ -216,17 +221,19 @@ def cut(docs: DataFrame, window: int = 50, **sketching: int) -> DataFrame:
     Adds n_words, n_removed and kept_text (kept words joined by one space); all other columns stay, those of the
     same names are replaced.
     """
-    spans = repeated_windows(docs, window, **sketching).groupBy(*KEYS).agg(
+    spans = repeated_windows(docs.select("doc_id", "text"), window, **sketching).groupBy(*KEYS).agg(
         F.collect_list(F.struct("start", "n")).alias("repeated_spans")
     )
-    joined = docs.withColumn("text_key", _text_key()).join(spans, KEYS, "left")
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
+    kept = docs.drop("n_words", "n_removed", "kept_text")
+    needs = ("doc_id", "text")
+    joined = packed_away(kept, *needs).withColumn("text_key", _text_key()).join(spans, KEYS, "left")
+    names = [*needs, "_others"]
     joined = joined.select(*names, "repeated_spans")
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
         words = words_of(part.column("text"))
         counts, removed = words.counts, np.zeros(part.num_rows, np.int64)
-        kept: list[str] = []
+        texts: list[str] = []
         lists = part.column("repeated_spans").to_pylist()
         for i, found in enumerate(lists):
             codes = words.codes[words.bounds[i] : words.bounds[i + 1]]
@@ -238,12 +245,13 @@ def cut(docs: DataFrame, window: int = 50, **sketching: int) -> DataFrame:
                 stay = np.cumsum(edge[:-1]) == 0
                 removed[i] = len(codes) - stay.sum()
                 codes = codes[stay]
-            kept.append(" ".join(words.distinct.take(pa.array(codes)).to_pylist()))
-        arrays = [part.column(c) for c in names] + [pa.array(counts.astype(np.int64)), pa.array(removed), pa.array(kept, pa.string())]
+            texts.append(" ".join(words.distinct.take(pa.array(codes)).to_pylist()))
+        arrays = [part.column(c) for c in names] + [pa.array(counts.astype(np.int64)), pa.array(removed), pa.array(texts, pa.string())]
         return pa.RecordBatch.from_arrays(arrays, names=[*names, "n_words", "n_removed", "kept_text"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name in names)
-    return over_texts(joined, step, f"{fields}, n_words long, n_removed long, kept_text string")
+    cut_texts = over_texts(joined, step, f"{fields}, n_words long, n_removed long, kept_text string", limit=PART_BYTES)
+    return cut_texts.select(*unpacked(kept, needs), "n_words", "n_removed", "kept_text")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
