@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alertweave.llm.common import PART_BYTES, Runs, has_bit, mixed, over_texts, packed_bits, read, words_of
@@ -180,8 +180,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, heads: DataFrame, k: int, perce
 
 
 PLACE = ["band", "bucket"]
-#: More bands than any setting has, and the class of the longest text.
-BANDS_MOST, CLASSES_MOST = 64, 24
 
 
 def _with_leaders(shared: DataFrame) -> DataFrame:
@@ -206,8 +204,8 @@ def _open(member: DataFrame) -> DataFrame:
 
 
 def _able(member: DataFrame, docs: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:
-    """Members that can have a link at all: place, doc_id, part, the size of their set (n), how much of it any other
-    member has (common), and how much their bucket's most met member has (with_middle).
+    """Members that can have a link at all, once for each middle (the most met member of a bucket) that they have: doc_id,
+    middle, part, the size of their set (n), how much of it any other member has (common), and what the middle has not (outside).
 
     Two sets share at most what each has in common with anyone, so a set that is mostly its own reaches the similarity
     with no set of the bucket's least size or more. This rules out without loss what strays from a large group.
@@ -227,60 +225,61 @@ def _able(member: DataFrame, docs: DataFrame, heads: DataFrame, k: int, percent:
         F.max(F.struct("met", (-F.col("doc_id")).alias("order"), "doc_id")).alias("m")
     )
     placed = able.join(middle.select(*PLACE, F.col("m.doc_id").alias("middle")), PLACE)
-    shared = (
-        placed.select("doc_id", "middle")
-        .distinct()
-        .join(sets.withColumnRenamed("shingles", "own"), "doc_id")
-        .join(sets.toDF("middle", "its"), "middle")
-        .select("doc_id", "middle", F.size(F.array_intersect("own", "its")).cast("long").alias("with_middle"))
-    )
-    return materialise(placed.join(shared, ["doc_id", "middle"]).drop("middle", "mates"), "still-open")
+    placed = placed.select("doc_id", "middle", "part", "n", "common").distinct()
+    own = placed.join(sets.withColumnRenamed("shingles", "own"), "doc_id").join(sets.toDF("middle", "its"), "middle")
+    outside = F.array_except("own", "its").alias("outside")
+    return materialise(own.select("doc_id", "middle", "part", "n", "common", outside), "still-open")
 
 
 def _rest(able: DataFrame, percent: int) -> DataFrame:
-    """Pairs of bucket mates in different components that may be linked, each pair in the first bucket that it shares.
+    """Pairs of different components around one middle that may be linked; none that may be is left out.
+
+    Sets of n and m shingles must share percent * (n + m) / (100 + percent) of them, or more. Within the middle they share at
+    most what either has of it (``inside``). So two cases cover all pairs:
+
+    * That is too little: they share shingles outside of the middle, at least ``k`` of them whatever the other set is.
+      A set that lists all but k - 1 of its outside shingles, the rarest first, meets any such set in one of these.
+    * It may do: then both sizes lie within what ``inside`` allows (up to ``top``), and the pair meets by size.
 
-    What two sets share lies within what both share with the bucket's middle, or else outside of it, where it is at
-    most what each shares with anyone (``outside``). Members are classed by that number, and a member meets only
-    classes with which the bound can reach the similarity. Members of a bucket's largest component meet no one by
-    themselves, as they are compared with all others from the other side.
+    Members of a middle's largest component look for no one, as all others look for them.
     """
-    # The middle itself has nothing outside of it.
-    outside = F.greatest(F.col("common") - F.col("with_middle"), F.lit(0))
-    known = able.withColumn("outside", outside).withColumn("class", F.floor(F.log2(F.col("outside") + 1)).cast("int"))
-    open_places = able.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("band", "bucket"))).alias("m"))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS_MOST - 1)), lambda i: F.try_element_at("m", i))
-    known = known.join(open_places.select("doc_id", bands.alias("places")), "doc_id")
-    largest = able.groupBy(*PLACE, "part").agg(F.count("*").alias("size")).groupBy(*PLACE).agg(
+    largest = able.groupBy("middle", "part").agg(F.count("*").alias("size")).groupBy("middle").agg(
         F.max(F.struct("size", "part")).alias("l")
     )
-    least = able.groupBy(*PLACE).agg(F.min("n").alias("least"))
-    known = known.join(largest.select(*PLACE, F.col("l.part").alias("largest")).join(least, PLACE), PLACE)
-
-    own = ("doc_id", "part", "n", "common", "with_middle", "outside", "places")
-    side = lambda df, x: df.select(*PLACE, "class", *[F.col(c).alias(f"{c}_{x}") for c in own], F.col("single").alias(f"single_{x}"))
-    known = known.withColumn("single", F.col("part") != F.col("largest"))
-    most = F.least("common", F.col("with_middle") + F.least(F.col("outside"), F.pow(F.lit(2), F.col("c") + 1).cast("long") - 2))
-    reached = (
-        known.where("single")
-        .withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(CLASSES_MOST))))
-        .where(100 * most >= percent * (F.col("n") + F.col("least") - most))
-        .withColumn("class", F.col("c"))
+    least = able.groupBy("middle").agg(F.min("n").alias("least"))
+    known = able.join(largest.select("middle", F.col("l.part").alias("largest")).join(least, "middle"), "middle")
+    known = (
+        known.withColumn("inside", F.col("n") - F.size("outside"))
+        .withColumn("single", F.col("part") != F.col("largest"))
+        .withColumn("low", F.greatest("least", F.ceil(percent * F.col("n") / 100)))
+        .withColumn("top", F.floor((100 + percent) * F.col("inside") / percent) - F.col("n"))
+        .withColumn("k", F.greatest(F.lit(1), F.ceil(percent * (F.col("n") + F.col("low")) / (100 + percent)) - F.col("inside")))
     )
-    left, right = side(reached, "a"), side(known, "b")
-    both = F.least(
-        "common_a", "common_b", F.least("with_middle_a", "with_middle_b") + F.least("outside_a", "outside_b")
+    own = ("doc_id", "part", "n", "common", "inside")
+    side = lambda df, x, *on: df.select("middle", *on, *[F.col(c).alias(f"{c}_{x}") for c in own])
+    apart = F.least(F.col("n_a") - F.col("inside_a"), F.col("n_b") - F.col("inside_b"))
+    both = F.least("common_a", "common_b", F.least("inside_a", "inside_b") + apart)
+    able_both = (F.col("part_a") != F.col("part_b")) & ((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b")))
+
+    each = known.select("middle", *own, "single", "k", F.explode("outside").alias("shingle"))
+    held = each.groupBy("middle", "shingle").agg(F.count("*").alias("holders"), F.min("part").alias("a"), F.max("part").alias("z"))
+    each = materialise(each.join(held.where("a < z").drop("a", "z"), ["middle", "shingle"]), "outside-shingles")
+    one = Window.partitionBy("middle", "doc_id")
+    looks = (
+        each.where("single")
+        .withColumn("listed", F.count("*").over(one))
+        .withColumn("rank", F.row_number().over(one.orderBy("holders", "shingle")))
+        .where("rank <= listed - k + 1")
     )
-    earlier = F.zip_with(
-        F.slice("places_a", F.lit(1), F.col("band")), F.slice("places_b", F.lit(1), F.col("band")), lambda x, y: F.coalesce(x == y, F.lit(False))
-    )
-    return (
-        left.join(right, [*PLACE, "class"])
-        .where("part_a <> part_b and (doc_id_a < doc_id_b or not single_b)")
-        .where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
-        .where(~F.exists(earlier, lambda x: x))
-        .select(*_pair("doc_id_a", "doc_id_b"))
+    outer = side(looks, "a", "shingle").join(side(each, "b", "shingle"), ["middle", "shingle"]).where(able_both)
+
+    looks = known.where("single and low <= top").withColumn(
+        "size", F.explode(F.sequence("low", F.least("top", F.floor(100 * F.col("n") / percent))))
     )
+    mates = known.withColumn("size", F.col("n")).withColumn("top_b", F.col("top"))
+    inner = side(looks, "a", "size").join(side(mates, "b", "size", "top_b"), ["middle", "size"])
+    inner = inner.where("n_a <= top_b").where(able_both)
+    return outer.select(*_pair("doc_id_a", "doc_id_b")).unionByName(inner.select(*_pair("doc_id_a", "doc_id_b"))).distinct()
 
 
 def near_duplicates(
