@@ -361,3 +361,23 @@ def test_append_new_keeps_alerts_without_a_time(spark, tmp_path):
     jobs.append_new(as_stream(spark, [rows], str(tmp_path / "in")), out, str(tmp_path / "ckpt")).awaitTermination()
     got = spark.read.parquet(out).selectExpr("alert_id", "unix_seconds(received_at)", "raw_payload")
     assert sorted(map(tuple, got.collect())) == [("a", None, "p"), ("b", 7, "r"), ("c", 1, "t")]
+
+
+def test_batches_of_a_stream_are_several_files_in_order(spark, tmp_path, monkeypatch):
+    """A batch that is one small file is read and parsed by one task, whatever the size of the table."""
+    from checks import registry
+
+    monkeypatch.setattr(registry, "STREAM_FILE_ROWS", 20)
+    events = spark.range(401).selectExpr(
+        "if(id = 400, NULL, id) AS event_id", "timestamp_seconds(id) AS ts", "id % 7 AS user_id", "'view' AS event_type", "0D AS value", "'' AS props"
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    stream = registry.event_stream(spark, str(tmp_path), "lookups")
+    seen = {}
+
+    def write(batch, batch_id):
+        rows = batch.selectExpr("lookup_id", "input_file_name() AS file").collect()
+        seen[batch_id] = (sorted(r["lookup_id"] for r in rows), len({r["file"] for r in rows}))
+
+    jobs._each_batch(stream, str(tmp_path / "ckpt"), write).awaitTermination()
+    assert seen == {i: (list(range(i, 400, 4)), 5) for i in range(4)}
