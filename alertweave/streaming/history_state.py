@@ -5,6 +5,9 @@ whenever a later row changes the answer; the newest answer of an alert counts. O
 stands. Of the events that the watermark has passed, only the newest ``n`` inside the look-back can be part of an answer to come, so
 no more are kept: the state of a name is bounded by ``n`` and by what falls into the allowed delay.
 
+Names are dealt to ``BUCKETS`` by their hash, and the names of a bucket are one entry of the state store: a call of the state function
+costs far more than the few rows of a name, so calls are bounded by the buckets and not by the names.
+
 As in ``cache_state`` the watermark is put ahead, so that late rows are reported and not dropped: a late event is listed and
 answers nothing, a late alert is answered with what is known.
 """
@@ -26,7 +29,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: ``kind`` is answer, late_answer (an alert that came too late to wait for events) or late_event.
 ANSWER = "username string, kind string, id string, at bigint, event_ids array<string>, event_ats array<bigint>"
-STATE = "ev_at array<bigint>, ev_id array<string>, al_id array<string>, al_at array<bigint>, al_sum array<bigint>"
+#: Of each name in ``names`` how many of the events (``ev_``) and of the waiting alerts (``al_``) are its own, in that order.
+STATE = (
+    "names array<string>, n_ev array<bigint>, n_al array<bigint>, ev_at array<bigint>, ev_id array<string>,"
+    " al_id array<string>, al_at array<bigint>, al_sum array<bigint>"
+)
+BUCKETS = 4096
 
 
 def newest(events: list[tuple[int, str]], at: int, lookback: int, n: int) -> list[tuple[int, str]]:
@@ -60,38 +68,75 @@ def settle(events, waiting: dict, new_events, new_alerts, mark: int, lookback: i
     return kept + events[passed:], left, rows
 
 
+def unpacked(held) -> dict[str, tuple[list, dict]]:
+    """The events and waiting alerts of each name of a state."""
+    names, n_ev, n_al, ev_at, ev_id, al_id, al_at, al_sum = held
+    events, alerts = list(zip(ev_at, ev_id)), list(zip(al_id, zip(al_at, al_sum)))
+    found, e, a = {}, 0, 0
+    for name, ne, na in zip(names, n_ev, n_al):
+        found[name] = (events[e : e + ne], dict(alerts[a : a + na]))
+        e, a = e + ne, a + na
+    return found
+
+
+def packed(names: dict[str, tuple[list, dict]]) -> tuple:
+    events = [e for held, _ in names.values() for e in held]
+    alerts = [(i, at, was) for _, waiting in names.values() for i, (at, was) in waiting.items()]
+    return (
+        list(names), [len(held) for held, _ in names.values()], [len(waiting) for _, waiting in names.values()],
+        [at for at, _ in events], [i for _, i in events], [i for i, _, _ in alerts], [at for _, at, _ in alerts], [s for _, _, s in alerts],
+    )
+
+
+def due(held: list, waiting: dict, lookback: int) -> int | None:
+    """When a name is to be looked at again: at its first waiting alert, or else when its last event is out of reach."""
+    if waiting:
+        return min(at for at, _ in waiting.values())
+    return held[-1][0] + lookback if held else None
+
+
 def _step(lookback: int, n: int):
     def run(key, frames, state):
         import pandas as pd
 
         never = -(2**62)
-        ev_at, ev_id, al_id, al_at, al_sum = state.get if state.exists else ([], [], [], [], [])
-        events, alerts = [], []
+        names = unpacked(state.get) if state.exists else {}
+        arrived: dict[str, tuple[list, list]] = {}
         if not state.hasTimedOut:
             for frame in frames:
-                for kind, at, i in zip(frame["is_event"].tolist(), frame["at"].tolist(), frame["id"].tolist()):
-                    (events if kind else alerts).append((at, i))
+                columns = (frame[c].tolist() for c in ("username", "is_event", "at", "id"))
+                for name, kind, at, i in zip(*columns):
+                    arrived.setdefault(name, ([], []))[0 if kind else 1].append((at, i))
         mark_ms = state.getCurrentWatermarkMs()
         mark = mark_ms * 1000 if mark_ms > 0 else never
-        waiting = dict(zip(al_id, zip(al_at, al_sum)))
-        held, waiting, rows = settle(list(zip(ev_at, ev_id)), waiting, events, alerts, mark, lookback, n)
-        last = max([at for at, _ in waiting.values()] + [held[-1][0] + lookback] if held else [at for at, _ in waiting.values()], default=None)
-        if last is None:
+        reported = []
+        timer = None
+        for name in [*names, *(a for a in arrived if a not in names)]:
+            held, waiting = names.get(name, ([], {}))
+            next_ = due(held, waiting, lookback)
+            if name in arrived or next_ is None or next_ < mark:
+                held, waiting, rows = settle(held, waiting, *arrived.get(name, ((), ())), mark, lookback, n)
+                reported += [(name, *r) for r in rows]
+                names[name] = (held, waiting)
+                next_ = due(held, waiting, lookback)
+            if next_ is None:
+                del names[name]
+            else:
+                timer = next_ if timer is None else min(timer, next_)
+        if timer is None:
             state.remove()
         else:
-            ids = list(waiting)
-            state.update(([a for a, _ in held], [i for _, i in held], ids, [waiting[i][0] for i in ids], [waiting[i][1] for i in ids]))
-            due = min([at for at, _ in waiting.values()], default=last)
-            state.setTimeoutTimestamp(max(due // 1000, mark_ms) + 1)
-        if rows:
+            state.update(packed(names))
+            state.setTimeoutTimestamp(max(timer // 1000, mark_ms) + 1)
+        if reported:
             yield pd.DataFrame(
                 {
-                    "username": [key[0]] * len(rows),
-                    "kind": [r[0] for r in rows],
-                    "id": [r[1] for r in rows],
-                    "at": [r[2] for r in rows],
-                    "event_ids": [[i for _, i in r[3]] for r in rows],
-                    "event_ats": [[a for a, _ in r[3]] for r in rows],
+                    "username": [r[0] for r in reported],
+                    "kind": [r[1] for r in reported],
+                    "id": [r[2] for r in reported],
+                    "at": [r[3] for r in reported],
+                    "event_ids": [[i for _, i in r[4]] for r in reported],
+                    "event_ats": [[a for a, _ in r[4]] for r in reported],
                 }
             )
 
@@ -110,4 +155,5 @@ def answers(alerts: DataFrame, events: DataFrame, lookback_micros: int, n: int,
         return rows.withColumn("ahead", ahead).withWatermark("ahead", f"{GRACE_SECONDS + delay_seconds} seconds")
 
     both = side(alerts, False).unionByName(side(events, True))
-    return both.groupBy("username").applyInPandasWithState(_step(lookback_micros, n), ANSWER, STATE, "update", "EventTimeTimeout")
+    bucket = F.pmod(F.xxhash64("username"), F.lit(BUCKETS))
+    return both.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(_step(lookback_micros, n), ANSWER, STATE, "update", "EventTimeTimeout")

@@ -381,3 +381,36 @@ def test_batches_of_a_stream_are_several_files_in_order(spark, tmp_path, monkeyp
 
     jobs._each_batch(stream, str(tmp_path / "ckpt"), write).awaitTermination()
     assert seen == {i: (list(range(i, 400, 4)), 5) for i in range(4)}
+
+
+def test_names_of_a_bucket_share_one_state(spark, tmp_path, monkeypatch):
+    """Calls of the state functions are bounded by the buckets, and the names of one do not mix."""
+    monkeypatch.setattr(history_state, "BUCKETS", 1)
+    monkeypatch.setattr(cache_state, "BUCKETS", 1)
+    base, rng = 1_700_000_000, random.Random(9)
+    rows = [(rng.randrange(3000), f"u{rng.randrange(9)}", i) for i in range(300)]
+    schema = "at long, username string, id long"
+    parts = [spark.createDataFrame(rows[i::3], schema).withColumn("at", F.timestamp_seconds(F.col("at") + base)) for i in range(3)]
+    both = as_stream(spark, parts, str(tmp_path / "in"))
+    asked = both.filter("id % 3 = 0").selectExpr("concat('a', id) AS alert_id", "username", "at AS received_at")
+    known = both.selectExpr("username", "at AS event_time", "format_string('e%03d', id) AS event_id")
+    out = str(tmp_path / "out")
+    query = jobs.recent_events(asked, known, out, str(tmp_path / "ckpt"), 10, 3, 3600)
+    query.awaitTermination()
+    got = {r["alert_id"]: r["event_ids"] for r in jobs.answered(spark, out).collect()}
+    want = {}
+    for name in {n for _, n, _ in rows}:
+        mine = [(at, f"a{i}") for at, n, i in rows if n == name and i % 3 == 0]
+        want |= brute_answers(mine, [(at, f"e{i:03d}") for at, n, i in rows if n == name], 600, 3)
+    assert got == want
+    assert {p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]} == {1}
+
+    second = 1000000
+    batches = [[(f"k{i % 9}", (i * 7 % 100) * second, 1000 + i, i % 5 > 0) for i in range(b, 200, 3)] for b in range(3)]
+    stream = as_stream(spark, [lookup_frame(spark, part) for part in batches], str(tmp_path / "lookups"))
+    queries = jobs.replay_ttl(stream, 10 * second, str(tmp_path / "ttl"), str(tmp_path / "ttl-ckpt"), 600)
+    for q in queries:
+        q.awaitTermination()
+    served = {(int(r["lookup_id"]), r["hit"], int(r["served_by"])) for r in jobs.replayed_ttl(spark, str(tmp_path / "ttl"), 10 * second).collect()}
+    assert served == {(i, *v) for i, v in brute_replay([r for b in batches for r in b], 10 * second).items()}
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in queries[1].recentProgress if p["stateOperators"]) == 1
