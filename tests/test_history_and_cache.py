@@ -236,6 +236,20 @@ def test_overlapping_and_tied_versions(spark):
     assert want["a", 9] == "old" and want["a", 6] == "short" and want["b", 60] == "x"
 
 
+def test_payloads_are_read_of_versions_in_reach_only(spark):
+    raw = spark.range(400).selectExpr(
+        "concat('k', id % 4) AS resource_key", "timestamp_micros(id) AS valid_from", "timestamp_micros(id + 9) AS valid_to",
+        """concat('{"ResponseMetadata":{},"n":', id, '}') AS payload""",
+    )
+    moments = spark.createDataFrame([("k1", 105), ("k1", 120), ("k2", 3), ("k2", 500), ("none", 7)], "resource_key string, at long")
+    kept = resources._in_reach(raw, moments).selectExpr("resource_key", "unix_micros(valid_from) AS f").collect()
+    assert {r["f"] for r in kept if r["resource_key"] == "k1"} == {97, 101, 105, 109, 113, 117}
+    assert {r["resource_key"] for r in kept} == {"k1", "k2"}
+    stored = resources.state_at(moments, resources.Stored(raw))
+    assert sorted(tuple(r) for r in stored.collect()) == [("k1", 105, '{"n":105}'), ("k1", 120, '{"n":117}'), ("k2", 3, '{"n":2}')]
+    assert sorted(stored.collect()) == sorted(resources.state_at(moments, resources.load_resources(raw)).collect())
+
+
 def test_deeply_nested_versions_take_one_pass(spark):
     n = 100_000
     # Each version lies inside the one before, and all begin before the first one ends.
