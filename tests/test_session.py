@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from alertweave import session
 from alertweave.settings import Settings
 
@@ -44,3 +46,13 @@ def test_materialised_table_equals_its_source(spark):
 def test_limits_must_be_positive(name):
     with pytest.raises(ValueError):
         Settings(**{name: 0})
+
+
+def test_rows_of_one_row_group_are_dealt_over_all_cores(spark, tmp_path):
+    spark.range(4000).selectExpr("id", "IF(id % 3 = 0, NULL, 7) AS same").coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    rows = session.dealt(table)
+    parts = rows.groupBy(F.spark_partition_id()).count().collect()
+    cores = spark.sparkContext.defaultParallelism
+    assert len(parts) == 2 * cores and max(p["count"] for p in parts) < 2 * 4000 / (2 * cores)
+    assert sorted(r["id"] for r in rows.collect()) == list(range(4000))
