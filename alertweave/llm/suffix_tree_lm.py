@@ -1,43 +1,63 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Symbols. Words that make up ``symbol_share`` of the training tokens or more are symbols of their own (at most
-1 / symbol_share of them); all others share the symbol of their ending (``endings`` of them), so that a rare word still
-tells something about what follows. The end of a text is a symbol, and what a text begins after.
+The tree has a small part that tasks hold, and a large part in written tables that grows with the corpus.
+
+Symbols of the small part. Words that make up ``symbol_share`` of the training tokens or more are symbols of their own
+(at most 1 / symbol_share of them); all others share the symbol of their ending (``endings`` of them), so that a rare
+word still tells something about what follows. The end of a text is a symbol, and what a text begins after.
 
 1. Words are counted over the whole training part, one row for each distinct word after a shuffle. Counts of words that
    make up ``count_share`` or more (at most 1 / count_share) are sent to the tasks, all others are looked up by a join.
-2. The tree grows level by level. A context of d symbols is looked at if it makes up ``context_share`` of the tokens, so
-   there are at most 1 / context_share of them a level, and followers of it are kept from ``follower_share`` on. It is
-   retained by a divergence test: its next-symbol distribution must diverge from that of its longest retained suffix
-   by ``divergence`` (nats for each occurrence) or more.
-3. Smoothing. A follower's count less ``discount`` over the context's count, plus what is left over times the
+   Then all texts are written once as numbers of words at hand and hashes of the others; later steps read these.
+2. Contexts of one symbol that make up ``context_share`` of the tokens are the first state of the tree, with followers from
+   ``follower_share`` on. A context is retained by a divergence test: its next-symbol distribution must diverge from that
+   of its longest retained suffix by ``divergence`` (nats for each occurrence) or more.
+3. From there on contexts are runs of whole words, of any length. Runs are counted level by level over all
+   training texts and kept in written tables. The bars are absolute, so more text gives more and longer contexts: a context
+   occurs ``context_least`` times (less in a small corpus: ``context_share`` of its tokens), a follower ``follower_least``
+   times and saves ``gain`` nats or more over its occurrences. The same divergence test retains a context. The tree grows
+   from its root: a context of two words is looked at if the second has several followers, a longer one if the one without its first
+   word is retained and has several followers. It ends where nothing is retained.
+4. Smoothing. A follower's count less ``discount`` over the context's count, plus what is left over times the
    distribution of the longest retained suffix; at the root (c + 0.5) / (N + 0.5 S). A rare word's share of its
    symbol is (c + 0.5) / (C + 0.5 (V + 1)) in the symbol's counts, with the convention of the base score: whatever was
    not seen is one more word.
-4. Scoring. Each token is read in the state of the longest retained suffix before it. Rare words go to the join as
-   hashes, and come back as one sum for each document.
+5. Scoring. What a retained context changes is a sum of logarithms: one for the context, and one more for a kept follower.
+   The frequent ones are at hand (from ``count_share`` on), all others go to the join as hashes like rare words, and come
+   back as one sum for each document. A sketch of all states tells which hashes may be among them; those that are
+   not find no partner in the join.
 
 All counts cover all training documents. A null text is empty: its one token is the end. A null id counts as training.
-Rows that repeat an id are scored each. Without training documents the score is the base score. Words are compared by
-64-bit hashes.
+Rows that repeat an id are scored each. Without training documents the score is the base score. Words and runs of words are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertweave.llm.common import read, slices, small_batches, words_of
+from alertweave.llm.common import has_bit, let_go, mixed, packed_bits, read, slices, small_batches, words_of
 from alertweave.session import materialise
 
 END = 0
+#: Hashes of what a text begins after and of its end, which are no words.
+START_HASH, END_HASH = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
+_STEP, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x510E527FADE682D1)
+#: Most cells of the sketches of contexts and states.
+CELLS = 1 << 27
+_CODED = "row long, doc_id long, held_out boolean, n_tokens long, near_base double, inner double, codes array<int>, rare array<long>, endings array<int>"
 
 
 @dataclass
@@ -49,7 +69,9 @@ class Settings:
     divergence: float = 0.01
     discount: float = 0.75
     endings: int = 509
-    depth: int = 2
+    context_least: int = 200
+    follower_least: int = 2
+    gain: float = 4.0
 
 
 @dataclass
@@ -71,10 +93,25 @@ class Model:
     hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     symbols: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    endings: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     n_symbols: int = 1
     root: np.ndarray = field(default_factory=lambda: np.ones(1))
     under: np.ndarray = field(default_factory=lambda: np.ones(1))
     levels: list[Level] = field(default_factory=list)
+    #: For each length of contexts in words: key, n and value (what a state adds to the logarithm) of its states.
+    states: list[DataFrame] = field(default_factory=list)
+
+    def held(self) -> Model:
+        """What is sent to tasks."""
+        return replace(self, states=[])
+
+    def known_symbols(self) -> np.ndarray:
+        """Symbols of the words at hand."""
+        return np.where(self.symbols < 0, self.endings + 1, self.symbols)
+
+    def least(self) -> float:
+        s = self.settings
+        return max(2.0, min(s.context_least, s.context_share * self.tokens))
 
 
 def _found(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,16 +147,20 @@ class _Tokens:
         return np.where(symbol < 0, self.ending + 1, symbol), count, known
 
 
-def _contexts(tokens: np.ndarray, depth: int, size: int) -> Iterator[np.ndarray]:
-    """Codes of the contexts of 1, 2, .. symbols before each token; before a text there are ends alone."""
-    code, before = np.zeros(len(tokens), np.int64), tokens
-    ended = np.zeros(len(tokens), bool)
-    for d in range(depth):
-        before = np.concatenate(([END], before[:-1]))
-        symbol = np.where(ended, END, before)
-        ended |= symbol == END
-        code = code + symbol * size**d
-        yield code
+def _keys(hashes: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For contexts of 1, 2, .. words: where there is one, its key, the key of it with the token after it, and of its longest suffix with that."""
+    d, run = 0, hashes
+    while True:
+        d += 1
+        context = np.concatenate((run[:1], run[:-1]))
+        longer = joined(context, run)
+        yield place >= d, context, longer, run
+        run = longer
+
+
+def joined(context: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Key of the run of words that begins with ``context`` and ends with ``run``, both a word shorter."""
+    return mixed(context * _STEP + run)
 
 
 def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -158,13 +199,88 @@ def _word_counts(train: DataFrame, endings: int) -> DataFrame:
     return found.groupBy("hash").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
 
-def _gram_counts(train: DataFrame, model: Model, d: int, wanted: np.ndarray | None) -> DataFrame:
-    """code and n: each context of d symbols (of the wanted, if given) with the symbol after it."""
-    small_batches(train.sparkSession)
-    shared = train.sparkSession.sparkContext.broadcast((model, wanted))
+def coded(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, words and what does not depend on contexts of each row of docs, written once."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model.held())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, wanted = shared.value
+        model = shared.value
+        s = model.settings
+        for batch in batches:
+            for part in slices(batch, "text"):
+                t = _Tokens(part.column("text"), s.endings)
+                symbol, count, known = t.symbols(model)
+                per_word = np.where(known, np.log10(count + 0.5), 0.0)
+                # A word with a symbol of its own is all of it.
+                shared_symbol = symbol <= s.endings
+                inner = np.where(shared_symbol, per_word, 0.0)
+                inner = inner - np.where(shared_symbol, np.log10(model.under[np.minimum(symbol, len(model.under) - 1)]), 0.0)
+                base, bounds = t.sequence(per_word, np.log10(model.ends + 0.5))
+                inner, _ = t.sequence(inner, 0.0)
+                sums = [np.add.reduceat(x, bounds[:-1]) for x in (base, inner)]
+                codes, cuts = t.words.codes, t.words.bounds
+                number = np.where(known, _found(model.hashes, t.hash)[0], -1)[codes]
+                far = ~known[codes]
+                before = pa.array(np.concatenate(([0], np.cumsum(far)))[cuts].astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("row"),
+                        part.column("doc_id"),
+                        part.column("held_out"),
+                        pa.array(np.diff(bounds).astype(np.int64)),
+                        pa.array(sums[0]),
+                        pa.array(sums[1]),
+                        pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(number.astype(np.int32))),
+                        pa.ListArray.from_arrays(before, pa.array(t.hash[codes[far]])),
+                        pa.ListArray.from_arrays(before, pa.array(t.ending[codes[far]].astype(np.int32))),
+                    ],
+                    names=["row", "doc_id", "held_out", "n_tokens", "near_base", "inner", "codes", "rare", "endings"],
+                )
+        let_go()
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    return _written(rows.mapInArrow(run, _CODED), "coded")
+
+
+class _Coded:
+    """Rows of coded texts as tokens: hash, symbol, place in the text (0 is before it) and text of each."""
+
+    def __init__(self, batch: pa.RecordBatch, model: Model):
+        lists = batch.column("codes")
+        number = lists.flatten().to_numpy(zero_copy_only=False)
+        far = number < 0
+        self.rare = batch.column("rare").flatten().to_numpy(zero_copy_only=False)
+        hashes, symbols = np.empty(len(number), np.uint64), np.empty(len(number), np.int64)
+        hashes[far] = self.rare.view(np.uint64)
+        symbols[far] = batch.column("endings").flatten().to_numpy(zero_copy_only=False) + 1
+        near = number[~far]
+        hashes[~far], symbols[~far] = model.hashes.view(np.uint64)[near], model.known_symbols()[near]
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        # Two places a text more: before it and its end.
+        self.owner = np.repeat(np.arange(len(sizes)), sizes + 2)
+        self.place = np.arange(len(self.owner)) - (bounds[:-1] + 2 * np.arange(len(sizes)))[self.owner]
+        last = self.place == sizes[self.owner] + 1
+        word = (self.place > 0) & ~last
+        self.hashes = np.where(last, END_HASH, START_HASH)
+        self.hashes[word] = hashes
+        self.symbols = np.full(len(self.owner), END)
+        self.symbols[word] = symbols
+
+    def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol before and symbol of each token as one code, and the text of each."""
+        token = self.place > 0
+        before = np.concatenate(([END], self.symbols[:-1]))
+        return (before * size + self.symbols)[token], self.owner[token]
+
+
+def _gram_counts(codes: DataFrame, model: Model) -> DataFrame:
+    """code and n: each symbol with the symbol after it."""
+    shared = codes.sparkSession.sparkContext.broadcast(model.held())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
@@ -173,21 +289,80 @@ def _gram_counts(train: DataFrame, model: Model, d: int, wanted: np.ndarray | No
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["code", "n"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
-                t = _Tokens(part.column("text"), model.settings.endings)
-                tokens, _ = t.sequence(t.symbols(model)[0], END)
-                *_, context = _contexts(tokens, d, model.n_symbols)
-                code = context * model.n_symbols + tokens
-                if wanted is not None:
-                    code = code[_found(wanted, context)[1]]
-                if len(code):
-                    held.append(np.unique(code, return_counts=True))
-                if sum(len(k) for k, _ in held) > 1_500_000:
-                    yield flush()
+            if batch.num_rows:
+                code, _ = _Coded(batch, model).grams(model.n_symbols)
+                held.append(np.unique(code, return_counts=True))
+            if sum(len(k) for k, _ in held) > 1_500_000:
+                yield flush()
+        if held:
+            yield flush()
+        let_go()
+
+    rows = codes.select("codes", "rare", "endings").mapInArrow(run, "code long, n long")
+    return rows.groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _run_counts(codes: DataFrame, model: Model, lengths: range, wanted: np.ndarray) -> tuple[DataFrame, Broadcast]:
+    """length, context, before and n: contexts, and the run that is a word shorter and ends a word later.
+
+    The last words of a context, as many as the least of ``lengths``, are in the sketch ``wanted``. It is
+    broadcast, to be destroyed when the rows are written.
+    """
+    shared = codes.sparkSession.sparkContext.broadcast((model.held(), wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, wanted = shared.value
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+            order = np.argsort(keys, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+            at = order[first]
+            total = np.add.reduceat(columns[-1][order], first) if len(columns) == 4 else np.diff(np.append(first, len(keys)))
+            return keys[at], *(c[at] for c in columns[:3]), total
+
+        def flush() -> pa.RecordBatch:
+            _, length, context, before, n = summed(*map(np.concatenate, zip(*held, strict=True)))
+            held.clear()
+            # Rows of one context together: they take less space.
+            order = np.argsort(context, kind="stable")
+            arrays = [pa.array(length[order]), *(pa.array(x[order].view(np.int64)) for x in (context, before, n))]
+            return pa.RecordBatch.from_arrays(arrays, names=["length", "context", "before", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = _Coded(batch, model)
+            at = np.zeros(0, np.int64)
+            for d, (there, context, longer, before) in zip(range(1, lengths.stop), _keys(t.hashes, t.place)):
+                if d < lengths.start:
+                    continue
+                if d == lengths.start:
+                    at = np.flatnonzero(there)
+                    at = at[has_bit(wanted, _cell(context[at], wanted))]
+                at = at[there[at]]
+                if not len(at):
+                    break
+                held.append(summed(longer[at], np.full(len(at), d, np.int32), context[at], before[at]))
+            if sum(len(x[0]) for x in held) > 1_500_000:
+                yield flush()
         if held:
             yield flush()
+        let_go()
+
+    rows = codes.select("codes", "rare", "endings").mapInArrow(run, "length int, context long, before long, n long")
+    rows = rows.groupBy("context", "before").agg(F.sum("n").alias("n"), F.min("length").alias("length"))
+    return rows.where(F.col("n") >= model.settings.follower_least), shared
+
+
+def _cell(keys: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64(64 * len(sketch) - 1)).astype(np.int64)
 
-    return train.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+def _sketch(keys: DataFrame) -> np.ndarray:
+    """One bit for the cell of each key: 64 cells or more a key, up to ``CELLS``."""
+    cells = min(CELLS, 1 << max(16, (64 * keys.count()).bit_length()))
+    return packed_bits(keys.select(F.col("key").bitwiseAND(cells - 1).alias("cell")), cells)
 
 
 def _share(model: Model, code: np.ndarray, d: int) -> np.ndarray:
@@ -203,34 +378,141 @@ def _share(model: Model, code: np.ndarray, d: int) -> np.ndarray:
     return p
 
 
-def _level(grams: DataFrame, model: Model, d: int) -> tuple[Level, np.ndarray]:
-    """The retained contexts of d symbols, and the codes that are frequent enough to be contexts of d + 1."""
+def _level(grams: DataFrame, model: Model) -> Level:
+    """The retained contexts of one symbol."""
     s, size = model.settings, model.n_symbols
     context = F.floor(F.col("code") / size)
     least = s.context_share * model.tokens
     totals = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("total")).where(F.col("total") >= least)
     kept = grams.where(F.col("n") >= max(2.0, s.follower_share * model.tokens)).withColumn("context", context)
     rows = kept.join(totals, "context").toArrow()
-    longer = grams.where(F.col("n") >= least).select("code").toArrow().column(0).to_numpy()
     code, n, total = (rows.column(c).to_numpy() for c in ("code", "n", "total"))
     order = np.argsort(code)
     code, n, total = code[order], n[order], total[order]
     own = (n - s.discount) / total
     contexts, at = np.unique(code // size, return_inverse=True)
     rest = 1 - np.bincount(at, weights=own, minlength=len(contexts))
-    before = _share(model, code, d - 1)
+    before = _share(model, code, 0)
     p = own + rest[at] * before
     away = np.bincount(at, weights=n / total * np.log(p / before), minlength=len(contexts))
     unkept = 1 - np.bincount(at, weights=n / total, minlength=len(contexts))
-    away += np.where(unkept > 1e-12, unkept * np.log(np.maximum(rest, 1e-300)), 0.0)
+    away = away + np.where(unkept > 1e-12, unkept * np.log(np.maximum(rest, 1e-300)), 0.0)
     stay = away >= s.divergence
-    return Level(contexts[stay], rest[stay], code[stay[at]], own[stay[at]]), np.sort(longer)
+    return Level(contexts[stay], rest[stay], code[stay[at]], own[stay[at]])
 
 
-def fit(train: DataFrame, settings: Settings | None = None) -> tuple[Model, DataFrame]:
-    """The model, and the counts of all words."""
+def _near(rows: DataFrame, model: Model) -> DataFrame:
+    """Runs of two words with the logarithm of the second's probability after the first in the part of the tree that tasks hold."""
+    shared = rows.sparkSession.sparkContext.broadcast(model.held())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+
+        def symbols(hashes: np.ndarray, ending: np.ndarray) -> np.ndarray:
+            at, known = _found(model.hashes, hashes)
+            symbol = np.where(known, model.known_symbols()[at], ending + 1) if len(model.hashes) else ending + 1
+            return np.where(ending < 0, END, symbol)
+
+        for batch in batches:
+            context, before, ending, after, n = (
+                batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+                for c in ("context", "before", "context_ending", "ending", "before_n")
+            )
+            symbol = symbols(before, after)
+            p = _share(model, symbols(context, ending) * model.n_symbols + symbol, len(model.levels))
+            shared_symbol = (symbol <= model.settings.endings) & (symbol != END)
+            p = np.where(shared_symbol, p * (n + 0.5) / model.under[symbol], p)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("context", "before", "n", "total")), pa.array(np.log(p))],
+                names=["context", "before", "n", "total", "log_before"],
+            )
+
+    return rows.mapInArrow(run, "context long, before long, n long, total long, log_before double")
+
+
+def _with_key(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, before = (batch.column(c).to_numpy().view(np.uint64) for c in ("context", "before"))
+            key = pa.array(joined(context, before).view(np.int64))
+            yield pa.RecordBatch.from_arrays([key, *batch.columns], names=["key", *batch.schema.names])
+
+    return rows.mapInArrow(run, "key long, context long, before long, n long, total long, log_before double")
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``materialise``, after which Spark removes the files of its shuffles: a corpus has many runs of words."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = df.sparkSession.conf.get(name, "false")
+    df.sparkSession.conf.set(name, "true")
+    try:
+        return materialise(df, label)
+    finally:
+        df.sparkSession.conf.set(name, was)
+
+
+def _grow(codes: DataFrame, model: Model, words: DataFrame) -> None:
+    """Add the states of one word, two words and so on, as long as contexts are retained."""
+    spark, s, least = codes.sparkSession, model.settings, model.least()
+    marks = [(int(h.view(np.int64)), -1, model.ends) for h in (START_HASH, END_HASH)]
+    runs = words.select("hash", "ending", "n").where(F.col("n") >= s.follower_least)
+    runs = runs.unionByName(spark.createDataFrame(marks, "hash long, ending int, n long")).withColumnRenamed("hash", "key")
+    wanted, lengths = runs.where(F.col("n") >= least), range(1, 1)
+    for d in itertools.count(1):
+        if d == lengths.stop:
+            # Long contexts are few, so several lengths are counted at a time.
+            lengths = range(d, d + 1) if d < 3 else range(d, 3 * d)
+            counts, shared = _run_counts(codes, model, lengths, _sketch(wanted))
+            if len(lengths) > 1:
+                counts = _written(counts, f"run-counts-{d}")
+        # Contexts are known from the level before, with their counts; so is what ends alike and is a word shorter.
+        first, second = wanted.withColumnsRenamed({"key": "context", "n": "total"}), runs.withColumnRenamed("key", "before")
+        here = counts.where(F.col("length") == d).drop("length")
+        if d == 1:
+            first, second = first.withColumnRenamed("ending", "context_ending"), second.withColumnRenamed("n", "before_n")
+            rows = _near(here.join(first, "context").join(second, "before"), model)
+        else:
+            rows = here.join(first, "context").join(second.drop("n"), "before")
+            rows = rows.select("context", "before", "n", "total", "log_before")
+        rows = _written(_with_key(rows), f"runs-{d}")
+        if d == lengths[0]:
+            shared.destroy()
+        saved = F.col("n") * (F.log("n") - F.log("total") - F.col("log_before"))
+        rows = rows.withColumn("own", F.when(saved >= s.gain, (F.col("n") - s.discount) / F.col("total")).otherwise(0.0))
+        kept, share = F.col("own") > 0, F.col("n") / F.col("total")
+        rest = rows.groupBy("context").agg((1 - F.sum("own")).alias("rest"), F.sum(F.when(kept, share).otherwise(0.0)).alias("kept"), F.max("n").alias("most"))
+        by = F.log(F.col("own") / F.exp("log_before") + F.col("rest"))
+        away = F.sum(share * by) + (1 - F.first("kept")) * F.log(F.first("rest"))
+        firsts = [F.first(c).alias(c) for c in ("rest", "total", "most")]
+        contexts = rows.where(kept).join(rest, "context").groupBy("context").agg(away.alias("away"), *firsts)
+        retained = _written(contexts.where(F.col("away") >= s.divergence).drop("away"), f"contexts-{d}")
+        if d > 1 and retained.isEmpty():
+            return
+        there = rows.drop("total").join(retained, "context", "left").withColumn("by", by)
+        salted = F.col("context").bitwiseXOR(F.lit(int(_CONTEXT)))
+        own_states = retained.select(salted.alias("key"), F.col("total").alias("n"), (F.log("rest") / math.log(10)).alias("value"))
+        followers = there.where(kept & F.col("rest").isNotNull())
+        followers = followers.select("key", "n", ((F.col("by") - F.log("rest")) / math.log(10)).alias("value"))
+        model.states.append(_written(own_states.unionByName(followers), f"states-{d}"))
+        inner = retained.where("most < total").select("context", "rest")
+        if d == 1:
+            # What follows a word may be told by its symbol already.
+            several = rows.groupBy("context").agg(F.max("n").alias("most"), F.first("total").alias("total")).where("most < total")
+            inner = _written(several.select("context").join(retained.select("context", "rest"), "context", "left"), "inner-1")
+        several = inner.select(F.col("context").alias("before"))
+        frequent = rows.where(F.col("n") >= least).select("key", "before", "n")
+        wanted = _written(frequent.join(several, "before", "left_semi").select("key", "n"), f"wanted-{d}")
+        if wanted.isEmpty():
+            return
+        # A longer context is looked at only behind a retained one, so followers of others are not asked for again.
+        behind = rows.join(inner, "context").withColumn("by", F.coalesce(by, F.lit(0.0)))
+        runs = behind.select("key", (F.col("log_before") + F.col("by")).alias("log_before"), "n")
+
+
+def counted(train: DataFrame, settings: Settings | None = None) -> tuple[Model, DataFrame]:
+    """The model without contexts, and the counts of all words."""
     s = settings or Settings()
-    words = materialise(_word_counts(train, s.endings), "word-counts")
+    words = _written(_word_counts(train, s.endings), "word-counts")
     ends = train.count()
     total, distinct = words.agg(F.sum("n"), F.count("*")).first()
     model = Model(s, tokens=(total or 0) + ends, distinct=distinct + (ends > 0), ends=ends)
@@ -239,7 +521,7 @@ def fit(train: DataFrame, settings: Settings | None = None) -> tuple[Model, Data
     frequent = words.where(F.col("n") >= s.count_share * model.tokens).toArrow()
     h, ending, n = (frequent.column(c).to_numpy() for c in ("hash", "ending", "n"))
     order = np.argsort(h)
-    model.hashes, model.counts = h[order], n[order]
+    model.hashes, model.counts, model.endings = h[order], n[order], ending[order].astype(np.int64)
     own = model.counts >= s.symbol_share * model.tokens
     model.symbols = np.where(own, s.endings + np.cumsum(own), -1)
     model.n_symbols = s.endings + 1 + int(own.sum())
@@ -253,79 +535,112 @@ def fit(train: DataFrame, settings: Settings | None = None) -> tuple[Model, Data
     count[END] = ends
     model.root = (count + 0.5) / (model.tokens + 0.5 * model.n_symbols)
     model.under = count + 0.5 * (kinds + 1)
+    return model, words
 
-    wanted = None
-    for d in range(1, s.depth + 1):
-        grams = materialise(_gram_counts(train, model, d, wanted), f"grams-{d}")
-        level, wanted = _level(grams, model, d)
-        model.levels.append(level)
-        if not len(wanted):
-            break
+
+def grow(codes: DataFrame, model: Model, words: DataFrame) -> None:
+    """Add the contexts to the model, from the coded training texts."""
+    if not model.ends:
+        return
+    model.levels.append(_level(_written(_gram_counts(codes, model), "grams"), model))
+    _grow(codes, model, words)
+
+
+def fit(train: DataFrame, settings: Settings | None = None) -> tuple[Model, DataFrame]:
+    """The model, and the counts of all words."""
+    model, words = counted(train, settings)
+    if model.ends:
+        grow(coded(train.select("text", F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out")), model), model, words)
     return model, words
 
 
 def scores(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """``doc_id`` and ``held_out`` of docs with n_tokens, n_known, train_tokens, base_score and score."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return scored(coded(docs, model), model, words)
+
+
+def scored(codes: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+    """The scores of coded texts."""
+    spark, at_hand = codes.sparkSession, model.settings.count_share * model.tokens
+    no_states = spark.createDataFrame([], "key long, n long, value double")
+    states = functools.reduce(DataFrame.unionByName, model.states, no_states)
+    rows = states.where(F.col("n") >= at_hand).toArrow()
+    order = np.argsort(rows.column("key").to_numpy().view(np.uint64))
+    frequent = [rows.column(c).to_numpy()[order] for c in ("key", "value")]
+    shared = spark.sparkContext.broadcast((model.held(), len(model.states), _sketch(states), frequent[0].view(np.uint64), frequent[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        s, size = model.settings, model.n_symbols
+        model, depth, sketch, keys, values = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                t = _Tokens(part.column("text"), s.endings)
-                symbol, count, known = t.symbols(model)
-                per_word = np.where(known, np.log10(count + 0.5), 0.0)
-                # A word with a symbol of its own is all of it.
-                shared_symbol = symbol <= s.endings
-                inner = np.where(shared_symbol, per_word, 0.0)
-                inner = inner - np.where(shared_symbol, np.log10(model.under[np.minimum(symbol, len(model.under) - 1)]), 0.0)
-                tokens, bounds = t.sequence(symbol, END)
-                base, _ = t.sequence(per_word, np.log10(model.ends + 0.5))
-                inner, _ = t.sequence(inner, 0.0)
-                if model.levels:
-                    *_, context = _contexts(tokens, len(model.levels), size)
-                    p = _share(model, context * size + tokens, len(model.levels))
-                else:
-                    p = model.root[np.minimum(tokens, len(model.root) - 1)]
-                sums = [np.add.reduceat(x, bounds[:-1]) for x in (base, inner + np.log10(p))]
-                far = ~known[t.words.codes]
-                before = np.concatenate(([0], np.cumsum(far)))[t.words.bounds].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("held_out"),
-                        pa.array(np.diff(bounds).astype(np.int64)),
-                        pa.array(sums[0]),
-                        pa.array(sums[1]),
-                        pa.ListArray.from_arrays(pa.array(before), pa.array(t.hash[t.words.codes[far]])),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "near_base", "near_score", "far"],
-                )
-
-    schema = "doc_id long, held_out boolean, n_tokens long, near_base double, near_score double, far array<long>"
-    rows = docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "near-scores")
-    each = rows.select("row", F.explode("far").alias("hash")).groupBy("row", "hash").agg(F.count("*").alias("times"))
+            if not batch.num_rows:
+                continue
+            t = _Coded(batch, model)
+            code, owner = t.grams(model.n_symbols)
+            score = np.bincount(owner, np.log10(_share(model, code, len(model.levels))), batch.num_rows)
+            score += batch.column("inner").to_numpy()
+            words_of_row = pc.list_value_length(batch.column("rare")).to_numpy(zero_copy_only=False)
+            texts, asked, word = [np.repeat(np.arange(batch.num_rows), words_of_row)], [t.rare], [np.ones(len(t.rare), bool)]
+            # A context of more words is a state only if all its suffixes of two words and more are.
+            alive = np.arange(len(t.place))
+            for d, (there, context, longer, _) in zip(range(depth), _keys(t.hashes, t.place)):
+                at = alive[there[alive]]
+                own = context[at] ^ _CONTEXT
+                may = has_bit(sketch, _cell(own, sketch))
+                alive = at[may] if d else at
+                at, own = at[may], own[may]
+                follower = at[has_bit(sketch, _cell(longer[at], sketch))]
+                for place, key in ((at, own), (follower, longer[follower])):
+                    where, near = _found(keys, key)
+                    if near.any():
+                        score += np.bincount(t.owner[place[near]], values[where[near]], batch.num_rows)
+                    texts.append(t.owner[place[~near]])
+                    asked.append(key[~near].view(np.int64))
+                    word.append(np.zeros(len(texts[-1]), bool))
+            text, ask, is_word = (np.concatenate(x) for x in (texts, asked, word))
+            order = np.lexsort((ask, text))
+            text, ask, is_word = text[order], ask[order], is_word[order]
+            new = np.ones(len(text), bool)
+            new[1:] = (text[1:] != text[:-1]) | (ask[1:] != ask[:-1])
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(text)))
+            # One more row for each text, with what is known here; its key meets nothing.
+            row = batch.column("row").to_numpy().astype(np.int64)
+            arrays = [
+                np.concatenate((row, row[text[first]])),
+                np.concatenate((mixed(row.view(np.uint64)).view(np.int64), ask[first])),
+                np.concatenate((np.zeros(len(row), np.int32), times.astype(np.int32))),
+                np.concatenate((np.zeros(len(row), bool), is_word[first])),
+                np.concatenate((score, np.zeros(len(first)))),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["row", "key", "times", "word", "near_score"])
+        let_go()
+
+    asked = codes.select("row", "inner", "codes", "rare", "endings").mapInArrow(run, "row long, key long, times int, word boolean, near_score double")
+    entries = words.where(F.col("n") < at_hand).select(F.col("hash").alias("key"), "n", F.lit(0.0).alias("value"))
+    rest = states.where(F.col("n") < at_hand).select("key", F.lit(None).cast("long").alias("n"), "value")
     c = F.coalesce("n", F.lit(0))
     sums = (
-        each.join(words.select("hash", "n"), "hash", "left")
+        asked.join(entries.unionByName(rest), "key", "left")
         .groupBy("row")
-        .agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("far_sum"), F.sum(F.when(c == 0, F.col("times")).otherwise(0)).alias("unknown"))
+        .agg(
+            F.sum("near_score").alias("near_score"),
+            F.sum(F.when(F.col("word"), F.col("times") * F.log10(c + 0.5))).alias("far_sum"),
+            F.sum(F.when(F.col("word") & (c == 0), F.col("times")).otherwise(0)).alias("unknown"),
+            F.sum(F.col("times") * F.col("value")).alias("far_states"),
+        )
     )
     scale = float(np.log10(model.tokens + 0.5 * (model.distinct + 1)))
     far = F.coalesce("far_sum", F.lit(0.0))
     unknown = F.coalesce("unknown", F.lit(0)) + (0 if model.ends else 1)
     base = F.col("near_base") + far - F.col("n_tokens") * scale
-    return rows.join(sums, "row", "left").select(
+    return codes.join(sums, "row").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_tokens") - unknown).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (F.col("near_score") + far if model.ends else base).alias("score"),
+        (F.col("near_score") + far + F.coalesce("far_states", F.lit(0.0)) if model.ends else base).alias("score"),
     )
 
 
@@ -335,5 +650,7 @@ def held_out(doc_id: Column | str = "doc_id", parts: int = 5, part: int = 1) ->
 
 def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", held_out().alias("held_out"))
-    model, words = fit(docs.where("not held_out"))
-    return scores(docs, model, words)
+    model, words = counted(docs.where("not held_out"))
+    codes = coded(docs, model)
+    grow(codes.where("not held_out"), model, words)
+    return scored(codes, model, words)
