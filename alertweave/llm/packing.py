@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from alertweave.llm.common import hold, over_texts, read
+from alertweave.llm.common import PART_BYTES, hold, over_texts, read
 from alertweave.session import materialise
 
 SALTS = 64
@@ -170,7 +170,7 @@ def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
         )
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return over_texts(docs.select("doc_id", "text"), step, schema, owner="packing")
+    return over_texts(docs.select("doc_id", "text"), step, schema, limit=PART_BYTES, owner="packing")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
