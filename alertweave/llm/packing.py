@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import unicodedata
 import zlib
@@ -34,6 +35,11 @@ from alertweave.llm.common import PART_BYTES, hold, over_texts, read
 from alertweave.session import materialise
 
 SALTS = 64
+#: Words that no normaliser of ``_EVEN`` changes and no pattern splits: lower-case letters that are composed.
+PLAIN = "^[a-zß-öø-ÿ]+$"
+_EVEN = {"NFC", "Lowercase", "Replace"}
+#: Plain words that are tokenised as one text.
+TOGETHER = 50
 
 
 class _Memory:
@@ -44,31 +50,72 @@ class _Memory:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.last = self._last()
         self.clear()
 
+    def _last(self) -> np.ndarray | None:
+        """Whether an id ends a word; None where ids do not tell, or where plain words may be changed."""
+        from tokenizers import normalizers
+
+        made = json.loads(self.tokenizer.to_str())
+        suffix = made["model"].get("end_of_word_suffix")
+        even = made["normalizer"] or {"normalizers": []}
+        even = even.get("normalizers", [even])
+        spaces = all(x.get("pattern") == {"Regex": r"\s+"} and x["content"] == " " for x in even if x["type"] == "Replace")
+        if not suffix or not spaces or not {x["type"] for x in even} <= _EVEN:
+            return None
+        # Plain words are tokenised without what leaves them as they are.
+        self.normalizers = normalizers.Sequence([]), self.tokenizer.normalizer or normalizers.Sequence([])
+        vocabulary = made["model"]["vocab"]
+        last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        return last
+
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, dtype="<u4")
         self.stops = np.zeros(1 << 14, dtype=np.int64)
 
-    def look_up(self, words: list[str], most: int = 500_000) -> np.ndarray:
+    def look_up(self, words: list[str], most: int = 250_000) -> np.ndarray:
         """The number of each word; words not met before are tokenised."""
         new = [w for w in words if w not in self.index]
         if len(self.index) + len(new) > most:
             self.clear()
             new = words
+        if new:
+            plain = pc.match_substring_regex(pa.array(new, pa.string()), PLAIN).to_pylist() if self.last is not None else [False] * len(new)
+            for together in (TOGETHER, 1):
+                part = [w for w, p in zip(new, plain, strict=True) if p == (together > 1)]
+                if part:
+                    self._learn(part, *self._encoded(part, together))
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+    def _encoded(self, words: list[str], together: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        if together == 1:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.fromiter(itertools.chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found))
+        texts = [" ".join(words[i : i + together]) for i in range(0, len(words), together)]
+        self.tokenizer.normalizer = self.normalizers[0]
+        try:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        finally:
+            self.tokenizer.normalizer = self.normalizers[1]
+        ids = np.fromiter(itertools.chain.from_iterable(found), "<u4")
+        n = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+        # Should a word have no end or several, each is tokenised by itself.
+        return (ids, n) if len(n) == len(words) and n.sum() == len(ids) else self._encoded(words, 1)
+
+    def _learn(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.index)
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self.index.update(zip(new, range(n, n + len(new)), strict=True))
-        stops = np.cumsum([len(x) for x in found], dtype=np.int64) + (self.stops[n - 1] if n else 0)
-        for name, size in (("stops", n + len(new)), ("ids", int(stops[-1]) if len(new) else 0)):
+        begin = int(self.stops[n - 1]) if n else 0
+        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+        for name, size in (("stops", n + len(words)), ("ids", begin + len(ids))):
             held = getattr(self, name)
             if size > len(held):
                 setattr(self, name, np.concatenate((held, np.zeros(2 * size - len(held), held.dtype))))
-        if len(new):
-            self.stops[n : n + len(new)] = stops
-            self.ids[(self.stops[n - 1] if n else 0) : stops[-1]] = np.fromiter(itertools.chain.from_iterable(found), "<u4")
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        self.stops[n : n + len(words)] = np.cumsum(sizes) + begin
+        self.ids[begin : begin + len(ids)] = ids
 
 
 _memories: dict[str, _Memory] = {}
@@ -106,44 +153,45 @@ def _parts(words: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
     short = pc.if_else(whole, words, short)
     # What stands after the short form: as it is ASCII, as many bytes as code points.
     sign_bytes = pc.subtract(pc.binary_length(words), pc.binary_length(short)).to_numpy(zero_copy_only=False)
-    signed = np.flatnonzero(sign_bytes)
-    known: dict[str, int] = {"": 0}
-    signs = np.zeros(len(words), dtype=np.int32)
-    found = zip(words.take(pa.array(signed)).to_pylist(), sign_bytes[signed].tolist(), strict=True)
-    signs[signed] = [known.setdefault(w[-n:], len(known)) for w, n in found]
-    return short.dictionary_encode(), pa.DictionaryArray.from_arrays(pa.array(signs), pa.array(list(known), pa.string()))
+    stops = np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1 : words.offset + 1 + len(words)]
+    at = _spread(stops - sign_bytes, sign_bytes)
+    data = pa.py_buffer(np.frombuffer(words.buffers()[2] or b"", np.uint8)[at])
+    bounds = np.concatenate(([0], np.cumsum(sign_bytes))).astype(np.int32)
+    signs = pa.StringArray.from_buffers(len(words), pa.py_buffer(bounds), data)
+    return short.dictionary_encode(), signs.dictionary_encode()
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n`` places from ``first`` on, for each of them."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def token_ids(texts: pa.Array, path: str, end: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, each with the end id, and where each text begins.
 
-    The tokenizer drops white space and merges nothing across it, so words are tokenised once for each distinct one.
+    The tokenizer drops white space and merges nothing across it, so words are tokenised once for each distinct one,
+    plain ones many at a time.
     """
     memory = _memory(path)
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     flat = lists.flatten().dictionary_encode()
-    codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     coded = _parts(flat.dictionary)
     names = pc.unique(pa.concat_arrays([c.dictionary for c in coded]))
     known = memory.look_up(names.to_pylist())
     # Two units a word, of which the second may be empty.
-    units = np.empty((len(codes), 2), dtype=np.int64)
-    for i, c in enumerate(coded):
-        numbers = known[pc.index_in(c.dictionary, names).to_numpy(zero_copy_only=False)]
-        units[:, i] = numbers[c.indices.to_numpy(zero_copy_only=False)][codes] if len(codes) else 0
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    stops = np.cumsum(sizes)
-    units = units.reshape(-1)
+    numbers = [known[pc.index_in(c.dictionary, names).to_numpy(zero_copy_only=False)] for c in coded]
+    units = np.stack([x[c.indices.to_numpy(zero_copy_only=False)] for x, c in zip(numbers, coded, strict=True)], axis=1).reshape(-1)
     first = np.where(units > 0, memory.stops[units - 1], 0)
     n = memory.stops[units] - first
-    # The end id after each text is one more unit, put in as a place behind all ids.
-    last = len(memory.ids)
-    first, n = np.insert(first, 2 * stops, last), np.insert(n, 2 * stops, 1)
-    at = np.cumsum(n) - n
-    source = np.append(memory.ids, np.uint32(end))
-    out = source[np.repeat(first - at, n) + np.arange(n.sum())]
-    begin = np.concatenate(([0], 2 * stops + np.arange(1, len(sizes) + 1)))
-    return out, np.concatenate((at, [n.sum()]))[begin]
+    # The end id is one more word.
+    ids = np.append(memory.ids[_spread(first, n)], np.uint32(end))
+    bounds = np.concatenate(([0], np.cumsum(n)[1::2], [len(ids)])).astype(np.int32)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    stops = np.cumsum(sizes)
+    codes = np.insert(flat.indices.to_numpy(zero_copy_only=False), stops, len(flat.dictionary))
+    out = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids)).take(pa.array(codes))
+    begin = np.concatenate(([0], stops + np.arange(1, len(sizes) + 1)))
+    return out.flatten().to_numpy(zero_copy_only=False), out.offsets.to_numpy()[begin].astype(np.int64)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
