@@ -48,7 +48,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertweave.llm.common import has_bit, let_go, mixed, packed_bits, read, slices, small_batches, words_of
+from alertweave.llm.common import PART_BYTES, has_bit, let_go, mixed, packed_bits, read, slices, small_batches, words_of
 from alertweave.session import materialise
 
 END = 0
@@ -57,6 +57,8 @@ START_HASH, END_HASH = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA7
 _STEP, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x510E527FADE682D1)
 #: Most cells of the sketches of contexts and states.
 CELLS = 1 << 27
+#: Words of a part of coded texts, and rows that a task gathers before it sums them up; both bound what a task holds.
+PART_WORDS, GATHERED = 1 << 17, 400_000
 _CODED = "row long, doc_id long, held_out boolean, n_tokens long, near_base double, inner double, codes array<int>, rare array<long>, endings array<int>"
 
 
@@ -185,15 +187,16 @@ def _word_counts(train: DataFrame, endings: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(arrays, names=["hash", "ending", "n"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 t = _Tokens(part.column("text"), endings)
                 if len(t.hash):
                     n = np.bincount(t.words.codes, minlength=len(t.hash))
                     held.append(np.stack([t.hash, t.ending, n], axis=1))
-                if sum(map(len, held)) > 1_500_000:
+                if sum(map(len, held)) > GATHERED:
                     yield flush()
         if held:
             yield flush()
+        let_go()
 
     found = train.select("text").mapInArrow(run, "hash long, ending int, n long")
     return found.groupBy("hash").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
@@ -208,7 +211,7 @@ def coded(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         s = model.settings
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 t = _Tokens(part.column("text"), s.endings)
                 symbol, count, known = t.symbols(model)
                 per_word = np.where(known, np.log10(count + 0.5), 0.0)
@@ -243,6 +246,18 @@ def coded(docs: DataFrame, model: Model) -> DataFrame:
     return _written(rows.mapInArrow(run, _CODED), "coded")
 
 
+def _coded_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Coded texts in parts of about ``PART_WORDS`` words; a longer text is a part of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column("codes")).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        start = 0
+        while start < len(ends):
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + PART_WORDS, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 class _Coded:
     """Rows of coded texts as tokens: hash, symbol, place in the text (0 is before it) and text of each."""
 
@@ -288,11 +303,10 @@ def _gram_counts(codes: DataFrame, model: Model) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["code", "n"])
 
-        for batch in batches:
-            if batch.num_rows:
-                code, _ = _Coded(batch, model).grams(model.n_symbols)
-                held.append(np.unique(code, return_counts=True))
-            if sum(len(k) for k, _ in held) > 1_500_000:
+        for part in _coded_parts(batches):
+            code, _ = _Coded(part, model).grams(model.n_symbols)
+            held.append(np.unique(code, return_counts=True))
+            if sum(len(k) for k, _ in held) > GATHERED:
                 yield flush()
         if held:
             yield flush()
@@ -329,10 +343,8 @@ def _run_counts(codes: DataFrame, model: Model, lengths: range, wanted: np.ndarr
             arrays = [pa.array(length[order]), *(pa.array(x[order].view(np.int64)) for x in (context, before, n))]
             return pa.RecordBatch.from_arrays(arrays, names=["length", "context", "before", "n"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = _Coded(batch, model)
+        for part in _coded_parts(batches):
+            t = _Coded(part, model)
             at = np.zeros(0, np.int64)
             for d, (there, context, longer, before) in zip(range(1, lengths.stop), _keys(t.hashes, t.place)):
                 if d < lengths.start:
@@ -344,7 +356,7 @@ def _run_counts(codes: DataFrame, model: Model, lengths: range, wanted: np.ndarr
                 if not len(at):
                     break
                 held.append(summed(longer[at], np.full(len(at), d, np.int32), context[at], before[at]))
-            if sum(len(x[0]) for x in held) > 1_500_000:
+            if sum(len(x[0]) for x in held) > GATHERED:
                 yield flush()
         if held:
             yield flush()
@@ -571,9 +583,7 @@ def scored(codes: DataFrame, model: Model, words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, depth, sketch, keys, values = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _coded_parts(batches):
             t = _Coded(batch, model)
             code, owner = t.grams(model.n_symbols)
             score = np.bincount(owner, np.log10(_share(model, code, len(model.levels))), batch.num_rows)
