@@ -283,3 +283,34 @@ def test_history_reads_the_events_in_reach_and_groups_no_text(spark, tmp_path):
     assert {e["cloudtrail_event"] for e in row["events"][1:3]} == {'{"k":9500}'}
     text_plan = found._jdf.queryExecution().executedPlan().toString()
     assert "max(cloudtrail_event" not in text_plan and "SortAggregate" not in text_plan
+
+
+def test_history_without_a_limit_has_every_event_of_the_look_back(spark):
+    audit = spark.createDataFrame([("u", t, f"e{t}") for t in range(0, 400, 2)] + [("u", 390, "twin"), ("v", 390, "other")],
+        "username string, s int, event_id string").selectExpr("username", "timestamp_seconds(s) AS event_time", "event_id", "'{}' AS cloudtrail_event")
+    asked = spark.createDataFrame([("u", 391), ("u", 130), ("w", 391)], "username string, s int").selectExpr("username", "timestamp_seconds(s) AS received_at")
+
+    def found(most):
+        rows = history.histories(history_pairs_of(most), audit).collect()
+        return {r["at"] // 1_000_000: [e["event_id"] for e in r["events"]] for r in rows}
+
+    def history_pairs_of(most):
+        return history.history_pairs(asked, audit, 2, most)
+
+    want = {391: ["twin", *(f"e{t}" for t in range(390, 270, -2))], 130: [f"e{t}" for t in range(130, 8, -2)]}
+    assert found(None) == want
+    assert found(3) == {at: events[:3] for at, events in want.items()}
+    with pytest.raises(ValueError):
+        history_pairs_of(0)
+
+
+def test_inspected_map_is_of_all_writes_of_the_look_back(spark, tmp_path):
+    from checks import registry
+
+    # One purchase and later signups of one name within a day; the alert is the last of them.
+    rows = [(300 + 10 * k, f"2024-01-02 0{k}:00:00", 4, "purchase" if k < 4 else "signup", 1.0, "{}") for k in range(9)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    objects = {(r["alert_id"], r["resource_key"]) for r in registry.QUERIES["inspected_map"](spark, str(tmp_path)).collect()}
+    last = {key for alert, key in objects if alert == "a380"}
+    assert last == {"s3:object:b4/k0", "s3:object:b4/k20", "s3:object:b4/k30", "iam:user:u4"}
