@@ -25,7 +25,7 @@ word still tells something about what follows. The end of a text is a symbol, an
 5. Scoring. What a retained context changes is a sum of logarithms: one for the context, and one more for a kept follower.
    The frequent ones are at hand (from ``count_share`` on), all others go to the join as hashes like rare words, and come
    back as one sum for each document. A sketch of all states tells which hashes may be among them; those that are
-   not find no partner in the join.
+   not find no partner in the join. The texts are scored in a few ranges of rows, whose hashes go when their sums are written.
 
 All counts cover all training documents. A null text is empty: its one token is the end. A null id counts as training.
 Rows that repeat an id are scored each. Without training documents the score is the base score. Words and runs of words are
@@ -59,6 +59,9 @@ _STEP, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x510E527FADE682D1)
 CELLS = 1 << 27
 #: Words of a part of coded texts, and rows that a task gathers before it sums them up; both bound what a task holds.
 PART_WORDS, GATHERED = 1 << 17, 400_000
+#: Runs of words are counted in so many passes over the texts, each with its share of the runs, and texts are scored in so many ranges of
+#: rows, one after the other, as what is shuffled for either takes more disk than all else; in fewer where there are fewer tokens than this for each.
+PASSES, RANGES, TURN_TOKENS = 2, 4, 1 << 21
 _CODED = "row long, doc_id long, held_out boolean, n_tokens long, near_base double, inner double, codes array<int>, rare array<long>, endings array<int>"
 
 
@@ -316,55 +319,67 @@ def _gram_counts(codes: DataFrame, model: Model) -> DataFrame:
     return rows.groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def _turns(most: int, tokens: int) -> int:
+    return min(most, max(1, tokens // TURN_TOKENS))
+
+
 def _run_counts(codes: DataFrame, model: Model, lengths: range, wanted: np.ndarray) -> tuple[DataFrame, Broadcast]:
     """length, context, before and n: contexts, and the run that is a word shorter and ends a word later.
 
     The last words of a context, as many as the least of ``lengths``, are in the sketch ``wanted``. It is
-    broadcast, to be destroyed when the rows are written.
+    broadcast, to be destroyed when the rows are written. A run is counted in the pass that its key belongs to.
     """
     shared = codes.sparkSession.sparkContext.broadcast((model.held(), wanted))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, wanted = shared.value
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-            order = np.argsort(keys, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
-            at = order[first]
-            total = np.add.reduceat(columns[-1][order], first) if len(columns) == 4 else np.diff(np.append(first, len(keys)))
-            return keys[at], *(c[at] for c in columns[:3]), total
-
-        def flush() -> pa.RecordBatch:
-            _, length, context, before, n = summed(*map(np.concatenate, zip(*held, strict=True)))
-            held.clear()
-            # Rows of one context together: they take less space.
-            order = np.argsort(context, kind="stable")
-            arrays = [pa.array(length[order]), *(pa.array(x[order].view(np.int64)) for x in (context, before, n))]
-            return pa.RecordBatch.from_arrays(arrays, names=["length", "context", "before", "n"])
-
-        for part in _coded_parts(batches):
-            t = _Coded(part, model)
-            at = np.zeros(0, np.int64)
-            for d, (there, context, longer, before) in zip(range(1, lengths.stop), _keys(t.hashes, t.place)):
-                if d < lengths.start:
-                    continue
-                if d == lengths.start:
-                    at = np.flatnonzero(there)
-                    at = at[has_bit(wanted, _cell(context[at], wanted))]
-                at = at[there[at]]
-                if not len(at):
-                    break
-                held.append(summed(longer[at], np.full(len(at), d, np.int32), context[at], before[at]))
-            if sum(len(x[0]) for x in held) > GATHERED:
+    passes = _turns(PASSES, model.tokens)
+
+    def counted(turn: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, wanted = shared.value
+            held: list[tuple[np.ndarray, ...]] = []
+
+            def summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+                order = np.argsort(keys, kind="stable")
+                first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+                at = order[first]
+                total = np.add.reduceat(columns[-1][order], first) if len(columns) == 4 else np.diff(np.append(first, len(keys)))
+                return keys[at], *(c[at] for c in columns[:3]), total
+
+            def flush() -> pa.RecordBatch:
+                _, length, context, before, n = summed(*map(np.concatenate, zip(*held, strict=True)))
+                held.clear()
+                # Rows of one context together: they take less space.
+                order = np.argsort(context, kind="stable")
+                arrays = [pa.array(length[order]), *(pa.array(x[order].view(np.int64)) for x in (context, before, n))]
+                return pa.RecordBatch.from_arrays(arrays, names=["length", "context", "before", "n"])
+
+            for part in _coded_parts(batches):
+                t = _Coded(part, model)
+                at = np.zeros(0, np.int64)
+                for d, (there, context, longer, before) in zip(range(1, lengths.stop), _keys(t.hashes, t.place)):
+                    if d < lengths.start:
+                        continue
+                    if d == lengths.start:
+                        at = np.flatnonzero(there)
+                        at = at[has_bit(wanted, _cell(context[at], wanted))]
+                    at = at[there[at]]
+                    if not len(at):
+                        break
+                    mine = at[longer[at] % np.uint64(passes) == turn] if passes > 1 else at
+                    if len(mine):
+                        held.append(summed(longer[mine], np.full(len(mine), d, np.int32), context[mine], before[mine]))
+                if sum(len(x[0]) for x in held) > GATHERED:
+                    yield flush()
+            if held:
                 yield flush()
-        if held:
-            yield flush()
-        let_go()
+            let_go()
+
+        rows = codes.select("codes", "rare", "endings").mapInArrow(run, "length int, context long, before long, n long")
+        rows = rows.groupBy("context", "before").agg(F.sum("n").alias("n"), F.min("length").alias("length"))
+        return rows.where(F.col("n") >= model.settings.follower_least)
 
-    rows = codes.select("codes", "rare", "endings").mapInArrow(run, "length int, context long, before long, n long")
-    rows = rows.groupBy("context", "before").agg(F.sum("n").alias("n"), F.min("length").alias("length"))
-    return rows.where(F.col("n") >= model.settings.follower_least), shared
+    if passes == 1 and len(lengths) == 1:
+        return counted(0), shared
+    return functools.reduce(DataFrame.unionByName, [_written(counted(k), f"run-counts-{lengths.start}") for k in range(passes)]), shared
 
 
 def _cell(keys: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -475,8 +490,6 @@ def _grow(codes: DataFrame, model: Model, words: DataFrame) -> None:
             # Long contexts are few, so several lengths are counted at a time.
             lengths = range(d, d + 1) if d < 3 else range(d, 3 * d)
             counts, shared = _run_counts(codes, model, lengths, _sketch(wanted))
-            if len(lengths) > 1:
-                counts = _written(counts, f"run-counts-{d}")
         # Contexts are known from the level before, with their counts; so is what ends alike and is a word shorter.
         first, second = wanted.withColumnsRenamed({"key": "context", "n": "total"}), runs.withColumnRenamed("key", "before")
         here = counts.where(F.col("length") == d).drop("length")
@@ -571,6 +584,18 @@ def scores(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     return scored(coded(docs, model), model, words)
 
 
+def _ranges(codes: DataFrame) -> list[Column]:
+    """Conditions on ``row`` that part the coded texts, each row in one of them; a file lies in one or two, by its statistics."""
+    tokens = codes.agg(F.sum("n_tokens")).first()[0] or 0
+    n = _turns(RANGES, tokens)
+    if n == 1:
+        return [F.lit(True)]
+    cuts = codes.agg(F.percentile_approx("row", [k / n for k in range(1, n)])).first()[0]
+    cuts = sorted(set(cuts))
+    row = F.col("row")
+    return [row <= cuts[0], *((row > a) & (row <= b) for a, b in itertools.pairwise(cuts)), row > cuts[-1]]
+
+
 def scored(codes: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """The scores of coded texts."""
     spark, at_hand = codes.sparkSession, model.settings.count_share * model.tokens
@@ -625,20 +650,27 @@ def scored(codes: DataFrame, model: Model, words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["row", "key", "times", "word", "near_score"])
         let_go()
 
-    asked = codes.select("row", "inner", "codes", "rare", "endings").mapInArrow(run, "row long, key long, times int, word boolean, near_score double")
     entries = words.where(F.col("n") < at_hand).select(F.col("hash").alias("key"), "n", F.lit(0.0).alias("value"))
     rest = states.where(F.col("n") < at_hand).select("key", F.lit(None).cast("long").alias("n"), "value")
     c = F.coalesce("n", F.lit(0))
-    sums = (
-        asked.join(entries.unionByName(rest), "key", "left")
-        .groupBy("row")
-        .agg(
-            F.sum("near_score").alias("near_score"),
-            F.sum(F.when(F.col("word"), F.col("times") * F.log10(c + 0.5))).alias("far_sum"),
-            F.sum(F.when(F.col("word") & (c == 0), F.col("times")).otherwise(0)).alias("unknown"),
-            F.sum(F.col("times") * F.col("value")).alias("far_states"),
+    parts = []
+    for where in _ranges(codes):
+        texts = codes.where(where).select("row", "inner", "codes", "rare", "endings")
+        asked = texts.mapInArrow(run, "row long, key long, times int, word boolean, near_score double")
+        # The entries, one for each key, are few beside what is asked, which is not sorted for this join.
+        sums = (
+            asked.join(entries.unionByName(rest).hint("shuffle_hash"), "key", "left")
+            .groupBy("row")
+            .agg(
+                F.sum("near_score").alias("near_score"),
+                F.sum(F.when(F.col("word"), F.col("times") * F.log10(c + 0.5))).alias("far_sum"),
+                F.sum(F.when(F.col("word") & (c == 0), F.col("times")).otherwise(0)).alias("unknown"),
+                F.sum(F.col("times") * F.col("value")).alias("far_states"),
+            )
         )
-    )
+        parts.append(_written(sums, "sums"))
+    shared.destroy()
+    sums = functools.reduce(DataFrame.unionByName, parts)
     scale = float(np.log10(model.tokens + 0.5 * (model.distinct + 1)))
     far = F.coalesce("far_sum", F.lit(0.0))
     unknown = F.coalesce("unknown", F.lit(0)) + (0 if model.ends else 1)

@@ -105,3 +105,26 @@ def test_more_text_gives_more_and_longer_contexts(spark):
         model, _ = lm.fit(df, lm.Settings(context_least=20, context_share=1.0))
         sizes.append([level.count() for level in model.states])
     assert len(sizes[1]) > len(sizes[0]) and sum(sizes[1]) > 2 * sum(sizes[0])
+
+
+def test_turns_bound_what_is_shuffled_at_once_and_change_nothing(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["of the", "in a", "b c d", f"w{r.randint(0, 60)}", f"x{r.randint(0, 4000)}"]) for _ in range(r.randint(0, 60))), i % 5 == 1) for i in range(600)]
+    docs = spark.createDataFrame([*rows, (None, None, True), (7, "of the", True)], "doc_id long, text string, held_out boolean").repartition(6)
+    written = lm._written
+
+    def result(turn_tokens):
+        labels = []
+        monkeypatch.setattr(lm, "TURN_TOKENS", turn_tokens)
+        monkeypatch.setattr(lm, "_written", lambda df, label: labels.append(label) or written(df, label))
+        model, words = lm.counted(docs.where("not held_out"))
+        codes = lm.coded(docs, model)
+        lm.grow(codes.where("not held_out"), model, words)
+        found = [tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in lm.scored(codes, model, words).collect()]
+        return sorted(found, key=repr), labels
+
+    one, labels = result(1 << 40)
+    assert labels.count("sums") == 1 and "run-counts-1" not in labels
+    turns, labels = result(100)
+    assert labels.count("sums") == lm.RANGES and labels.count("run-counts-1") == lm.PASSES
+    assert turns == one and len(one) == 602 and len({row[-1] for row in one}) > 500
