@@ -307,10 +307,11 @@ def test_history_without_a_limit_has_every_event_of_the_look_back(spark):
 def test_inspected_map_is_of_all_writes_of_the_look_back(spark, tmp_path):
     from checks import registry
 
-    # One purchase and later signups of one name within a day; the alert is the last of them.
-    rows = [(300 + 10 * k, f"2024-01-02 0{k}:00:00", 4, "purchase" if k < 4 else "signup", 1.0, "{}") for k in range(9)]
+    # Three purchases and later signups of one name within a day; the alert is the last of them.
+    ids = [303, 304, 305, 310, 311, 312, 320]
+    rows = [(i, f"2024-01-02 0{k}:00:00", 4, "purchase" if k < 3 else "signup", 1.0, "{}") for k, i in enumerate(ids)]
     spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn(
         "ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
     objects = {(r["alert_id"], r["resource_key"]) for r in registry.QUERIES["inspected_map"](spark, str(tmp_path)).collect()}
-    last = {key for alert, key in objects if alert == "a380"}
-    assert last == {"s3:object:b4/k0", "s3:object:b4/k20", "s3:object:b4/k30", "iam:user:u4"}
+    last = {key for alert, key in objects if alert == "a320"}
+    assert last == {"s3:object:b4/k3", "s3:object:b4/k4", "s3:object:b4/k5", "iam:user:u4"}
